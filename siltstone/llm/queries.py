@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import decontaminate, language, quality, toxicity
+from siltstone.llm import decontaminate, language, quality, suffixes, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,14 +24,18 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.hits(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeats_report(_table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return toxicity.score_toxicity(docs, toxicity.train_toxicity(docs, _table(spark, sf_dir, "labels")))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality, op2_language, op7_decontamination, op10_toxicity)}
+    return {f.__name__: f for f in (op1_quality, op2_language, op7_decontamination, op9_suffix_dedup, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_decontamination": decontaminate.ORACLE}
+    return {"op7_decontamination": decontaminate.ORACLE, "op9_suffix_dedup": suffixes.ORACLE}

@@ -38,7 +38,7 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
 
 def input_bytes(df: DataFrame) -> int:
     """The optimizer's size of `df`, for the number of fragments; files are not read for it."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def n_fragments(df: DataFrame, per: int = 2 << 20) -> int:
@@ -145,3 +145,63 @@ def word_hashes(low: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
         p = np.zeros(len(low) + 1, np.uint64)
         np.cumsum(BYTE_CODE[low] * pw[: len(low)], out=p[1:])
         return mix((p[e] - p[s]) * inv[s] + (e - s).astype(np.uint64))
+
+
+def grouped(batches: Iterator[pa.RecordBatch], key: int = 0, rows: int = 1 << 16) -> Iterator[pa.Table]:
+    """Tables cut where the key column, by which the batches are sorted, changes; whole groups, several to a table."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        k = b.column(key)
+        if held and k[0] == held[-1].column(key)[-1]:
+            cut = 0
+            changed = np.flatnonzero(k.to_numpy(zero_copy_only=False) != k[0].as_py())
+            cut = int(changed[0]) if len(changed) else b.num_rows
+            held.append(b.slice(0, cut))
+            b = b.slice(cut)
+            if not b.num_rows:
+                continue
+        if held and sum(x.num_rows for x in held) >= rows:
+            yield pa.Table.from_batches(held)
+            held = []
+        held.append(b)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def one_by_one(batches: Iterator[pa.RecordBatch], key: int = 0) -> Iterator[tuple[object, pa.Table]]:
+    """(key, its rows) for batches sorted by an integer key without nulls."""
+    held: list[pa.RecordBatch] = []
+    now = None
+    for b in batches:
+        k = b.column(key).to_numpy(zero_copy_only=False)
+        cuts = [0, *(np.flatnonzero(k[1:] != k[:-1]) + 1).tolist(), len(k)]
+        for a, z in zip(cuts[:-1], cuts[1:], strict=True):
+            if z == a:
+                continue
+            if held and k[a] != now:
+                yield now, pa.Table.from_batches(held)
+                held = []
+            now = k[a]
+            held.append(b.slice(a, z - a))
+    if held:
+        yield now, pa.Table.from_batches(held)
+
+
+def joined(column: pa.ChunkedArray | pa.Array, dtype: np.dtype | type) -> np.ndarray:
+    """A binary column's values, one after another, as numbers of `dtype`."""
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=dtype)
+
+
+def blobs(values: np.ndarray, start: np.ndarray) -> pa.Array:
+    """Binary values: values[start[i]:start[i+1]], the last to the end."""
+    raw = np.ascontiguousarray(values)
+    ends = np.concatenate([start, [len(raw)]]) * raw.dtype.itemsize
+    return pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(raw.tobytes())]).cast(pa.binary())
+
+
+def dealt(df: DataFrame, column: str, parts: int | None = None) -> DataFrame:
+    """`df` with the rows of each value of `column` together and in order of it."""
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(parts, column).sortWithinPartitions(column)
