@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import decontaminate, language, ngrams, quality, suffixes, toxicity
+from siltstone.llm import decontaminate, language, media, ngrams, quality, suffixes, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,10 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict_language(docs, language.train_language(docs))
 
 
+def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_report(_table(spark, sf_dir, "documents"))
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngrams.jaccard_report(_table(spark, sf_dir, "documents"))
 
@@ -28,6 +32,10 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.hits(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.warc_report(_table(spark, sf_dir, "pages"))
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.repeats_report(_table(spark, sf_dir, "documents"))
 
@@ -38,8 +46,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality, op2_language, op6_jaccard_join, op7_decontamination, op9_suffix_dedup, op10_toxicity)}
+    return {f.__name__: f for f in (op1_quality, op2_language, op3_media, op6_jaccard_join, op7_decontamination, op8_warc, op9_suffix_dedup, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_decontamination": decontaminate.ORACLE, "op9_suffix_dedup": suffixes.ORACLE}
+    return {"op7_decontamination": decontaminate.ORACLE, "op8_warc": warc.ORACLE, "op9_suffix_dedup": suffixes.ORACLE}
