@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import decontaminate, language, media, ngrams, quality, sharding, suffixes, toxicity, warc
+from siltstone.llm import decontaminate, language, media, ngrams, quality, segment, sharding, suffixes, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +26,14 @@ def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_report(_table(spark, sf_dir, "documents"))
 
 
+#: The tokenizer's model file; the installed one unless told otherwise.
+PIECES = os.environ.get("SILTSTONE_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
+
+
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segment.sample_report(_table(spark, sf_dir, "documents"), PIECES)
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_report(_table(spark, sf_dir, "documents"))
 
@@ -50,7 +60,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality, op2_language, op3_media, op5_sharding, op6_jaccard_join, op7_decontamination, op8_warc, op9_suffix_dedup, op10_toxicity)}
+    return {f.__name__: f for f in (op1_quality, op2_language, op3_media, op4_sentencepiece, op5_sharding, op6_jaccard_join, op7_decontamination, op8_warc, op9_suffix_dedup, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
