@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.llm.shared import materialize, small
+
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -110,23 +112,25 @@ def decontaminate(docs: DataFrame, bench: DataFrame, width: int = 10, mode: str
 
     All columns of `docs` are kept, which may have any names but those that start with an underscore. A removed word takes the separators before it along.
     """
-    keep = tuple(docs.columns)
-    rest = docs.select(*keep) if "text" in keep else docs
-    found = hits(rest, bench, width, keep)
+    keyed = docs.withColumns({"_id": F.col("doc_id"), "_key": F.xxhash64("text")})
+    found = hits(keyed.select("_id", "_key", "text"), bench, width, ("_id", "_key")).where(F.size("positions") > 0)
+    found = materialize(found.select(F.col("_id").alias("_hit_id"), F.col("_key").alias("_hit_key"), F.col("positions").alias("_at")).dropDuplicates(["_hit_id", "_hit_key"]), "hits")
+    same = keyed["_id"].eqNullSafe(F.col("_hit_id")) & (keyed["_key"] == F.col("_hit_key"))
     if mode == "document":
-        return found.where(F.size("positions") == 0).select(*keep)
+        return keyed.join(small(found.drop("_at")), same, "left_anti").select(*docs.columns)
+    found = keyed.join(small(found, 100_000), same, "left")
     text = F.coalesce(F.col("text"), F.lit(""))
     # Words and separators alternate; an empty leading word stands for a text that starts with separators.
     parts = found.withColumn("_seps", F.array_remove(F.split(text, r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), "")).withColumn("_ws", F.array_remove(F.split(text, r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), ""))
     led = text.rlike(r"^[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]")
     sep = lambda i: F.coalesce(F.get("_seps", F.when(led, i).otherwise(i - 1)), F.lit(""))
     kept = F.transform(
-        F.filter(F.sequence(F.lit(0), F.size("_ws") - 1), lambda i: ~F.array_contains("positions", i)),
+        F.filter(F.sequence(F.lit(0), F.size("_ws") - 1), lambda i: ~F.array_contains("_at", i)),
         lambda i: F.concat(F.when(led | (i > 0), sep(i)).otherwise(F.lit("")), F.get("_ws", i)),
     )
     tail = F.coalesce(F.when(F.size("_ws") > 0, F.get("_seps", F.when(led, F.size("_ws")).otherwise(F.size("_ws") - 1))), F.lit(""))
-    cleaned = F.when(F.size("positions") == 0, F.col("text")).otherwise(F.concat(F.array_join(kept, ""), tail))
-    return parts.withColumn("text", cleaned).select(*keep)
+    cleaned = F.when(F.col("_at").isNull(), F.col("text")).otherwise(F.concat(F.array_join(kept, ""), tail))
+    return parts.withColumn("text", cleaned).select(*docs.columns)
 
 
 ORACLE = r"""
