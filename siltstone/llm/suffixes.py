@@ -31,11 +31,21 @@ from pyspark.sql import functions as F
 
 from siltstone.llm.shared import BYTE_CODE, LANE, U, blobs, dealt, joined, materialize, mix, n_fragments, one_by_one, powers, small, texts
 
-LENGTH, GRAM = 50, 16
+LENGTH, GRAM = 50, 20
 #: Ranges are broadcast to the texts up to this many bytes in all; beyond it both sides are shuffled.
 BROADCAST_BYTES = 48 << 20
 
-ENTRY = np.dtype([("m", "<u8"), ("u", "<u8"), ("doc", "<u2"), ("at", "<u4"), ("n", "u1")])
+
+
+def _six(x: np.ndarray) -> bytes:
+    """The low six bytes of each number."""
+    return x.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _from_six(raw: np.ndarray) -> np.ndarray:
+    x = np.zeros((len(raw) // 6, 8), np.uint8)
+    x[:, :6] = raw.reshape(-1, 6)
+    return x.reshape(-1).view(np.uint64)
 
 
 def _eights(x: np.ndarray) -> np.ndarray:
@@ -66,10 +76,11 @@ def anchors(data: np.ndarray, off: np.ndarray, length: int = LENGTH) -> tuple[np
     if len(data) < length:
         return empty
     e = _eights(data)
-    second = np.zeros(len(e), np.uint64)
+    second, third = np.zeros(len(e), np.uint64), np.zeros(len(e), np.uint64)
     second[:-8] = e[8:]
+    third[:-16] = e[16:] & U((1 << (8 * (GRAM - 16))) - 1)
     with np.errstate(over="ignore"):
-        h = mix(e * LANE[0] ^ mix(second * LANE[1])) | U(1)
+        h = mix(e * LANE[0] ^ mix(second * LANE[1]) ^ mix(third * LANE[2] + U(1))) | U(1)
     valid = np.zeros(len(data), bool)
     row = np.repeat(np.arange(len(off) - 1), np.diff(off))
     valid[: len(data) - length + 1] = row[: len(data) - length + 1] == row[length - 1 :]
@@ -158,7 +169,7 @@ def _entries(fragments: int, length: int):
                 for s, t in zip(start, ends, strict=True):
                     pick = order[s:t]
                     docs, ordinal = np.unique(row[pick], return_inverse=True)
-                    body = b"".join([m[pick].tobytes(), u[pick].view(np.uint8).reshape(-1, 8)[:, :6].tobytes(), ordinal.astype(np.uint16 if len(docs) < 65536 else np.uint32).tobytes(), at[pick].astype(np.uint32).tobytes(), n[pick].astype(np.uint8).tobytes()])
+                    body = b"".join([_six(m[pick] >> U(16)), _six(u[pick]), ordinal.astype(np.uint16 if len(docs) < 65536 else np.uint32).tobytes(), at[pick].astype(np.uint32).tobytes(), n[pick].astype(np.uint8).tobytes()])
                     bodies.append(body)
                     id_parts.append(ids[docs].astype(np.int64).tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(frag[start].astype(np.int64)), pa.array(np.zeros(len(start), np.int32)), pa.array(id_parts, pa.binary()), pa.array(bodies, pa.binary())], ["fragment", "kind", "ids", "body"])
@@ -171,21 +182,18 @@ def _unpack(ids: pa.ChunkedArray, body: pa.ChunkedArray) -> tuple[np.ndarray, ..
     for i, x in zip(ids.to_pylist(), body.to_pylist(), strict=True):
         docs = np.frombuffer(i, np.int64)
         wide = len(docs) >= 65536
-        n = len(x) // (23 if wide else 21)
+        n = len(x) // (21 if wide else 19)
         raw = np.frombuffer(x, np.uint8)
-        u = np.zeros((n, 8), np.uint8)
-        u[:, :6] = raw[8 * n : 14 * n].reshape(n, 6)
         w = 4 if wide else 2
-        ordinal = np.frombuffer(x, np.uint32 if wide else np.uint16, n, 14 * n)
-        parts[0].append(np.frombuffer(x, np.uint64, n, 0))
-        parts[1].append(u.reshape(-1).view(np.uint64))
-        parts[2].append(docs[ordinal])
-        parts[3].append(np.frombuffer(x, np.uint32, n, (14 + w) * n).astype(np.int64))
-        parts[4].append(np.frombuffer(x, np.uint8, n, (18 + w) * n).astype(np.int64))
+        parts[0].append(_from_six(raw[: 6 * n]))
+        parts[1].append(_from_six(raw[6 * n : 12 * n]))
+        parts[2].append(docs[np.frombuffer(x, np.uint32 if wide else np.uint16, n, 12 * n)])
+        parts[3].append(np.frombuffer(x, np.uint32, n, (12 + w) * n).astype(np.int64))
+        parts[4].append(np.frombuffer(x, np.uint8, n, (16 + w) * n).astype(np.int64))
     return tuple(np.concatenate(p) for p in parts)
 
 
-OPEN = np.dtype([("m", "<u8"), ("at", "<u4"), ("n", "<u4")])
+OPEN = np.dtype([("m", "<u8"), ("at", "<u4"), ("n", "u1")])
 
 
 def _settle(length: int):
@@ -249,7 +257,7 @@ def _spell(fragments: int, length: int):
                 body = [raw[a : a + n + length - 1] for a, n in zip(x["at"].tolist(), x["n"].tolist(), strict=True)]
                 k = len(x)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(((x["m"] >> U(8)) % U(fragments)).astype(np.int64)), pa.array(x["m"].view(np.int64) if x["m"].flags.c_contiguous else x["m"].copy().view(np.int64)),
+                    pa.array((x["m"] % U(fragments)).astype(np.int64)), pa.array(x["m"].astype(np.int64)),
                     pa.array(np.full(k, i, np.int64)), pa.array(x["at"].astype(np.int64)), pa.array(body, pa.binary()),
                 ], ["fragment", "m", "doc_id", "at", "body"])
 
