@@ -97,7 +97,7 @@ class MediaReader(DataSourceReader):
         self.tries = int(options.get("tries", 3))
 
     def partitions(self):
-        return [Range(name, a, min(a + self.bytes, size)) for name, size in listed(self.folder, ".zip") for a in range(0, size, self.bytes)] or [Range("", 0, 0)]
+        return [Range(name, a, min(a + self.bytes, size)) for name, size in listed(self.folder, ".zip") if size > 22 for a in range(0, size, self.bytes)] or [Range("", 0, 0)]
 
     def member(self, partition: Range, info: zipfile.ZipInfo) -> tuple[bytes, bytes]:
         """The stored form and the payload of the member at its offset."""
