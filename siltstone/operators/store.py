@@ -62,9 +62,9 @@ def relative_start(text: str) -> str | None:
     return f"INTERVAL {int(text[:-1])} {units[text[-1]]}" if text[:-1].isdigit() and text[-1:] in units else None
 
 
-def read_golden(spark: SparkSession, path: str) -> DataFrame:
-    """Entries of a golden dataset in JSON; a version other than 1.0 is an error."""
+def read_golden(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Entries of a golden dataset in JSON, one for each file or (lines) for each line; a version other than 1.0 is an error."""
     schema = "version string, projectName string, entries array<struct<id:string,query:string,expectedFilePaths:array<string>,expectedAnswer:string,tags:array<string>,source:string>>"
-    d = spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
+    d = spark.read.schema(schema).option("multiLine", not lines).option("mode", "FAILFAST").json(path)
     d = d.where(F.assert_true(F.col("version") == "1.0", F.lit("unknown version")).isNull())
     return d.select("projectName", F.explode_outer("entries").alias("e")).select("projectName", "e.*")

@@ -182,7 +182,7 @@ def golden_by_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.add("golden_load")
 def golden_load(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Written as golden JSON lines to the session's warehouse folder and read back."""
+    """Written as golden datasets, one a line, to the session's warehouse folder and read back."""
     import uuid
 
     from siltstone.operators.store import read_golden
@@ -191,6 +191,6 @@ def golden_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = golden(spark, sf_dir).select(F.lit("1.0").alias("version"), F.lit("documents").alias("projectName"), F.array(F.struct(F.col("item_id").cast("string").alias("id"), F.col("text").alias("query"), F.col("expected").alias("expectedFilePaths"), F.lit("generated").alias("source"))).alias("entries"))
     path = f"{base}/golden_{uuid.uuid4().hex}"
     g.write.json(path)
-    return read_golden(spark, path).select("projectName", "id", "query", F.size("expectedFilePaths").alias("n_expected"), "source")
+    return read_golden(spark, path, lines=True).select("projectName", "id", "query", F.size("expectedFilePaths").alias("n_expected"), "source")
 
 

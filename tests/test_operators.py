@@ -184,3 +184,12 @@ def test_scan(spark, tmp_path):
     (tmp_path / ".hidden").write_text("no")
     got = scan_directory(spark, str(tmp_path)).collect()
     assert [(r.relative_path, r.size, r.extension) for r in got] == [("a/x.TS", 2, "ts")]
+
+
+def test_golden_file(spark, tmp_path):
+    (tmp_path / "g.json").write_text('{\n "version": "1.0", "projectName": "p",\n "entries": [{"id": "1", "query": "q", "expectedFilePaths": ["a"], "source": "manual"}, {"id": "2", "query": "r", "source": "manual"}]}')
+    got = store.read_golden(spark, str(tmp_path / "g.json")).orderBy("id").collect()
+    assert [(r.projectName, r.id, r.expectedFilePaths) for r in got] == [("p", "1", ["a"]), ("p", "2", None)]
+    (tmp_path / "h.json").write_text('{"version": "2.0", "projectName": "p", "entries": []}')
+    with pytest.raises(Exception, match="unknown version"):
+        store.read_golden(spark, str(tmp_path / "h.json")).collect()
