@@ -94,7 +94,7 @@ def _heads(fragments: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids_all = b.column(0).to_numpy(zero_copy_only=False)
-            for a, z, data, off in texts(b.column(1), 2 << 20):
+            for a, z, data, off in texts(b.column(1)):
                 h, first = shingles(data, off)
                 n = np.diff(first)
                 cid = class_ids(h, first)
@@ -459,3 +459,15 @@ def drop_near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     if kept.where("_n > 1").limit(1).count():
         out = out.dropDuplicates(["_id"])
     return out.select(*docs.columns)
+
+
+ORACLE = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i+4], ' ') g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, CASE WHEN len(w) > 0 THEN 1 ELSE 0 END) + 1)) i FROM w)),
+n AS (SELECT doc_id, count(*) n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id a, b.doc_id b, count(*) k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id, doc_id root FROM w UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.root = e.a)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) n_shingles, component_id FROM (SELECT doc_id, min(root) component_id FROM r GROUP BY doc_id) LEFT JOIN n USING (doc_id)
+"""

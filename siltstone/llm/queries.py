@@ -64,4 +64,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_decontamination": decontaminate.ORACLE, "op8_warc": warc.ORACLE, "op9_suffix_dedup": suffixes.ORACLE}
+    return {"op6_jaccard_join": ngrams.ORACLE, "op7_decontamination": decontaminate.ORACLE, "op8_warc": warc.ORACLE, "op9_suffix_dedup": suffixes.ORACLE}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -83,6 +84,15 @@ SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
+def trim() -> None:
+    """Gives memory that is free back to the system: a worker that is reused would hold the most it ever needed."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        return  # another C library
+
+
 def texts(column: pa.Array | pa.ChunkedArray, most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Cuts a string column into runs of rows of about `most` bytes (one row at least): (first row, end row, bytes, offsets from 0).
 
@@ -104,6 +114,7 @@ def texts(column: pa.Array | pa.ChunkedArray, most: int = 1 << 20) -> Iterator[t
         b = max(a + 1, int(np.searchsorted(off, off[a] + most, side="right")) - 1)
         yield a, b, data[off[a] : off[b]], off[a : b + 1] - off[a]
         a = b
+    trim()
 
 
 _POWERS = np.ones(1, dtype=np.uint64)
@@ -187,6 +198,7 @@ def one_by_one(batches: Iterator[pa.RecordBatch], key: int = 0) -> Iterator[tupl
             held.append(b.slice(a, z - a))
     if held:
         yield now, pa.Table.from_batches(held)
+    trim()
 
 
 def joined(column: pa.ChunkedArray | pa.Array, dtype: np.dtype | type) -> np.ndarray:
