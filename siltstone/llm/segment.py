@@ -33,12 +33,14 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from siltstone.llm.shared import BYTE_CODE, LANE, U, mix, powers, texts
+from siltstone.llm.shared import BYTE_CODE, LANE, U, mix, powers, texts, trim
 
-SAMPLES, SHIFT, SEED, BLOCK_BYTES = 2, 10.0, 0, 4 << 20
+SAMPLES, SHIFT, SEED, BLOCK_BYTES = 2, 10.0, 0, 1 << 19
 #: Log values further below the best than this can't win: -log(-log(u)) of a 53-bit u stays below it.
 REACH = 40.0
 MARK = "▁"
+#: Bytes of the character that a byte begins; 0 inside a character.
+LEAD = np.repeat(np.array([1, 0, 2, 3, 4], np.int8), [128, 64, 32, 16, 16])
 
 
 class Vocabulary:
@@ -78,11 +80,18 @@ class Vocabulary:
         self.hashes = np.array([self._hash(k) for k in keys], np.uint64)
         self.piece = np.array([beginnings[k] for k in keys], np.int32)
         self.most = max(map(len, spelled))
+        # Beginnings of one and two bytes have tables of their own: index among the beginnings, -1 if it is none.
+        self.single, self.double = np.full(256, -1, np.int32), np.full(65536, -1, np.int32)
+        for k, b in enumerate(keys):
+            if len(b) == 1:
+                self.single[b[0]] = k
+            elif len(b) == 2:
+                self.double[b[0] | b[1] << 8] = k
         self.tables = []
         left = np.arange(len(keys))
         while len(left):  # each table holds the first key of a slot; the others go to the next one
-            shift = U(20 * (len(self.tables) % 3))
-            slot = ((self.hashes[left] >> shift) & U((1 << 20) - 1)).astype(np.int64)
+            shift = U(44 - 9 * (len(self.tables) % 4))
+            slot = self._slot(self.hashes[left], shift)
             _, first = np.unique(slot, return_index=True)
             table = np.full(1 << 20, -1, np.int32)
             table[slot[first]] = left[first]
@@ -91,12 +100,17 @@ class Vocabulary:
             if len(self.tables) > 12:
                 raise ValueError("equal hashes")
 
+    @staticmethod
+    def _slot(h: np.ndarray, shift: np.uint64) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return ((h * LANE[9]) >> shift) & U((1 << 20) - 1)
+
     @staticmethod
     def _hash(piece: bytes) -> int:
         x = np.frombuffer(piece, np.uint8)
         with np.errstate(over="ignore"):
             p = np.sum(BYTE_CODE[x] * powers(64)[0][: len(x)], dtype=np.uint64, keepdims=True)
-            return int(mix(p + U(len(x)))[0])
+            return int((p + U(len(x)))[0])
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Index of each hash among the beginnings, -1 if it is none."""
@@ -104,7 +118,7 @@ class Vocabulary:
         todo = None
         for shift, table in self.tables:
             x = h if todo is None else h[todo]
-            at = table[((x >> shift) & U((1 << 20) - 1)).astype(np.int64)]
+            at = table[self._slot(x, shift)]
             hit = (at >= 0) & (self.hashes[at] == x)
             if todo is None:
                 out[hit] = at[hit]
@@ -119,80 +133,109 @@ class Vocabulary:
 
 @lru_cache(maxsize=2)
 def vocabulary(path: str) -> Vocabulary:
-    return Vocabulary(path)
+    found = Vocabulary(path)
+    trim()
+    return found
 
 
 class Lattice:
-    """The lattices of the distinct words of a block, end to end: edges sorted by their end place, with conditional log-probabilities."""
+    """The lattices of the distinct words of a block. Nodes are numbered level by level (bytes from a word's start), longer words first; edges are sorted by the node they end in."""
 
     def __init__(self, voc: Vocabulary, data: np.ndarray, start: np.ndarray, end: np.ndarray):
-        lens = end - start
-        self.base = np.concatenate([[0], np.cumsum(lens + 1)])  # word w has the nodes base[w] .. base[w] + its length
-        node = np.arange(lens.sum()) + np.repeat(np.arange(len(lens)), lens)  # of each byte
-        src = np.arange(lens.sum()) + np.repeat(start - (np.cumsum(lens) - lens), lens)
-        x = data[src]
-        stop = np.repeat(self.base[:-1] + lens, lens)
-        pw, inv = powers(len(x) + 1)
+        order = np.argsort(start - end, kind="stable")  # longer words first
+        lens = (end - start)[order]
+        self.words = np.empty(len(order), np.int64)  # each word's place within a level; its first node too
+        self.words[order] = np.arange(len(order))
+        most = int(lens[0])
+        width = np.searchsorted(-lens, -np.arange(most + 1), side="right")  # words that reach each level
+        self.level = np.concatenate([[0], np.cumsum(width)])
+        n_nodes, size = int(self.level[-1]), int(lens.sum())
+        self.length = end - start
+        # Bytes in the order of the nodes they begin at: level by level, without the words' last nodes.
+        per = np.searchsorted(-lens, -np.arange(1, most + 1), side="right")
+        depth = np.repeat(np.arange(most), per)
+        who = (np.arange(size) - np.repeat(np.cumsum(per) - per, per)).astype(np.int32)
+        flat = np.cumsum(lens) - lens
+        src = (flat[who] + depth).astype(np.int32)  # places in x, where each word's bytes are together
+        x = data[np.arange(size) + np.repeat(start[order] - flat, lens)]
+        level = self.level.astype(np.int32)
+        depth = depth.astype(np.int32)
+        room = lens[who].astype(np.int32) - depth
+        pw, inv = powers(size + 1)
+        lead = LEAD[x]
+        known = np.zeros(size, bool)  # a character that begins here and is a piece
+        tails, heads, ids = [], [], []
         with np.errstate(over="ignore"):
-            p = np.zeros(len(x) + 1, np.uint64)
-            np.cumsum(BYTE_CODE[x] * pw[: len(x)], out=p[1:])
-            room = stop - node
-            alive = np.arange(len(x))
-            tails, heads, ids = [], [], []
-            known = np.zeros(len(x), bool)  # a character that begins here and is a piece
-            lead = np.where(x < 0x80, 1, np.where(x >= 0xF0, 4, np.where(x >= 0xE0, 3, np.where(x >= 0xC0, 2, 0))))
+            p = np.zeros(size + 1, np.uint64)
+            np.cumsum(BYTE_CODE[x] * pw[:size], out=p[1:])
+            alive = np.arange(size, dtype=np.int32)
             for n in range(1, voc.most + 1):
-                alive = alive[room[alive] >= n]
+                if n > 1:
+                    alive = alive[room[alive] >= n]
                 if not len(alive):
                     break
-                at = voc.find(mix((p[alive + n] - p[alive]) * inv[alive] + U(n)))
-                ok = at >= 0
-                alive, at = alive[ok], at[ok]
-                piece = voc.piece[at]
-                is_piece = piece >= 0
-                who = alive[is_piece]
-                tails.append(node[who])
-                heads.append(node[who] + n)
-                ids.append(piece[is_piece].astype(np.int64))
-                known[who[lead[who] == n]] = True
+                at = src[alive]
+                if n == 1:
+                    found = voc.single[x[at]]
+                elif n == 2:
+                    found = voc.double[x[at].astype(np.int32) | x[at + 1].astype(np.int32) << 8]
+                else:
+                    found = voc.find((p[at + n] - p[at]) * inv[at] + U(n))
+                ok = found >= 0
+                alive = alive[ok]
+                piece = voc.piece[found[ok]]
+                hit = alive[piece >= 0]
+                tails.append(level[depth[hit]] + who[hit])
+                heads.append(level[depth[hit] + n] + who[hit])
+                ids.append(piece[piece >= 0])
+                if n <= 4:
+                    hit = src[hit]
+                    known[hit[lead[hit] == n]] = True
         # Bytes of characters that are no piece; a byte inside a character belongs to the one that began before it.
-        owner = np.maximum.accumulate(np.where(lead > 0, np.arange(len(x)), 0))
-        raw = np.flatnonzero(~known[owner])
-        tails.append(node[raw])
-        heads.append(node[raw] + 1)
-        ids.append(voc.byte_id[x[raw]])
-        tail, head, piece = np.concatenate(tails), np.concatenate(heads), np.concatenate(ids)
-        depth = (head - np.repeat(self.base[:-1], lens + 1)[tail]).astype(np.int64)
-        order = np.argsort(depth << 40 | head)
-        tail, head, piece, depth = tail[order], head[order], piece[order], depth[order]
-        alpha = np.full(self.base[-1], -np.inf)
-        alpha[self.base[:-1]] = 0
-        logp = voc.logp[piece]
-        new = np.concatenate([[True], head[1:] != head[:-1]]) if len(head) else np.zeros(0, bool)
-        first = np.flatnonzero(new)
-        levels = np.searchsorted(depth[first], np.arange(1, (depth.max() if len(depth) else 0) + 2))
-        bounds = np.concatenate([first, [len(head)]])
-        for d in range(len(levels) - 1):
-            a, z = levels[d], levels[d + 1]
-            if a == z:
+        if not known[lead > 0].all():
+            raw = np.flatnonzero(~known[np.maximum.accumulate(np.where(lead > 0, np.arange(size), 0))[src]])
+            tails.append(level[depth[raw]] + who[raw])
+            heads.append(level[depth[raw] + 1] + who[raw])
+            ids.append(voc.byte_id[x[src[raw]]].astype(np.int32))
+        # Each run is sorted by its ends, so a stable sort merges them; of a place, the longest piece comes first, which is mostly the likeliest.
+        head = np.concatenate(heads[::-1])
+        order = np.argsort(head, kind="stable")
+        self.tail, self.piece = np.concatenate(tails[::-1])[order], np.concatenate(ids[::-1])[order]
+        count = np.bincount(head, minlength=n_nodes)
+        self.ptr = np.concatenate([[0], np.cumsum(count)]).astype(np.int32)
+        self.head = np.repeat(np.arange(n_nodes, dtype=np.int32), count)
+        logp = voc.logp[self.piece]
+        self.cond = np.full(len(order), -np.inf)
+        alpha = np.full(n_nodes, -np.inf)
+        alpha[: self.level[1]] = 0
+        for d in range(1, most + 1):
+            a, z = int(self.level[d]), int(self.level[d + 1])
+            lo, hi = int(self.ptr[a]), int(self.ptr[z])
+            if lo == hi:
                 continue
-            lo, hi = bounds[a], bounds[z]
-            v = alpha[tail[lo:hi]] + logp[lo:hi]
-            seg = first[a:z] - lo
+            v = alpha[self.tail[lo:hi]] + logp[lo:hi]
+            k = count[a:z]
+            some = k > 0
+            seg, k = self.ptr[a:z][some] - lo, k[some]
             top = np.maximum.reduceat(v, seg)
-            size = np.diff(np.concatenate([seg, [hi - lo]]))
-            finite = np.where(np.isfinite(top), top, 0)
-            with np.errstate(divide="ignore"):
-                alpha[head[first[a:z]]] = finite + np.log(np.add.reduceat(np.exp(v - np.repeat(finite, size)), seg))
-        cond = alpha[tail] + logp - alpha[head]
-        fine = np.isfinite(cond)  # an edge from a node that nothing reaches
-        rank = np.minimum(cond[fine] * -1000, 65535).astype(np.int64)  # the likeliest first
-        order = np.flatnonzero(fine)[np.argsort(head[fine] << 16 | np.maximum(rank, 0))]
-        self.tail, self.head, self.piece, self.cond = (v[order] for v in (tail, head, piece, cond))
-        self.ptr = np.concatenate([[0], np.cumsum(np.bincount(self.head, minlength=self.base[-1]))]).astype(np.int32)
-        total = np.concatenate([[0], np.cumsum(np.exp(self.cond))])
-        self.share = (total[1:] - total[self.ptr[self.head]]).astype(np.float64)
-        self.share[self.ptr[1:][self.ptr[1:] > self.ptr[:-1]] - 1] = 2  # the last one takes what rounding leaves
+            top[np.isinf(top)] = 0
+            with np.errstate(divide="ignore", invalid="ignore"):
+                total = top + np.log(np.add.reduceat(np.exp(v - np.repeat(top, k)), seg))
+                alpha[a:z][some] = total
+                self.cond[lo:hi] = np.where(np.isinf(v), -np.inf, v - np.repeat(total, k))
+        self.share = np.cumsum(np.exp(self.cond))
+        self.share -= np.repeat(np.concatenate([[0], self.share])[self.ptr[:-1]], count)
+        self.share[self.ptr[1:][count > 0] - 1] = 2  # the last one takes what rounding leaves
+        # Edges that nothing reaches have no share; a last one of that kind leaves its place to the one before it.
+        dead = np.flatnonzero(np.isinf(self.cond) & (self.share == 2))
+        while len(dead):
+            dead = dead[dead > self.ptr[self.head[dead]]] - 1
+            self.share[dead] = 2
+            dead = dead[np.isinf(self.cond[dead])]
+
+    def ends(self, word: np.ndarray) -> np.ndarray:
+        """The last node of each word."""
+        return self.level[self.length[word]] + self.words[word]
 
     def choose(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
         """An incoming edge of each node, by its probability."""
@@ -209,7 +252,8 @@ def _uniform(*parts: np.ndarray | int) -> np.ndarray:
     with np.errstate(over="ignore"):
         h = np.asarray(parts[0], np.uint64)
         for k, x in enumerate(parts[1:]):
-            h = mix(h + np.asarray(x, np.uint64) * LANE[k + 3] + U(k + 1))
+            h = h + np.asarray(x).astype(np.uint64) * LANE[k + 3]
+        h = mix(h)
     return ((h >> U(11)).astype(np.float64) + 0.5) / (1 << 53)
 
 
@@ -218,20 +262,20 @@ def _gumbel_below(phi: np.ndarray, top: float, u: np.ndarray) -> np.ndarray:
     return phi - np.log(np.exp(np.minimum(phi - top, 700)) - np.log(u))
 
 
-def _walk(lat: Lattice, key: np.ndarray, word: np.ndarray, state: np.ndarray, place: np.ndarray, sample: int) -> tuple[np.ndarray, np.ndarray]:
+def _walk(lat: Lattice, key: np.ndarray, state: np.ndarray, place: np.ndarray, sample: int) -> tuple[np.ndarray, np.ndarray]:
     """Sampled edges of each occurrence of a word, from `state` down to its start: number of edges, edges in text order, one occurrence after another."""
-    goal = lat.base[word]
-    active = np.flatnonzero(state > goal)
-    state = state.copy()
+    first = lat.level[1]  # the words' starts are the nodes below it
+    active = np.flatnonzero(state >= first)
+    key, place, state = key[active], place[active], state[active]
     steps: list[tuple[np.ndarray, np.ndarray]] = []
-    count = np.zeros(len(word), np.int64)
+    count = np.zeros(int(active[-1]) + 1 if len(active) else 0, np.int64)
     while len(active):
-        s = state[active]
-        e = lat.choose(s, _uniform(key[active], place[active], s - goal[active], sample))
+        e = lat.choose(state, _uniform(key, place, len(steps), sample))
         steps.append((active, e))
         count[active] += 1
-        state[active] = lat.tail[e]
-        active = active[lat.tail[e] > goal[active]]
+        state = lat.tail[e]
+        on = state >= first
+        active, key, place, state = active[on], key[on], place[on], state[on]
     stop = np.cumsum(count)
     edges = np.zeros(stop[-1] if len(stop) else 0, np.int64)
     for k, (who, e) in enumerate(steps):
@@ -240,9 +284,8 @@ def _walk(lat: Lattice, key: np.ndarray, word: np.ndarray, state: np.ndarray, pl
 
 
 def _word_at(lat: Lattice, path: np.ndarray, stop: int) -> int:
-    """The occurrence of a word in which the step after `path` lies: a word is done where an edge's tail is its start."""
-    tail = lat.tail[path]
-    return stop - 1 - int((lat.base[np.searchsorted(lat.base, tail, side="right") - 1] == tail).sum())
+    """The occurrence of a word in which the step after `path` lies: a word is done where an edge begins at its start."""
+    return stop - 1 - int((lat.tail[path] < lat.level[1]).sum())
 
 
 def sample_block(voc: Vocabulary, keys: np.ndarray, data: np.ndarray, off: np.ndarray, k: int) -> list[list[tuple[np.ndarray, float, float, float]]]:
@@ -273,10 +316,12 @@ def sample_block(voc: Vocabulary, keys: np.ndarray, data: np.ndarray, off: np.nd
     doc = rows[s]
     tokens = np.searchsorted(doc, np.arange(n + 1))
     place = tokens[doc + 1] - 1 - np.arange(len(s))  # from the text's end
-    ends = lat.base[word + 1] - 1
+    ends = lat.ends(word)
     key = keys[doc]
-    count, edges = _walk(lat, key, word, ends, place, 0)
-    cuts = np.concatenate([[0], np.cumsum(count)])
+    count, edges = _walk(lat, key, ends, place, 0)
+    cuts = np.zeros(len(s) + 1, np.int64)  # occurrences behind the last one with edges have none
+    cuts[1 : len(count) + 1] = np.cumsum(count)
+    cuts[len(count) + 1 :] = cuts[len(count)]
     path_at = cuts[tokens]
     root = -np.log(-np.log(_uniform(keys, np.uint64(0xFFFF), np.uint64(0xFFFF), 0)))
     paths: list[list[tuple[np.ndarray, float]]] = [[] for _ in range(n)]
@@ -294,18 +339,19 @@ def sample_block(voc: Vocabulary, keys: np.ndarray, data: np.ndarray, off: np.nd
         c = np.minimum(lat.cond[path], 0)
         total = np.cumsum(c) - c
         before = total - (total[at] - phi)[seg]
-        step = np.arange(len(path)) - at[seg] + since[seg]
-        g = np.full(len(path), -np.inf)
-        ok = np.flatnonzero(c < -1e-13)
-        rest = before[ok] + np.log(-np.expm1(c[ok]))
-        near = rest > (value - REACH)[seg[ok]]  # what is lower can be no rival to the values that are kept, but for one in e**REACH
-        ok, rest = ok[near], rest[near]
-        g[ok] = _gumbel_below(rest, value[seg[ok]], _uniform(keys[docs][seg[ok]], step[ok], sample, 7))
+        # What lies further below the value than REACH can be no rival to the values that are kept, but for one in e**REACH.
+        ok = np.flatnonzero((c < -1e-13) & (before > (value - REACH)[seg]))
+        if not len(ok):
+            return
+        seg, before, path = seg[ok], before[ok], path[ok]
+        step = ok - at[seg] + since[seg]
+        g = _gumbel_below(before + np.log(-np.expm1(c[ok])), value[seg], _uniform(keys[docs][seg], step, sample, 7))
+        first = np.flatnonzero(np.concatenate([[True], seg[1:] != seg[:-1]]))
+        group = np.cumsum(np.concatenate([[False], seg[1:] != seg[:-1]]))
         for _ in range(k + 1):  # no more can be popped
-            top = np.maximum.reduceat(g, at)
-            hit = np.flatnonzero((g == top[seg]) & (g > -np.inf))
-            _, first = np.unique(seg[hit], return_index=True)
-            hit = hit[first]
+            top = np.maximum.reduceat(g, first)
+            hit = np.flatnonzero((g == top[group]) & (g > -np.inf))
+            hit = hit[np.unique(group[hit], return_index=True)[1]]
             for d, v, t, b, e in zip(docs[seg[hit]].tolist(), g[hit].tolist(), step[hit].tolist(), before[hit].tolist(), path[hit].tolist(), strict=True):
                 heapq.heappush(heaps[d], (-v, sample, t, b, (e,)))
             g[hit] = -np.inf
@@ -319,14 +365,14 @@ def sample_block(voc: Vocabulary, keys: np.ndarray, data: np.ndarray, off: np.nd
     for sample in range(1, k):
         # Pop the best alternative of each text, pick the edge that leaves, and sample the words before it anew.
         docs, fixed, begun = [], [], []
-        word_of, state_of, place_of, key_of = [], [], [], []
+        state_of, place_of, key_of = [], [], []
         for d in np.flatnonzero(full).tolist():
             if not heaps[d]:
                 continue
             g, parent, t, phi, gone = heapq.heappop(heaps[d])
             path = paths[d][parent][0]
             node = int(lat.head[path[t]])
-            choice = [j for j in range(int(lat.ptr[node]), int(lat.ptr[node + 1])) if j not in gone]
+            choice = [j for j in range(int(lat.ptr[node]), int(lat.ptr[node + 1])) if j not in gone and lat.cond[j] > -np.inf]
             prob = np.exp(lat.cond[choice])
             u = float(_uniform(keys[d : d + 1], np.uint64(t), np.uint64(sample), 11)[0])
             pick = choice[min(int(np.searchsorted(np.cumsum(prob), u * prob.sum(), side="right")), len(choice) - 1)]
@@ -343,14 +389,15 @@ def sample_block(voc: Vocabulary, keys: np.ndarray, data: np.ndarray, off: np.nd
             docs.append(d)
             fixed.append(np.concatenate([path[:t], [pick]]))
             begun.append((len(w), phi + float(lat.cond[pick]), -g))
-            word_of.append(word[w])
             state_of.append(st)
             place_of.append(place[w])
             key_of.append(key[w])
         if not docs:
             break
-        count, edges = _walk(lat, np.concatenate(key_of), np.concatenate(word_of), np.concatenate(state_of), np.concatenate(place_of), sample)
-        cuts = np.concatenate([[0], np.cumsum(count)])
+        count, edges = _walk(lat, np.concatenate(key_of), np.concatenate(state_of), np.concatenate(place_of), sample)
+        cuts = np.zeros(sum(len(x) for x in state_of) + 1, np.int64)
+        cuts[1 : len(count) + 1] = np.cumsum(count)
+        cuts[len(count) + 1 :] = cuts[len(count)]
         token, news = 0, []
         for d, head, (m, phi, g) in zip(docs, fixed, begun, strict=True):
             new = edges[cuts[token] : cuts[token + m]][::-1]
