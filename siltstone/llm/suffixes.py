@@ -251,7 +251,7 @@ def _spell(fragments: int, length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, text, packed in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                x = np.concatenate([np.frombuffer(p, OPEN) for p in packed])
+                x = np.frombuffer(packed, OPEN)
                 raw = text.encode()
                 # Within a document, an anchor's same bytes are needed once for each place.
                 body = [raw[a : a + n + length - 1] for a, n in zip(x["at"].tolist(), x["n"].tolist(), strict=True)]
@@ -321,7 +321,7 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _with_body(docs: DataFrame, spans: DataFrame, how: str, key: str = "doc_id") -> DataFrame:
     """`docs` joined with rows (id, body): broadcast behind a check of their size, shuffled beyond it."""
-    total = spans.agg(F.coalesce(F.sum(F.octet_length("body") if dict(spans.dtypes)["body"] == "binary" else F.aggregate("body", F.lit(0), lambda s, x: s + F.octet_length(x))), F.lit(0)).alias("b"), F.count(F.lit(1)).alias("n")).first()
+    total = spans.agg(F.coalesce(F.sum(F.octet_length("body")), F.lit(0)).alias("b"), F.count(F.lit(1)).alias("n")).first()
     return docs.join(F.broadcast(spans) if total.b + 32 * total.n <= BROADCAST_BYTES else spans, key, how)
 
 
@@ -337,7 +337,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     rest = slim.withColumn("size", F.octet_length("text")).join(small(copies), ["doc_id", "size"], "left_anti").select("doc_id", "text")
     entries = rest.mapInArrow(_entries(fragments, length), "fragment long, kind int, ids binary, body binary")
     settled = materialize(dealt(entries, "fragment").mapInArrow(_settle(length), "doc_id long, kind int, body binary"), "settled")
-    opened = materialize(settled.where("kind = 1").groupBy("doc_id").agg(F.collect_list("body").alias("body")), "open")
+    opened = materialize(settled.where("kind = 1").groupBy("doc_id").agg(F.collect_list("body").alias("body")).select("doc_id", F.aggregate("body", F.lit(b""), lambda s, x: F.concat(s, x)).alias("body")), "open")
     spelled = _with_body(rest, opened, "inner").select("doc_id", "text", "body").mapInArrow(_spell(fragments, length), "fragment long, m long, doc_id long, at long, body binary")
     rows = dealt(spelled, "fragment").mapInArrow(_windows(length), "doc_id long, kind int, body binary")
     whole = copies.select("doc_id", F.lit(0).alias("kind"), F.unhex(F.concat(F.lit("00000000"), *[F.lpad(F.hex(F.shiftright(F.col("size"), 8 * k).bitwiseAND(F.lit(255))), 2, "0") for k in range(4)])).alias("body"))
