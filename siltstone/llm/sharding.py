@@ -1,7 +1,8 @@
 """Sharding by balanced label propagation.
 
 Documents with equal texts are linked. They start in a shard by hash; in each round every group of links counts its
-members by shard, and members elsewhere move to the group's most common shard, under quotas: a shard takes movers up
+members by shard, and members elsewhere move to the shard that can hold most of the group, the most common one
+first, under quotas: a shard takes movers up
 to its capacity, counting the places that leave it and those that documents without links can free. A last step
 makes the sizes even, moving documents without links first. A group that is larger than half a shard is cut into
 parts of that size by hash, each of which moves by itself.
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from siltstone.llm.shared import materialize, small
 
-SHARDS, ROUNDS, PER_BUCKET = 40, 4, 20_000
+SHARDS, ROUNDS, PER_BUCKET = 40, 5, 20_000
 
 
 def _pick(values: list[int], index: Column) -> Column:
@@ -57,17 +58,18 @@ def propagate(state: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> D
     """Rounds of moves; `state` has rid, h, unit, shard."""
     capacity = -(-sum(_loads(state, shards)) // shards)
     for step in range(rounds):
-        votes = state.where(F.col("unit").isNotNull()).groupBy("unit", "shard").agg(F.count(F.lit(1)).alias("n"))
-        target = votes.groupBy("unit").agg(F.max_by("shard", F.struct("n", F.xxhash64("unit", "shard"))).alias("target"))
+        loads = _loads(state, shards)
+        free = {r.shard: r.n for r in state.where("unit is null").groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}
+        room = [max(0, capacity - loads[j] + free.get(j, 0)) for j in range(shards)]  # for documents with links
+        votes = state.where(F.col("unit").isNotNull()).groupBy("unit", "shard").agg(F.count(F.lit(1)).alias("n"), F.first("members").alias("members"))
+        held = F.least(F.col("members"), F.col("n") + _pick(room, F.col("shard")))  # the members that the shard can hold
+        target = votes.groupBy("unit").agg(F.max_by("shard", F.struct(held, "n", F.xxhash64("unit", "shard"))).alias("target"))
         moving = materialize(state.join(small(materialize(target, "targets")), "unit", "left"), "moves")
         asked = moving.where("target <> shard").groupBy("shard", "target").agg(F.count(F.lit(1)).alias("n")).collect()  # shards x shards
         if not asked:
             return state
-        loads = _loads(state, shards)
-        free = {r.shard: r.n for r in moving.where("unit is null").groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}
-        leaving, coming = [0] * shards, [0] * shards
+        coming = [0] * shards
         for r in asked:
-            leaving[r.shard] += r.n
             coming[r.target] += r.n
         rate = [1.0] * shards
         for _ in range(20):  # quotas: what leaves depends on what the others take
