@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from siltstone.operators import evaluate as E
 from siltstone.operators import search as S
 from siltstone.plans.registry import Registry, chunks, table
-from siltstone.plans.search import _BM25
+from siltstone.plans.search import _BM25, few
 
 R = Registry()
 K = 5
@@ -24,7 +24,7 @@ def golden(spark: SparkSession, sf_dir: str) -> DataFrame:
 def retrieved(spark: SparkSession, sf_dir: str) -> DataFrame:
     """item_id, expected, and the paths of the ten best documents by BM25."""
     top = S.topk(S.bm25_scores(chunks(spark, sf_dir), table(spark, sf_dir, "benchmark"), "chunk_id", "content", "item_id", "text"), ["item_id"], [F.desc("score"), F.asc("chunk_id")], 10)
-    paths = chunks(spark, sf_dir).select("chunk_id", "file_path").join(S.hinted(top), "chunk_id")
+    paths = chunks(spark, sf_dir).select("chunk_id", "file_path").join(few(spark, sf_dir, top, 10), "chunk_id")
     got = paths.groupBy("item_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "file_path"))), lambda r: r["file_path"]).alias("retrieved"))
     return golden(spark, sf_dir).join(got, "item_id", "left").select("item_id", "text", "expected", F.coalesce("retrieved", F.array().cast("array<string>")).alias("retrieved"))
 

@@ -30,6 +30,11 @@ def _bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.bm25_scores(chunks(spark, sf_dir), table(spark, sf_dir, "benchmark"), "chunk_id", "content", "item_id", "text")
 
 
+def few(spark: SparkSession, sf_dir: str, top: DataFrame, k: int) -> DataFrame:
+    """At most k rows for each benchmark query, broadcast if that bound allows it; the rows themselves aren't counted."""
+    return S.hinted(top, most=k * table(spark, sf_dir, "benchmark").count())
+
+
 def _queries(vectors: DataFrame) -> DataFrame:
     """The stated query set: every vector whose id is divisible by 100."""
     return vectors.where(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
@@ -133,7 +138,7 @@ def rrf_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two lexical rankings stand for the lexical and the dense one, since no text model is at hand."""
     top = S.rrf(_lists(spark, sf_dir), ["item_id"], "chunk_id").where("rank <= 10")
-    return chunks(spark, sf_dir).select("chunk_id", "project").join(S.hinted(top), "chunk_id").select("item_id", "chunk_id", "score", "rank", "project")
+    return chunks(spark, sf_dir).select("chunk_id", "project").join(few(spark, sf_dir, top, 10), "chunk_id").select("item_id", "chunk_id", "score", "rank", "project")
 
 
 _PROJECT = _BM25.replace("tf AS (", "tf AS (").replace("n AS (SELECT count(*) n, avg(len(", "n AS (SELECT project, count(*) n, avg(len(").replace("avgdl FROM chunks)", "avgdl FROM chunks GROUP BY project)").replace("df AS (SELECT term, count(*) df FROM tf GROUP BY term)", "df AS (SELECT project, term, count(*) df FROM tf GROUP BY ALL)").replace("bm AS (SELECT item_id, chunk_id,", "bm AS (SELECT item_id, project, chunk_id,").replace("FROM tf JOIN df USING (term) JOIN q USING (term), n GROUP BY item_id, chunk_id)", "FROM tf JOIN df USING (project, term) JOIN q USING (term) JOIN n USING (project) GROUP BY ALL)")
@@ -160,7 +165,7 @@ def hybrid_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = S.rrf(_per_project(spark, sf_dir), ["item_id"], "chunk_id").select("item_id", "chunk_id", "rank")
     b = S.topk(_coverage(spark, sf_dir), ["item_id"], [F.desc("score"), F.asc("chunk_id")], 20).select("item_id", "chunk_id", "rank")
     top = S.rrf(a.unionByName(b), ["item_id"], "chunk_id").where("rank <= 10")
-    return chunks(spark, sf_dir).select("chunk_id", "project").join(S.hinted(top), "chunk_id").select("item_id", "chunk_id", "score", "rank", "project")
+    return chunks(spark, sf_dir).select("chunk_id", "project").join(few(spark, sf_dir, top, 10), "chunk_id").select("item_id", "chunk_id", "score", "rank", "project")
 
 
 @R.add("union_first_wins", f"WITH {_LISTS} SELECT item_id, chunk_id, list, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id, chunk_id ORDER BY list) o FROM lists) WHERE o = 1")
@@ -172,7 +177,7 @@ def union_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
 @R.add("attribute_projects", f"WITH {_LISTS} SELECT item_id, chunk_id, coalesce(r_name, '') project_name FROM lists JOIN documents ON chunk_id = doc_id LEFT JOIN region ON r_regionkey = CAST(substr(source, 4) AS INTEGER) WHERE list = 'a'")
 def attribute_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = _lists(spark, sf_dir).where("list = 'a'")
-    named = chunks(spark, sf_dir).select("chunk_id", F.substring("project", 4, 10).cast("int").alias("r_regionkey")).join(S.hinted(hits), "chunk_id")
+    named = chunks(spark, sf_dir).select("chunk_id", F.substring("project", 4, 10).cast("int").alias("r_regionkey")).join(few(spark, sf_dir, hits, 20), "chunk_id")
     return named.join(F.broadcast(table(spark, sf_dir, "region")), "r_regionkey", "left").select("item_id", "chunk_id", F.coalesce("r_name", F.lit("")).alias("project_name"))
 
 
@@ -181,7 +186,7 @@ def rerank_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Query-word coverage stands for a cross-encoder, whose weights are not at hand."""
     top = S.topk(_bm25(spark, sf_dir), ["item_id"], [F.desc("score"), F.asc("chunk_id")], 50)
     q = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("query"))
-    c = chunks(spark, sf_dir).select("chunk_id", "content").join(S.hinted(top), "chunk_id").join(S.hinted(q), "item_id")
+    c = chunks(spark, sf_dir).select("chunk_id", "content").join(few(spark, sf_dir, top, 50), "chunk_id").join(S.hinted(q), "item_id")
     return S.rerank_lexical(c, "item_id", "query", "content").select("item_id", "chunk_id", "rerank_score", "new_rank")
 
 
@@ -250,7 +255,7 @@ def validate_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 @R.add("result_json", f"""WITH {_LISTS} SELECT item_id, chunk_id, '{{"id":' || chunk_id || ',"rank":' || rank || ',"project":"' || source || '"}}' result FROM lists JOIN documents ON chunk_id = doc_id WHERE list = 'a' AND rank <= 5""")
 def result_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     top = _lists(spark, sf_dir, 5).where("list = 'a'")
-    x = chunks(spark, sf_dir).select("chunk_id", "project").join(S.hinted(top), "chunk_id")
+    x = chunks(spark, sf_dir).select("chunk_id", "project").join(few(spark, sf_dir, top, 5), "chunk_id")
     return x.select("item_id", "chunk_id", F.to_json(F.struct(F.col("chunk_id").alias("id"), "rank", "project")).alias("result"))
 
 
