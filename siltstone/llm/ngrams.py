@@ -13,14 +13,15 @@ last the partial overlaps of each pair.
    one of their first shingles (prefix filter); sets connected by such shingles form a cluster.
 4. Clusters are cut into blocks of about `BLOCK` sets. Pairs of blocks go to tasks fragment by fragment; a task counts
    the partial overlaps of all pairs of its two blocks as one packed matrix. Matrices are summed for each pair of
-   blocks, and only links that join something (a spanning forest) are written. Clusters of several blocks compare
-   each block with itself and the next first; after that only sets outside their cluster's largest component meet
-   the rest of the cluster, since links within a component add nothing.
+   blocks. `jaccard_links` compares all pairs of blocks of each cluster and adds up, for each set, the documents that
+   it links with. Where only components are asked for, links that join something (a spanning forest) are enough:
+   clusters of several blocks compare each block with itself and the next first; after that only sets outside their
+   cluster's largest component meet the rest of the cluster, since links within a component add nothing.
 
 Comparisons are exact on 64-bit shingle hashes. Defined results: null and empty texts have an empty set and link
 with nothing; a text below five words has its whole word sequence as only shingle; a null doc_id sorts below all
-others; rows that repeat a doc_id are judged one by one; other columns are ignored by `jaccard_report` and kept by
-`drop_near_duplicates`.
+others; rows that repeat a doc_id are judged one by one, and a link with each counts; other columns are ignored by
+`jaccard_report` and `jaccard_links` and kept by `drop_near_duplicates`.
 """
 
 from __future__ import annotations
@@ -304,16 +305,16 @@ def _labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(cluster, left, right, side, cid, comp, n, body) to rows with one fragment's segment each."""
+    """(cluster, left, right, side, cid, comp, n, k, body) to rows with one fragment's segment each."""
     for b in batches:
         for cut in range(CUTS):
             out = []
-            for x in b.column(7).to_pylist():
+            for x in b.column(8).to_pylist():
                 h = np.frombuffer(x, np.uint64)
                 lo, hi = np.searchsorted(h, [U(cut << 62), U((cut + 1 << 62) - 1)], side="left") if cut < CUTS - 1 else (np.searchsorted(h, U(cut << 62)), len(h))
                 out.append(h[lo:hi].tobytes())
             cut_no = pa.array(np.full(b.num_rows, cut, np.int32))
-            yield pa.RecordBatch.from_arrays([*b.columns[:7], cut_no, pa.array(out, pa.binary())], ["cluster", "left", "right", "side", "cid", "comp", "n", "cut", "body"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:8], cut_no, pa.array(out, pa.binary())], ["cluster", "left", "right", "side", "cid", "comp", "n", "k", "cut", "body"])
 
 
 def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -341,11 +342,14 @@ def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     x[row[part], token[part] - k] = 1
                     m += x[:a] @ (x if one else x[a:]).T
             c, left, right, cut = key[s].tolist()
-            yield pa.RecordBatch.from_arrays([pa.array([c], pa.int64()), pa.array([left], pa.int32()), pa.array([right], pa.int32()), pa.array([cut], pa.int32()), pa.array([np.column_stack([p.column(x).to_numpy() for x in ("cid", "comp", "n", "side")]).astype(np.int64).tobytes() if cut == 0 else b""], pa.binary()), pa.array([m.astype(np.uint32).tobytes()], pa.binary())], ["cluster", "left", "right", "cut", "sets", "body"])
+            yield pa.RecordBatch.from_arrays([pa.array([c], pa.int64()), pa.array([left], pa.int32()), pa.array([right], pa.int32()), pa.array([cut], pa.int32()), pa.array([np.column_stack([p.column(x).to_numpy() for x in ("cid", "comp", "n", "side", "k")]).astype(np.int64).tobytes() if cut == 0 else b""], pa.binary()), pa.array([m.astype(np.uint32).tobytes()], pa.binary())], ["cluster", "left", "right", "cut", "sets", "body"])
 
 
-def _links(percent: int):
-    """Partial overlaps summed for each pair of sets: edges (a, b) of a spanning forest of the links."""
+def _links(percent: int, count: bool):
+    """Partial overlaps summed for each pair of sets: edges (a, b) of a spanning forest of the links.
+
+    With `count` also a row (a, a, links) for each set that links: with how many documents of the other block.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, t in one_by_one(batches, 0):
@@ -354,12 +358,19 @@ def _links(percent: int):
             cuts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(1)]))
             for s, e in zip(cuts, [*cuts[1:], len(key)], strict=True):
                 p = t.slice(s, e - s)
-                sets = np.frombuffer(p.column("sets").to_pylist()[0], np.int64).reshape(-1, 4)
+                sets = np.frombuffer(p.column("sets").to_pylist()[0], np.int64).reshape(-1, 5)
                 left, right = sets[sets[:, 3] == 0], sets[sets[:, 3] == 1]
-                right = right if len(right) else left
+                one = not len(right)
+                right = left if one else right
                 m = sum(np.frombuffer(x, np.uint32).astype(np.int64) for x in p.column("body").to_pylist()).reshape(len(left), len(right))
                 ok = 100 * m >= percent * (left[:, 2][:, None] + right[:, 2][None] - m)
                 ok &= left[:, 1][:, None] != right[:, 1][None]  # already in one component
+                if count:
+                    cid, links = left[:, 0], ok @ right[:, 4]
+                    if not one:
+                        cid, links = np.concatenate([cid, right[:, 0]]), np.concatenate([links, left[:, 4] @ ok])
+                    cid, links = cid[links > 0], links[links > 0]
+                    yield pa.RecordBatch.from_arrays([pa.array(cid), pa.array(cid), pa.array(links)], ["a", "b", "links"])
                 i, j = np.nonzero(ok)
                 if len(i):
                     a, b = left[i, 0], right[j, 0]
@@ -367,34 +378,37 @@ def _links(percent: int):
                     edge = np.arange(len(a))
                     label = _connect(len(ids), x, np.concatenate([edge, edge]))
                     far = np.flatnonzero(label != np.arange(len(ids)))
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[far]), pa.array(ids[label[far]])], ["a", "b"])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[far]), pa.array(ids[label[far]]), pa.array(np.zeros(len(far), np.int64))], ["a", "b", "links"])
 
     return run
 
 
-def _compare(pairs: DataFrame, percent: int) -> DataFrame:
-    """Rows (cluster, left, right, side, cid, comp, n, body) to a spanning forest of the links (a, b)."""
+def _compare(pairs: DataFrame, percent: int, count: bool = False) -> DataFrame:
+    """Rows (cluster, left, right, side, cid, comp, n, k, body) to (a, b, links): a spanning forest of the links, and with `count` a row (a, a) with what each set links with."""
     spark = pairs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cut = pairs.mapInArrow(_segments, "cluster long, left int, right int, side int, cid long, comp long, n long, cut int, body binary")
+    cut = pairs.mapInArrow(_segments, "cluster long, left int, right int, side int, cid long, comp long, n long, k long, cut int, body binary")
     where = F.xxhash64("cluster", "left", "right", "cut").alias("task")
     rows = cut.select(where, "*").repartition(4 * parts, "task").sortWithinPartitions("task")
     sums = rows.mapInArrow(_partial, "cluster long, left int, right int, cut int, sets binary, body binary")
     rows = sums.select(F.xxhash64("cluster", "left", "right").alias("task"), "*").repartition(parts, "task").sortWithinPartitions("task")
-    return rows.mapInArrow(_links(percent), "a long, b long")
+    return rows.mapInArrow(_links(percent, count), "a long, b long, links long")
 
 
-def set_components(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """(_id, n, cid) for each row of `docs` and (cid, root) for the sets that link with others; both materialized."""
+ROW = ("cluster", "left", "right", "side", "cid", "comp", "n", "k", "body")
+
+
+def candidates(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(_id, n, cid) for each row of `docs`; (cid, k, cluster, cells, cell) for the sets of each cluster, k the documents of a class; (cid, n, body) for the sets. All materialized."""
     slim = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id"), "text")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     fragments = max(2 * parts, n_fragments(docs, 6 << 20))
     heads = slim.mapInArrow(_heads(fragments, percent), "fragment long, kind int, ids binary, body binary")
     told = materialize(dealt(heads, "fragment").mapInArrow(_shared, "cid long, id long, n long, need long, shared long"), "shared")
     meta = told.where(F.col("id").isNotNull()).select(F.col("id").alias("_id"), "n", "cid")
-    judged = told.groupBy("cid").agg(F.min("id").alias("_id"), F.max("need").alias("need"), F.sum("shared").alias("shared"))
-    alive = materialize(judged.where("cid <> 0 and shared >= need").select("_id", "cid"), "alive")
-    sets = slim.join(small(alive), "_id").select("text", "cid").mapInArrow(_sets, "cid long, n long, body binary").dropDuplicates(["cid"])
+    judged = told.groupBy("cid").agg(F.min("id").alias("_id"), F.max("need").alias("need"), F.sum("shared").alias("shared"), F.count("id").alias("k"))
+    alive = materialize(judged.where("cid <> 0 and shared >= need").select("_id", "cid", "k"), "alive")
+    sets = slim.join(small(alive.select("_id", "cid")), "_id").select("text", "cid").mapInArrow(_sets, "cid long, n long, body binary").dropDuplicates(["cid"])
     sets = materialize(sets, "sets")
     blocks = materialize(sets.select("cid", "body").mapInArrow(_blocked, "block long, cids binary, body binary"), "blocks")
     tokens = blocks.select("block", "body").mapInArrow(_tokens(fragments), "fragment long, block long, body binary")
@@ -409,39 +423,57 @@ def set_components(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame,
     clusters = materialize(clusters, "clusters")
     sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     cells = F.ceil(F.col("size") / BLOCK).cast("int")
-    placed = clusters.join(sizes, "cluster").select("cid", "cluster", cells.alias("cells"), F.pmod(F.xxhash64("cid"), cells).cast("int").alias("cell"))
-    placed = materialize(placed, "placed")
+    placed = clusters.join(sizes, "cluster").join(alive, "cid").select("cid", "k", "cluster", cells.alias("cells"), F.pmod(F.xxhash64("cid"), cells).cast("int").alias("cell"))
+    return meta, materialize(placed, "placed"), sets
+
+
+def set_links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(_id, n, cid) for each row of `docs`; (cid, root), and (cid, links) with the documents of other classes that link, for the sets that link with others. Every pair of blocks of a cluster is compared."""
+    meta, placed, sets = candidates(docs, percent)
+    cell, other = F.col("cell"), lambda x: x.cast("int")
+    every = F.transform(F.sequence(F.lit(0), F.col("cells") - 1), lambda x: F.struct(F.least(cell, other(x)).alias("left"), F.greatest(cell, other(x)).alias("right"), (cell > x).cast("int").alias("side")))
+    rows = placed.withColumn("at", F.explode(every)).join(sets, "cid").withColumn("comp", F.col("cid"))
+    links = materialize(_compare(rows.select("cluster", "at.left", "at.right", "at.side", "cid", "comp", "n", "k", "body"), percent, count=True), "links")
+    counts = links.where("a = b").groupBy(F.col("a").alias("cid")).agg(F.sum("links").alias("links"))
+    return meta, connected(links).select(F.col("node").alias("cid"), "root"), counts
+
+
+def set_components(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """(_id, n, cid) for each row of `docs` and (cid, root) for the sets that link with others; both materialized."""
+    meta, placed, sets = candidates(docs, percent)
     rows = placed.join(sets, "cid").withColumn("comp", F.col("cid"))
-    row = ("cluster", "left", "right", "side", "cid", "comp", "n", "body")
     near = F.filter(F.array(
         F.struct(F.col("cell").alias("left"), F.col("cell").alias("right"), F.lit(0).alias("side")),
         F.when(F.col("cell") + 1 < F.col("cells"), F.struct(F.col("cell").alias("left"), (F.col("cell") + 1).alias("right"), F.lit(0).alias("side"))),
         F.when(F.col("cell") > 0, F.struct((F.col("cell") - 1).alias("left"), F.col("cell").alias("right"), F.lit(1).alias("side"))),
     ), lambda x: x.isNotNull())
-    links = materialize(_compare(rows.withColumn("at", F.explode(near)).select("cluster", "at.left", "at.right", "at.side", "cid", "comp", "n", "body"), percent), "links")
+    links = materialize(_compare(rows.withColumn("at", F.explode(near)).select("cluster", "at.left", "at.right", "at.side", "cid", "comp", "n", "k", "body"), percent), "links")
     # Clusters of three blocks and more: what is outside the largest component meets the whole cluster.
     wide = placed.where("cells > 2")
     if wide.limit(1).count():
         roots = connected(links)
-        comp = materialize(wide.join(roots, wide.cid == roots.node, "left").select("cid", "cluster", "cells", "cell", F.coalesce("root", "cid").alias("comp")), "comp")
-        per = comp.groupBy("cluster", "comp").agg(F.count(F.lit(1)).alias("k"))
-        largest = per.groupBy("cluster").agg(F.max_by("comp", F.struct("k", "comp")).alias("giant"), F.sum("k").alias("size"), F.max("k").alias("most")).where("most < size")
+        comp = materialize(wide.join(roots, wide.cid == roots.node, "left").select("cid", "k", "cluster", "cells", "cell", F.coalesce("root", "cid").alias("comp")), "comp")
+        per = comp.groupBy("cluster", "comp").agg(F.count(F.lit(1)).alias("sets"))
+        largest = per.groupBy("cluster").agg(F.max_by("comp", F.struct("sets", "comp")).alias("giant"), F.sum("sets").alias("size"), F.max("sets").alias("most")).where("most < size")
         open_ = comp.join(largest, "cluster").withColumn("asks", F.ceil((F.col("size") - F.col("most")) / BLOCK).cast("int")).join(sets, "cid")
         mine = F.pmod(F.xxhash64("cid", F.lit(1)), F.col("asks")).cast("int")
-        asking = open_.where("comp <> giant").withColumn("left", mine).withColumn("right", F.explode(F.sequence(F.lit(0), F.col("cells") - 1))).withColumn("side", F.lit(0)).select(*row)
-        asked = open_.withColumn("right", F.col("cell")).withColumn("left", F.explode(F.sequence(F.lit(0), F.col("asks") - 1))).withColumn("side", F.lit(1)).select(*row)
+        asking = open_.where("comp <> giant").withColumn("left", mine).withColumn("right", F.explode(F.sequence(F.lit(0), F.col("cells") - 1))).withColumn("side", F.lit(0)).select(*ROW)
+        asked = open_.withColumn("right", F.col("cell")).withColumn("left", F.explode(F.sequence(F.lit(0), F.col("asks") - 1))).withColumn("side", F.lit(1)).select(*ROW)
         links = materialize(links.unionByName(_compare(asking.unionByName(asked), percent)), "all-links")
     return meta, connected(links).select(F.col("node").alias("cid"), "root")
 
 
-def with_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """_id, n, component for each row of `docs`; materialized."""
-    meta, roots = set_components(docs, percent)
-    classes = meta.where("cid <> 0").groupBy("cid").agg(F.min("_id").alias("least"))
+def with_components(docs: DataFrame, percent: int = PERCENT, links: bool = False) -> DataFrame:
+    """_id, n, component and, with `links`, links for each row of `docs`; materialized."""
+    meta, roots, *counts = set_links(docs, percent) if links else set_components(docs, percent)
+    classes = meta.where("cid <> 0").groupBy("cid").agg(F.min("_id").alias("least"), F.count(F.lit(1)).alias("k"))
     grouped = classes.join(roots, "cid").select("cid", "root", "least")
     whole = grouped.groupBy("root").agg(F.min("least").alias("whole"))
-    classes = classes.join(grouped.select("cid", "root"), "cid", "left").join(whole, "root", "left").select("cid", F.coalesce("whole", "least").alias("component"))
-    out = meta.join(classes, "cid", "left").select("_id", "n", F.coalesce("component", "_id").alias("component"))
+    told = ["links"] if links else []
+    for found in counts:
+        classes = classes.join(found, "cid", "left").withColumn("links", F.coalesce("links", F.lit(0)) + F.col("k") - 1)
+    classes = classes.join(grouped.select("cid", "root"), "cid", "left").join(whole, "root", "left").select("cid", F.coalesce("whole", "least").alias("component"), *told)
+    out = meta.join(classes, "cid", "left").select("_id", "n", F.coalesce("component", "_id").alias("component"), *[F.coalesce(c, F.lit(0)).alias(c) for c in told])
     return materialize(out, "components")
 
 
@@ -451,6 +483,12 @@ def jaccard_report(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return with_components(docs, percent).select(known("_id").alias("doc_id"), F.col("n").alias("n_shingles"), known("component").alias("component_id"))
 
 
+def jaccard_links(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id, n_links for each row of `docs`: with how many other rows it links."""
+    known = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
+    return with_components(docs, percent, links=True).select(known("_id").alias("doc_id"), F.col("n").alias("n_shingles"), known("component").alias("component_id"), F.col("links").alias("n_links"))
+
+
 def drop_near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The rows of `docs`, all columns, whose doc_id is the smallest of its component; of rows that repeat an id, one."""
     kept = with_components(docs, percent).where("_id = component").groupBy("_id").agg(F.count(F.lit(1)).alias("_n"))
@@ -471,3 +509,10 @@ e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
 r AS (SELECT doc_id, doc_id root FROM w UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.root = e.a)
 SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) n_shingles, component_id FROM (SELECT doc_id, min(root) component_id FROM r GROUP BY doc_id) LEFT JOIN n USING (doc_id)
 """
+
+_WITH, _REST = ORACLE.rsplit("\nSELECT", 1)
+#: The same with the number of links of each document.
+LINKS_ORACLE = f"""{_WITH},
+c AS (SELECT a doc_id, count(*) n_links FROM e GROUP BY a)
+SELECT j.doc_id, n_shingles, component_id, coalesce(n_links, 0) n_links FROM (SELECT{_REST}) j LEFT JOIN c USING (doc_id)
+"""

@@ -42,6 +42,10 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngrams.jaccard_report(_table(spark, sf_dir, "documents"))
 
 
+def op6_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngrams.jaccard_links(_table(spark, sf_dir, "documents"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.hits(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
 
@@ -60,8 +64,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality, op2_language, op3_media, op4_sentencepiece, op5_sharding, op6_jaccard_join, op7_decontamination, op8_warc, op9_suffix_dedup, op10_toxicity)}
+    return {f.__name__: f for f in (op1_quality, op2_language, op3_media, op4_sentencepiece, op5_sharding, op6_jaccard_join, op6_jaccard_links, op7_decontamination, op8_warc, op9_suffix_dedup, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_jaccard_join": ngrams.ORACLE, "op7_decontamination": decontaminate.ORACLE, "op8_warc": warc.ORACLE, "op9_suffix_dedup": suffixes.ORACLE}
+    return {"op6_jaccard_join": ngrams.ORACLE, "op6_jaccard_links": ngrams.LINKS_ORACLE, "op7_decontamination": decontaminate.ORACLE, "op8_warc": warc.ORACLE, "op9_suffix_dedup": suffixes.ORACLE}

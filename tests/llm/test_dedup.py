@@ -11,6 +11,7 @@ import pytest
 from siltstone.llm import decontaminate, ngrams, suffixes
 from siltstone.llm.components import connected
 from tests.llm.conftest import edge, texts
+from tests.oracle import DATA, assert_same
 
 A = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -59,6 +60,27 @@ def test_jaccard_over_several_blocks(spark, monkeypatch):
     assert multiset(got) == multiset(brute_components(rows))
 
 
+def brute_links(rows):
+    """For each row: with how many other rows it links."""
+    sets = [shingle_set(t) for _, t in rows]
+    linked = lambda a, b: a and 100 * len(a & b) >= 80 * len(a | b)
+    return [sum(bool(linked(a, b)) for j, b in enumerate(sets) if i != j) for i, a in enumerate(sets)]
+
+
+@pytest.mark.parametrize("block", [4, 256])
+def test_links_of_each_document(spark, docs, monkeypatch, block):
+    monkeypatch.setattr(ngrams, "BLOCK", block)
+    got = ngrams.jaccard_links(docs).select("doc_id", "n_shingles", "component_id", "n_links").collect()
+    want = [(*c, n) for c, n in zip(brute_components(texts()), brute_links(texts()), strict=True)]
+    assert multiset(got) == multiset(want) and sum(r.n_links for r in got) > 100
+
+
+def test_links_same_as_sql(spark):
+    from siltstone.llm import queries
+
+    assert_same(queries.op6_jaccard_links(spark, f"{DATA}/sf0.001"), f"{DATA}/sf0.001", queries.oracle_sql()["op6_jaccard_links"])
+
+
 def test_drop_near_duplicates(spark, docs):
     kept = ngrams.drop_near_duplicates(docs)
     assert kept.columns == docs.columns
