@@ -1,11 +1,13 @@
 """Sharding by balanced label propagation.
 
-Documents with equal texts are linked. They start in a shard by hash; in each round every group of links counts its
+Documents with equal texts are linked. Groups of at least a quarter of a shard are few; they start together, the
+largest first, each in the shard that it fills best. The others start in a shard by hash, in proportion to the room
+that is left; in each round every group of links counts its
 members by shard, and members elsewhere move to the shard that can hold most of the group, the most common one
 first, under quotas: a shard takes movers up
 to its capacity, counting the places that leave it and those that documents without links can free. A last step
-makes the sizes even, moving documents without links first. A group that is larger than half a shard is cut into
-parts of that size by hash, each of which moves by itself.
+makes the sizes even, moving documents without links first. Only a group that is larger than a shard is cut,
+into parts of a whole shard and what is left, each of which moves by itself.
 
 The law is `rows`: shards differ by one document at most. Ranks within a shard come from counts of small hash
 buckets and a row number within each, so that no task gets a shard or a group. What the driver sees is a table of
@@ -29,7 +31,7 @@ def _pick(values: list[int], index: Column) -> Column:
     return F.get(F.array(*[F.lit(int(v)).cast("long") for v in values]), index)
 
 
-def _chance(*cols: Column) -> Column:
+def _chance(*cols: Column | str) -> Column:
     return F.pmod(F.xxhash64(*cols), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
 
@@ -42,11 +44,21 @@ def linked_rows(docs: DataFrame, total: int | None = None, shards: int = SHARDS)
     )
     base = materialize(base.withColumn("h", F.xxhash64("doc_id", "text_crc32", "size")), "rows")
     n = base.count() if total is None else total
-    half = max(1, -(-n // shards) // 2)
-    groups = base.groupBy("g").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
-    parts = F.ceil(F.col("k") / half)
-    unit = F.when(F.col("k").isNotNull(), F.xxhash64("g", F.pmod(F.xxhash64("h", "rid"), parts)))
-    return base.join(small(materialize(groups, "groups")), "g", "left").select("rid", "doc_id", "size", "text_crc32", "h", unit.alias("unit"), F.ceil(F.col("k") / parts).alias("members"))
+    groups = materialize(base.groupBy("g").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "groups")
+    base = base.join(small(groups), "g", "left")
+    out = ("rid", "doc_id", "size", "text_crc32", "h", "unit", "members")
+    most, whole = max(1, -(-n // shards)), max(1, n // shards)
+    fits = base.where(F.col("k").isNull() | (F.col("k") <= most)).withColumn("unit", F.when(F.col("k").isNotNull(), F.xxhash64("g", F.lit(0)))).withColumn("members", F.col("k"))
+    if not groups.where(F.col("k") > most).limit(1).count():
+        return fits.select(*out)
+    hot = base.where(F.col("k") > most).withColumn("bucket", F.pmod(F.xxhash64("h", "rid"), F.ceil(F.col("k") / PER_BUCKET)))
+    counts = hot.groupBy("g", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("g").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    counts = materialize(counts.select("g", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset")), "hot")
+    hot = hot.withColumn("_n", F.row_number().over(Window.partitionBy("g", "bucket").orderBy("h", "rid"))).join(small(counts), ["g", "bucket"])
+    part = F.floor((F.col("offset") + F.col("_n") - 1) / whole)
+    members = F.least(F.lit(whole), F.col("k") - part * whole)
+    return fits.select(*out).unionByName(hot.select("*", F.xxhash64("g", part).alias("unit"), members.alias("members")).select(*out))
 
 
 def _loads(state: DataFrame, shards: int) -> list[int]:
@@ -54,6 +66,27 @@ def _loads(state: DataFrame, shards: int) -> list[int]:
     return [got.get(k, 0) for k in range(shards)]
 
 
+def placed(state: DataFrame, shards: int = SHARDS) -> DataFrame:
+    """`state` (rid, h, unit) with a first shard: large units together, the rest by hash in proportion to the room left."""
+    total = state.count()
+    sizes = state.where("unit is not null").groupBy("unit").agg(F.count(F.lit(1)).alias("n"))
+    large = sizes.where(F.col("n") >= max(2, total // shards // 4)).collect()  # 8 times as many as shards at most
+    room, seeds = [total // shards + (k < total % shards) for k in range(shards)], []
+    for row in sorted(large, key=lambda x: (-x.n, x.unit)):
+        fits = [j for j in range(shards) if room[j] >= row.n]
+        to = min(fits, key=lambda j: room[j]) if fits else max(range(shards), key=lambda j: room[j])
+        room[to] -= row.n
+        seeds.append((row.unit, to))
+    room = [max(0, x) for x in room]
+    stops = [sum(room[: j + 1]) / max(1, sum(room)) for j in range(shards - 1)]
+    drawn = _chance("h", F.lit(1))
+    shard = F.size(F.filter(F.array(*[F.lit(float(x)) for x in stops]), lambda x: x <= drawn)) if stops else F.lit(0)
+    if seeds:
+        state = state.join(F.broadcast(state.sparkSession.createDataFrame(seeds, "unit long, seed int")), "unit", "left")
+        shard = F.coalesce("seed", shard)
+    return state.withColumn("shard", shard.cast("int")).drop("seed")
+
+
 def propagate(state: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
     """Rounds of moves; `state` has rid, h, unit, shard."""
     capacity = -(-sum(_loads(state, shards)) // shards)
@@ -121,6 +154,6 @@ def evened(state: DataFrame, shards: int = SHARDS) -> DataFrame:
 
 def shard_report(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for each row of `docs`."""
-    state = linked_rows(docs, shards=shards).withColumn("shard", F.pmod(F.xxhash64("h", F.lit(1)), F.lit(shards)).cast("int"))
+    state = placed(materialize(linked_rows(docs, shards=shards), "linked"), shards)
     state = evened(propagate(materialize(state, "state"), shards), shards)
     return state.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("to").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"))

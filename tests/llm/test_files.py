@@ -114,5 +114,17 @@ def test_sharding_keeps_groups_together(spark):
     assert sum(r.k > 1 for r in got if r.text != "hot") <= 15
 
 
+def test_sharding_cuts_only_what_must_be(spark):
+    rows = [(i, f"text {i}") for i in range(700)] + [(1000 + i, "hot") for i in range(500)] + [(2000 + i, "most of a shard") for i in range(130)] + [(3000 + i, f"pair {i // 2}") for i in range(70)]
+    d = edge(spark, rows).repartition(4)
+    got = sharding.shard_report(d, 10).join(d.select("doc_id", "text"), "doc_id").groupBy("text").agg(F.countDistinct("shard").alias("k")).collect()
+    k = {r.text: r.k for r in got}
+    assert k["hot"] == 4 and k["most of a shard"] == 1
+    assert sum(n > 1 for t, n in k.items() if t != "hot") <= 3
+    few = edge(spark, [(i, f"text {i // 2}") for i in range(100)])
+    got = sharding.shard_report(few).groupBy("text_crc32").agg(F.countDistinct("shard").alias("k")).collect()
+    assert sum(r.k == 1 for r in got) >= 30
+
+
 def test_sharding_empty(empty):
     assert sharding.shard_report(empty).count() == 0
