@@ -16,7 +16,8 @@ Later copies of a whole text are found beforehand by a digest, and covered as a
 
 A byte goes if a window that covers it also starts in a document with a smaller doc_id. Defined results: a null text
 has no bytes; rows with a null doc_id are kept as they are and are no source for others; rows that repeat a doc_id
-don't remove one another; texts below `LENGTH` bytes are never touched; other columns are kept by `remove_repeats`.
+don't remove one another, and what goes from one of them stays in another with other text (a tag, 0 where a doc_id has
+one text and a hash of the text elsewhere, goes with the doc_id); texts below `LENGTH` bytes are never touched; other columns are kept by `remove_repeats`.
 """
 
 from __future__ import annotations
@@ -126,23 +127,35 @@ def _spans(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndar
     return doc[at], np.column_stack([start[at], reach[last] - shift[last]]).astype(np.int32)
 
 
-def _by_doc(doc: np.ndarray, values: np.ndarray, names: tuple[str, str], kind: int | None = None) -> pa.RecordBatch:
-    """A row for each document, of values that are sorted by document."""
-    start = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.zeros(0, np.int64)
-    row = values.reshape(len(doc), -1) if len(doc) else values.reshape(0, 1)
-    packed = blobs(row.reshape(-1), start * row.shape[1])
-    cols = [pa.array(doc[start], pa.int64()), packed]
-    return pa.RecordBatch.from_arrays(cols if kind is None else [cols[0], pa.array(np.full(len(start), kind, np.int32)), cols[1]], [names[0], names[1]] if kind is None else [names[0], "kind", names[1]])
+def _by_row(row: np.ndarray, values: np.ndarray, ids: np.ndarray, tags: np.ndarray, kind: int | None = None) -> pa.RecordBatch:
+    """A row (doc_id, tag, kind, body) for each index into `ids` and `tags`, of values that are sorted by it."""
+    start = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else np.zeros(0, np.int64)
+    values = values.reshape(len(row), -1) if len(row) else values.reshape(0, 1)
+    cols = [pa.array(ids[row[start]], pa.int64()), pa.array(tags[row[start]], pa.int64()), blobs(values.reshape(-1), start * values.shape[1])]
+    if kind is None:
+        return pa.RecordBatch.from_arrays(cols, ["doc_id", "tag", "body"])
+    return pa.RecordBatch.from_arrays([*cols[:2], pa.array(np.full(len(start), kind, np.int32)), cols[2]], ["doc_id", "tag", "kind", "body"])
+
+
+def _numbered(doc: np.ndarray, tag: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An index for each (doc, tag), in their order, and what it stands for."""
+    order = np.lexsort((tag, doc))
+    d, t = doc[order], tag[order]
+    new = np.ones(len(d), bool)
+    new[1:] = (d[1:] != d[:-1]) | (t[1:] != t[:-1])
+    index = np.empty(len(d), np.int64)
+    index[order] = np.cumsum(new) - 1
+    return index, d[new], t[new]
 
 
 def _entries(fragments: int, length: int):
-    """Texts to rows (fragment, kind, ids, body): packed entries, or spans already known (kind 1, id in `ids`)."""
+    """Texts to rows (fragment, kind, ids, body): packed entries (kind 0, or 2 if tags follow the ids), or spans already known (kind 1, ids and tags in `ids`)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids_all = b.column(0).to_numpy(zero_copy_only=False)
+            ids_all, tags_all = (b.column(k).to_numpy(zero_copy_only=False) for k in (0, 2))
             for a, z, data, off in texts(b.column(1)):
-                ids = ids_all[a:z]
+                ids, tags = ids_all[a:z], tags_all[a:z]
                 m, u, row, at, n = anchors(data, off, length)
                 if not len(m):
                     continue
@@ -154,42 +167,50 @@ def _entries(fragments: int, length: int):
                 lead = doc[np.flatnonzero(new)][np.cumsum(new) - 1]
                 known = doc > lead
                 if known.any():
-                    d, spans = _spans(doc[known], at[known], at[known] + n[known] + length - 1)
-                    rows = _by_doc(d, spans, ("id", "body"))
-                    idb = blobs(rows.column(0).to_numpy(), np.arange(rows.num_rows))
+                    d, spans = _spans(row[known], at[known], at[known] + n[known] + length - 1)
+                    rows = _by_row(d, spans, ids, tags)
+                    idb = blobs(np.column_stack([rows.column(k).to_numpy() for k in (0, 1)]).reshape(-1), 2 * np.arange(rows.num_rows))
                     frag = rows.column(0).to_numpy() % fragments
-                    yield pa.RecordBatch.from_arrays([pa.array(frag, pa.int64()), pa.array(np.ones(rows.num_rows, np.int32)), idb, rows.column(1)], ["fragment", "kind", "ids", "body"])
+                    yield pa.RecordBatch.from_arrays([pa.array(frag, pa.int64()), pa.array(np.ones(rows.num_rows, np.int32)), idb, rows.column(2)], ["fragment", "kind", "ids", "body"])
                 m, u, row, at, n = (x[~known] for x in (m, u, row, at, n))
                 frag = (m >> U(8)) % U(fragments)
                 order = np.argsort(frag, kind="stable")
                 frag = frag[order]
                 start = np.flatnonzero(np.concatenate([[True], frag[1:] != frag[:-1]]))
                 ends = np.concatenate([start[1:], [len(frag)]])
-                bodies, id_parts = [], []
+                bodies, id_parts, kinds = [], [], []
                 for s, t in zip(start, ends, strict=True):
                     pick = order[s:t]
                     docs, ordinal = np.unique(row[pick], return_inverse=True)
                     body = b"".join([_six(m[pick] >> U(16)), _six(u[pick]), ordinal.astype(np.uint16 if len(docs) < 65536 else np.uint32).tobytes(), at[pick].astype(np.uint32).tobytes(), n[pick].astype(np.uint8).tobytes()])
                     bodies.append(body)
-                    id_parts.append(ids[docs].astype(np.int64).tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(frag[start].astype(np.int64)), pa.array(np.zeros(len(start), np.int32)), pa.array(id_parts, pa.binary()), pa.array(bodies, pa.binary())], ["fragment", "kind", "ids", "body"])
+                    tagged = tags[docs].any()
+                    kinds.append(2 if tagged else 0)
+                    id_parts.append(ids[docs].astype(np.int64).tobytes() + (tags[docs].astype(np.int64).tobytes() if tagged else b""))
+                yield pa.RecordBatch.from_arrays([pa.array(frag[start].astype(np.int64)), pa.array(kinds, pa.int32()), pa.array(id_parts, pa.binary()), pa.array(bodies, pa.binary())], ["fragment", "kind", "ids", "body"])
 
     return run
 
 
-def _unpack(ids: pa.ChunkedArray, body: pa.ChunkedArray) -> tuple[np.ndarray, ...]:
-    parts: list[list[np.ndarray]] = [[], [], [], [], []]
-    for i, x in zip(ids.to_pylist(), body.to_pylist(), strict=True):
+def _unpack(kind: np.ndarray, ids: pa.ChunkedArray, body: pa.ChunkedArray) -> tuple[np.ndarray, ...]:
+    """Anchor hash, run hash, index of the document, first start and number of windows of each entry; ids and tags of the documents."""
+    parts: list[list[np.ndarray]] = [[], [], [], [], [], [], []]
+    begin = 0
+    for tagged, i, x in zip(kind == 2, ids.to_pylist(), body.to_pylist(), strict=True):
         docs = np.frombuffer(i, np.int64)
+        docs, tags = np.split(docs, 2) if tagged else (docs, np.zeros(len(docs), np.int64))
         wide = len(docs) >= 65536
         n = len(x) // (21 if wide else 19)
         raw = np.frombuffer(x, np.uint8)
         w = 4 if wide else 2
         parts[0].append(_from_six(raw[: 6 * n]))
         parts[1].append(_from_six(raw[6 * n : 12 * n]))
-        parts[2].append(docs[np.frombuffer(x, np.uint32 if wide else np.uint16, n, 12 * n)])
+        parts[2].append(np.frombuffer(x, np.uint32 if wide else np.uint16, n, 12 * n).astype(np.int64) + begin)
         parts[3].append(np.frombuffer(x, np.uint32, n, (12 + w) * n).astype(np.int64))
         parts[4].append(np.frombuffer(x, np.uint8, n, (16 + w) * n).astype(np.int64))
+        parts[5].append(docs)
+        parts[6].append(tags)
+        begin += len(docs)
     return tuple(np.concatenate(p) for p in parts)
 
 
@@ -197,18 +218,19 @@ OPEN = np.dtype([("m", "<u8"), ("at", "<u4"), ("n", "u1")])
 
 
 def _settle(length: int):
-    """Passes 1 and 2 in each fragment: rows (doc_id, kind, body): spans (0) or open entries (1)."""
+    """Passes 1 and 2 in each fragment: rows (doc_id, tag, kind, body): spans (0) or open entries (1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, t in one_by_one(batches):
             kind = t.column("kind").to_numpy()
             done = t.filter(pa.array(kind == 1))
             if done.num_rows:
-                yield pa.RecordBatch.from_arrays([pa.array(joined(done.column("ids"), np.int64)), pa.array(np.zeros(done.num_rows, np.int32)), done.column("body").combine_chunks()], ["doc_id", "kind", "body"])
-            t = t.filter(pa.array(kind == 0))
+                who = joined(done.column("ids"), np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(who[:, 0].copy()), pa.array(who[:, 1].copy()), pa.array(np.zeros(done.num_rows, np.int32)), done.column("body").combine_chunks()], ["doc_id", "tag", "kind", "body"])
+            t = t.filter(pa.array(kind != 1))
             if not t.num_rows:
                 continue
-            m, u, doc, at, n = _unpack(t.column("ids"), t.column("body"))
+            m, u, row, at, n, ids, tags = _unpack(kind[kind != 1], t.column("ids"), t.column("body"))
             order = np.argsort(m, kind="stable")
             ms = m[order]
             same = np.zeros(len(ms), bool)
@@ -218,16 +240,17 @@ def _settle(length: int):
             order = order[~alone]  # pass 1: anchors that occur once are done with
             if not len(order):
                 continue
-            m, u, doc, at, n = (x[order] for x in (m, u, doc, at, n))
-            order = np.lexsort((doc, u, m))
-            m, u, doc, at, n = (x[order] for x in (m, u, doc, at, n))
+            m, u, row, at, n = (x[order] for x in (m, u, row, at, n))
+            order = np.lexsort((ids[row], u, m))
+            m, u, row, at, n = (x[order] for x in (m, u, row, at, n))
+            doc = ids[row]
             new_m = np.concatenate([[True], m[1:] != m[:-1]])
             new_u = new_m | np.concatenate([[True], u[1:] != u[:-1]])
             lead = doc[np.flatnonzero(new_u)][np.cumsum(new_u) - 1]
             covered = doc > lead
             if covered.any():
-                d, spans = _spans(doc[covered], at[covered], at[covered] + n[covered] + length - 1)
-                yield _by_doc(d, spans, ("doc_id", "body"), 0)
+                d, spans = _spans(row[covered], at[covered], at[covered] + n[covered] + length - 1)
+                yield _by_row(d, spans, ids, tags, 0)
             starts = np.flatnonzero(new_m)
             group = np.cumsum(new_m) - 1
             kinds = np.add.reduceat(new_u.astype(np.int64), starts)
@@ -235,12 +258,12 @@ def _settle(length: int):
             still = ((kinds > 1) & (lowest < highest))[group] & ~covered  # pass 2 leaves the first of each
             if still.any():
                 pick = np.flatnonzero(still)
-                pick = pick[np.argsort(doc[pick], kind="stable")]
+                pick = pick[np.argsort(row[pick], kind="stable")]
                 x = np.zeros(len(pick), OPEN)
                 x["m"], x["at"], x["n"] = m[pick], at[pick], n[pick]
-                d = doc[pick]
+                d = row[pick]
                 start = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]]))
-                yield pa.RecordBatch.from_arrays([pa.array(d[start]), pa.array(np.ones(len(start), np.int32)), blobs(x, start)], ["doc_id", "kind", "body"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[d[start]]), pa.array(tags[d[start]]), pa.array(np.ones(len(start), np.int32)), blobs(x, start)], ["doc_id", "tag", "kind", "body"])
 
     return run
 
@@ -250,7 +273,7 @@ def _spell(fragments: int, length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, text, packed in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            for i, tag, text, packed in zip(*(b.column(c).to_pylist() for c in range(4)), strict=True):
                 x = np.frombuffer(packed, OPEN)
                 raw = text.encode()
                 # Within a document, an anchor's same bytes are needed once for each place.
@@ -258,19 +281,20 @@ def _spell(fragments: int, length: int):
                 k = len(x)
                 yield pa.RecordBatch.from_arrays([
                     pa.array((x["m"] % U(fragments)).astype(np.int64)), pa.array(x["m"].astype(np.int64)),
-                    pa.array(np.full(k, i, np.int64)), pa.array(x["at"].astype(np.int64)), pa.array(body, pa.binary()),
-                ], ["fragment", "m", "doc_id", "at", "body"])
+                    pa.array(np.full(k, i, np.int64)), pa.array(np.full(k, tag, np.int64)), pa.array(x["at"].astype(np.int64)), pa.array(body, pa.binary()),
+                ], ["fragment", "m", "doc_id", "tag", "at", "body"])
 
     return run
 
 
 def _windows(length: int):
-    """Pass 3 in each fragment: the windows of entries with equal anchors, digit by digit; rows (doc_id, kind, body) of spans."""
+    """Pass 3 in each fragment: the windows of entries with equal anchors, digit by digit; rows (doc_id, tag, kind, body) of spans."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, t in one_by_one(batches):
             m = t.column("m").to_numpy()
             doc, at = t.column("doc_id").to_numpy(), t.column("at").to_numpy()
+            row, docs, tags = _numbered(doc, t.column("tag").to_numpy())
             data = joined(t.column("body"), np.uint8)
             size = np.array([len(x) for x in t.column("body").to_pylist()])
             begin = np.concatenate([[0], np.cumsum(size)[:-1]])
@@ -302,48 +326,60 @@ def _windows(length: int):
                 hit = d > lead
                 if hit.any():
                     a = at[entry[hit]] + inner[hit]
-                    who, spans = _spans(d[hit], a, a + length)
-                    yield _by_doc(who, spans, ("doc_id", "body"), 0)
+                    who, spans = _spans(row[entry[hit]], a, a + length)
+                    yield _by_row(who, spans, docs, tags, 0)
 
     return run
 
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, body) sorted by document to one row for each document."""
+    """Rows (doc_id, tag, body) sorted by document to one row for each document and tag."""
     from siltstone.llm.shared import grouped
 
     for t in grouped(batches, rows=1 << 14):
         lens = np.array([len(x) // 8 for x in t.column("body").to_pylist()])
         spans = joined(t.column("body"), np.int32).reshape(-1, 2)
-        doc, merged = _spans(np.repeat(t.column("doc_id").to_numpy(), lens), spans[:, 0], spans[:, 1])
-        yield _by_doc(doc, merged, ("doc_id", "body"))
+        row, ids, tags = _numbered(t.column("doc_id").to_numpy(), t.column("tag").to_numpy())
+        row, merged = _spans(np.repeat(row, lens), spans[:, 0], spans[:, 1])
+        yield _by_row(row, merged, ids, tags)
 
 
-def _with_body(docs: DataFrame, spans: DataFrame, how: str, key: str = "doc_id") -> DataFrame:
-    """`docs` joined with rows (id, body): broadcast behind a check of their size, shuffled beyond it."""
+def _with_body(docs: DataFrame, spans: DataFrame, how: str, key: tuple[str, ...] = ("doc_id", "tag")) -> DataFrame:
+    """`docs` joined with rows (id, tag, body): broadcast behind a check of their size, shuffled beyond it."""
     total = spans.agg(F.coalesce(F.sum(F.octet_length("body")), F.lit(0)).alias("b"), F.count(F.lit(1)).alias("n")).first()
-    return docs.join(F.broadcast(spans) if total.b + 32 * total.n <= BROADCAST_BYTES else spans, key, how)
+    return docs.join(F.broadcast(spans) if total.b + 32 * total.n <= BROADCAST_BYTES else spans, list(key), how)
+
+
+def _tagged(docs: DataFrame, twice: DataFrame | None, key: str = "doc_id") -> DataFrame:
+    """`docs` with _tag: a hash of the text where the document's id is in `twice`, else 0."""
+    if twice is None:
+        return docs.withColumn("_tag", F.lit(0).cast("long"))
+    known = small(twice.select(F.col("doc_id").alias("_twice")))
+    return docs.join(known, F.col(key) == F.col("_twice"), "left").withColumn("_tag", F.when(F.col("_twice").isNotNull(), F.xxhash64("text")).otherwise(F.lit(0).cast("long"))).drop("_twice")
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(_id, _spans): packed int32 pairs [start, end) of what is to be removed, for the documents where anything is; materialized."""
+def repeated_spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame | None]:
+    """(_id, _tag, body): packed int32 pairs [start, end) of what is to be removed, for the documents where anything is; and the doc_ids that have several texts, if any do. Materialized."""
     slim = docs.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= length)).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     mark = F.md5(F.col("text").cast("binary"))
-    marks = slim.select("doc_id", mark.alias("k"), F.octet_length("text").alias("size"))
+    marks = materialize(slim.select("doc_id", mark.alias("k"), F.octet_length("text").alias("size"), F.xxhash64("text").alias("h")), "marks")
+    twice = materialize(marks.groupBy("doc_id").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("doc_id"), "twice")
+    twice = twice if twice.limit(1).count() else None
+    marks = marks.withColumn("tag", F.lit(0).cast("long")) if twice is None else marks.join(small(twice.withColumn("_several", F.lit(True))), "doc_id", "left").withColumn("tag", F.when(F.col("_several"), F.col("h")).otherwise(F.lit(0).cast("long")))
     firsts = marks.groupBy("k").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-    copies = materialize(marks.join(firsts, "k").where("doc_id > first").select("doc_id", "size").distinct(), "copies")
+    copies = materialize(marks.join(firsts, "k").where("doc_id > first").select("doc_id", "tag", "size").distinct(), "copies")
     fragments = max(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_fragments(docs, 6 << 20))
-    # A doc_id may repeat with other texts; only rows of the copied size are left out.
-    rest = slim.withColumn("size", F.octet_length("text")).join(small(copies), ["doc_id", "size"], "left_anti").select("doc_id", "text")
+    # A doc_id may repeat with other texts; only rows of the copied text are left out.
+    rest = _tagged(slim, twice).withColumnRenamed("_tag", "tag").join(small(copies), ["doc_id", "tag"], "left_anti").select("doc_id", "text", "tag")
     entries = rest.mapInArrow(_entries(fragments, length), "fragment long, kind int, ids binary, body binary")
-    settled = materialize(dealt(entries, "fragment").mapInArrow(_settle(length), "doc_id long, kind int, body binary"), "settled")
-    opened = materialize(settled.where("kind = 1").groupBy("doc_id").agg(F.collect_list("body").alias("body")).select("doc_id", F.aggregate("body", F.lit(b""), lambda s, x: F.concat(s, x)).alias("body")), "open")
-    spelled = _with_body(rest, opened, "inner").select("doc_id", "text", "body").mapInArrow(_spell(fragments, length), "fragment long, m long, doc_id long, at long, body binary")
-    rows = dealt(spelled, "fragment").mapInArrow(_windows(length), "doc_id long, kind int, body binary")
-    whole = copies.select("doc_id", F.lit(0).alias("kind"), F.unhex(F.concat(F.lit("00000000"), *[F.lpad(F.hex(F.shiftright(F.col("size"), 8 * k).bitwiseAND(F.lit(255))), 2, "0") for k in range(4)])).alias("body"))
+    settled = materialize(dealt(entries, "fragment").mapInArrow(_settle(length), "doc_id long, tag long, kind int, body binary"), "settled")
+    opened = materialize(settled.where("kind = 1").groupBy("doc_id", "tag").agg(F.collect_list("body").alias("body")).select("doc_id", "tag", F.aggregate("body", F.lit(b""), lambda s, x: F.concat(s, x)).alias("body")), "open")
+    spelled = _with_body(rest, opened, "inner").select("doc_id", "tag", "text", "body").mapInArrow(_spell(fragments, length), "fragment long, m long, doc_id long, tag long, at long, body binary")
+    rows = dealt(spelled, "fragment").mapInArrow(_windows(length), "doc_id long, tag long, kind int, body binary")
+    whole = copies.select("doc_id", "tag", F.lit(0).alias("kind"), F.unhex(F.concat(F.lit("00000000"), *[F.lpad(F.hex(F.shiftright(F.col("size"), 8 * k).bitwiseAND(F.lit(255))), 2, "0") for k in range(4)])).alias("body"))
     spans = settled.where("kind = 0").unionByName(rows).unionByName(whole)
-    merged = dealt(spans.select("doc_id", "body"), "doc_id").mapInArrow(_merged, "doc_id long, body binary")
-    return materialize(merged, "spans").select(F.col("doc_id").alias("_id"), F.col("body"))
+    merged = dealt(spans.select("doc_id", "tag", "body"), "doc_id").mapInArrow(_merged, "doc_id long, tag long, body binary")
+    return materialize(merged, "spans").select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"), F.col("body")), twice
 
 
 def _cut(raw: bytes, spans: bytes | None) -> tuple[bytes, int, int]:
@@ -361,7 +397,7 @@ def _cut(raw: bytes, spans: bytes | None) -> tuple[bytes, int, int]:
 
 def repeats_report(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row of `docs`."""
-    spans = repeated_spans(docs, length)
+    spans, twice = repeated_spans(docs, length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -374,13 +410,14 @@ def repeats_report(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(g, pa.int64()), pa.array(r, pa.int64()), pa.array(h, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    both = _with_body(docs.select("doc_id", "text", F.col("doc_id").cast("long").alias("_id")), spans, "left", "_id").select("doc_id", "text", "body")
+    both = _with_body(_tagged(docs.select("doc_id", "text", F.col("doc_id").cast("long").alias("_id")), twice, "_id"), spans, "left", ("_id", "_tag")).select("doc_id", "text", "body")
     return both.mapInArrow(run, f"doc_id {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """`docs` with the repeated bytes cut out of `text`; a character of which a part went goes as a whole. Columns may have any names but _id, _body."""
-    spans = repeated_spans(docs, length).withColumnRenamed("body", "_body")
+    """`docs` with the repeated bytes cut out of `text`; a character of which a part went goes as a whole. Columns may have any names but _id, _tag, _twice, _body."""
+    spans, twice = repeated_spans(docs, length)
+    spans = spans.withColumnRenamed("body", "_body")
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -393,9 +430,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             cols[at] = pa.array(out, pa.string())
             yield pa.RecordBatch.from_arrays(cols, b.schema.names[:-1])
 
-    both = docs.withColumn("_id", F.col("doc_id").cast("long"))
+    both = _tagged(docs.withColumn("_id", F.col("doc_id").cast("long")), twice, "_id")
     total = spans.agg(F.coalesce(F.sum(F.octet_length("_body")), F.lit(0)).alias("b"), F.count(F.lit(1)).alias("n")).first()
-    both = both.join(F.broadcast(spans) if total.b + 32 * total.n <= BROADCAST_BYTES else spans, "_id", "left")
+    both = both.join(F.broadcast(spans) if total.b + 32 * total.n <= BROADCAST_BYTES else spans, ["_id", "_tag"], "left")
     return both.select(*docs.columns, "_body").mapInArrow(run, docs.schema)
 
 

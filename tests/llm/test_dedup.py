@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import random
 import re
 
 import pytest
 
 from siltstone.llm import decontaminate, ngrams, suffixes
 from siltstone.llm.components import connected
-from tests.llm.conftest import edge, texts
+from tests.llm.conftest import edge, texts, words
 from tests.oracle import DATA, assert_same
 
 A = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -131,6 +132,18 @@ def test_repeats_without_broadcast(spark, docs, monkeypatch):
     assert multiset(got) == multiset(brute_repeats(texts()))
 
 
+def test_texts_of_a_repeated_id_are_apart(spark, monkeypatch):
+    rng = random.Random(9)
+    a, b, c, d = (words(rng, 60) for _ in range(4))
+    edit = a[:150] + "#" + a[151:]
+    rows = [(1, a), (5, a), (5, b), (5, b[::-1][: len(a)].ljust(len(a), "z")), (2, c), (7, c + " tail"), (7, d), (7, c[:90] + "!" + c[91:]), (8, edit), (8, "short"), (9, d)]
+    for most in (48 << 20, -1):
+        monkeypatch.setattr(suffixes, "BROADCAST_BYTES", most)
+        got = suffixes.repeats_report(edge(spark, rows).repartition(3)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+        assert multiset(got) == multiset(brute_repeats(rows))
+    assert {b, d} <= {r.text for r in suffixes.remove_repeats(edge(spark, rows)).where("doc_id IN (5, 7)").collect()}
+
+
 def test_remove_repeats(spark, docs, empty):
     out = suffixes.remove_repeats(docs)
     assert out.columns == docs.columns and out.count() == docs.count()
