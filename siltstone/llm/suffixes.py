@@ -1,13 +1,13 @@
-"""Suffix-array dedup: repeated byte strings of a threshold length, found by depth-limited radix sort.
+"""Suffix-array dedup: repeated byte strings of a threshold length, found by hashes of runs and depth-limited radix sort.
 
 A position's suffix is ordered only through `LENGTH` bytes. The most significant digit of a window of that length is
-the 16-byte string in it with the smallest hash (its anchor), which equal windows have at the same place; so one
-entry per anchor, about one for 18 positions, stands for the run of windows that it rules. Passes, each of which
+the 20-byte string in it with the smallest hash (its anchor), which equal windows have at the same place; so one
+entry per anchor, about one for 16 positions, stands for the run of windows that it rules. Passes, each of which
 drops what is alone in its group:
 
 1. By anchor, over fragments of the hash range. What occurs in one document only is done with.
-2. By the whole bytes that the anchor's windows cover. Documents that agree in them agree in every window: all but
-   the first are covered. Within a block of documents this is settled before anything is shuffled, so that a passage
+2. By a hash of the whole bytes that the anchor's windows cover. Documents that agree in them agree in every window:
+   all but the first are covered. Both hashes have 48 bits after the shuffle, and the bytes aren't compared. Within a block of documents this is settled before anything is shuffled, so that a passage
    in most documents costs an entry for each block, not for each document.
 3. What agrees in the anchor only, at edits and at the ends of shared passages: its windows themselves, eight bytes
    at a time, down to the full depth. Equal groups are exactly the repeated windows.
