@@ -25,3 +25,8 @@ def test_entry(spark):
 
     (row,) = e.entry(spark).collect()
     assert row.mrr == 1.0 and row.query_count == 3
+
+
+def test_recall_of_dense_ann(spark):
+    exact, near = (catalog.queries()[name](spark, SF).select("query_id", "vec_id") for name in ("dense_topk", "dense_ann"))
+    assert near.join(exact, ["query_id", "vec_id"]).count() >= 0.9 * exact.count() > 0
