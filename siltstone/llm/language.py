@@ -100,6 +100,7 @@ def in_training(doc_id: Column) -> Column:
 
 
 def train_language(docs: DataFrame, sample: int = SAMPLE) -> LanguageFilter:
+    """The filter learned from `sample` texts a language; at most MOST n-grams of each, the most common ones, enter it."""
     ids = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & in_training(F.col("doc_id"))).select("doc_id", "lang")
     lowest = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     ids = materialize(ids.withColumn("_n", F.row_number().over(lowest)).where(F.col("_n") <= sample).select("doc_id", "lang").distinct(), "language-ids")
