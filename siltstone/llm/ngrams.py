@@ -11,38 +11,64 @@ last the partial overlaps of each pair.
    Within a block of documents a shingle is sent once, however many of them hold it.
 3. For what is left, the fragments count in how many sets a shingle occurs. In rare-first order two linked sets share
    one of their first shingles (prefix filter); sets connected by such shingles form a cluster.
-4. Clusters are cut into blocks of about `BLOCK` sets. Pairs of blocks go to tasks fragment by fragment; a task counts
-   the partial overlaps of all pairs of its two blocks as one packed matrix. Matrices are summed for each pair of
-   blocks. `jaccard_links` compares all pairs of blocks of each cluster and adds up, for each set, the documents that
-   it links with. Where only components are asked for, links that join something (a spanning forest) are enough:
-   clusters of several blocks compare each block with itself and the next first; after that only sets outside their
-   cluster's largest component meet the rest of the cluster, since links within a component add nothing.
-
-Comparisons are exact on 64-bit shingle hashes. Defined results: null and empty texts have an empty set and link
-with nothing; a text below five words has its whole word sequence as only shingle; a null doc_id sorts below all
-others; rows that repeat a doc_id are judged one by one, and a link with each counts; other columns are ignored by
-`jaccard_report` and `jaccard_links` and kept by `drop_near_duplicates`.
+4. Sets are dealt to cells of about `BLOCK` sets: small clusters share a cell, larger ones have several. In a cluster
+   of more than `SPAN` cells, the cells hold sets with the same leading shingle (that with the smallest hash among
+   the first shingles), and two cells with different ones meet only if a set of one shares a first shingle with a set
+   of the other. So the work is in proportion to what shares first shingles, not to the square of a cluster.
+5. Pairs of cells go to tasks fragment by fragment; a task counts the partial overlaps of all pairs of its two cells
+   as one packed matrix. Matrices are summed for each pair of cells. `jaccard_links` compares all these pairs and adds
+   up, for each set, the documents that it links with. Where only components are asked for, links that join something
+   (a spanning forest) are enough: in wide clusters cells with the same leading shingle meet themselves and the next
+   one first; after that only sets outside their cluster's largest component meet the other cells, since links within
+   a component add nothing.
+
+Comparisons are exact on 64-bit shingle hashes; ids of classes have 63 bits, so that among n different sets about
+n**2 / 2**64 pairs are taken for equal (0.05 at 10**9). Defined results: null and empty texts have an empty set and
+link with nothing; a text below five words has its whole word sequence as only shingle; a very long text is cut into
+overlapping pieces of `PIECE` bytes, which gives the same set; a null doc_id sorts below all others; rows that repeat
+a doc_id are judged one by one, and a link with each counts; equal sizes and ties need no order; an empty table gives
+an empty result; other columns, whatever their names, are ignored by `jaccard_report` and `jaccard_links` and kept by
+`drop_near_duplicates`.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm.components import connected
-from siltstone.llm.shared import LANE, LOWER, U, blobs, dealt, joined, materialize, mix, n_fragments, one_by_one, small, texts, word_hashes, words_of
+from siltstone.llm.shared import LANE, LOWER, SPACE, U, blobs, dealt, fresh, joined, materialize, mix, n_fragments, one_by_one, shuffles, small, texts, word_hashes, words_of
 
-WIDTH, PERCENT, HEAD, BLOCK, CUTS = 5, 80, 0.4, 256, 4
+WIDTH, PERCENT, HEAD, BLOCK, CUTS, SPAN, FEW, PIECE = 5, 80, 0.4, 256, 4, 8, 16, 8 << 20
 NO_ID = -(1 << 63)
 
 
+def _pieces(data: np.ndarray, width: int) -> Iterator[np.ndarray]:
+    """Stretches of a long text that overlap by `width` - 1 words: each run of `width` words lies in one of them. None for a text with fewer words."""
+    starts = ~SPACE[data]
+    starts[1:] &= SPACE[data[:-1]]
+    s = np.flatnonzero(starts)
+    a, last = 0, len(s) - width
+    while a <= last:
+        z = min(max(int(np.searchsorted(s, s[a] + PIECE)), a + 1), last + 1)
+        yield data[s[a] : s[z + width - 1] if z + width - 1 < len(s) else len(data)]
+        a = z
+
+
 def shingles(data: np.ndarray, off: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of each text of a block, ascending within a text: hashes, first index of each text (n+1 values)."""
     n = len(off) - 1
+    if n == 1 and len(data) > 2 * PIECE:
+        h = np.zeros(0, np.uint64)
+        for piece in _pieces(data, width):
+            h = np.union1d(h, shingles(piece, np.array([0, len(piece)]), width)[0])
+        if len(h):
+            return h, np.array([0, len(h)])
     low = LOWER[data]
     s, e, first = words_of(low, off)
     w = word_hashes(low, s, e)
@@ -86,7 +112,7 @@ def missing(n: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     return n - (percent * n + 99) // 100
 
 
-META = np.dtype([("id", "<i8"), ("cid", "<i8"), ("n", "<i8"), ("need", "<i8"), ("local", "<i8")])
+META = np.dtype([("id", "<i8"), ("h", "<i8"), ("cid", "<i8"), ("n", "<i8"), ("need", "<i8"), ("local", "<i8")])
 
 
 def _heads(fragments: int, percent: int):
@@ -94,14 +120,14 @@ def _heads(fragments: int, percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids_all = b.column(0).to_numpy(zero_copy_only=False)
+            ids_all, keys = b.column(0).to_numpy(zero_copy_only=False), b.column(2).to_numpy(zero_copy_only=False)
             for a, z, data, off in texts(b.column(1)):
                 h, first = shingles(data, off)
                 n = np.diff(first)
                 cid = class_ids(h, first)
                 head = np.where(n > 0, np.minimum(n, (HEAD * n).astype(np.int64) + 1), 0)
                 meta = np.zeros(len(n), META)
-                meta["id"], meta["cid"], meta["n"], meta["need"] = ids_all[a:z], cid, n, head - missing(n, percent)
+                meta["id"], meta["h"], meta["cid"], meta["n"], meta["need"] = ids_all[a:z], keys[a:z], cid, n, head - missing(n, percent)
                 _, lead = np.unique(cid, return_index=True)  # of a class, one document of the block is enough
                 lead = lead[n[lead] > 0]
                 pick = np.repeat(first[:-1][lead], head[lead]) + np.arange(head[lead].sum()) - np.repeat(np.cumsum(head[lead]) - head[lead], head[lead])
@@ -138,13 +164,13 @@ def _heads(fragments: int, percent: int):
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """In each fragment: (cid, id, n, need, shared) with either what a document is or how much of a set's head occurs elsewhere."""
-    names = ["cid", "id", "n", "need", "shared"]
+    """In each fragment: (cid, id, h, n, need, shared) with either what a document is or how much of a set's head occurs elsewhere."""
+    names = ["cid", "id", "h", "n", "need", "shared"]
     for _, t in one_by_one(batches):
         kind = t.column("kind").to_numpy()
         meta = joined(t.filter(pa.array(kind == 1)).column("body"), META)
         if len(meta):
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(meta[c])) for c in ("cid", "id", "n", "need", "local")], names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(meta[c])) for c in ("cid", "id", "h", "n", "need", "local")], names)
         t = t.filter(pa.array(kind == 0))
         vs, cs, many = [], [], []
         for ids, x in zip(t.column("ids").to_pylist(), t.column("body").to_pylist(), strict=True):
@@ -166,7 +192,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shared = (np.minimum.reduceat(c, start) != np.maximum.reduceat(c, start)) | np.logical_or.reduceat(multi, start)
         c, times = np.unique(c[shared[group] & ~multi], return_counts=True)
         zero = pa.array(np.zeros(len(c), np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(c), pa.nulls(len(c), pa.int64()), zero, zero, pa.array(times.astype(np.int64))], names)
+        yield pa.RecordBatch.from_arrays([pa.array(c), pa.nulls(len(c), pa.int64()), zero, zero, zero, pa.array(times.astype(np.int64))], names)
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,7 +257,11 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _prefixes(fragments: int, percent: int):
-    """Blocks with the frequencies of their shingles to (fragment, token, label) rows, packed by fragment, and (cid, label): the sets of a block that share a token of their prefixes have one label."""
+    """Blocks with the frequencies of their shingles to rows (fragment, body).
+
+    The sets of a block that share a token of their prefixes have one label. Packed are (token, label) for each
+    fragment; under fragment -1 (cid, label, leading token) of all sets; under -2 the tokens of each set's prefix.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -261,7 +291,12 @@ def _prefixes(fragments: int, percent: int):
                 ff, tv, tl = ff[order], v[pair[order, 0]], name[pair[order, 1]]
                 at = np.flatnonzero(np.concatenate([[True], ff[1:] != ff[:-1]])) if len(ff) else np.zeros(0, np.int64)
                 out = [tv[s:t].tobytes() + tl[s:t].tobytes() for s, t in zip(at, [*at[1:], len(ff)], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([ff[at], [-1]])), pa.array([*out, np.column_stack([cid, mine]).tobytes()], pa.binary())], ["fragment", "body"])
+                times = np.bincount(who, minlength=len(cid))
+                leading = np.zeros(len(cid), np.uint64)
+                if len(who):  # they are in order of their sets
+                    leading[times > 0] = np.minimum.reduceat(v[token], (np.cumsum(times) - times)[times > 0])
+                of_sets = np.int64(len(cid)).tobytes() + np.column_stack([cid, times]).tobytes() + v[token].tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([ff[at], [-1, -2]])), pa.array([*out, np.column_stack([cid, mine, leading.view(np.int64)]).tobytes(), of_sets], pa.binary())], ["fragment", "body"])
 
     return run
 
@@ -300,28 +335,37 @@ def _token_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        x = joined(b.column(0), np.int64).reshape(-1, 2)
-        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x[:, 0])), pa.array(np.ascontiguousarray(x[:, 1]))], ["cid", "label"])
+        x = joined(b.column(0), np.int64).reshape(-1, 3)
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x[:, k])) for k in range(3)], ["cid", "label", "lead"])
+
+
+def _set_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for body in b.column(0).to_pylist():
+            x = np.frombuffer(body, np.int64)
+            sets, tokens = x[1 : 1 + 2 * x[0]].reshape(-1, 2), x[1 + 2 * x[0] :]
+            at = np.concatenate([[0], np.cumsum(sets[:, 1])]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(sets[:, 0])), pa.ListArray.from_arrays(pa.array(at), pa.array(tokens))], ["cid", "tokens"])
 
 
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(cluster, left, right, side, cid, comp, n, k, body) to rows with one fragment's segment each."""
+    """(left, right, side, cid, comp, n, k, body) to rows with one fragment's segment each."""
     for b in batches:
         for cut in range(CUTS):
             out = []
-            for x in b.column(8).to_pylist():
+            for x in b.column(7).to_pylist():
                 h = np.frombuffer(x, np.uint64)
                 lo, hi = np.searchsorted(h, [U(cut << 62), U((cut + 1 << 62) - 1)], side="left") if cut < CUTS - 1 else (np.searchsorted(h, U(cut << 62)), len(h))
                 out.append(h[lo:hi].tobytes())
             cut_no = pa.array(np.full(b.num_rows, cut, np.int32))
-            yield pa.RecordBatch.from_arrays([*b.columns[:8], cut_no, pa.array(out, pa.binary())], ["cluster", "left", "right", "side", "cid", "comp", "n", "k", "cut", "body"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:7], cut_no, pa.array(out, pa.binary())], ["left", "right", "side", "cid", "comp", "n", "k", "cut", "body"])
 
 
 def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """In each fragment of each pair of blocks: the partial overlaps of all pairs of sets, as one packed matrix."""
+    """In each fragment of each pair of cells: the partial overlaps of all pairs of sets, as one packed matrix."""
     for _, t in one_by_one(batches, 0):
-        t = t.sort_by([("cluster", "ascending"), ("left", "ascending"), ("right", "ascending"), ("cut", "ascending"), ("side", "ascending"), ("cid", "ascending")])
-        key = np.column_stack([t.column(c).to_numpy() for c in ("cluster", "left", "right", "cut")])
+        t = t.sort_by([("left", "ascending"), ("right", "ascending"), ("cut", "ascending"), ("side", "ascending"), ("cid", "ascending")])
+        key = np.column_stack([t.column(c).to_numpy() for c in ("left", "right", "cut")])
         cuts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(1)]))
         for s, e in zip(cuts, [*cuts[1:], len(key)], strict=True):
             p = t.slice(s, e - s)
@@ -341,20 +385,20 @@ def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     x = np.zeros((len(side), 2048), np.float32)
                     x[row[part], token[part] - k] = 1
                     m += x[:a] @ (x if one else x[a:]).T
-            c, left, right, cut = key[s].tolist()
-            yield pa.RecordBatch.from_arrays([pa.array([c], pa.int64()), pa.array([left], pa.int32()), pa.array([right], pa.int32()), pa.array([cut], pa.int32()), pa.array([np.column_stack([p.column(x).to_numpy() for x in ("cid", "comp", "n", "side", "k")]).astype(np.int64).tobytes() if cut == 0 else b""], pa.binary()), pa.array([m.astype(np.uint32).tobytes()], pa.binary())], ["cluster", "left", "right", "cut", "sets", "body"])
+            left, right, cut = key[s].tolist()
+            yield pa.RecordBatch.from_arrays([pa.array([left], pa.int64()), pa.array([right], pa.int64()), pa.array([cut], pa.int32()), pa.array([np.column_stack([p.column(x).to_numpy() for x in ("cid", "comp", "n", "side", "k")]).astype(np.int64).tobytes() if cut == 0 else b""], pa.binary()), pa.array([m.astype(np.uint32).tobytes()], pa.binary())], ["left", "right", "cut", "sets", "body"])
 
 
 def _links(percent: int, count: bool):
     """Partial overlaps summed for each pair of sets: edges (a, b) of a spanning forest of the links.
 
-    With `count` also a row (a, a, links) for each set that links: with how many documents of the other block.
+    With `count` also a row (a, a, links) for each set that links: with how many documents of the other cell.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, t in one_by_one(batches, 0):
-            t = t.sort_by([("cluster", "ascending"), ("left", "ascending"), ("right", "ascending"), ("cut", "ascending")])
-            key = np.column_stack([t.column(c).to_numpy() for c in ("cluster", "left", "right")])
+            t = t.sort_by([("left", "ascending"), ("right", "ascending"), ("cut", "ascending")])
+            key = np.column_stack([t.column(c).to_numpy() for c in ("left", "right")])
             cuts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(1)]))
             for s, e in zip(cuts, [*cuts[1:], len(key)], strict=True):
                 p = t.slice(s, e - s)
@@ -384,28 +428,42 @@ def _links(percent: int, count: bool):
 
 
 def _compare(pairs: DataFrame, percent: int, count: bool = False) -> DataFrame:
-    """Rows (cluster, left, right, side, cid, comp, n, k, body) to (a, b, links): a spanning forest of the links, and with `count` a row (a, a) with what each set links with."""
-    spark = pairs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cut = pairs.mapInArrow(_segments, "cluster long, left int, right int, side int, cid long, comp long, n long, k long, cut int, body binary")
-    where = F.xxhash64("cluster", "left", "right", "cut").alias("task")
-    rows = cut.select(where, "*").repartition(4 * parts, "task").sortWithinPartitions("task")
-    sums = rows.mapInArrow(_partial, "cluster long, left int, right int, cut int, sets binary, body binary")
-    rows = sums.select(F.xxhash64("cluster", "left", "right").alias("task"), "*").repartition(parts, "task").sortWithinPartitions("task")
+    """Rows (left, right, side, cid, comp, n, k, body) to (a, b, links): a spanning forest of the links, and with `count` a row (a, a) with what each set links with."""
+    cut = pairs.mapInArrow(_segments, "left long, right long, side int, cid long, comp long, n long, k long, cut int, body binary")
+    rows = dealt(cut.select(F.xxhash64("left", "right", "cut").alias("task"), "*"), "task")
+    sums = rows.mapInArrow(_partial, "left long, right long, cut int, sets binary, body binary")
+    rows = dealt(sums.select(F.xxhash64("left", "right").alias("task"), "*"), "task")
     return rows.mapInArrow(_links(percent, count), "a long, b long, links long")
 
 
-ROW = ("cluster", "left", "right", "side", "cid", "comp", "n", "k", "body")
+ROW = ("left", "right", "side", "cid", "comp", "n", "k", "body")
 
 
-def candidates(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(_id, n, cid) for each row of `docs`; (cid, k, cluster, cells, cell) for the sets of each cluster, k the documents of a class; (cid, n, body) for the sets. All materialized."""
-    slim = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id"), "text")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    fragments = max(2 * parts, n_fragments(docs, 6 << 20))
+def _cell(i: Column) -> Column:
+    """The id of a group's cell number i."""
+    return F.xxhash64("grp", i.cast("int"))
+
+
+@dataclass
+class Candidates:
+    meta: DataFrame  # _id, h (hash of the text), n, cid of each row of the table
+    sets: DataFrame  # cid, n, body
+    placed: DataFrame  # cid, k (documents of the class), cluster, wide, grp, cells (of the group), i and cell for the sets of each cluster
+    tokens: DataFrame  # cid, tokens of the prefix
+    any_wide: bool
+
+    def held(self) -> DataFrame:
+        """(grp, cell, cid, token) of the sets of wide clusters."""
+        return self.placed.where("wide").join(self.tokens, "cid").select("grp", "cell", "cid", F.explode("tokens").alias("token"))
+
+
+def candidates(docs: DataFrame, percent: int = PERCENT) -> Candidates:
+    """Classes, clusters and cells of `docs`, all materialized."""
+    slim = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id"), "text", F.xxhash64("text").alias("_h"))
+    fragments = max(2 * shuffles(docs), n_fragments(docs, 6 << 20))
     heads = slim.mapInArrow(_heads(fragments, percent), "fragment long, kind int, ids binary, body binary")
-    told = materialize(dealt(heads, "fragment").mapInArrow(_shared, "cid long, id long, n long, need long, shared long"), "shared")
-    meta = told.where(F.col("id").isNotNull()).select(F.col("id").alias("_id"), "n", "cid")
+    told = materialize(dealt(heads, "fragment", shuffles(docs)).mapInArrow(_shared, "cid long, id long, h long, n long, need long, shared long"), "shared")
+    meta = told.where(F.col("id").isNotNull()).select(F.col("id").alias("_id"), "h", "n", "cid")
     judged = told.groupBy("cid").agg(F.min("id").alias("_id"), F.max("need").alias("need"), F.sum("shared").alias("shared"), F.count("id").alias("k"))
     alive = materialize(judged.where("cid <> 0 and shared >= need").select("_id", "cid", "k"), "alive")
     sets = slim.join(small(alive.select("_id", "cid")), "_id").select("text", "cid").mapInArrow(_sets, "cid long, n long, body binary").dropDuplicates(["cid"])
@@ -416,55 +474,83 @@ def candidates(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, Data
     replies = replies.groupBy("block").agg(F.collect_list(F.struct("fragment", "body")).alias("replies"))
     prefixes = blocks.join(replies, "block").select("cids", "body", "replies").mapInArrow(_prefixes(fragments, percent), "fragment long, body binary")
     prefixes = materialize(prefixes, "prefixes")
-    edges = dealt(prefixes.where("fragment >= 0"), "fragment").mapInArrow(_token_edges, "a long, b long").distinct()
+    edges = dealt(prefixes.where("fragment >= 0"), "fragment").mapInArrow(_token_edges, "a long, b long")
     roots = connected(edges)
-    labels = prefixes.where("fragment < 0").select("body").mapInArrow(_labels, "cid long, label long")
-    clusters = labels.join(roots, labels.label == roots.node, "left").select("cid", F.coalesce("root", "label").alias("cluster"))
+    labels = prefixes.where("fragment = -1").select("body").mapInArrow(_labels, "cid long, label long, lead long")
+    clusters = labels.join(roots, labels.label == roots.node, "left").select("cid", "lead", F.coalesce("root", "label").alias("cluster"))
     clusters = materialize(clusters, "clusters")
     sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    cells = F.ceil(F.col("size") / BLOCK).cast("int")
-    placed = clusters.join(sizes, "cluster").join(alive, "cid").select("cid", "k", "cluster", cells.alias("cells"), F.pmod(F.xxhash64("cid"), cells).cast("int").alias("cell"))
-    return meta, materialize(placed, "placed"), sets
+    told = clusters.join(sizes, "cluster").join(alive.select("cid", "k"), "cid")
+    seen = sizes.agg(F.coalesce(F.sum(F.when(F.col("size") <= FEW, F.col("size"))), F.lit(0)).alias("few"), F.coalesce(F.max("size"), F.lit(0)).alias("most")).first()
+    any_wide = seen.most > max(SPAN * BLOCK, FEW)
+    # Small clusters share cells; they have no token in common, so that comparing them costs little and finds nothing.
+    bundle = F.xxhash64(F.lit("few"), F.pmod(F.xxhash64("cluster"), F.lit(max(1, seen.few // (2 * FEW)))))
+    wide = F.col("size") > max(SPAN * BLOCK, FEW)
+    told = told.withColumn("wide", wide).withColumn("grp", F.when(F.col("size") <= FEW, bundle).when(wide, F.xxhash64("cluster", "lead")).otherwise(F.col("cluster")))
+    if any_wide:
+        told = materialize(told, "groups")
+        told = told.join(told.where("wide").groupBy("grp").agg(F.count(F.lit(1)).alias("members")), "grp", "left")
+    else:
+        told = told.withColumn("members", F.lit(None).cast("long"))
+    cells = F.when(F.col("size") <= FEW, F.lit(1)).otherwise(F.ceil(F.coalesce("members", "size") / BLOCK)).cast("int")
+    placed = told.withColumn("cells", cells).withColumn("i", F.pmod(F.xxhash64("cid"), F.col("cells")).cast("int")).withColumn("cell", _cell(F.col("i")))
+    placed = materialize(placed.select("cid", "k", "cluster", "wide", "grp", "cells", "i", "cell"), "placed")
+    return Candidates(meta, sets, placed, prefixes.where("fragment = -2").select("body").mapInArrow(_set_tokens, "cid long, tokens array<long>"), any_wide)
+
+
+def _within(found: Candidates, every: bool) -> DataFrame:
+    """Rows for `_compare`: each cell with each of its group, or, in wide clusters without `every`, with itself and the next one."""
+    i, cells = F.col("i"), F.col("cells")
+    pair = lambda j, side: F.struct(_cell(F.least(i, j)).alias("left"), _cell(F.greatest(i, j)).alias("right"), side.cast("int").alias("side"))
+    near = F.sequence(F.greatest(i - 1, F.lit(0)), F.least(i + 1, cells - 1))
+    others = F.sequence(F.lit(0), cells - 1) if every else F.when(F.col("wide"), near).otherwise(F.sequence(F.lit(0), cells - 1))
+    rows = found.placed.withColumn("at", F.explode(F.transform(others, lambda j: pair(j, i > j)))).join(found.sets, "cid").withColumn("comp", F.col("cid"))
+    return rows.select("at.left", "at.right", "at.side", "cid", "comp", "n", "k", "body")
+
+
+def _facing(pairs: DataFrame, left: DataFrame, right: DataFrame, sets: DataFrame) -> DataFrame:
+    """Rows for `_compare` of pairs (left, right) of cells; the sides have cell, cid, comp, k."""
+    sides = [pairs.join(x.withColumnRenamed("cell", c), c).select("left", "right", F.lit(k).alias("side"), "cid", "comp", "k") for k, (c, x) in enumerate((("left", left), ("right", right)))]
+    return sides[0].unionByName(sides[1]).join(sets, "cid").select(*ROW)
 
 
 def set_links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(_id, n, cid) for each row of `docs`; (cid, root), and (cid, links) with the documents of other classes that link, for the sets that link with others. Every pair of blocks of a cluster is compared."""
-    meta, placed, sets = candidates(docs, percent)
-    cell, other = F.col("cell"), lambda x: x.cast("int")
-    every = F.transform(F.sequence(F.lit(0), F.col("cells") - 1), lambda x: F.struct(F.least(cell, other(x)).alias("left"), F.greatest(cell, other(x)).alias("right"), (cell > x).cast("int").alias("side")))
-    rows = placed.withColumn("at", F.explode(every)).join(sets, "cid").withColumn("comp", F.col("cid"))
-    links = materialize(_compare(rows.select("cluster", "at.left", "at.right", "at.side", "cid", "comp", "n", "k", "body"), percent, count=True), "links")
+    """(_id, h, n, cid) for each row of `docs`; (cid, root), and (cid, links) with the documents of other classes that link, for the sets that link with others. Every pair of cells that can hold a link is compared."""
+    found = candidates(docs, percent)
+    links = _compare(_within(found, every=True), percent, count=True)
+    if found.any_wide:
+        cells = materialize(found.held().select("token", "cell", "grp").distinct(), "cells")
+        pairs = cells.select("token", F.col("cell").alias("left"), F.col("grp").alias("_g")).join(cells.select("token", F.col("cell").alias("right"), "grp"), "token")
+        pairs = pairs.where("left < right and grp <> _g").select("left", "right").distinct()
+        side = found.placed.where("wide").select("cell", "cid", F.col("cid").alias("comp"), "k")
+        links = links.unionByName(_compare(_facing(materialize(pairs, "pairs"), side, side, found.sets), percent, count=True))
+    links = materialize(links, "links")
     counts = links.where("a = b").groupBy(F.col("a").alias("cid")).agg(F.sum("links").alias("links"))
-    return meta, connected(links).select(F.col("node").alias("cid"), "root"), counts
+    return found.meta, connected(links).select(F.col("node").alias("cid"), "root"), counts
 
 
 def set_components(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """(_id, n, cid) for each row of `docs` and (cid, root) for the sets that link with others; both materialized."""
-    meta, placed, sets = candidates(docs, percent)
-    rows = placed.join(sets, "cid").withColumn("comp", F.col("cid"))
-    near = F.filter(F.array(
-        F.struct(F.col("cell").alias("left"), F.col("cell").alias("right"), F.lit(0).alias("side")),
-        F.when(F.col("cell") + 1 < F.col("cells"), F.struct(F.col("cell").alias("left"), (F.col("cell") + 1).alias("right"), F.lit(0).alias("side"))),
-        F.when(F.col("cell") > 0, F.struct((F.col("cell") - 1).alias("left"), F.col("cell").alias("right"), F.lit(1).alias("side"))),
-    ), lambda x: x.isNotNull())
-    links = materialize(_compare(rows.withColumn("at", F.explode(near)).select("cluster", "at.left", "at.right", "at.side", "cid", "comp", "n", "k", "body"), percent), "links")
-    # Clusters of three blocks and more: what is outside the largest component meets the whole cluster.
-    wide = placed.where("cells > 2")
-    if wide.limit(1).count():
+    """(_id, h, n, cid) for each row of `docs` and (cid, root) for the sets that link with others; both materialized."""
+    found = candidates(docs, percent)
+    links = _compare(_within(found, every=False), percent)
+    if found.any_wide:
+        links = materialize(links, "links")
         roots = connected(links)
-        comp = materialize(wide.join(roots, wide.cid == roots.node, "left").select("cid", "k", "cluster", "cells", "cell", F.coalesce("root", "cid").alias("comp")), "comp")
-        per = comp.groupBy("cluster", "comp").agg(F.count(F.lit(1)).alias("sets"))
-        largest = per.groupBy("cluster").agg(F.max_by("comp", F.struct("sets", "comp")).alias("giant"), F.sum("sets").alias("size"), F.max("sets").alias("most")).where("most < size")
-        open_ = comp.join(largest, "cluster").withColumn("asks", F.ceil((F.col("size") - F.col("most")) / BLOCK).cast("int")).join(sets, "cid")
-        mine = F.pmod(F.xxhash64("cid", F.lit(1)), F.col("asks")).cast("int")
-        asking = open_.where("comp <> giant").withColumn("left", mine).withColumn("right", F.explode(F.sequence(F.lit(0), F.col("cells") - 1))).withColumn("side", F.lit(0)).select(*ROW)
-        asked = open_.withColumn("right", F.col("cell")).withColumn("left", F.explode(F.sequence(F.lit(0), F.col("asks") - 1))).withColumn("side", F.lit(1)).select(*ROW)
-        links = materialize(links.unionByName(_compare(asking.unionByName(asked), percent)), "all-links")
-    return meta, connected(links).select(F.col("node").alias("cid"), "root")
+        wide = found.placed.where("wide")
+        comp = materialize(wide.join(roots, wide.cid == roots.node, "left").select("cid", "k", "cluster", "cell", F.coalesce("root", "cid").alias("comp")), "comp")
+        per = comp.groupBy("cluster", "comp").agg(F.count(F.lit(1)).alias("size"))
+        largest = per.groupBy("cluster").agg(F.max_by("comp", F.struct("size", "comp")).alias("giant"))
+        asking = materialize(comp.join(largest, "cluster").where("comp <> giant").select("cell", "cid", "comp", "k"), "asking")
+        cells = materialize(found.held().select("token", "cell", "cid"), "cells")
+        asks = cells.join(asking.select("cid"), "cid", "left_semi").select("token", F.col("cell").alias("left")).distinct()
+        pairs = asks.join(cells.select("token", F.col("cell").alias("right")).distinct(), "token").where("left <> right").select("left", "right").distinct()
+        more = _compare(_facing(materialize(pairs, "pairs"), asking, comp.select("cell", "cid", "comp", "k"), found.sets), percent)
+        links = links.unionByName(more)
+    return found.meta, connected(links).select(F.col("node").alias("cid"), "root")
 
 
 def with_components(docs: DataFrame, percent: int = PERCENT, links: bool = False) -> DataFrame:
-    """_id, n, component and, with `links`, links for each row of `docs`; materialized."""
+    """_id, h (hash of the text), n, cid, root (of the component), component (its smallest _id) and, with `links`, links for each row of `docs`; materialized."""
     meta, roots, *counts = set_links(docs, percent) if links else set_components(docs, percent)
     classes = meta.where("cid <> 0").groupBy("cid").agg(F.min("_id").alias("least"), F.count(F.lit(1)).alias("k"))
     grouped = classes.join(roots, "cid").select("cid", "root", "least")
@@ -472,8 +558,8 @@ def with_components(docs: DataFrame, percent: int = PERCENT, links: bool = False
     told = ["links"] if links else []
     for found in counts:
         classes = classes.join(found, "cid", "left").withColumn("links", F.coalesce("links", F.lit(0)) + F.col("k") - 1)
-    classes = classes.join(grouped.select("cid", "root"), "cid", "left").join(whole, "root", "left").select("cid", F.coalesce("whole", "least").alias("component"), *told)
-    out = meta.join(classes, "cid", "left").select("_id", "n", F.coalesce("component", "_id").alias("component"), *[F.coalesce(c, F.lit(0)).alias(c) for c in told])
+    classes = classes.join(grouped.select("cid", "root"), "cid", "left").join(whole, "root", "left").select("cid", "root", F.coalesce("whole", "least").alias("component"), *told)
+    out = meta.join(classes, "cid", "left").select("_id", "h", "n", "cid", F.coalesce("root", "cid").alias("root"), F.coalesce("component", "_id").alias("component"), *[F.coalesce(c, F.lit(0)).alias(c) for c in told])
     return materialize(out, "components")
 
 
@@ -490,12 +576,23 @@ def jaccard_links(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The rows of `docs`, all columns, whose doc_id is the smallest of its component; of rows that repeat an id, one."""
-    kept = with_components(docs, percent).where("_id = component").groupBy("_id").agg(F.count(F.lit(1)).alias("_n"))
-    kept = materialize(kept, "kept")
-    out = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).join(small(kept.select("_id")), "_id", "left_semi")
-    if kept.where("_n > 1").limit(1).count():
-        out = out.dropDuplicates(["_id"])
+    """One row of each component, all columns: that with the smallest doc_id (a null is smallest); of several, that whose set and text have the smallest hash.
+
+    Rows are judged one by one, whatever ids they repeat. Of rows that agree in id and text, one stays, whichever it
+    is. Rows without words link with nothing and all stay.
+    """
+    rows = with_components(docs, percent).where("cid <> 0")
+    first = rows.groupBy("root").agg(F.min(F.struct("_id", "cid", "h")).alias("x"), F.count(F.lit(1)).alias("n")).where("n > 1").select("root", "x._id", "x.h")
+    first = materialize(first, "first")
+    gone = rows.join(first.select("root"), "root", "left_semi").join(first, ["root", "_id", "h"], "left_anti").select("_id", "h").distinct()
+    again = rows.join(first.select("_id", "h"), ["_id", "h"]).groupBy("_id", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_id", "h")
+    gone, again = materialize(gone, "gone"), materialize(again, "again")
+    i, h, more = fresh(docs, "_id", "_h", "_again")
+    key = lambda x: x.select(F.col("_id").alias(i), F.col("h").alias(h))
+    out = docs.withColumns({i: F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), h: F.xxhash64("text")}).join(small(key(gone)), [i, h], "left_anti")
+    if again.limit(1).count():
+        out = out.join(small(key(again).withColumn(more, F.lit(True))), [i, h], "left")
+        out = out.where(F.col(more).isNull()).unionByName(out.where(more).dropDuplicates([i, h]))
     return out.select(*docs.columns)
 
 

@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 
 
 def work_dir(spark: SparkSession, name: str = "") -> str:
-    """A new folder under spark.checkpoint.dir, deleted when the JVM ends. The setting is made only where it is unset."""
+    """A new folder under spark.checkpoint.dir, deleted when the JVM ends. The setting is made only where it is unset and Spark runs in one process; ValueError on a cluster."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         import tempfile
 
         base = "file://" + tempfile.mkdtemp(prefix="siltstone-")
@@ -214,6 +216,22 @@ def blobs(values: np.ndarray, start: np.ndarray) -> pa.Array:
 
 
 def dealt(df: DataFrame, column: str, parts: int | None = None) -> DataFrame:
-    """`df` with the rows of each value of `column` together and in order of it."""
-    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(parts, column).sortWithinPartitions(column)
+    """`df` with the rows of each value of `column` together and in order of it; without `parts`, Spark joins small partitions."""
+    return (df.repartition(parts, column) if parts else df.repartition(column)).sortWithinPartitions(column)
+
+
+def shuffles(df: DataFrame) -> int:
+    """The session's number of shuffle partitions, for steps whose tasks are heavy however few bytes they read."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for columns to add to `df` that none of its columns has, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out

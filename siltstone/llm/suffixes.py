@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.shared import BYTE_CODE, LANE, U, blobs, dealt, joined, materialize, mix, n_fragments, one_by_one, powers, small, texts
+from siltstone.llm.shared import BYTE_CODE, LANE, U, blobs, dealt, joined, materialize, mix, n_fragments, one_by_one, powers, shuffles, small, texts
 
 LENGTH, GRAM = 50, 20
 #: Ranges are broadcast to the texts up to this many bytes in all; beyond it both sides are shuffled.
@@ -372,10 +372,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, Da
     # A doc_id may repeat with other texts; only rows of the copied text are left out.
     rest = _tagged(slim, twice).withColumnRenamed("_tag", "tag").join(small(copies), ["doc_id", "tag"], "left_anti").select("doc_id", "text", "tag")
     entries = rest.mapInArrow(_entries(fragments, length), "fragment long, kind int, ids binary, body binary")
-    settled = materialize(dealt(entries, "fragment").mapInArrow(_settle(length), "doc_id long, tag long, kind int, body binary"), "settled")
+    settled = materialize(dealt(entries, "fragment", shuffles(docs)).mapInArrow(_settle(length), "doc_id long, tag long, kind int, body binary"), "settled")
     opened = materialize(settled.where("kind = 1").groupBy("doc_id", "tag").agg(F.collect_list("body").alias("body")).select("doc_id", "tag", F.aggregate("body", F.lit(b""), lambda s, x: F.concat(s, x)).alias("body")), "open")
     spelled = _with_body(rest, opened, "inner").select("doc_id", "tag", "text", "body").mapInArrow(_spell(fragments, length), "fragment long, m long, doc_id long, tag long, at long, body binary")
-    rows = dealt(spelled, "fragment").mapInArrow(_windows(length), "doc_id long, tag long, kind int, body binary")
+    rows = dealt(spelled, "fragment", shuffles(docs)).mapInArrow(_windows(length), "doc_id long, tag long, kind int, body binary")
     whole = copies.select("doc_id", "tag", F.lit(0).alias("kind"), F.unhex(F.concat(F.lit("00000000"), *[F.lpad(F.hex(F.shiftright(F.col("size"), 8 * k).bitwiseAND(F.lit(255))), 2, "0") for k in range(4)])).alias("body"))
     spans = settled.where("kind = 0").unionByName(rows).unionByName(whole)
     merged = dealt(spans.select("doc_id", "tag", "body"), "doc_id").mapInArrow(_merged, "doc_id long, tag long, body binary")

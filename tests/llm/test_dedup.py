@@ -9,7 +9,7 @@ import re
 
 import pytest
 
-from siltstone.llm import decontaminate, ngrams, suffixes
+from siltstone.llm import components, decontaminate, ngrams, suffixes
 from siltstone.llm.components import connected
 from tests.llm.conftest import edge, texts, words
 from tests.oracle import DATA, assert_same
@@ -54,11 +54,63 @@ def test_jaccard(spark, docs):
     assert multiset(got) == multiset(brute_components(texts()))
 
 
-def test_jaccard_over_several_blocks(spark, monkeypatch):
+def hardly_linked(rng):
+    """A cluster that shares boilerplate: texts of common and own words, a few of which link."""
+    common = words(rng, 60).split(" ")
+    rows = []
+    for i in range(120):
+        w = common[: 20 + i % 40] + words(rng, 2 + i % 30).split(" ")
+        rows.append((1000 + i, " ".join(w)))
+        if i % 6 == 0:
+            w[-1] = "edit"
+            rows.append((2000 + i, " ".join(w)))
+    return rows
+
+
+@pytest.mark.parametrize("span", [4, 1])
+def test_jaccard_over_several_blocks(spark, monkeypatch, span):
     monkeypatch.setattr(ngrams, "BLOCK", 4)
-    rows = [r for r in texts() if r[0] is not None and r[0] not in (11,)]
-    got = ngrams.jaccard_report(edge(spark, rows).repartition(4)).collect()
-    assert multiset(got) == multiset(brute_components(rows))
+    monkeypatch.setattr(ngrams, "SPAN", span)
+    monkeypatch.setattr(ngrams, "FEW", 3)
+    rows = [r for r in texts() if r[0] is not None and r[0] not in (11,)] + hardly_linked(random.Random(2))
+    d = edge(spark, rows).repartition(4)
+    found = ngrams.candidates(d)
+    assert found.any_wide
+    got = ngrams.jaccard_report(d).collect()
+    want = brute_components(rows)
+    assert multiset(got) == multiset(want)
+    got = ngrams.jaccard_links(d).select("doc_id", "n_shingles", "component_id", "n_links").collect()
+    assert multiset(got) == multiset([(*c, n) for c, n in zip(want, brute_links(rows), strict=True)])
+
+
+def test_cells_that_share_nothing_do_not_meet(spark, monkeypatch):
+    """A chain of texts, each of which shares words with the next one only: pairs of cells grow with the chain, not with its square."""
+    monkeypatch.setattr(ngrams, "BLOCK", 4)
+    monkeypatch.setattr(ngrams, "SPAN", 1)
+    rng, pairs = random.Random(4), []
+    for n in (60, 120):
+        parts = [words(rng, 30) for _ in range(n + 1)]
+        d = edge(spark, [(i, f"{parts[i]} {parts[i + 1]}") for i in range(n)])
+        monkeypatch.setattr(ngrams, "HEAD", 0.98)
+        found = ngrams.candidates(d, percent=30)
+        assert found.any_wide
+        cells = found.held().select("token", "cell").distinct()
+        pairs.append(cells.alias("a").join(cells.alias("b"), "token").where("a.cell < b.cell").select("a.cell", "b.cell").distinct().count())
+        assert ngrams.jaccard_report(d, percent=30).agg({"component_id": "max"}).first()[0] == 0
+    assert pairs[0] <= 60 and pairs[1] <= 2.5 * pairs[0]
+
+
+def test_a_long_text_in_pieces(monkeypatch):
+    import numpy as np
+
+    raw = ("  " + words(random.Random(1), 3000) + " ").encode()
+    data, off = np.frombuffer(raw, np.uint8), np.array([0, len(raw)])
+    whole = ngrams.shingles(data, off)
+    monkeypatch.setattr(ngrams, "PIECE", 100)
+    cut = ngrams.shingles(data, off)
+    assert (whole[0] == cut[0]).all() and (whole[1] == cut[1]).all()
+    short = np.frombuffer(b"x" * 300 + b" y z" + b" " * 300, np.uint8)
+    assert len(ngrams.shingles(short, np.array([0, len(short)]))[0]) == 1
 
 
 def brute_links(rows):
@@ -82,22 +134,61 @@ def test_links_same_as_sql(spark):
     assert_same(queries.op6_jaccard_links(spark, f"{DATA}/sf0.001"), f"{DATA}/sf0.001", queries.oracle_sql()["op6_jaccard_links"])
 
 
+def kept_rows(rows):
+    """How many rows stay for each group: one of each component, and all rows without words."""
+    sets = [shingle_set(t) for _, t in rows]
+    comps = brute_classes(rows)
+    return sum(not x for x in sets) + len({c for c, x in zip(comps, sets, strict=True) if x})
+
+
+def brute_classes(rows):
+    """The component of each row, as the least index of its rows."""
+    sets, label = [shingle_set(t) for _, t in rows], list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                a, b = label[i], label[j]
+                label = [min(a, b) if x in (a, b) else x for x in label]
+    return label
+
+
 def test_drop_near_duplicates(spark, docs):
     kept = ngrams.drop_near_duplicates(docs)
     assert kept.columns == docs.columns
-    ids = [r.doc_id for r in kept.select("doc_id").collect()]
-    want = {d for d, _, c in brute_components(texts()) if d == c}
-    assert set(ids) == want and len(ids) == len(want)
+    got = [(r.doc_id, r.text) for r in kept.collect()]
+    assert len(got) == kept_rows(texts())
+    label = dict(zip(texts(), brute_classes(texts()), strict=True))
+    used = [label[r] for r in got if shingle_set(r[1])]
+    assert len(used) == len(set(used))
+    low = lambda i: -1 if i is None else i
+    for r in got:
+        if shingle_set(r[1]):
+            assert low(r[0]) == min(low(i) for (i, t), c in label.items() if c == label[r])
+
+
+def test_rows_without_id_and_with_repeated_ids_are_not_lost(spark):
+    rng = random.Random(8)
+    a, b, c, d = (words(rng, 60) for _ in range(4))
+    near = a[:150] + "#" + a[151:]
+    rows = [(1, a), (5, a), (5, b), (None, near), (None, c), (None, d), (5, b), (None, None), (None, None), (7, "")]
+    table = spark.createDataFrame([(i, t, 777, 1, "k") for i, t in rows], "doc_id long, text string, _id int, _H int, _again string")
+    got = ngrams.drop_near_duplicates(table)
+    assert got.columns == table.columns
+    assert multiset((r.doc_id, r.text) for r in got.collect()) == multiset([(None, near), (5, b), (None, c), (None, d), (None, None), (None, None), (7, "")])
+    assert {(r._id, r._H, r._again) for r in got.collect()} == {(777, 1, "k")}
 
 
 def test_jaccard_empty(empty):
     assert ngrams.jaccard_report(empty).count() == 0 and ngrams.drop_near_duplicates(empty).count() == 0
 
 
-def test_components(spark):
+@pytest.mark.parametrize("finish", [0, 2_000_000])
+def test_components(spark, monkeypatch, finish):
+    monkeypatch.setattr(components, "FINISH", finish)
     chain = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (103, 101), (7, 7)]
     got = {r.node: r.root for r in connected(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, 103: 100}
+    assert connected(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
 def brute_repeats(rows, length=50):
