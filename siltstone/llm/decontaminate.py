@@ -1,13 +1,14 @@
 """Benchmark decontamination with DataFrame functions only.
 
 Texts are lower-cased in A-Z and cut into words. A benchmark item gives one window for every `width` consecutive
-words, or a single window when it has fewer. A broadcast bit mask over the first words of all windows picks the
+words, or a single window when it has fewer. A bit mask over the first words of all windows, a literal of the plan, picks the
 positions of a document that may start one; only those are expanded and compared with the windows' full text, so
 a hit is exact. Documents are read once and shuffled once, as narrow rows without text.
 
-Defined results: a null or empty text has no words and no hits; items without words have no window; repeated rows
-are judged one by one; items with equal windows all count; other columns of the inputs are ignored here and kept
-by `decontaminate`.
+Defined results: a null or empty text has no words and no hits; items without words have no window, and an empty
+table of either kind gives no hits; repeated rows, also of one doc_id with several texts, are judged one by one; items
+with equal windows all count; a text of any length is read whole, as an array of its words, which has to fit in a
+task; other columns of the inputs, whatever their names, are ignored by `digest` and kept by `decontaminate`.
 """
 
 from __future__ import annotations
@@ -44,29 +45,43 @@ def benchmark_windows(bench: DataFrame, width: int = 10) -> DataFrame:
     )
 
 
-def _mask(windows: DataFrame, first: int, bits: int) -> DataFrame:
-    """A single row: array of `bits`/64 longs with a bit for the hash of each window's first words."""
-    h = F.xxhash64(*[F.xxhash64(F.element_at(F.split("window", " "), j + 1)) for j in range(first)])
-    k = F.pmod(h, F.lit(bits))
-    held = windows.select(k.alias("k")).groupBy(F.floor(F.col("k") / 64).alias("id")).agg(F.bit_or(F.expr("shiftleft(1L, cast(k % 64 as int))")).alias("v"))
-    cells = windows.sparkSession.range(bits // 64).join(F.broadcast(held), "id", "left")
-    return cells.agg(F.array_sort(F.collect_list(F.struct("id", F.coalesce("v", F.lit(0)).alias("v")))).alias("m")).select(F.col("m.v").alias("m"))
+#: Bits in a byte of the mask: the bytes are letters, whose number a function tells.
+CELL = 6
+
+
+def _first_words(words: list[Column], bits: int) -> Column:
+    return F.pmod(F.xxhash64(*words), F.lit(bits))
+
+
+def _mask(windows: DataFrame, first: int, bits: int) -> Column:
+    """A binary literal with a bit for the hash of each window's first words: a task holds it once. It has at most 2**26 bits."""
+    k = _first_words([F.xxhash64(F.element_at(F.split("window", " "), j + 1)) for j in range(first)], bits)
+    held = windows.select(k.alias("k")).groupBy(F.floor(F.col("k") / CELL).alias("id")).agg(F.bit_or(F.expr(f"shiftleft(1, cast(k % {CELL} as int))")).alias("v"))
+    cells = windows.sparkSession.range(-(-bits // CELL)).join(held, "id", "left")
+    letters = F.transform(F.array_sort(F.collect_list(F.struct("id", F.coalesce("v", F.lit(0)).alias("v")))), lambda c: F.char(c["v"] + 64))
+    return F.lit(bytearray(cells.agg(F.array_join(letters, "").alias("m")).first().m.encode()))
 
 
 def hits(docs: DataFrame, bench: DataFrame, width: int = 10, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """One row for each row of `docs`: the columns `keep`, n_words, positions (hit words, ascending), items."""
-    windows = benchmark_windows(bench, width)
+    told = ("n_words", "positions", "items")
+    if any(c.lower() in told for c in keep):
+        raise ValueError(f"a result column can't be kept: {', '.join(told)}")
+    windows = materialize(benchmark_windows(bench, width), "windows")
     size = windows.agg(F.count(F.lit(1)), F.min("size"), F.collect_set("size")).first()  # the set has at most `width` values
     n_windows, least, sizes = size[0], size[1] or 1, sorted(size[2] or [])
     first = min(3, least)
     bits = min(1 << 26, max(1 << 16, 1 << (16 * n_windows + 1).bit_length()))
-    slim = docs.select(*keep, F.col("text").alias("_text"), F.monotonically_increasing_id().alias("_rid"))
+    names, keep = keep, tuple(f"_keep{k}" for k in range(len(keep)))  # names of its own can't clash
+    slim = docs.select(*[F.col(c).alias(k) for c, k in zip(names, keep, strict=True)], F.col("text").alias("_text"), F.monotonically_increasing_id().alias("_rid"))
     slim = slim.select(*keep, "_rid", words(F.col("_text")).alias("_w"))
-    slim = slim.select(*keep, "_rid", "_w", F.transform("_w", lambda x: F.xxhash64(x)).alias("_h"), _mask(windows, first, bits).scalar().alias("_m"))
+    slim = slim.select(*keep, "_rid", "_w", F.transform("_w", lambda x: F.xxhash64(x)).alias("_h"))
+    mask = _mask(windows, first, bits)
 
     def may_start(i: Column) -> Column:
-        k = F.pmod(F.xxhash64(*[F.get("_h", i + j) for j in range(first)]), F.lit(bits))
-        return F.getbit(F.get("_m", F.floor(k / 64).cast("int")), (k % 64).cast("int")) == 1
+        k = _first_words([F.get("_h", i + j) for j in range(first)], bits)
+        cell = F.ascii(F.substring(mask, F.floor(k / CELL).cast("int") + 1, F.lit(1)).cast("string"))
+        return F.getbit(cell, (k % CELL).cast("int")) == 1
 
     starts = F.when(F.size("_w") > 0, F.filter(F.sequence(F.lit(0), F.size("_w") - 1), may_start)).otherwise(F.array().cast("array<int>"))
 
@@ -81,13 +96,17 @@ def hits(docs: DataFrame, bench: DataFrame, width: int = 10, keep: tuple[str, ..
         .select(*keep, "_rid", "n_words", F.col("_c.i").alias("_i"), F.col("_c.z").alias("_z"), F.col("_c.window").alias("_window"))
     )
     known = windows.select(F.col("window").alias("_window"), F.col("items").alias("_items"))
-    found = tried.join(F.broadcast(known) if n_windows <= BROADCAST_WINDOWS else known, "_window", "left")
+    if n_windows <= BROADCAST_WINDOWS:
+        known = F.broadcast(known)
+    else:  # documents without a candidate must not meet under one key; no window holds a zero byte
+        tried = tried.withColumn("_window", F.coalesce("_window", F.concat(F.lit("\0"), F.col("_rid").cast("string"))))
+    found = tried.join(known, "_window", "left")
     span = F.when(F.col("_items").isNotNull(), F.struct("_i", "_z"))
     return (
         found.groupBy("_rid")
         .agg(*[F.first(c).alias(c) for c in keep], F.first("n_words").cast("long").alias("n_words"), F.collect_set(span).alias("_spans"), F.collect_set("_items").alias("_found"))
         .select(
-            *keep,
+            *[F.col(k).alias(c) for c, k in zip(names, keep, strict=True)],
             "n_words",
             F.array_sort(F.array_distinct(F.flatten(F.transform("_spans", lambda s: F.sequence(s["_i"], s["_i"] + s["_z"] - 1))))).alias("positions"),
             F.array_sort(F.array_distinct(F.flatten("_found"))).alias("items"),
@@ -110,14 +129,14 @@ def digest(found: DataFrame) -> DataFrame:
 def decontaminate(docs: DataFrame, bench: DataFrame, width: int = 10, mode: str = "document") -> DataFrame:
     """`docs` without what leaks from `bench`: whole documents, or with mode "span" only the hit words.
 
-    All columns of `docs` are kept, which may have any names but those that start with an underscore. A removed word takes the separators before it along.
+    All columns of `docs` are kept, which may have any names. A removed word takes the separators before it along.
     """
-    keyed = docs.withColumns({"_id": F.col("doc_id"), "_key": F.xxhash64("text")})
+    keyed = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_id"), "text", F.xxhash64("text").alias("_key"))
     found = hits(keyed.select("_id", "_key", "text"), bench, width, ("_id", "_key")).where(F.size("positions") > 0)
     found = materialize(found.select(F.col("_id").alias("_hit_id"), F.col("_key").alias("_hit_key"), F.col("positions").alias("_at")).dropDuplicates(["_hit_id", "_hit_key"]), "hits")
     same = keyed["_id"].eqNullSafe(F.col("_hit_id")) & (keyed["_key"] == F.col("_hit_key"))
     if mode == "document":
-        return keyed.join(small(found.drop("_at")), same, "left_anti").select(*docs.columns)
+        return keyed.join(small(found.drop("_at")), same, "left_anti").select("_row.*")
     found = keyed.join(small(found, 100_000), same, "left")
     text = F.coalesce(F.col("text"), F.lit(""))
     # Words and separators alternate; an empty leading word stands for a text that starts with separators.
@@ -130,7 +149,7 @@ def decontaminate(docs: DataFrame, bench: DataFrame, width: int = 10, mode: str
     )
     tail = F.coalesce(F.when(F.size("_ws") > 0, F.get("_seps", F.when(led, F.size("_ws")).otherwise(F.size("_ws") - 1))), F.lit(""))
     cleaned = F.when(F.col("_at").isNull(), F.col("text")).otherwise(F.concat(F.array_join(kept, ""), tail))
-    return parts.withColumn("text", cleaned).select(*docs.columns)
+    return parts.select(*[cleaned.alias(c) if c == "text" else F.col("_row").getField(c).alias(c) for c in docs.columns])
 
 
 ORACLE = r"""

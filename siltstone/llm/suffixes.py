@@ -1,23 +1,29 @@
-"""Suffix-array dedup: repeated byte strings of a threshold length, found by hashes of runs and depth-limited radix sort.
-
-A position's suffix is ordered only through `LENGTH` bytes. The most significant digit of a window of that length is
-the 20-byte string in it with the smallest hash (its anchor), which equal windows have at the same place; so one
-entry per anchor, about one for 16 positions, stands for the run of windows that it rules. Passes, each of which
-drops what is alone in its group:
-
-1. By anchor, over fragments of the hash range. What occurs in one document only is done with.
-2. By a hash of the whole bytes that the anchor's windows cover. Documents that agree in them agree in every window:
-   all but the first are covered. Both hashes have 48 bits after the shuffle, and the bytes aren't compared. Within a block of documents this is settled before anything is shuffled, so that a passage
-   in most documents costs an entry for each block, not for each document.
-3. What agrees in the anchor only, at edits and at the ends of shared passages: its windows themselves, eight bytes
-   at a time, down to the full depth. Equal groups are exactly the repeated windows.
-
-Later copies of a whole text are found beforehand by a digest, and covered as a whole.
+"""Suffix-array dedup: repeated byte strings of a threshold length, found by a depth-limited radix sort of suffixes.
+
+A position's suffix is ordered only through `LENGTH` bytes (its window), by digits of eight bytes, the most
+significant one first; groups that are equal through all digits are exactly the repeated windows, and every byte that
+goes was compared with the bytes of an earlier document. Anchors keep what can't repeat away from the sort: a window's
+anchor is the 20-byte string in it with the smallest hash, which equal windows have at the same place; so one entry per
+anchor, about one for 16 positions, stands for the run of windows that it rules. Hashes only pick and route.
+
+1. In a block of documents, runs with equal hashes whose bytes are equal are settled at once, so that a passage in most
+   documents costs an entry for each block, not for each document.
+2. Entries are dealt by anchor to fragments of the hash range. An anchor in one document only is done with.
+3. What is left is spelled out and dealt by anchor again. Radix passes over whole runs, digit by digit, settle the runs
+   whose bytes are equal; then radix passes over the windows of the others settle what agrees in part, at edits and
+   at the ends of shared passages.
+
+An anchor that a task meets in more than `HOT_BLOCKS` blocks, or that has more than `HOT_GROUP` entries, is hot: its
+runs and windows are dealt by their own bytes, and smallest documents are found by sums that Spark begins before it
+shuffles, so that no task gets all of a passage that most documents share.
+Later copies of a whole text are found beforehand by SHA-256, and covered as a whole.
 
 A byte goes if a window that covers it also starts in a document with a smaller doc_id. Defined results: a null text
 has no bytes; rows with a null doc_id are kept as they are and are no source for others; rows that repeat a doc_id
 don't remove one another, and what goes from one of them stays in another with other text (a tag, 0 where a doc_id has
-one text and a hash of the text elsewhere, goes with the doc_id); texts below `LENGTH` bytes are never touched; other columns are kept by `remove_repeats`.
+one text and a hash of the text elsewhere, goes with the doc_id); texts below `LENGTH` bytes are never touched; a very
+long text is cut into pieces of `PIECE` bytes, which overlap; an empty table gives no rows; other columns, whatever
+their names, are ignored by `repeats_report` and kept by `remove_repeats`.
 """
 
 from __future__ import annotations
@@ -27,17 +33,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.shared import BYTE_CODE, LANE, U, blobs, dealt, joined, materialize, mix, n_fragments, one_by_one, powers, shuffles, small, texts
+from siltstone.llm.shared import BYTE_CODE, LANE, U, blobs, dealt, fresh, grouped, joined, materialize, mix, n_fragments, one_by_one, powers, shuffles, small, texts
 
-LENGTH, GRAM = 50, 20
+LENGTH, GRAM, PIECE = 50, 20, 4 << 20
+HOT_BLOCKS, HOT_GROUP = 32, 4000
 #: Ranges are broadcast to the texts up to this many bytes in all; beyond it both sides are shuffled.
 BROADCAST_BYTES = 48 << 20
 
 
-
 def _six(x: np.ndarray) -> bytes:
     """The low six bytes of each number."""
     return x.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
@@ -148,194 +154,274 @@ def _numbered(doc: np.ndarray, tag: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return index, d[new], t[new]
 
 
+def _same(e: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the `size` bytes at a and at b are equal; e: `_eights` of the bytes."""
+    ok = np.ones(len(a), bool)
+    last = len(e) - 1
+    for k in range(0, int(size.max(initial=0)), 8):
+        x = e[np.minimum(a + k, last)] ^ e[np.minimum(b + k, last)]
+        ok &= (x & _low_bytes(size - k)) == 0
+    return ok
+
+
+def _low_bytes(n: np.ndarray) -> np.ndarray:
+    """Masks for the first n bytes of a number, of at most eight."""
+    n = np.clip(n, 0, 8).astype(np.uint64)
+    return np.where(n == 8, U(0xFFFFFFFFFFFFFFFF), (U(1) << (U(8) * n)) - U(1))
+
+
+def _blocks(column: pa.Array, length: int, size: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, int]]:
+    """Blocks of texts, and overlapping pieces of long ones: first row, end row, bytes, offsets, place of the piece."""
+    for a, z, data, off in texts(column):
+        if z == a + 1 and len(data) > 2 * size:
+            for begin in range(0, len(data) - length + 1, size):
+                piece = data[begin : begin + size + length - 1]
+                yield a, z, piece, np.array([0, len(piece)]), begin
+        else:
+            yield a, z, data, off, 0
+
+
+OPEN = np.dtype([("m", "<u8"), ("at", "<u4"), ("n", "u1")])
+#: Rows between the steps: entries of documents without and with tags, spans, anchors that are hot, entries that are open, open entries of hot anchors.
+ENTRY, SPANS, TAGGED, MARKS, OPENED, HOT = range(6)
+
+
 def _entries(fragments: int, length: int):
-    """Texts to rows (fragment, kind, ids, body): packed entries (kind 0, or 2 if tags follow the ids), or spans already known (kind 1, ids and tags in `ids`)."""
+    """Texts to rows (fragment, kind, ids, body), packed. Spans and hot entries have the document's id and tag in `ids`."""
+
+    def of_docs(row: np.ndarray, values: np.ndarray, ids: np.ndarray, tags: np.ndarray, kind: int) -> pa.RecordBatch:
+        rows = _by_row(row, values, ids, tags)
+        who = np.column_stack([rows.column(k).to_numpy() for k in (0, 1)])
+        return pa.RecordBatch.from_arrays([pa.array(who[:, 0] % fragments), pa.array(np.full(rows.num_rows, kind, np.int32)), blobs(who.reshape(-1), 2 * np.arange(rows.num_rows)), rows.column(2)], ["fragment", "kind", "ids", "body"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks = np.zeros(1 << 22, np.uint8)  # of this task, in how many an anchor with that part of the hash occurred
+        hot = np.zeros(0, np.uint64)
         for b in batches:
             ids_all, tags_all = (b.column(k).to_numpy(zero_copy_only=False) for k in (0, 2))
-            for a, z, data, off in texts(b.column(1)):
+            for a, z, data, off, begin in _blocks(b.column(1), length, PIECE):
                 ids, tags = ids_all[a:z], tags_all[a:z]
                 m, u, row, at, n = anchors(data, off, length)
                 if not len(m):
                     continue
                 order = np.lexsort((ids[row], u, m))
                 m, u, row, at, n = (x[order] for x in (m, u, row, at, n))
-                doc = ids[row]
-                new = np.ones(len(m), bool)
-                new[1:] = (m[1:] != m[:-1]) | (u[1:] != u[:-1])
-                lead = doc[np.flatnonzero(new)][np.cumsum(new) - 1]
-                known = doc > lead
+                doc, place = ids[row], off[row] + at
+                new_m = np.concatenate([[True], m[1:] != m[:-1]])
+                new = new_m | np.concatenate([[True], u[1:] != u[:-1]])
+                lead = np.flatnonzero(new)[np.cumsum(new) - 1]
+                later = np.flatnonzero(doc > doc[lead])
+                if len(later):
+                    later = later[(n[later] == n[lead[later]]) & _same(_eights(data), place[later], place[lead[later]], n[later] + length - 1)]
+                known = np.zeros(len(m), bool)
+                known[later] = True
+                at = at + begin
                 if known.any():
-                    d, spans = _spans(row[known], at[known], at[known] + n[known] + length - 1)
-                    rows = _by_row(d, spans, ids, tags)
-                    idb = blobs(np.column_stack([rows.column(k).to_numpy() for k in (0, 1)]).reshape(-1), 2 * np.arange(rows.num_rows))
-                    frag = rows.column(0).to_numpy() % fragments
-                    yield pa.RecordBatch.from_arrays([pa.array(frag, pa.int64()), pa.array(np.ones(rows.num_rows, np.int32)), idb, rows.column(2)], ["fragment", "kind", "ids", "body"])
-                m, u, row, at, n = (x[~known] for x in (m, u, row, at, n))
-                frag = (m >> U(8)) % U(fragments)
+                    yield of_docs(*_spans(row[known], at[known], at[known] + n[known] + length - 1), ids, tags, SPANS)
+                m, row, at, n = (x[~known] for x in (m, row, at, n))
+                m = m >> U(16)
+                each = np.unique(m)
+                slot = (each & U(len(blocks) - 1)).astype(np.int64)
+                blocks[slot] += blocks[slot] < 255
+                often = each[blocks[slot] > HOT_BLOCKS]
+                if len(often):
+                    fresh_ = often[~np.isin(often, hot)]
+                    if len(fresh_):  # the fragment is told, once for each task
+                        hot = np.union1d(hot, fresh_)
+                        f = (fresh_ % U(fragments)).astype(np.int64)
+                        yield pa.RecordBatch.from_arrays([pa.array(f), pa.array(np.full(len(f), MARKS, np.int32)), pa.array([b""] * len(f), pa.binary()), blobs(fresh_, np.arange(len(f)))], ["fragment", "kind", "ids", "body"])
+                    is_hot = np.isin(m, often)
+                    pick = np.flatnonzero(is_hot)[np.argsort(row[is_hot], kind="stable")]
+                    yield of_docs(row[pick], _opened(m[pick], at[pick], n[pick]), ids, tags, HOT)
+                    m, row, at, n = (x[~is_hot] for x in (m, row, at, n))
+                if not len(m):
+                    continue
+                frag = m % U(fragments)
                 order = np.argsort(frag, kind="stable")
                 frag = frag[order]
                 start = np.flatnonzero(np.concatenate([[True], frag[1:] != frag[:-1]]))
-                ends = np.concatenate([start[1:], [len(frag)]])
                 bodies, id_parts, kinds = [], [], []
-                for s, t in zip(start, ends, strict=True):
-                    pick = order[s:t]
+                for i, j in zip(start, [*start[1:], len(frag)], strict=True):
+                    pick = order[i:j]
                     docs, ordinal = np.unique(row[pick], return_inverse=True)
-                    body = b"".join([_six(m[pick] >> U(16)), _six(u[pick]), ordinal.astype(np.uint16 if len(docs) < 65536 else np.uint32).tobytes(), at[pick].astype(np.uint32).tobytes(), n[pick].astype(np.uint8).tobytes()])
-                    bodies.append(body)
+                    bodies.append(b"".join([_six(m[pick]), ordinal.astype(np.uint16 if len(docs) < 65536 else np.uint32).tobytes(), at[pick].astype(np.uint32).tobytes(), n[pick].astype(np.uint8).tobytes()]))
                     tagged = tags[docs].any()
-                    kinds.append(2 if tagged else 0)
+                    kinds.append(TAGGED if tagged else ENTRY)
                     id_parts.append(ids[docs].astype(np.int64).tobytes() + (tags[docs].astype(np.int64).tobytes() if tagged else b""))
                 yield pa.RecordBatch.from_arrays([pa.array(frag[start].astype(np.int64)), pa.array(kinds, pa.int32()), pa.array(id_parts, pa.binary()), pa.array(bodies, pa.binary())], ["fragment", "kind", "ids", "body"])
 
     return run
 
 
+def _opened(m: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    x = np.zeros(len(m), OPEN)
+    x["m"], x["at"], x["n"] = m, at, n
+    return x
+
+
 def _unpack(kind: np.ndarray, ids: pa.ChunkedArray, body: pa.ChunkedArray) -> tuple[np.ndarray, ...]:
-    """Anchor hash, run hash, index of the document, first start and number of windows of each entry; ids and tags of the documents."""
-    parts: list[list[np.ndarray]] = [[], [], [], [], [], [], []]
+    """Anchor hash, index of the document, first start and number of windows of each entry; ids and tags of the documents."""
+    parts: list[list[np.ndarray]] = [[], [], [], [], [], []]
     begin = 0
-    for tagged, i, x in zip(kind == 2, ids.to_pylist(), body.to_pylist(), strict=True):
+    for tagged, i, x in zip(kind == TAGGED, ids.to_pylist(), body.to_pylist(), strict=True):
         docs = np.frombuffer(i, np.int64)
         docs, tags = np.split(docs, 2) if tagged else (docs, np.zeros(len(docs), np.int64))
         wide = len(docs) >= 65536
-        n = len(x) // (21 if wide else 19)
-        raw = np.frombuffer(x, np.uint8)
-        w = 4 if wide else 2
-        parts[0].append(_from_six(raw[: 6 * n]))
-        parts[1].append(_from_six(raw[6 * n : 12 * n]))
-        parts[2].append(np.frombuffer(x, np.uint32 if wide else np.uint16, n, 12 * n).astype(np.int64) + begin)
-        parts[3].append(np.frombuffer(x, np.uint32, n, (12 + w) * n).astype(np.int64))
-        parts[4].append(np.frombuffer(x, np.uint8, n, (16 + w) * n).astype(np.int64))
-        parts[5].append(docs)
-        parts[6].append(tags)
+        n, w = len(x) // (15 if wide else 13), 4 if wide else 2
+        parts[0].append(_from_six(np.frombuffer(x, np.uint8, 6 * n)))
+        parts[1].append(np.frombuffer(x, np.uint32 if wide else np.uint16, n, 6 * n).astype(np.int64) + begin)
+        parts[2].append(np.frombuffer(x, np.uint32, n, (6 + w) * n).astype(np.int64))
+        parts[3].append(np.frombuffer(x, np.uint8, n, (10 + w) * n).astype(np.int64))
+        parts[4].append(docs)
+        parts[5].append(tags)
         begin += len(docs)
     return tuple(np.concatenate(p) for p in parts)
 
 
-OPEN = np.dtype([("m", "<u8"), ("at", "<u4"), ("n", "u1")])
-
-
-def _settle(length: int):
-    """Passes 1 and 2 in each fragment: rows (doc_id, tag, kind, body): spans (0) or open entries (1)."""
+def _settle(hot_group: int):
+    """In each fragment: rows (doc_id, tag, kind, body) of spans, and of the entries whose anchors occur in several documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, t in one_by_one(batches):
             kind = t.column("kind").to_numpy()
-            done = t.filter(pa.array(kind == 1))
-            if done.num_rows:
-                who = joined(done.column("ids"), np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(who[:, 0].copy()), pa.array(who[:, 1].copy()), pa.array(np.zeros(done.num_rows, np.int32)), done.column("body").combine_chunks()], ["doc_id", "tag", "kind", "body"])
-            t = t.filter(pa.array(kind != 1))
+            passed = t.filter(pa.array((kind == SPANS) | (kind == HOT)))
+            if passed.num_rows:
+                who = joined(passed.column("ids"), np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(who[:, 0].copy()), pa.array(who[:, 1].copy()), passed.column("kind").combine_chunks(), passed.column("body").combine_chunks()], ["doc_id", "tag", "kind", "body"])
+            marks = np.unique(joined(t.filter(pa.array(kind == MARKS)).column("body"), np.uint64))
+            packed = (kind == ENTRY) | (kind == TAGGED)
+            t = t.filter(pa.array(packed))
             if not t.num_rows:
                 continue
-            m, u, row, at, n, ids, tags = _unpack(kind[kind != 1], t.column("ids"), t.column("body"))
+            m, row, at, n, ids, tags = _unpack(kind[packed], t.column("ids"), t.column("body"))
             order = np.argsort(m, kind="stable")
-            ms = m[order]
-            same = np.zeros(len(ms), bool)
-            same[1:] = ms[1:] == ms[:-1]
-            alone = ~same
-            alone[:-1] &= ~same[1:]
-            order = order[~alone]  # pass 1: anchors that occur once are done with
-            if not len(order):
-                continue
-            m, u, row, at, n = (x[order] for x in (m, u, row, at, n))
-            order = np.lexsort((ids[row], u, m))
-            m, u, row, at, n = (x[order] for x in (m, u, row, at, n))
+            m, row, at, n = (x[order] for x in (m, row, at, n))
             doc = ids[row]
-            new_m = np.concatenate([[True], m[1:] != m[:-1]])
-            new_u = new_m | np.concatenate([[True], u[1:] != u[:-1]])
-            lead = doc[np.flatnonzero(new_u)][np.cumsum(new_u) - 1]
-            covered = doc > lead
-            if covered.any():
-                d, spans = _spans(row[covered], at[covered], at[covered] + n[covered] + length - 1)
-                yield _by_row(d, spans, ids, tags, 0)
-            starts = np.flatnonzero(new_m)
-            group = np.cumsum(new_m) - 1
-            kinds = np.add.reduceat(new_u.astype(np.int64), starts)
-            lowest, highest = np.minimum.reduceat(doc, starts), np.maximum.reduceat(doc, starts)
-            still = ((kinds > 1) & (lowest < highest))[group] & ~covered  # pass 2 leaves the first of each
-            if still.any():
-                pick = np.flatnonzero(still)
-                pick = pick[np.argsort(row[pick], kind="stable")]
-                x = np.zeros(len(pick), OPEN)
-                x["m"], x["at"], x["n"] = m[pick], at[pick], n[pick]
-                d = row[pick]
-                start = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]]))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[d[start]]), pa.array(tags[d[start]]), pa.array(np.ones(len(start), np.int32)), blobs(x, start)], ["doc_id", "tag", "kind", "body"])
+            new = np.concatenate([[True], m[1:] != m[:-1]])
+            start, group = np.flatnonzero(new), np.cumsum(new) - 1
+            hot = np.isin(m[start], marks) | (np.diff([*start, len(m)]) > hot_group)
+            several = np.minimum.reduceat(doc, start) < np.maximum.reduceat(doc, start)
+            for kind_, which in ((OPENED, several & ~hot), (HOT, hot)):
+                pick = np.flatnonzero(which[group])
+                if len(pick):
+                    pick = pick[np.argsort(row[pick], kind="stable")]
+                    yield _by_row(row[pick], _opened(m[pick], at[pick], n[pick]), ids, tags, kind_)
 
     return run
 
 
 def _spell(fragments: int, length: int):
-    """Open entries with their texts to rows (fragment, ids, at, n, body): the covered bytes of each."""
+    """Open entries with their texts to rows (fragment, m, doc_id, tag, at, body): the covered bytes of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, tag, text, packed in zip(*(b.column(c).to_pylist() for c in range(4)), strict=True):
-                x = np.frombuffer(packed, OPEN)
-                raw = text.encode()
-                # Within a document, an anchor's same bytes are needed once for each place.
-                body = [raw[a : a + n + length - 1] for a, n in zip(x["at"].tolist(), x["n"].tolist(), strict=True)]
-                k = len(x)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array((x["m"] % U(fragments)).astype(np.int64)), pa.array(x["m"].astype(np.int64)),
-                    pa.array(np.full(k, i, np.int64)), pa.array(np.full(k, tag, np.int64)), pa.array(x["at"].astype(np.int64)), pa.array(body, pa.binary()),
-                ], ["fragment", "m", "doc_id", "tag", "at", "body"])
+                x, raw = np.frombuffer(b"".join(packed), OPEN), text.encode()
+                for k in range(0, len(x), 1 << 16):
+                    y = x[k : k + (1 << 16)]
+                    body = [raw[a : a + n + length - 1] for a, n in zip(y["at"].tolist(), y["n"].tolist(), strict=True)]
+                    m = y["m"].astype(np.uint64)
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array((m % U(fragments)).astype(np.int64)), pa.array(m.astype(np.int64)),
+                        pa.array(np.full(len(y), i, np.int64)), pa.array(np.full(len(y), tag, np.int64)), pa.array(y["at"].astype(np.int64)), pa.array(body, pa.binary()),
+                    ], ["fragment", "m", "doc_id", "tag", "at", "body"])
 
     return run
 
 
-def _windows(length: int):
-    """Pass 3 in each fragment: the windows of entries with equal anchors, digit by digit; rows (doc_id, tag, kind, body) of spans."""
+SPELLED = "fragment long, m long, doc_id long, tag long, at long, body binary"
+
+
+def _groups(group: np.ndarray, digit: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A radix pass: the order by (group, digit), of what is in a group of several documents; and the new group of each."""
+    order = np.lexsort((digit, group))
+    g, x, d = group[order], digit[order], d[order]
+    new = np.concatenate([[True], (g[1:] != g[:-1]) | (x[1:] != x[:-1])]) if len(g) else np.zeros(0, bool)
+    start, ids = np.flatnonzero(new), np.cumsum(new) - 1
+    if not len(start):
+        return order, ids
+    keep = (np.minimum.reduceat(d, start) < np.maximum.reduceat(d, start))[ids]
+    return order[keep], ids[keep]
+
+
+def _later(group: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Of sorted groups, the members whose document isn't the smallest of their group."""
+    if not len(group):
+        return np.zeros(0, bool)
+    new = np.concatenate([[True], group[1:] != group[:-1]])
+    return d > np.minimum.reduceat(d, np.flatnonzero(new))[np.cumsum(new) - 1]
+
+
+def _radix(length: int):
+    """In each fragment the radix passes over runs and then over windows; rows (doc_id, tag, kind, body) of spans."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, t in one_by_one(batches):
-            m = t.column("m").to_numpy()
-            doc, at = t.column("doc_id").to_numpy(), t.column("at").to_numpy()
+            m, doc, at = (t.column(c).to_numpy() for c in ("m", "doc_id", "at"))
             row, docs, tags = _numbered(doc, t.column("tag").to_numpy())
-            data = joined(t.column("body"), np.uint8)
-            size = np.array([len(x) for x in t.column("body").to_pylist()])
-            begin = np.concatenate([[0], np.cumsum(size)[:-1]])
-            n = size - length + 1
-            entry = np.repeat(np.arange(len(m)), n)
+            bodies = t.column("body").to_pylist()
+            size = np.array([len(x) for x in bodies])
+            begin = np.cumsum(size) - size
+            digits = _eights(np.frombuffer(b"".join(bodies) + bytes(length + 80), np.uint8))
+            # Runs: equal ones have the same anchor and length, and are compared through their whole length.
+            left, group = np.arange(len(m)), (m.astype(np.uint64) << U(16) | size.astype(np.uint64))
+            covered = np.zeros(len(m), bool)
+            for depth in range(0, int(size.max()), 8):
+                digit = digits[begin[left] + depth] & _low_bytes(size[left] - depth)
+                order, group = _groups(group, digit, doc[left])
+                left = left[order]
+            covered[left[_later(group, doc[left])]] = True
+            if covered.any():
+                c = np.flatnonzero(covered)
+                yield _by_row(*_spans(row[c], at[c], at[c] + size[c]), docs, tags, SPANS)
+            # Windows of the other runs.
+            left = np.flatnonzero(~covered)
+            order, group = _groups(m[left], np.zeros(len(left), np.int64), doc[left])
+            left = left[order]
+            n = size[left] - length + 1
+            entry, group = np.repeat(left, n), np.repeat(group, n)
             inner = np.arange(len(entry)) - np.repeat(np.cumsum(n) - n, n)
-            place = begin[entry] + inner
-            digits = _eights(np.concatenate([data, np.zeros(length + 8, np.uint8)]))
-            group = m[entry]
-            d = doc[entry]
             for depth in range(0, length, 8):
-                digit = digits[place + depth]
+                digit = digits[begin[entry] + inner + depth]
                 if depth + 8 > length:
                     digit = digit & U((1 << (8 * (length - depth))) - 1)
-                order = np.lexsort((digit, group))
-                g, x = group[order], digit[order]
-                new = np.concatenate([[True], (g[1:] != g[:-1]) | (x[1:] != x[:-1])]) if len(g) else np.zeros(0, bool)
-                ids = np.cumsum(new) - 1
-                start = np.flatnonzero(new)
-                ds = d[order]
-                mixed = np.minimum.reduceat(ds, start) < np.maximum.reduceat(ds, start) if len(start) else np.zeros(0, bool)
-                keep = mixed[ids] if len(start) else new
-                entry, inner, place, d, group = entry[order][keep], inner[order][keep], place[order][keep], ds[keep], ids[keep]
+                order, group = _groups(group, digit, doc[entry])
+                entry, inner = entry[order], inner[order]
                 if not len(entry):
                     break
-            if len(entry):
-                start = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-                lead = np.minimum.reduceat(d, start)[np.cumsum(np.concatenate([[True], group[1:] != group[:-1]])) - 1]
-                hit = d > lead
-                if hit.any():
-                    a = at[entry[hit]] + inner[hit]
-                    who, spans = _spans(row[entry[hit]], a, a + length)
-                    yield _by_row(who, spans, docs, tags, 0)
+            hit = _later(group, doc[entry])
+            if hit.any():
+                a = at[entry[hit]] + inner[hit]
+                yield _by_row(*_spans(row[entry[hit]], a, a + length), docs, tags, SPANS)
 
     return run
 
 
+def _packed_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, tag, start, end) to rows (doc_id, tag, kind, body)."""
+    for b in batches:
+        doc, tag, start, end = (c.to_numpy() for c in b.columns)
+        row, docs, tags = _numbered(doc, tag)
+        if len(row):
+            yield _by_row(*_spans(row, start, end), docs, tags, SPANS)
+
+
+def _hot_spans(spelled: DataFrame, length: int) -> DataFrame:
+    """Rows (doc_id, tag, kind, body) of spans in the runs of hot anchors: grouped by their bytes, whole runs first and then windows."""
+    runs = materialize(spelled.select("doc_id", "tag", "at", "body"), "hot-runs")
+    first = materialize(runs.groupBy("body").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("k")).where("k > 1").select("body", "first"), "hot-first")
+    marked = runs.join(small(first), "body", "left")
+    whole = marked.where("doc_id > first").select("doc_id", "tag", F.col("at").alias("start"), (F.col("at") + F.octet_length("body")).alias("end"))
+    rest = marked.where("first IS NULL OR doc_id = first").select("doc_id", "tag", "at", "body")
+    windows = rest.select("doc_id", "tag", "at", "body", F.explode(F.sequence(F.lit(0), F.octet_length("body") - length)).alias("i"))
+    windows = materialize(windows.select("doc_id", "tag", (F.col("at") + F.col("i")).alias("start"), F.substring("body", F.col("i") + 1, F.lit(length)).alias("w")), "hot-windows")
+    least = windows.groupBy("w").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("w", "first")
+    inside = windows.join(small(materialize(least, "hot-least")), "w").where("doc_id > first").select("doc_id", "tag", "start", (F.col("start") + length).alias("end"))
+    return whole.unionByName(inside).mapInArrow(_packed_spans, "doc_id long, tag long, kind int, body binary")
+
+
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (doc_id, tag, body) sorted by document to one row for each document and tag."""
-    from siltstone.llm.shared import grouped
-
     for t in grouped(batches, rows=1 << 14):
         lens = np.array([len(x) // 8 for x in t.column("body").to_pylist()])
         spans = joined(t.column("body"), np.int32).reshape(-1, 2)
@@ -344,24 +430,25 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _by_row(row, merged, ids, tags)
 
 
-def _with_body(docs: DataFrame, spans: DataFrame, how: str, key: tuple[str, ...] = ("doc_id", "tag")) -> DataFrame:
-    """`docs` joined with rows (id, tag, body): broadcast behind a check of their size, shuffled beyond it."""
-    total = spans.agg(F.coalesce(F.sum(F.octet_length("body")), F.lit(0)).alias("b"), F.count(F.lit(1)).alias("n")).first()
+def _with_body(docs: DataFrame, spans: DataFrame, how: str, key: tuple[str, ...], size: Column) -> DataFrame:
+    """`docs` joined with materialized rows of bytes, `size` of them in each: broadcast behind a check of their size, shuffled beyond it."""
+    total = spans.agg(F.coalesce(F.sum(size), F.lit(0)).alias("b"), F.count(F.lit(1)).alias("n")).first()
     return docs.join(F.broadcast(spans) if total.b + 32 * total.n <= BROADCAST_BYTES else spans, list(key), how)
 
 
-def _tagged(docs: DataFrame, twice: DataFrame | None, key: str = "doc_id") -> DataFrame:
-    """`docs` with _tag: a hash of the text where the document's id is in `twice`, else 0."""
+def _tagged(docs: DataFrame, twice: DataFrame | None, key: str = "doc_id", name: str = "_tag") -> DataFrame:
+    """`docs` with a tag: a hash of the text where the document's id is in `twice`, else 0."""
     if twice is None:
-        return docs.withColumn("_tag", F.lit(0).cast("long"))
-    known = small(twice.select(F.col("doc_id").alias("_twice")))
-    return docs.join(known, F.col(key) == F.col("_twice"), "left").withColumn("_tag", F.when(F.col("_twice").isNotNull(), F.xxhash64("text")).otherwise(F.lit(0).cast("long"))).drop("_twice")
+        return docs.withColumn(name, F.lit(0).cast("long"))
+    (mark,) = fresh(docs, "_twice")
+    known = small(twice.select(F.col("doc_id").alias(mark)))
+    return docs.join(known, docs[key] == F.col(mark), "left").withColumn(name, F.when(F.col(mark).isNotNull(), F.xxhash64("text")).otherwise(F.lit(0).cast("long"))).drop(mark)
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame | None]:
     """(_id, _tag, body): packed int32 pairs [start, end) of what is to be removed, for the documents where anything is; and the doc_ids that have several texts, if any do. Materialized."""
     slim = docs.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= length)).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    mark = F.md5(F.col("text").cast("binary"))
+    mark = F.sha2(F.col("text").cast("binary"), 256)
     marks = materialize(slim.select("doc_id", mark.alias("k"), F.octet_length("text").alias("size"), F.xxhash64("text").alias("h")), "marks")
     twice = materialize(marks.groupBy("doc_id").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("doc_id"), "twice")
     twice = twice if twice.limit(1).count() else None
@@ -372,12 +459,17 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, Da
     # A doc_id may repeat with other texts; only rows of the copied text are left out.
     rest = _tagged(slim, twice).withColumnRenamed("_tag", "tag").join(small(copies), ["doc_id", "tag"], "left_anti").select("doc_id", "text", "tag")
     entries = rest.mapInArrow(_entries(fragments, length), "fragment long, kind int, ids binary, body binary")
-    settled = materialize(dealt(entries, "fragment", shuffles(docs)).mapInArrow(_settle(length), "doc_id long, tag long, kind int, body binary"), "settled")
-    opened = materialize(settled.where("kind = 1").groupBy("doc_id", "tag").agg(F.collect_list("body").alias("body")).select("doc_id", "tag", F.aggregate("body", F.lit(b""), lambda s, x: F.concat(s, x)).alias("body")), "open")
-    spelled = _with_body(rest, opened, "inner").select("doc_id", "tag", "text", "body").mapInArrow(_spell(fragments, length), "fragment long, m long, doc_id long, tag long, at long, body binary")
-    rows = dealt(spelled, "fragment", shuffles(docs)).mapInArrow(_windows(length), "doc_id long, tag long, kind int, body binary")
-    whole = copies.select("doc_id", "tag", F.lit(0).alias("kind"), F.unhex(F.concat(F.lit("00000000"), *[F.lpad(F.hex(F.shiftright(F.col("size"), 8 * k).bitwiseAND(F.lit(255))), 2, "0") for k in range(4)])).alias("body"))
-    spans = settled.where("kind = 0").unionByName(rows).unionByName(whole)
+    settled = materialize(dealt(entries, "fragment", shuffles(docs)).mapInArrow(_settle(HOT_GROUP), "doc_id long, tag long, kind int, body binary"), "settled")
+
+    def spelled(kind: int) -> DataFrame:
+        found = settled.where(F.col("kind") == kind).groupBy("doc_id", "tag").agg(F.collect_list("body").alias("body"), F.sum(F.octet_length("body")).alias("size"))
+        return _with_body(rest, materialize(found, "open"), "inner", ("doc_id", "tag"), F.col("size")).select("doc_id", "tag", "text", "body").mapInArrow(_spell(fragments, length), SPELLED)
+
+    rows = dealt(spelled(OPENED), "fragment", shuffles(docs)).mapInArrow(_radix(length), "doc_id long, tag long, kind int, body binary")
+    if settled.where(F.col("kind") == HOT).limit(1).count():
+        rows = rows.unionByName(_hot_spans(spelled(HOT), length))
+    whole = copies.select("doc_id", "tag", F.lit(SPANS).alias("kind"), F.unhex(F.concat(F.lit("00000000"), *[F.lpad(F.hex(F.shiftright(F.col("size"), 8 * k).bitwiseAND(F.lit(255))), 2, "0") for k in range(4)])).alias("body"))
+    spans = settled.where(F.col("kind") == SPANS).unionByName(rows).unionByName(whole)
     merged = dealt(spans.select("doc_id", "tag", "body"), "doc_id").mapInArrow(_merged, "doc_id long, tag long, body binary")
     return materialize(merged, "spans").select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"), F.col("body")), twice
 
@@ -410,14 +502,15 @@ def repeats_report(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(g, pa.int64()), pa.array(r, pa.int64()), pa.array(h, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    both = _with_body(_tagged(docs.select("doc_id", "text", F.col("doc_id").cast("long").alias("_id")), twice, "_id"), spans, "left", ("_id", "_tag")).select("doc_id", "text", "body")
+    both = _with_body(_tagged(docs.select("doc_id", "text", F.col("doc_id").cast("long").alias("_id")), twice, "_id"), spans, "left", ("_id", "_tag"), F.octet_length("body")).select("doc_id", "text", "body")
     return both.mapInArrow(run, f"doc_id {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """`docs` with the repeated bytes cut out of `text`; a character of which a part went goes as a whole. Columns may have any names but _id, _tag, _twice, _body."""
+    """`docs` with the repeated bytes cut out of `text`; a character of which a part went goes as a whole. Columns may have any names."""
     spans, twice = repeated_spans(docs, length)
-    spans = spans.withColumnRenamed("body", "_body")
+    i, tag, body = fresh(docs, "_id", "_tag", "_body")
+    spans = spans.select(F.col("_id").alias(i), F.col("_tag").alias(tag), F.col("body").alias(body))
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -430,10 +523,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             cols[at] = pa.array(out, pa.string())
             yield pa.RecordBatch.from_arrays(cols, b.schema.names[:-1])
 
-    both = _tagged(docs.withColumn("_id", F.col("doc_id").cast("long")), twice, "_id")
-    total = spans.agg(F.coalesce(F.sum(F.octet_length("_body")), F.lit(0)).alias("b"), F.count(F.lit(1)).alias("n")).first()
-    both = both.join(F.broadcast(spans) if total.b + 32 * total.n <= BROADCAST_BYTES else spans, ["_id", "_tag"], "left")
-    return both.select(*docs.columns, "_body").mapInArrow(run, docs.schema)
+    both = _tagged(docs.withColumn(i, F.col("doc_id").cast("long")), twice, i, tag)
+    both = _with_body(both, spans, "left", (i, tag), F.octet_length(body))
+    return both.select(*docs.columns, body).mapInArrow(run, docs.schema)
 
 
 ORACLE = """

@@ -8,6 +8,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from siltstone.llm import components, decontaminate, ngrams, suffixes
 from siltstone.llm.components import connected
@@ -212,11 +213,81 @@ def brute_repeats(rows, length=50):
     return out
 
 
-def test_repeats(spark, docs):
+@pytest.mark.parametrize("blocks, group, piece", [(32, 4000, 4 << 20), (0, 4000, 4 << 20), (32, 2, 4 << 20), (32, 4000, 300)])
+def test_repeats(spark, docs, monkeypatch, blocks, group, piece):
+    """Also with all anchors hot, with those of more than two entries hot, and with texts cut into pieces."""
+    for name, value in (("HOT_BLOCKS", blocks), ("HOT_GROUP", group), ("PIECE", piece)):
+        monkeypatch.setattr(suffixes, name, value)
     got = suffixes.repeats_report(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
     assert multiset(got) == multiset(brute_repeats(texts()))
 
 
+def removed_in_process(rows, length=50, hot_group=4000):
+    """The passes one after another, without Spark: removed positions of each document, by the pass that decided them."""
+    import pyarrow as pa
+
+    def sorted_by_fragment(batches):
+        return pa.Table.from_batches(batches).sort_by("fragment").combine_chunks().to_batches()
+
+    def positions(batches):
+        out = collections.defaultdict(set)
+        for b in batches:
+            for r in b.to_pylist():
+                if r["kind"] == suffixes.SPANS:
+                    x = memoryview(r["body"]).cast("i").tolist()
+                    for a, z in zip(x[::2], x[1::2], strict=True):
+                        out[r["doc_id"]] |= set(range(a, z))
+        return out
+
+    ids, strings = zip(*rows, strict=True)
+    table = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(strings), pa.array([0] * len(ids), pa.int64())], ["doc_id", "text", "tag"])
+    settled = list(suffixes._settle(hot_group)(iter(sorted_by_fragment(list(suffixes._entries(3, length)(iter(table.slice(k, 9) for k in range(0, len(rows), 9))))))))
+    opened = collections.defaultdict(list)
+    for b in settled:
+        for r in b.to_pylist():
+            if r["kind"] in (suffixes.OPENED, suffixes.HOT):
+                opened[r["doc_id"]].append(r["body"])
+    text = dict(rows)
+    batch = pa.RecordBatch.from_arrays([pa.array(list(opened), pa.int64()), pa.array([0] * len(opened), pa.int64()), pa.array([text[i] for i in opened]), pa.array(list(opened.values()), pa.list_(pa.binary()))], ["doc_id", "tag", "text", "body"])
+    spelled = list(suffixes._spell(3, length)(iter([batch])))
+    return positions(settled), positions(suffixes._radix(length)(iter(sorted_by_fragment(spelled))))
+
+
+def brute_positions(rows, length=50):
+    first, out = {}, collections.defaultdict(set)
+    for i, t in rows:
+        raw = t.encode()
+        for p in range(len(raw) - length + 1):
+            first[raw[p : p + length]] = min(first.get(raw[p : p + length], i), i)
+    for i, t in rows:
+        raw = t.encode()
+        for p in range(len(raw) - length + 1):
+            if first[raw[p : p + length]] < i:
+                out[i] |= set(range(p, p + length))
+    return out
+
+
+@pytest.mark.parametrize("bits", [64, 20, 0])
+def test_bytes_decide_whatever_the_hashes_say(monkeypatch, bits):
+    """Hashes that collide route more together and settle nothing: of anchors only `bits` bits are left, of runs none."""
+    import numpy as np
+
+    plain = suffixes.anchors
+
+    def blunt(data, off, length=50):
+        m, u, row, at, n = plain(data, off, length)
+        keep = np.uint64(((1 << bits) - 1) << (64 - bits))
+        return m & keep, u if bits == 64 else u * np.uint64(0), row, at, n
+
+    monkeypatch.setattr(suffixes, "anchors", blunt)
+    rows = [(i, t) for i, t in texts() if i is not None and t is not None and i not in (11, 123) and len(t) < 4000]
+    local, radix = removed_in_process(rows)
+    want = brute_positions(rows)
+    assert {i: local[i] | radix[i] for i in set(local) | set(radix)} == want
+    by_digits = sum(len(radix[i] - local[i]) for i in radix)
+    assert by_digits > 0.2 * sum(map(len, want.values()))  # the others were compared byte by byte within their blocks of nine
+
+
 def test_repeats_without_broadcast(spark, docs, monkeypatch):
     monkeypatch.setattr(suffixes, "BROADCAST_BYTES", -1)
     got = suffixes.repeats_report(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
@@ -235,6 +306,22 @@ def test_texts_of_a_repeated_id_are_apart(spark, monkeypatch):
     assert {b, d} <= {r.text for r in suffixes.remove_repeats(edge(spark, rows)).where("doc_id IN (5, 7)").collect()}
 
 
+def test_columns_of_any_name(spark):
+    shared = "a passage that is long enough to be found in both of these texts"
+    rows = [(1, f"first {shared}", 777, 1, 2, "b", 3), (2, f"second {shared} end", 778, 1, 2, "b", 3), (2, "other", 779, 1, 2, "b", 3)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, _id int, _TAG int, _twice int, _body string, _key int")
+    out = suffixes.remove_repeats(table)
+    assert out.columns == table.columns
+    assert multiset(out.drop("text").collect()) == multiset(table.drop("text").collect())
+    assert {r.text for r in out.collect()} == {f"first {shared}", "second" + " end", "other"}
+    bench = spark.createDataFrame([(1, "first a passage")], "item_id long, text string")
+    for mode, n in (("document", 2), ("span", 3)):
+        clean = decontaminate.decontaminate(table, bench, mode=mode)
+        assert clean.columns == table.columns and multiset(clean.drop("text").collect()) <= multiset(table.drop("text").collect()) and clean.count() == n
+    with pytest.raises(ValueError):
+        decontaminate.hits(table.withColumn("items", F.lit(1)), bench, keep=("items",))
+
+
 def test_remove_repeats(spark, docs, empty):
     out = suffixes.remove_repeats(docs)
     assert out.columns == docs.columns and out.count() == docs.count()
