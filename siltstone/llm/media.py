@@ -1,12 +1,14 @@
 """Media columns: payloads stored as images in archives, and a Python data source that streams them back.
 
 A payload is cut into lines of `LINE` bytes and stored as a lossless 8-bit grey image (PNG), a member of a ZIP
-archive; a partition writes one archive. The source plans byte ranges over the archives of a folder; the reader of a
-range takes the members whose local header starts in it, as the archive's directory lists them, and streams batches
-through Arrow. A member is read at its offset by itself and checked; on failure it alone is tried again.
+archive; a partition writes one archive. The source plans ranges over the archives of a folder, one for about
+`rangeBytes` of an archive: an equal share of the bytes of the archive's directory. The reader of a range reads that
+share only, takes the members whose records begin in it, and streams batches through Arrow. A member is read at its
+offset by itself and checked; on failure it alone is tried again.
 
 Defined results: a null text is an empty one, and an empty text fills one line; equal texts have equal values;
-repeated rows are stored one by one; a null doc_id stays null; other columns are ignored.
+repeated rows are stored one by one; a null doc_id stays null; an empty table gives no rows; a text of any length is
+one member, which has to fit in memory a few times over; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ import time
 import zipfile
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -86,8 +89,76 @@ def write_media(docs: DataFrame, folder: str) -> None:
 
 
 class Range(InputPartition):
-    def __init__(self, name: str, start: int, end: int):
-        self.name, self.start, self.end = name, start, end
+    """Part k of n of an archive: the members whose records begin in that stretch of its directory."""
+
+    def __init__(self, name: str, size: int, k: int, n: int):
+        self.name, self.size, self.k, self.n = name, size, k, n
+
+
+class Member(NamedTuple):
+    name: str
+    offset: int
+    size: int
+    crc: int
+
+
+#: Fixed layouts of the archive format: end record, its 64-bit locator and record, member record of the directory.
+END, LOCATOR, END64, RECORD = struct.Struct("<4s4H2IH"), struct.Struct("<4sIQI"), struct.Struct("<4sQ2H2I4Q"), struct.Struct("<4s6H3I5H2I")
+MARGIN = 1 << 18
+
+
+def directory(f, size: int) -> tuple[int, int]:
+    """Begin and end of an archive's directory, read from the archive's tail."""
+    for length in (END.size + LOCATOR.size, END.size + LOCATOR.size + 0xFFFF):
+        begin = max(0, size - length)
+        f.seek(begin)
+        tail = f.read(size - begin)
+        at = tail.rfind(b"PK\5\6")
+        if at >= 0:
+            break
+    else:
+        raise ValueError("no directory")
+    *_, n, start, _ = END.unpack_from(tail, at)
+    if 0xFFFFFFFF in (n, start):
+        f.seek(LOCATOR.unpack_from(tail, at - LOCATOR.size)[2])
+        *_, n, start = END64.unpack(f.read(END64.size))
+    return start, start + n
+
+
+def members(f, size: int, k: int, n: int) -> list[Member]:
+    """The members whose directory records begin in part k of n of the directory; only that part is read."""
+    start, end = directory(f, size)
+    a, z = start + (end - start) * k // n, start + (end - start) * (k + 1) // n
+    f.seek(a)
+    data = f.read(min(end, z + MARGIN) - a)
+
+    def after(p: int) -> int:
+        head = RECORD.unpack_from(data, p) if p + RECORD.size <= len(data) and data[p : p + 4] == b"PK\1\2" else None
+        return p + RECORD.size + sum(head[10:13]) if head else -1
+
+    p = 0
+    while a + p < z:  # a record begins where another one, or the end, follows it
+        q = after(p)
+        if q >= 0 and (a + q == end or data[q : q + 4] == b"PK\1\2"):
+            break
+        p = data.find(b"PK\1\2", p + 1)
+        if p < 0:
+            return []
+    out = []
+    while a + p < z:
+        head, q = RECORD.unpack_from(data, p), after(p)
+        crc, stored, whole, names, extra = head[7:12]
+        offset, at = head[16], p + RECORD.size + names
+        name, stop = data[at - names : at].decode(), at + extra
+        while at + 4 <= stop:  # sizes that don't fit follow in a field of their own
+            kind, length = struct.unpack_from("<HH", data, at)
+            if kind == 1:
+                wide = iter(struct.unpack_from(f"<{length // 8}Q", data, at + 4))
+                whole, stored, offset = (next(wide) if x == 0xFFFFFFFF else x for x in (whole, stored, offset))
+            at += 4 + length
+        out.append(Member(name, offset, stored, crc))
+        p = q
+    return out
 
 
 class MediaReader(DataSourceReader):
@@ -97,27 +168,28 @@ class MediaReader(DataSourceReader):
         self.tries = int(options.get("tries", 3))
 
     def partitions(self):
-        return [Range(name, a, min(a + self.bytes, size)) for name, size in listed(self.folder, ".zip") if size > 22 for a in range(0, size, self.bytes)] or [Range("", 0, 0)]
+        parts = [(name, size, -(-size // self.bytes)) for name, size in listed(self.folder, ".zip") if size > 22]
+        return [Range(name, size, k, n) for name, size, n in parts for k in range(n)] or [Range("", 0, 0, 1)]
 
-    def member(self, partition: Range, info: zipfile.ZipInfo) -> tuple[bytes, bytes]:
+    def member(self, partition: Range, info: Member) -> tuple[bytes, bytes]:
         """The stored form and the payload of the member at its offset."""
         system, base = opened(self.folder)
         for k in range(self.tries):
             try:
                 with system.open_input_file(f"{base}/{partition.name}") as f:
-                    f.seek(info.header_offset)
+                    f.seek(info.offset)
                     head = f.read(30)
                     if head[:4] != b"PK\x03\x04":
                         raise ValueError("no member")
                     names, extra = struct.unpack_from("<HH", head, 26)
-                    f.seek(info.header_offset + 30 + names + extra)
-                    stored = f.read(info.compress_size)
-                if zlib.crc32(stored) != info.CRC:
+                    f.seek(info.offset + 30 + names + extra)
+                    stored = f.read(info.size)
+                if zlib.crc32(stored) != info.crc:
                     raise ValueError("damaged member")
                 return stored, from_png(stored)
             except (OSError, ValueError) as e:
                 if k + 1 == self.tries:
-                    raise ValueError(f"{partition.name}, member at {info.header_offset}: {e}") from e
+                    raise ValueError(f"{partition.name}, member at {info.offset}: {e}") from e
                 time.sleep(0.1 * 2**k)
         raise AssertionError
 
@@ -125,15 +197,15 @@ class MediaReader(DataSourceReader):
         if not partition.name:
             return
         system, base = opened(self.folder)
-        with system.open_input_file(f"{base}/{partition.name}") as f, zipfile.ZipFile(f) as z:
-            members = [i for i in z.infolist() if partition.start <= i.header_offset < partition.end]
+        with system.open_input_file(f"{base}/{partition.name}") as f:
+            found = members(f, partition.size, partition.k, partition.n)
         ids, stored, payload, size = [], [], [], 0
 
         def batch() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(stored, pa.binary()), pa.array(payload, pa.binary())], ["doc_id", "stored", "payload"])
 
-        for info in members:
-            doc_id = info.filename.partition("_")[2].removesuffix(".png")
+        for info in found:
+            doc_id = info.name.partition("_")[2].removesuffix(".png")
             s, p = self.member(partition, info)
             ids.append(int(doc_id) if doc_id else None)
             stored.append(s)

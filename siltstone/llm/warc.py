@@ -8,8 +8,9 @@ never inflated.
 Payloads of at least `LEAST` bytes that occur several times are stored once: the record with the largest page_id is
 the response, the others are revisits that name it. Defined results: a null html is an empty payload; a null url is
 empty; a null page_id is written as such and is never another record's response; rows that repeat the page_id of the
-response with the same payload are responses too; control characters in a url are percent-encoded; other columns
-are ignored.
+response with the same payload are responses too (the only tie); control characters in a url are percent-encoded; a
+payload of any length is one record, which has to fit in memory a few times over; an empty table gives an archive
+without records, and no rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -195,18 +196,17 @@ def read_warc(spark, folder: str, payload: bool = True) -> DataFrame:
 
 
 def warc_report(pages: DataFrame) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to: read back from archives written for `pages`."""
-    folder = work_dir(pages.sparkSession, "warc")
+    """page_id, payload_bytes, payload_digest, record_type, refers_to: read back from archives written for `pages`.
+
+    Length and digest of responses come from their inflated payloads; revisits are read by their headers alone. Both
+    reads push their record_type down.
+    """
+    spark, folder = pages.sparkSession, work_dir(pages.sparkSession, "warc")
     write_warc(pages, folder)
-    got = read_warc(pages.sparkSession, folder)
-    response = F.col("record_type") == "response"
-    return got.select(
-        "page_id",
-        F.when(response, F.octet_length("payload").cast("long")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
-        F.when(response, F.sha1("payload")).otherwise(F.col("payload_digest")).alias("payload_digest"),
-        "record_type",
-        "refers_to",
-    )
+    responses = read_warc(spark, folder).where("record_type = 'response'")
+    responses = responses.select("page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"), "record_type", "refers_to")
+    revisits = read_warc(spark, folder, payload=False).where("record_type = 'revisit'")
+    return responses.unionByName(revisits.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
 
 
 ORACLE = """
