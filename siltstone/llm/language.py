@@ -7,12 +7,14 @@ text with A-Z lower-cased and everything but letters made one blank.
 
 A language's filter takes the n-grams that are frequent in it: in at least `LEAST` of its sampled texts and at least
 `SHARE` of the rate of the language where it is most frequent, so that quoted passages of another language stay out.
-Training takes at most `SAMPLE` texts of each language, those with the lowest hash of their id; every row is
-predicted from its whole text.
+Training takes about `SAMPLE` texts of each language, those whose id's hash lies below a bound that the language's
+count implies (the bound is the only limit); all n-grams that pass enter the filter, which has at least `SLOTS` rows
+for each n-gram of the largest language. Every row is predicted from its whole text.
 
 Defined results: a null text, or one without a letter, is `und` with score 0, and so is every text if nothing was
 learned; equal scores go to the language that sorts first; equal texts have equal results; repeated rows are judged
-one by one; rows with a null lang or id teach nothing.
+one by one; rows with a null lang or id teach nothing; an empty table gives no rows; a very long text is counted in
+stretches, at some 20 bytes of memory for each of its bytes; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -25,9 +27,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.llm.shared import LOWER, U, materialize, mix, texts
+from siltstone.llm.shared import LOWER, STRETCH, U, materialize, mix, texts
 
-SAMPLE, LEAST, SHARE, ROWS, PROBES, MOST = 3000, 0.002, 0.3, 1 << 18, 2, 50_000
+SAMPLE, LEAST, SHARE, ROWS, SLOTS, PROBES = 3000, 0.002, 0.3, 1 << 18, 16, 2
 
 _LETTER = LOWER.copy()
 _LETTER[: ord("a")] = 0x20
@@ -35,8 +37,23 @@ _LETTER[ord("A") : ord("Z") + 1] = LOWER[ord("A") : ord("Z") + 1]
 _LETTER[ord("z") + 1 : 128] = 0x20
 
 
-def grams(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Four-byte n-grams of each text of a block and their rows; a blank stands before each text."""
+def grams(data: np.ndarray, off: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Four-byte n-grams of each text of a block and their rows, a long text's in stretches; a blank stands before each text."""
+    if len(off) > 2 or len(data) <= STRETCH:
+        yield _grams(data, off)
+        return
+    x = np.full(len(data) + 1, 0x20, np.uint8)
+    x[1:] = _LETTER[data]
+    keep = np.ones(len(x), bool)
+    keep[1:] = (x[1:] != 0x20) | (x[:-1] != 0x20)
+    x = x[keep]
+    for k in range(0, len(x) - 3, STRETCH):
+        y = x[k : k + STRETCH + 3].astype(np.uint32)
+        g = y[:-3] | y[1:-2] << 8 | y[2:-1] << 16 | y[3:] << 24
+        yield g, np.zeros(len(g), np.int64)
+
+
+def _grams(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(off) - 1
     row = np.repeat(np.arange(n), np.diff(off))
     x = np.full(len(data) + n, 0x20, np.uint8)
@@ -55,7 +72,7 @@ def grams(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return g[whole], rows[:-3][whole]
 
 
-def _slots(g: np.ndarray, rows: int = ROWS) -> list[np.ndarray]:
+def _slots(g: np.ndarray, rows: int) -> list[np.ndarray]:
     h = mix(g.astype(np.uint64) + U(0x9E3779B97F4A7C15))
     return [((h >> U(32 * k)) & U(rows - 1)).astype(np.int64) for k in range(PROBES)]
 
@@ -68,9 +85,10 @@ class LanguageFilter:
     @classmethod
     def build(cls, members: dict[str, np.ndarray]) -> LanguageFilter:
         languages = sorted(members)
-        masks = np.zeros((ROWS, max(1, -(-len(languages) // 64))), np.uint64)
+        rows = max(ROWS, 1 << (SLOTS * max(map(len, members.values()), default=0)).bit_length())
+        masks = np.zeros((rows, max(1, -(-len(languages) // 64))), np.uint64)
         for k, lang in enumerate(languages):
-            for at in _slots(members[lang]):
+            for at in _slots(members[lang], rows):
                 masks[at, k // 64] |= U(1 << (k % 64))
         return cls(languages, masks)
 
@@ -82,15 +100,15 @@ class LanguageFilter:
     def count(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
         """Corrected counts: texts x languages."""
         n = len(off) - 1
-        g, row = grams(data, off)
-        a, b = _slots(g)
-        total = np.bincount(row, minlength=n)
-        hits = np.zeros((n, len(self.languages)))
-        for word in range(self.masks.shape[1]):
-            m = self.masks[:, word]
-            m = m[a] & m[b]
-            for k in range(64 * word, min(64 * word + 64, len(self.languages))):
-                hits[:, k] = np.bincount(row, weights=(m >> U(k % 64)) & U(1), minlength=n)
+        total, hits = np.zeros(n), np.zeros((n, len(self.languages)))
+        for g, row in grams(data, off):
+            a, b = _slots(g, len(self.masks))
+            total += np.bincount(row, minlength=n)
+            for word in range(self.masks.shape[1]):
+                m = self.masks[:, word]
+                m = m[a] & m[b]
+                for k in range(64 * word, min(64 * word + 64, len(self.languages))):
+                    hits[:, k] += np.bincount(row, weights=(m >> U(k % 64)) & U(1), minlength=n)
         fp = self.rates()
         return np.maximum(hits - total[:, None] * fp, 0) / (1 - fp)
 
@@ -100,18 +118,18 @@ def in_training(doc_id: Column) -> Column:
 
 
 def train_language(docs: DataFrame, sample: int = SAMPLE) -> LanguageFilter:
-    """The filter learned from `sample` texts a language; at most MOST n-grams of each, the most common ones, enter it."""
-    ids = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & in_training(F.col("doc_id"))).select("doc_id", "lang")
-    lowest = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = materialize(ids.withColumn("_n", F.row_number().over(lowest)).where(F.col("_n") <= sample).select("doc_id", "lang").distinct(), "language-ids")
+    """The filter learned from about `sample` texts a language."""
+    known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & in_training(F.col("doc_id"))).select("doc_id", "lang")
+    count = known.groupBy("lang").agg(F.count(F.lit(1)).alias("_of"))  # a row for each language
+    low = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)).cast("double") * F.col("_of") < F.lit(float(sample << 40))
+    ids = materialize(known.join(F.broadcast(count), "lang").where(low).select("doc_id", "lang").distinct(), "language-ids")
     rows = docs.select("doc_id", "lang", "text").join(F.broadcast(ids), ["doc_id", "lang"]).select("lang", "text")
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             lang = np.array(b.column(0).to_pylist(), dtype=object)
             for first, end, data, off in texts(b.column(1)):
-                g, row = grams(data, off)
-                key = np.unique(row.astype(np.uint64) << U(32) | g.astype(np.uint64))  # an n-gram counts once a text
+                key = np.unique(np.concatenate([np.unique(row.astype(np.uint64) << U(32) | g.astype(np.uint64)) for g, row in grams(data, off)]))  # an n-gram counts once a text
                 of, g = lang[first:end][(key >> U(32)).astype(np.int64)], (key & U(0xFFFFFFFF)).astype(np.int64)
                 for name in set(lang[first:end]):
                     v, c = np.unique(g[of == name], return_counts=True)
@@ -123,8 +141,7 @@ def train_language(docs: DataFrame, sample: int = SAMPLE) -> LanguageFilter:
     rated = counted.join(F.broadcast(size), "lang").withColumn("rate", F.col("c") / F.col("n"))
     rated = rated.withColumn("top", F.max("rate").over(Window.partitionBy("g")))
     kept = rated.where((F.col("rate") >= LEAST) & (F.col("c") >= 2) & (F.col("rate") >= SHARE * F.col("top")))
-    most = Window.partitionBy("lang").orderBy(F.desc("rate"), "g")
-    got = kept.withColumn("_n", F.row_number().over(most)).where(F.col("_n") <= MOST).select("lang", "g").toArrow()  # MOST bounds it
+    got = kept.select("lang", "g").toArrow()  # the sampled texts bound it
     lang, g = np.array(got.column("lang").to_pylist(), dtype=object), got.column("g").to_numpy().astype(np.uint32)
     return LanguageFilter.build({name: g[lang == name] for name in totals if (lang == name).any()})
 

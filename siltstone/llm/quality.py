@@ -8,8 +8,9 @@ rows are made probabilities by isotonic regression.
 Training takes at most `SAMPLE` labelled rows, those with the lowest hash of their id, a documented bound; every
 row is scored. Defined results: a null text is an empty text and has a score; equal texts have equal scores;
 repeated rows are scored one by one; null labels and labels without a document are left out; of a document with
-several labels the mean decides (0.5 counts as 1); without any label every score is 0.5; other columns are kept by
-`score_quality` under their own names.
+several labels the mean decides (0.5 counts as 1); without any label every score is 0.5; an empty table gives no
+rows; a text of any length is measured whole, at some 20 bytes of memory for each of its bytes; other columns are kept
+by `score_quality` under their own names, which the score's must not be among (ValueError).
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltstone.llm.shared import LOWER, materialize, texts, word_hashes, words_of
+from siltstone.llm.shared import LOWER, STRETCH, lowest, materialize, texts, word_hashes, words_of
 
 #: Bounds and parameters of training.
 SAMPLE, FEATURES, RIDGE, SEED, THRESHOLD = 40_000, 384, 1e-3, 7, 0.7
@@ -53,8 +54,10 @@ def _distinct(row: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
 def statistics(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     """A row of statistics for each text of a block."""
     n, lens = len(off) - 1, np.diff(off)
-    row = np.repeat(np.arange(n), lens)
-    counts = np.bincount(row * 256 + data, minlength=n * 256).reshape(n, 256)
+    if n == 1:  # a long text stands alone
+        counts = sum((np.bincount(data[k : k + STRETCH], minlength=256) for k in range(0, len(data), STRETCH)), np.zeros(256, np.int64)).reshape(1, 256)
+    else:
+        counts = np.bincount(np.repeat(np.arange(n), lens) * 256 + data, minlength=n * 256).reshape(n, 256)
     total = np.maximum(lens, 1)[:, None]
     shares = counts @ _CLASSES / total
     p = counts / total
@@ -136,7 +139,7 @@ def in_training(doc_id: Column, of: int = 4, out: int = 2) -> Column:
 def train_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> QualityModel:
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & in_training(F.col("doc_id")))
     known = known.groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("_y"))
-    known = materialize(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample), "quality-labels")
+    known = materialize(lowest(materialize(known, "quality-known"), "doc_id", sample), "quality-labels")
     held_back = F.crc32(F.concat(F.lit("calibrate"), F.col("doc_id").cast("string")).cast("binary")) % 5 == 0
     rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "_y", held_back.alias("_cal"))
 

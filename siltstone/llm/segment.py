@@ -16,8 +16,13 @@ without replacement. The value of the next one left, kappa, gives each sample it
 1 - exp(-exp(log_prob - kappa)). All randomness is a hash of the row key, the sample number and the place.
 
 Defined results: a null or empty text has one segmentation, without pieces, of log-probability 0; a text with fewer
-than k segmentations gives all it has, with inclusion 1; equal keys and texts give equal samples; repeated rows are
-sampled one by one; a null key counts as the word null; decoding gives back every text exactly.
+than k segmentations gives all it has, with inclusion 1, but for those whose place gives them less than 1e-13 of its
+mass or which lie `REACH` below the best (in logarithms): such a one is not drawn, though it would be about once in
+10**13 times; equal keys and texts give equal samples, ties of values go to the earlier sample and place; repeated rows
+are sampled one by one; a null key counts as the word null; an empty table gives no rows; a text of any length is one
+lattice, at some 100 bytes of memory for each of its bytes; decoding gives back every text exactly. Other columns,
+whatever their names, are ignored by `sampled` and `sample_report` and kept by `encoded`, whose own column takes the
+place of one with the same name.
 """
 
 from __future__ import annotations
@@ -29,10 +34,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from siltstone.llm.files import opened
 from siltstone.llm.shared import BYTE_CODE, LANE, U, mix, powers, texts, trim
 
 SAMPLES, SHIFT, SEED, BLOCK_BYTES = 2, 10.0, 0, 1 << 19
@@ -46,8 +51,10 @@ LEAD = np.repeat(np.array([1, 0, 2, 3, 4], np.int8), [128, 64, 32, 16, 16])
 class Vocabulary:
     """Pieces as byte strings with the mark as a blank, their weights, and a table of the hashes of all their beginnings."""
 
-    def __init__(self, path: str):
-        sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    def __init__(self, model: bytes):
+        import sentencepiece  # only these operators need it
+
+        sp = sentencepiece.SentencePieceProcessor(model_proto=model)
         n = sp.get_piece_size()
         self.bytes: list[bytes] = []
         self.byte_id = np.zeros(256, np.int64)
@@ -132,12 +139,19 @@ class Vocabulary:
 
 
 @lru_cache(maxsize=2)
-def vocabulary(path: str) -> Vocabulary:
-    found = Vocabulary(path)
+def vocabulary(model: bytes) -> Vocabulary:
+    found = Vocabulary(model)
     trim()
     return found
 
 
+def model_bytes(path: str) -> bytes:
+    """A model file, which the driver reads and sends to the workers; about 1 MB."""
+    system, name = opened(path)
+    with system.open_input_file(name) as f:
+        return f.read()
+
+
 class Lattice:
     """The lattices of the distinct words of a block. Nodes are numbered level by level (bytes from a word's start), longer words first; edges are sorted by the node they end in."""
 
@@ -429,9 +443,10 @@ def row_keys(ids: list, seed: int = SEED) -> np.ndarray:
 
 def sampled(docs: DataFrame, model: str, k: int = SAMPLES, seed: int = SEED, key: str = "doc_id") -> DataFrame:
     """A row for each sample: doc_id, sample, ids, log_prob, perturbed, inclusion, decoded."""
+    held = docs.sparkSession.sparkContext.broadcast(model_bytes(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        voc = vocabulary(model)
+        voc = vocabulary(held.value)
         for b in batches:
             for a, z, data, off in texts(b.column(1), BLOCK_BYTES):
                 names = b.column(0)[a:z].to_pylist()
@@ -447,9 +462,10 @@ def sampled(docs: DataFrame, model: str, k: int = SAMPLES, seed: int = SEED, key
 
 def sample_report(docs: DataFrame, model: str, k: int = SAMPLES, seed: int = SEED) -> DataFrame:
     """A row for each document and sample: n_pieces, digests of the ids and of the decoded text, scores, and whether decoding gave the text back."""
+    held = docs.sparkSession.sparkContext.broadcast(model_bytes(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        voc = vocabulary(model)
+        voc = vocabulary(held.value)
         for b in batches:
             for a, z, data, off in texts(b.column(1), BLOCK_BYTES):
                 names = b.column(0)[a:z].to_pylist()
@@ -468,11 +484,13 @@ def sample_report(docs: DataFrame, model: str, k: int = SAMPLES, seed: int = SEE
 
 
 def encoded(docs: DataFrame, model: str, seed: int = SEED, ids: str = "piece_ids") -> DataFrame:
-    """`docs` with one sampled segmentation of each text, decoded and compared before it is returned; a null text has null."""
+    """`docs` with one sampled segmentation of each text in the column `ids`, decoded and compared before it is returned; a null text has null."""
+    docs = docs.drop(ids)
     at, key = docs.columns.index("text"), docs.columns.index("doc_id")
+    held = docs.sparkSession.sparkContext.broadcast(model_bytes(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        voc = vocabulary(model)
+        voc = vocabulary(held.value)
         for b in batches:
             for a, z, data, off in texts(b.column(at), BLOCK_BYTES):
                 part = b.slice(a, z - a)

@@ -5,14 +5,17 @@ and the probabilities of the categories before it. In training those probabiliti
 so that a later model never sees what an earlier one learned by heart.
 
 Features are presence bits of words and of word beginnings (4 and 5 bytes), for words of letters
-with A-Z lower-cased; the `FEATURES` with the strongest evidence for any category are kept. The categories of the
-query are `toxic`, as `labels.toxic` has it, and `severe`: a weak label made in training, for toxic texts with at
-least `SEVERE` occurrences of the evidence features.
+with A-Z lower-cased; the `FEATURES` with the strongest evidence are kept, of equal ones that with the smaller hash.
+The categories of the query are `toxic`, as `labels.toxic` has it, and `severe`. The tables have no second label, so
+`severe` is a weak one made in training: a toxic text is severe if at least `SEVERE` of its `PARTS` parts (runs of as
+many words each) are toxic by themselves, as a model trained on the other folds judges each part alone. Where in a
+text the evidence lies is not among the inputs of either model.
 
 Training takes at most `SAMPLE` labelled rows, those with the lowest hash of their id; every row is scored over its
-whole text. Defined results: a null text is an empty text; equal texts have equal scores; repeated rows are scored
-one by one; null labels and labels without a document are left out; of several labels of a document the largest
-counts; without labels every probability is 0.
+whole text, however long, at some 30 bytes of memory for each of its bytes. Defined results: a null text is an empty
+text; equal texts have equal scores; repeated rows are scored one by one; null labels and labels without a document
+are left out; of several labels of a document the largest counts; without labels, or with labels of one value, every
+probability is 0; an empty table gives no rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -25,20 +28,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.shared import LOWER, U, materialize, texts, word_hashes, words_of
+from siltstone.llm.shared import LOWER, U, lowest, materialize, texts, word_hashes, words_of
 
-SAMPLE, FEATURES, FOLDS, SEVERE, RIDGE = 20_000, 256, 3, 9, 0.1
+SAMPLE, FEATURES, FOLDS, PARTS, SEVERE, RIDGE = 20_000, 256, 3, 4, 2, 0.1
 
 _GAP = np.ones(256, bool)
 _GAP[65:91] = _GAP[97:123] = _GAP[128:] = False
 BEGINNINGS = (4, 5)
 
 
-def features(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words and word beginnings of a block, and their rows."""
+def features(data: np.ndarray, off: np.ndarray, parts: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words and word beginnings of a block, and their rows; a text has a row for each of its parts."""
     low = LOWER[data]
     s, e, first = words_of(low, off, _GAP)
-    row = np.repeat(np.arange(len(off) - 1), np.diff(first))
+    count = np.diff(first)
+    row = np.repeat(np.arange(len(off) - 1), count)
+    if parts > 1:
+        row = row * parts + (np.arange(len(s)) - first[row]) * parts // count[row]
     out, rows = [word_hashes(low, s, e)], [row]
     for n in BEGINNINGS:
         long = e - s > n
@@ -75,19 +81,21 @@ class Chain:
     names: tuple[str, ...] = ()
     weights: list[np.ndarray] = field(default_factory=list)
 
-    def counts(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
-        """Occurrences of each kept feature: texts x features."""
-        n, k = len(off) - 1, len(self.hashes)
+    def bits(self, data: np.ndarray, off: np.ndarray, parts: int = 1) -> np.ndarray:
+        """Whether each kept feature occurs: texts (or their parts) x features."""
+        n, k = (len(off) - 1) * parts, len(self.hashes)
         if not k:
-            return np.zeros((n, 0), np.int64)
-        h, row = features(data, off)
+            return np.zeros((n, 0), bool)
+        h, row = features(data, off, parts)
         table = np.full(1 << 16, -1, np.int32)  # a first look that most words fail
         table[(self.hashes & U(0xFFFF)).astype(np.int64)] = 1
         may = table[(h & U(0xFFFF)).astype(np.int64)] >= 0
         h, row = h[may], row[may]
         at = np.minimum(np.searchsorted(self.hashes, h), k - 1)
         hit = self.hashes[at] == h
-        return np.bincount(row[hit] * k + at[hit], minlength=n * k).reshape(n, k)
+        found = np.zeros(n * k, bool)
+        found[row[hit] * k + at[hit]] = True
+        return found.reshape(n, k)
 
     def predict(self, bits: np.ndarray) -> np.ndarray:
         x = bits.astype(np.float64)
@@ -113,7 +121,7 @@ def fit_chain(hashes: np.ndarray, bits: np.ndarray, labels: dict[str, np.ndarray
 
 def train_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain:
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("_y"))
-    known = materialize(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample), "toxicity-labels")
+    known = materialize(lowest(materialize(known, "toxicity-known"), "doc_id", sample), "toxicity-labels")
     fold = (F.crc32(F.concat(F.lit("fold"), F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)).cast("binary")) % FOLDS).cast("int")  # equal texts share a fold
     rows = materialize(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "_y", fold.alias("_fold")), "toxicity-texts")
 
@@ -144,14 +152,27 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for first, end, data, off in texts(b.column(0)):
-                c = np.minimum(chain.counts(data, off), 255).astype(np.uint8)
-                yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in c], pa.binary()), b.column(1)[first:end], b.column(2)[first:end]], ["c", "_y", "_fold"])
+                x = np.packbits(chain.bits(data, off, PARTS).reshape(end - first, -1), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary()), b.column(1)[first:end], b.column(2)[first:end]], ["x", "_y", "_fold"])
 
-    got = rows.mapInArrow(marked, "c binary, _y int, _fold int").toArrow()  # bounded by the sample
-    c = np.frombuffer(b"".join(got.column("c").to_pylist()), np.uint8).reshape(got.num_rows, -1)
-    y = got.column("_y").to_numpy().astype(float)
-    severe = y * (c.sum(1, dtype=np.int64) >= SEVERE)
-    return fit_chain(chain.hashes, c > 0, {"toxic": y, "severe": severe}, got.column("_fold").to_numpy())
+    got = rows.mapInArrow(marked, "x binary, _y int, _fold int").toArrow()  # bounded by the sample
+    width = len(chain.hashes)
+    packed = np.frombuffer(b"".join(got.column("x").to_pylist()), np.uint8).reshape(got.num_rows, -1)
+    parts = np.unpackbits(packed, axis=1, count=PARTS * width).reshape(got.num_rows, PARTS, width).astype(bool)
+    y, fold = got.column("_y").to_numpy().astype(float), got.column("_fold").to_numpy()
+    bits = parts.any(1)
+    return fit_chain(chain.hashes, bits, {"toxic": y, "severe": severe_labels(bits, parts, y, fold)}, fold)
+
+
+def severe_labels(bits: np.ndarray, parts: np.ndarray, y: np.ndarray, fold: np.ndarray) -> np.ndarray:
+    """1 for toxic texts of which enough parts are toxic by themselves, by the model of the other folds."""
+    many = np.zeros(len(y))
+    for k in range(FOLDS):
+        inside = fold != k
+        if inside.any() and (~inside).any():
+            w = logistic(bits[inside].astype(np.float64), y[inside])
+            many[~inside] = (probability(parts[~inside].reshape(-1, parts.shape[2]).astype(np.float64), w).reshape(-1, parts.shape[1]) >= 0.5).sum(1)
+    return y * (many >= SEVERE)
 
 
 def score_toxicity(docs: DataFrame, chain: Chain, threshold: float = 0.5) -> DataFrame:
@@ -160,7 +181,7 @@ def score_toxicity(docs: DataFrame, chain: Chain, threshold: float = 0.5) -> Dat
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            p = [held.value.predict(held.value.counts(data, off) > 0) for _, _, data, off in texts(b.column(1))]
+            p = [held.value.predict(held.value.bits(data, off)) for _, _, data, off in texts(b.column(1))]
             if p:
                 p = np.concatenate(p)
                 yes = (p >= threshold).astype(np.int32)

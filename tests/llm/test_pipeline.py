@@ -31,7 +31,7 @@ def test_stages(spark, tmp_path):
     found = decontaminate.digest(decontaminate.hits(inputs[3], bench))
     assert ids[4] == {r.doc_id for r in found.where("NOT contaminated").collect()}
     assert ids[5] == ids[4]
-    voc = segment.vocabulary(PIECES)
+    voc = segment.vocabulary(segment.model_bytes(PIECES))
     import numpy as np
 
     for r in inputs[5].collect():

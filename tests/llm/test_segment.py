@@ -14,7 +14,7 @@ from tests.llm.conftest import texts
 
 @pytest.fixture(scope="module")
 def voc():
-    return segment.vocabulary(PIECES)
+    return segment.vocabulary(segment.model_bytes(PIECES))
 
 
 def block(strings):
