@@ -73,7 +73,7 @@ def test_language_edges(spark, docs, empty):
 def test_filter_returns_all_languages_of_a_gram():
     f = language.LanguageFilter.build({f"l{k:02}": np.array([k, 1000], np.uint32) for k in range(70)})
     assert f.masks.shape[1] == 2
-    a, b = language._slots(np.array([1000], np.uint32))
+    a, b = language._slots(np.array([1000], np.uint32), len(f.masks))
     assert sum(int(m).bit_count() for m in (f.masks[a[0]] & f.masks[b[0]])) == 70
     assert (f.rates() < 0.01).all()
 
