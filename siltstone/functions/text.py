@@ -49,20 +49,27 @@ def normalize_path(path: Column) -> Column:
     return F.lower(F.regexp_replace(F.regexp_replace(p, r"^/", ""), r"/$", ""))
 
 
+#: Fixed value: what counts as a reference to a file; none right behind a letter or digit.
+FILE_REFERENCE = r"""(?<![a-zA-Z0-9])@([^\s@()\[\]{},;:!?'"]+)"""
+
+
 def file_refs(text: Column) -> Column:
-    """Distinct @references in order of their first place; none right behind a letter or digit."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"""(?<![a-zA-Z0-9])@([^\s@()\[\]{},;:!?'"]+)"""), F.lit(1)))
+    """Distinct @references in order of their first place."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(FILE_REFERENCE), F.lit(1)))
 
 
 def without_file_refs(text: Column) -> Column:
-    return collapsed(F.regexp_replace(text, r"""(?<![a-zA-Z0-9])@([^\s@()\[\]{},;:!?'"]+)""", ""))
+    return collapsed(F.regexp_replace(text, FILE_REFERENCE, ""))
+
+
+#: Units of sizes.
+UNITS = ["Bytes", "KB", "MB", "GB", "TB"]
 
 
 def human_bytes(n: Column) -> Column:
     """Bytes with one decimal place at most, in the largest unit that leaves 1 or more."""
-    units = ["Bytes", "KB", "MB", "GB", "TB"]
     out = None
-    for k, unit in enumerate(units):
+    for k, unit in enumerate(UNITS):
         v = F.round(n / F.lit(float(1024**k)), 1)
         shown = F.regexp_replace(F.format_string("%.1f", v), r"\.0$", "")
         text = F.concat(shown, F.lit(f" {unit}"))
@@ -71,7 +78,7 @@ def human_bytes(n: Column) -> Column:
 
 
 def relative_age(then: Column, now: Column) -> Column:
-    """How long ago, in words, up to 30 days; then the date."""
+    """How long ago, in words, up to 30 days; then the date. The words and limits are fixed values."""
     s = F.unix_timestamp(now) - F.unix_timestamp(then)
     m, h, d = F.floor(s / 60), F.floor(s / 3600), F.floor(s / 86400)
     told = lambda n, word: F.concat(n.cast("string"), F.lit(f" {word}"), F.when(n == 1, F.lit("")).otherwise(F.lit("s")), F.lit(" ago"))

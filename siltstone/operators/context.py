@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions.text import estimate_tokens, line_range, tokens, xml_escape
+from siltstone.operators.steps import hinted
 
 
 def dedupe(results: DataFrame, by: str, text: str, threshold: float = 0.8) -> DataFrame:
@@ -70,11 +71,23 @@ def match_files(patterns: DataFrame, paths: DataFrame, pattern: str, path: str,
     p, f = F.lower(pattern), F.lower(path)
     name = F.element_at(F.split(f, "/"), -1)
     score = F.when(name == p, 1.0).when(F.startswith(name, p), 0.8).when(F.contains(name, p), 0.6).otherwise(0.4)
-    found = paths.join(F.broadcast(patterns), F.contains(f, p)).withColumn("score", score).where(F.col("score") >= least)
+    found = paths.join(hinted(patterns), F.contains(f, p)).withColumn("score", score).where(F.col("score") >= least)
     w = Window.partitionBy(pattern).orderBy(F.desc("score"), F.length(path), F.asc(path))
     return found.withColumn("place", F.row_number().over(w).cast("long")).where(F.col("place") <= most)
 
 
+def with_content(matches: DataFrame, files: DataFrame, order: str, path: str, content: str, total: int = 50_000) -> DataFrame:
+    """`matches` (of one question: pattern in its order, place) with their files' content, cut so that all of it stays within `total` characters.
+
+    Files come in the order of the patterns and places. What begins beyond the total is left out; what passes it is cut.
+    A stated question has few patterns and each has few matches, which bounds the window.
+    """
+    x = matches.join(files.select(path, F.col(content).alias("_content")), path)
+    before = F.coalesce(F.sum(F.length("_content")).over(Window.orderBy(order, "place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    x = x.withColumn("_room", (F.lit(total) - before).cast("int")).where("_room > 0")
+    return x.withColumn(content, truncated(F.col("_content"), F.col("_room"))).drop("_content", "_room")
+
+
 def truncated(text: Column, most: Column) -> Column:
     """A text cut to `most` characters, at the last line end if that keeps more than 80 percent, and marked."""
     cut = F.substring(text, F.lit(1), most)

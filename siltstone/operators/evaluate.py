@@ -30,11 +30,17 @@ def metrics(rows: DataFrame, retrieved: str, expected: str, k: int | None = None
     Precision divides by k even if fewer paths came back. Without expected or retrieved paths every metric is 0.
     """
     x = rows.withColumns({"_got": distinct_paths(F.col(retrieved)), "_want": distinct_paths(F.col(expected))})
-    kk = F.lit(k) if k is not None else F.size("_got")
-    x = x.withColumn("_all", _hits(F.col("_got"), F.col("_want")))
-    x = x.withColumn("_top", F.slice("_all", 1, F.greatest(kk, F.lit(0)))).withColumn("_k", kk)
-    n_want, hits = F.size("_want"), F.aggregate("_top", F.lit(0), lambda s, v: s + v)
-    first = F.array_position("_all", 1)
+    x = x.withColumns({"_all": _hits(F.col("_got"), F.col("_want")), "_n": F.size("_want")})
+    return metrics_of_hits(x, "_all", "_n", k).drop("_got", "_want", "_all", "_n")
+
+
+def metrics_of_hits(rows: DataFrame, hits: str, n_expected: str, k: int | None = None) -> DataFrame:
+    """The same from whether each retrieved path is expected (array of 0 and 1, in order) and the number of expected ones, however many they are."""
+    kk = F.lit(k) if k is not None else F.size(hits)
+    x = rows.withColumns({"_every": F.col(hits), "_k": kk})
+    x = x.withColumn("_top", F.slice("_every", 1, F.greatest(F.col("_k"), F.lit(0))))
+    n_want, hits = F.col(n_expected), F.aggregate("_top", F.lit(0), lambda s, v: s + v)
+    first = F.array_position("_every", 1)
     gain = F.aggregate(F.transform("_top", lambda v, i: v / F.log2(i + 2)), F.lit(0.0), lambda s, v: s + v)
     ideal = F.aggregate(F.transform(F.when(F.least(n_want, F.col("_k")) > 0, F.sequence(F.lit(1), F.least(n_want, F.col("_k")))).otherwise(F.array().cast("array<int>")), lambda i: 1 / F.log2(i + 1)), F.lit(0.0), lambda s, v: s + v)
     running = F.transform("_top", lambda v, i: F.when(v == 1, F.aggregate(F.slice("_top", 1, i + 1), F.lit(0), lambda s, y: s + y) / (i + 1)).otherwise(F.lit(0.0)))
@@ -44,7 +50,7 @@ def metrics(rows: DataFrame, retrieved: str, expected: str, k: int | None = None
         "mrr": r(F.when(first > 0, 1 / first)), "precision_at_k": r(_share(hits, F.col("_k"))), "recall_at_k": r(_share(hits, n_want)),
         "hit_rate": r((hits > 0).cast("double")), "ndcg": r(_share(gain, ideal)), "map": r(_share(precise, n_want)),
     })
-    return x.drop("_got", "_want", "_all", "_top", "_k")
+    return x.drop("_every", "_top", "_k")
 
 
 def macro(rows: DataFrame) -> DataFrame:
@@ -62,6 +68,26 @@ def trend(runs: DataFrame, by: list[str], order: str, names: list[str], steady:
     return long.withColumn("delta", delta).withColumn("direction", kind)
 
 
+def run_notes(passed: Column, asked: Column, skipped: Column, filtered: Column) -> Column:
+    """Status of a finished run: how many passed, were skipped for want of paths, and were left out by their tags."""
+    told = lambda c, text: F.concat(c.cast("string"), F.lit(text))
+    some = lambda c, text: F.when(c > 0, told(c, text))
+    return F.concat_ws(" | ", F.lit("status:completed"), F.concat(told(passed, "/"), told(asked, " passed")), some(skipped, " skipped (no expectedFilePaths)"), some(filtered, " filtered by tags"))
+
+
+def ragas(rows: DataFrame) -> DataFrame:
+    """question, answer (empty), contexts, ground_truths (the answer, then the paths) of rows (query, answer, expected, retrieved); rows without a query are left out."""
+    answer = F.when(F.col("answer") != "", F.array("answer")).otherwise(F.array().cast("array<string>"))
+    some = rows.where(F.col("query") != "")
+    return some.select(F.col("query").alias("question"), F.lit("").alias("answer"), F.col("retrieved").alias("contexts"), F.concat(answer, "expected").alias("ground_truths"))
+
+
+def deepeval(rows: DataFrame) -> DataFrame:
+    """input, actual_output (empty), retrieval_context, expected_output (the answer, or else the paths, or nothing)."""
+    expected = F.coalesce(F.when(F.col("answer") != "", F.col("answer")), F.array_join("expected", ", "))
+    return rows.where(F.col("query") != "").select(F.col("query").alias("input"), F.lit("").alias("actual_output"), F.col("retrieved").alias("retrieval_context"), expected.alias("expected_output"))
+
+
 def threshold_gate(rows: DataFrame, targets: dict[str, float]) -> DataFrame:
     """metric, value, target, passed; a null value has a null verdict."""
     pairs = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value"), F.lit(t).alias("target")) for m, t in targets.items()])

@@ -3,12 +3,18 @@
 from __future__ import annotations
 
 import ast
-import math
+import hashlib
 import re
 from collections.abc import Iterator
+from typing import Protocol
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from siltstone.functions.text import tokens
+from siltstone.operators.steps import spread
 
 _JS = re.compile(
     r"(?P<doc>/\*\*[\s\S]*?\*/)"
@@ -110,16 +116,13 @@ def recursive_chunks(text: str, size: int, overlap: int, separators: tuple[str,
     return out + [held] if held.strip() else out
 
 
-def hashed_vector(text: str, dims: int = 64) -> list[float]:
-    """A unit vector of hashed word counts."""
-    v = [0.0] * dims
-    for w in re.findall(r"\w+", text.lower()):
-        h = 0
-        for b in w.encode():
-            h = (h * 1099511628211 ^ b) & 0xFFFFFFFFFFFFFFFF
-        v[h % dims] += 1.0 if h >> 63 else -1.0
-    norm = math.sqrt(sum(x * x for x in v))
-    return [x / norm for x in v] if norm else v
+def hashed_vector(text: str, dims: int = 64) -> np.ndarray:
+    """A unit vector of hashed word counts, as `embed_hash` makes them."""
+    h = [hashlib.md5(w.encode()).digest() for w in re.findall(r"\w+", text.lower())]
+    v = np.zeros(dims)
+    np.add.at(v, [(x[0] << 8 | x[1]) % dims for x in h], [1.0 if x[2] < 128 else -1.0 for x in h])
+    norm = np.sqrt(v @ v)
+    return v / norm if norm else v
 
 
 def semantic_chunks(text: str, threshold: float = 0.5, least: int = 100) -> list[str]:
@@ -128,7 +131,7 @@ def semantic_chunks(text: str, threshold: float = 0.5, least: int = 100) -> list
     out, held, last = [], "", None
     for s in sentences:
         v = hashed_vector(s)
-        if held and last is not None and len(held) >= 4 * least and sum(a * b for a, b in zip(last, v, strict=True)) < threshold:
+        if held and last is not None and len(held) >= 4 * least and last @ v < threshold:
             out.append(held)
             held = ""
         held, last = f"{held} {s}" if held else s, v
@@ -163,27 +166,78 @@ def chunk_semantic(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return _mapped(docs, id_col, text_col, lambda t: list(enumerate(semantic_chunks(t))), "chunk_index int, content string")
 
 
-def embed_hash(docs: DataFrame, id_col: str, text_col: str, dims: int = 64, batch: int = 32) -> DataFrame:
-    """Vectors in batches of `batch`; a batch that fails is tried one by one, and what fails then has a null vector and an error."""
+def embed_hash(docs: DataFrame, id_col: str, text_col: str, dims: int = 64) -> DataFrame:
+    """id, embedding: unit vectors of hashed word counts, by functions only; of a text without words all zeros.
+
+    The first 16 bits of a word's MD5 choose the place, the bit behind them the sign. Counts of one document are added up
+    before anything is shuffled, at most `dims` rows for each.
+    """
+    words = F.coalesce(tokens(F.col(text_col)), F.array().cast("array<string>"))
+    h = spread(docs.select(id_col, text_col)).select(id_col, F.explode_outer(words).alias("w")).select(id_col, F.md5(F.col("w").cast("binary")).alias("h"))
+    place = F.pmod(F.conv(F.substring("h", 1, 4), 16, 10).cast("int"), F.lit(dims))
+    sign = F.when(F.substring("h", 5, 1) < "8", 1).otherwise(-1)
+    sums = h.groupBy(id_col, F.coalesce(place, F.lit(0)).alias("k")).agg(F.sum(F.when(F.col("h").isNotNull(), sign).otherwise(0)).alias("v"))
+    of = sums.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("m"), F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
+    at = lambda i: F.coalesce(F.try_element_at("m", i.cast("int")) / F.col("norm"), F.lit(0.0))
+    return of.select(id_col, F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.when(F.col("norm") > 0, at(i)).otherwise(0.0)).alias("embedding"))
+
+
+class Embedder(Protocol):
+    """Texts to vectors of one width."""
+
+    def __call__(self, texts: list[str]) -> list[list[float]]: ...
+
+
+class Reranker(Protocol):
+    """A question and texts to a score for each."""
+
+    def __call__(self, query: str, texts: list[str]) -> list[float]: ...
+
+
+class Segmenter(Protocol):
+    """A text to segments (start_line, end_line, content_type, symbol_type, symbol, content)."""
+
+    def __call__(self, text: str) -> list[tuple]: ...
+
+
+def embed(docs: DataFrame, id_col: str, text_col: str, embedder: Embedder, batch: int = 32) -> DataFrame:
+    """id, embedding, error: vectors of an embedder in batches of `batch`; a batch that fails is tried one by one, and what fails then has a null vector and an error. Null texts have neither."""
     id_type = docs.schema[id_col].dataType.simpleString()
 
+    def one(text: str) -> tuple[list[float] | None, str | None]:
+        try:
+            return [float(x) for x in embedder([text])[0]], None
+        except Exception as e:  # one bad text must not cost the batch
+            return None, f"{type(e).__name__}: {e}"
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            vectors: list = []
-            errors: list = []
+            out: list[tuple[list[float] | None, str | None]] = []
             for k in range(0, len(b), batch):
-                part = b[text_col].iloc[k : k + batch]
+                part = b[text_col].iloc[k : k + batch].tolist()
+                given = [t for t in part if t is not None]
                 try:
-                    vectors += [hashed_vector(t, dims) for t in part]
-                    errors += [None] * len(part)
-                except Exception:  # one bad text must not cost the batch
-                    for t in part:
-                        try:
-                            vectors.append(hashed_vector(t, dims))
-                            errors.append(None)
-                        except Exception as e:
-                            vectors.append(None)
-                            errors.append(type(e).__name__)
-            yield pd.DataFrame({id_col: b[id_col], "embedding": vectors, "error": errors})
+                    got = iter([([float(x) for x in v], None) for v in embedder(given)]) if given else iter(())
+                except Exception:
+                    got = map(one, given)
+                out += [(None, None) if t is None else next(got) for t in part]
+            yield pd.DataFrame({id_col: b[id_col], "embedding": [v for v, _ in out], "error": [e for _, e in out]})
 
     return docs.select(id_col, text_col).mapInPandas(run, f"{id_col} {id_type}, embedding array<double>, error string")
+
+
+def scored_by(candidates: DataFrame, query_id: str, id_col: str, query: str, text: str, reranker: Reranker) -> DataFrame:
+    """(query, id, rerank_score) by a reranker, for `search.rerank`; the texts of one question within an Arrow batch go to it together."""
+    kinds = {f.name: f.dataType.simpleString() for f in candidates.schema.fields}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for _, g in b.groupby(query_id, sort=False):
+                yield pd.DataFrame({query_id: g[query_id], id_col: g[id_col], "rerank_score": [float(x) for x in reranker(g[query].iloc[0], g[text].tolist())]})
+
+    return candidates.select(query_id, id_col, query, text).mapInPandas(run, f"{query_id} {kinds[query_id]}, {id_col} {kinds[id_col]}, rerank_score double")
+
+
+def segments_by(docs: DataFrame, id_col: str, text_col: str, segmenter: Segmenter) -> DataFrame:
+    """Segments of each text by a segmenter."""
+    return _mapped(docs, id_col, text_col, segmenter, SEGMENTS)

@@ -11,29 +11,34 @@ from siltstone.functions.text import estimate_tokens, extension
 
 #: Endings of each language, the file type of each language, ignore patterns, endings of binary files.
 LANGUAGE_ENDINGS = {
-    "typescript": "ts tsx mts cts", "javascript": "js jsx mjs cjs", "python": "py pyw pyi", "go": "go", "rust": "rs", "java": "java", "c": "c h", "cpp": "cpp hpp cc cxx",
-    "csharp": "cs", "ruby": "rb rake", "php": "php", "swift": "swift", "kotlin": "kt kts", "scala": "scala sc", "html": "html htm", "css": "css less", "scss": "scss sass",
-    "json": "json jsonc", "yaml": "yaml yml", "toml": "toml", "markdown": "md mdx", "text": "txt rst", "sql": "sql", "shell": "sh bash zsh fish", "dockerfile": "dockerfile",
+    "typescript": ["ts", "tsx", "mts", "cts"], "javascript": ["js", "jsx", "mjs", "cjs"], "python": ["py", "pyw", "pyi"], "go": ["go"], "rust": ["rs"], "java": ["java"], "c": ["c", "h"],
+    "cpp": ["cpp", "hpp", "cc", "cxx"], "csharp": ["cs"], "ruby": ["rb", "rake"], "php": ["php"], "swift": ["swift"], "kotlin": ["kt", "kts"], "scala": ["scala", "sc"], "html": ["html", "htm"],
+    "css": ["css", "less"], "scss": ["scss", "sass"], "json": ["json", "jsonc"], "yaml": ["yaml", "yml"], "toml": ["toml"], "markdown": ["md", "mdx"], "text": ["txt", "rst"], "sql": ["sql"],
+    "shell": ["sh", "bash", "zsh", "fish"], "dockerfile": ["dockerfile"],
 }
 TYPE_LANGUAGES = {
-    "code": "typescript javascript python go rust java c cpp csharp ruby php swift kotlin scala html shell dockerfile",
-    "style": "css scss", "config": "json yaml toml", "docs": "markdown text", "data": "sql",
+    "code": ["typescript", "javascript", "python", "go", "rust", "java", "c", "cpp", "csharp", "ruby", "php", "swift", "kotlin", "scala", "html", "shell", "dockerfile"],
+    "style": ["css", "scss"], "config": ["json", "yaml", "toml"], "docs": ["markdown", "text"], "data": ["sql"],
 }
 IGNORED = [
     ".git", ".svn", ".hg", "node_modules", "vendor", "venv", ".venv", "__pycache__", ".tox", "bower_components", "dist", "build", "out", "target", ".next", ".nuxt", ".output", ".cache",
     ".idea", ".vscode", "*.swp", "*.swo", "*~", ".DS_Store", "Thumbs.db", "coverage", ".nyc_output", "*.log", "logs", ".env", ".env.*", "!.env.example",
     "package-lock.json", "yarn.lock", "pnpm-lock.yaml", "Cargo.lock", "Gemfile.lock", "poetry.lock", "composer.lock",
 ]
-BINARY_ENDINGS = "png jpg jpeg gif bmp ico webp svg tiff tif psd ai mp3 wav ogg flac aac m4a mp4 mov avi mkv webm wmv flv zip tar gz bz2 xz 7z rar exe dll so dylib bin woff woff2 ttf otf eot pdf doc docx xls xlsx ppt pptx db sqlite sqlite3 wasm map min.js min.css".split()
+BINARY_ENDINGS = [
+    "png", "jpg", "jpeg", "gif", "bmp", "ico", "webp", "svg", "tiff", "tif", "psd", "ai", "mp3", "wav", "ogg", "flac", "aac", "m4a", "mp4", "mov", "avi", "mkv", "webm", "wmv", "flv",
+    "zip", "tar", "gz", "bz2", "xz", "7z", "rar", "exe", "dll", "so", "dylib", "bin", "woff", "woff2", "ttf", "otf", "eot", "pdf", "doc", "docx", "xls", "xlsx", "ppt", "pptx",
+    "db", "sqlite", "sqlite3", "wasm", "map", "min.js", "min.css",
+]
 #: Chunk size, overlap and size limit by file type.
 SIZES = {"code": (512, 50), "docs": (1024, 100), "config": (256, 25), "style": (512, 50), "data": (512, 50)}
 MOST_BYTES, LEAST_CHARS = 500 * 1024, 10
 
 
-def _case(col: Column, groups: dict[str, str], default: str) -> Column:
+def _case(col: Column, groups: dict[str, list[str]], default: str) -> Column:
     out = F.lit(default)
     for value, names in groups.items():
-        out = F.when(col.isin(names.split()), F.lit(value)).otherwise(out)
+        out = F.when(col.isin(names), F.lit(value)).otherwise(out)
     return out
 
 
@@ -127,15 +132,73 @@ def markdown_segments(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return x.where(~F.col("kind").isin("blank", "rule")).select(id_col, "line", "kind", "section", "content")
 
 
-def fixed_chunks(docs: DataFrame, id_col: str, text_col: str, size: int, overlap: int) -> DataFrame:
-    """Chunks of `size` estimated tokens with `overlap`: index, number of chunks, first and last line, content."""
-    width, step = 4 * size, 4 * (size - overlap)
-    n = F.length(text_col)
-    starts = F.when(n > width, F.sequence(F.lit(0), n - 4 * overlap - 1, F.lit(step))).when(n > 0, F.array(F.lit(0))).otherwise(F.array().cast("array<int>"))
-    x = docs.withColumn("_starts", starts)
-    x = x.select(id_col, text_col, F.size("_starts").alias("total_chunks"), F.posexplode("_starts").alias("chunk_index", "_at"))
+def markdown_blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Segments of Markdown: first and last line (from 1), kind, content_type, section and content.
+
+    A heading is a segment, so is a fence with its marks taken off, and so are neighbouring lines of a paragraph, list,
+    quote, table or HTML block; blank lines and rules part them. A line behind a list or quote that is indented or
+    plain goes on with it. A text without any segment but not blank is one.
+    """
+    lines = docs.select(id_col, F.posexplode(F.split(text_col, "\n")).alias("line", "content"))
+    w = Window.partitionBy(id_col).orderBy("line")
+    fence = F.col("content").startswith("```")
+    x = lines.withColumn("_open", fence & (F.sum(fence.cast("int")).over(w) % 2 == 1)).withColumn("_fence", fence).withColumn("_in", F.sum(fence.cast("int")).over(w) % 2 == 1)
+    body = F.col("content")
+    kind = (
+        F.when(F.col("_in") | F.col("_fence"), "code")
+        .when(body.rlike(r"^#{1,6} "), "heading")
+        .when(body.rlike(r"^(---+|\*\*\*+)$"), "rule")
+        .when(F.trim(body) == "", "blank")
+        .when(body.rlike(r"^\s*([-*+]|[0-9]+\.) "), "list")
+        .when(body.startswith(">"), "blockquote")
+        .when(body.startswith("|"), "table")
+        .when(body.startswith("<"), "html")
+        .otherwise("paragraph")
+    )
+    x = x.withColumn("kind", kind).withColumn("section", F.last(F.when(F.col("kind") == "heading", F.regexp_replace("content", r"^#{1,6} ", "")), ignorenulls=True).over(w))
+    before = F.lag("kind").over(w)
+    goes_on = (F.col("kind") == before) & ~F.col("kind").isin("heading", "code") | (F.col("kind") == "paragraph") & before.isin("list", "blockquote") | (F.col("kind") == "code") & ~F.col("_open")
+    x = x.withColumn("_new", F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1)).withColumn("_seg", F.sum("_new").over(w))
+    inner = F.when(~F.col("_fence"), F.struct("line", "content"))
+    x = x.where(~F.col("kind").isin("blank", "rule")).groupBy(id_col, "_seg").agg(
+        (F.min("line") + 1).alias("start_line"), (F.max("line") + 1).alias("end_line"), F.min_by("kind", "line").alias("kind"), F.min_by("section", "line").alias("section"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(inner)), lambda r: r["content"]), "\n").alias("content"),
+    )
+    x = x.select(id_col, "start_line", "end_line", "kind", F.when(F.col("kind") == "code", "code").otherwise("docs").alias("content_type"), "section", F.when(F.col("kind") == "code", F.col("content")).otherwise(F.trim("content")).alias("content"))
+    whole = docs.where(F.trim(F.regexp_replace(text_col, r"\s+", " ")) != "").join(x.select(id_col).distinct(), id_col, "left_anti")
+    count = F.size(F.split(text_col, "\n"))
+    return x.unionByName(whole.select(id_col, F.lit(1).alias("start_line"), count.alias("end_line"), F.lit("document").alias("kind"), F.lit("docs").alias("content_type"), F.lit(None).cast("string").alias("section"), F.trim(text_col).alias("content")))
+
+
+def size_policy(kind: Column) -> tuple[Column, Column]:
+    """Chunk size and overlap of a file type; an unknown one has those of documents."""
+    size, overlap = F.lit(SIZES["docs"][0]), F.lit(SIZES["docs"][1])
+    for name, (n, o) in SIZES.items():
+        size, overlap = F.when(kind == name, n).otherwise(size), F.when(kind == name, o).otherwise(overlap)
+    return size, overlap
+
+
+def whole_segments(files: DataFrame, text_col: str, kind_col: str = "file_type") -> DataFrame:
+    """Config files as one segment each: all lines, as they are."""
+    return files.where(F.col(kind_col) == "config").withColumns({"start_line": F.lit(1), "end_line": F.size(F.split(text_col, "\n")), "content_type": F.lit("config")})
+
+
+def policy_chunks(segments: DataFrame, id_col: str, text_col: str, kind_col: str) -> DataFrame:
+    """Chunks of segments by the size policy of their kind; segments of less than `LEAST_CHARS` characters are left out, those that fit are one chunk."""
+    size, overlap = size_policy(F.col(kind_col))
+    return fixed_chunks(segments.where(F.length(text_col) >= LEAST_CHARS), id_col, text_col, size, overlap)
+
+
+def fixed_chunks(docs: DataFrame, id_col: str, text_col: str, size: int | Column, overlap: int | Column) -> DataFrame:
+    """Chunks of `size` estimated tokens with `overlap`: index, number of chunks, first and last line, content. Both may differ from row to row."""
+    size, overlap = (F.lit(x) if isinstance(x, int) else x for x in (size, overlap))
+    x = docs.withColumns({"_width": 4 * size, "_over": 4 * overlap})
+    width, n = F.col("_width"), F.length(text_col)
+    starts = F.when(n > width, F.sequence(F.lit(0), n - F.col("_over") - 1, width - F.col("_over"))).when(n > 0, F.array(F.lit(0))).otherwise(F.array().cast("array<int>"))
+    x = x.withColumn("_starts", starts)
+    x = x.select(id_col, text_col, "_width", F.size("_starts").alias("total_chunks"), F.posexplode("_starts").alias("chunk_index", "_at"))
     newlines = lambda c: F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
-    body = F.substring(F.col(text_col), F.col("_at") + 1, F.lit(width))
+    body = F.substring(F.col(text_col), F.col("_at") + 1, F.col("_width"))
     first = newlines(F.substring(F.col(text_col), F.lit(1), F.col("_at"))) + 1
     return x.select(id_col, "chunk_index", "total_chunks", first.alias("start_line"), (first + newlines(body)).alias("end_line"), body.alias("content"))
 

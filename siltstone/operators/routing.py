@@ -44,14 +44,37 @@ def intent(named: Column, several: Column, current: Column) -> tuple[Column, Col
     return kind, sure
 
 
-def route(kind: Column, named: Column, current: Column, every: Column) -> tuple[Column, Column, Column]:
-    """Project ids, method and confidence from the intent, the ids named, the current id and all ids."""
-    some = F.size(named) > 0
+ACCEPT = 0.7
+
+
+def reply(text: Column, known: Column) -> Column:
+    """A model's reply as struct (ids, confidence): its first brace block, ids that are known only, no confidence without them. Null if there is no block or it doesn't parse."""
+    block = F.regexp_extract(text, r"\{[^}]*\}", 0)
+    j = F.from_json(F.when(block != "", block), "projectIds array<string>, confidence double")
+    ids = F.array_intersect(j["projectIds"], known)
+    sure = F.when(F.size(ids) > 0, F.least(F.greatest(F.coalesce(j["confidence"], F.lit(0.0)), F.lit(0.0)), F.lit(1.0))).otherwise(F.lit(0.0))
+    return F.when(j["projectIds"].isNotNull(), F.struct(ids.alias("ids"), sure.alias("confidence")))
+
+
+def route(kind: Column, sure: Column, named: Column, current: Column, every: Column, answer: Column | None = None, accept: float = ACCEPT) -> tuple[Column, Column, Column]:
+    """Project ids, method and confidence from the intent and its confidence, the ids named, the current id, all ids and, if a model was asked, its `reply` (null: it failed).
+
+    Rules come first. A model is asked only about general questions, or about a current project that there is none of,
+    and only where there are two projects and more; a reply below `accept`, or without ids, leads to all projects.
+    """
+    none, n = F.array().cast("array<string>"), F.size(every)
     here = F.when(current.isNotNull(), F.array(current))
-    ids = F.when(F.size(every) == 0, F.array().cast("array<string>")).when(some, named).when((kind == "SINGLE_PROJECT") & current.isNotNull(), here).otherwise(F.coalesce(here, every))
-    method = F.when(F.size(every) == 0, "none").when(some, "heuristic").when((kind == "SINGLE_PROJECT") & current.isNotNull(), "current").when(current.isNotNull(), "fallback_current").otherwise("fallback_all")
-    sure = F.when(F.size(every) == 0, 0.0).when(some, 0.9).when((kind == "SINGLE_PROJECT") & current.isNotNull(), 0.85).when(current.isNotNull(), 0.6).otherwise(0.5)
-    return ids, method, sure
+    single, several = kind == "SINGLE_PROJECT", kind == "MULTI_PROJECT"
+    by_rule = F.when(single & (F.size(named) > 0), named).when(single, here).when(several, F.when(F.size(named) > 0, named).otherwise(every))
+    ids = F.when(n == 0, none).when(by_rule.isNotNull(), by_rule)
+    method = F.when(n == 0, "fallback_all").when(by_rule.isNotNull(), "heuristic")
+    confidence = F.when(n == 0, 1.0).when(by_rule.isNotNull(), sure)
+    if answer is not None:
+        good = (answer["confidence"] >= accept) & (F.size(answer["ids"]) > 0)
+        ids = ids.when((n >= 2) & good, answer["ids"]).when(n >= 2, every)
+        method = method.when((n >= 2) & good, "llm").when(n >= 2, "fallback_all")
+        confidence = confidence.when(n >= 2, F.coalesce(answer["confidence"], F.lit(0.5)))
+    return ids.otherwise(F.coalesce(here, every)), method.otherwise("fallback_all"), confidence.otherwise(F.when(here.isNotNull(), 0.6).otherwise(0.5))
 
 
 def adaptive_class(text: Column) -> Column:

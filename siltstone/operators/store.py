@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltstone.operators.steps import hinted
+
 
 def append(df: DataFrame, path: str, partition: str) -> None:
     df.write.mode("append").partitionBy(partition).parquet(path)
@@ -22,7 +24,7 @@ def swap_partitions(df: DataFrame, path: str, partition: str) -> tuple[int, int]
     if not inserted:
         raise ValueError("the staged table is empty")
     old = spark.read.parquet(path)
-    deleted = old.join(F.broadcast(new.select(partition).distinct()), partition, "left_semi").count()
+    deleted = old.join(hinted(new.select(partition).distinct()), partition, "left_semi").count()
     new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
     p = spark._jvm.org.apache.hadoop.fs.Path(staged)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
@@ -62,9 +64,38 @@ def relative_start(text: str) -> str | None:
     return f"INTERVAL {int(text[:-1])} {units[text[-1]]}" if text[:-1].isdigit() and text[-1:] in units else None
 
 
+GOLDEN = "version string, projectName string, entries array<struct<id:string,query:string,expectedFilePaths:array<string>,expectedAnswer:string,tags:array<string>,source:string>>"
+SOURCES = ("manual", "generated", "captured")
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def read_golden(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    """Entries of a golden dataset in JSON, one for each file or (lines) for each line; a version other than 1.0 is an error."""
-    schema = "version string, projectName string, entries array<struct<id:string,query:string,expectedFilePaths:array<string>,expectedAnswer:string,tags:array<string>,source:string>>"
-    d = spark.read.schema(schema).option("multiLine", not lines).option("mode", "FAILFAST").json(path)
-    d = d.where(F.assert_true(F.col("version") == "1.0", F.lit("unknown version")).isNull())
+    """Entries of a golden dataset in JSON, one for each file or (lines) for each line. A path that doesn't exist is an empty set.
+
+    What is invalid raises with all its issues: another version, no project name, an entry without id, query or a known source.
+    """
+    if not exists(spark, path):
+        return spark.createDataFrame([], GOLDEN).select("projectName", F.explode("entries").alias("e")).select("projectName", "e.*")
+    d = spark.read.schema(GOLDEN).option("multiLine", not lines).option("mode", "FAILFAST").json(path)
+    text = lambda c: F.coalesce(F.length(c), F.lit(0)) > 0
+    of_entry = lambda e: F.concat_ws("; ", F.when(~text(e["id"]), F.lit("entries.id: empty")), F.when(~text(e["query"]), F.lit("entries.query: empty")), F.when(~F.coalesce(e["source"].isin(*SOURCES), F.lit(False)), F.lit("entries.source: unknown")))
+    issues = F.concat_ws("; ", F.when(~F.coalesce(F.col("version") == "1.0", F.lit(False)), F.lit("version: unknown version")), F.when(~text(F.col("projectName")), F.lit("projectName: empty")), F.array_join(F.array_remove(F.transform("entries", of_entry), ""), "; "))
+    issues = F.regexp_replace(issues, "(; )+$", "")
+    d = d.where(F.assert_true(issues == "", F.concat(F.lit("schema validation failed: "), issues)).isNull())
     return d.select("projectName", F.explode_outer("entries").alias("e")).select("projectName", "e.*")
+
+
+def save_golden(entries: DataFrame, project: str, path: str) -> None:
+    """Entries (id, query, and any of expectedFilePaths, expectedAnswer, tags, source) as golden datasets of one entry a line; folders are made."""
+    kinds = {"id": "string", "query": "string", "expectedFilePaths": "array<string>", "expectedAnswer": "string", "tags": "array<string>", "source": "string"}
+    given = [F.col(c).cast(t).alias(c) if c in entries.columns else F.lit("manual" if c == "source" else None).cast(t).alias(c) for c, t in kinds.items()]
+    write_json(entries.select(F.lit("1.0").alias("version"), F.lit(project).alias("projectName"), F.array(F.struct(*given)).alias("entries")), path)
+
+
+def write_json(df: DataFrame, path: str) -> None:
+    """`df` as JSON, a row a line, null fields kept; folders that are missing are made, an earlier export is replaced."""
+    df.write.mode("overwrite").option("ignoreNullFields", False).json(path)

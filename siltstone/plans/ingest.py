@@ -12,8 +12,8 @@ from siltstone.plans.registry import FILES, Registry, files, table
 R = Registry()
 
 
-def _quoted(names: str) -> str:
-    return ", ".join(f"'{n}'" for n in names.split())
+def _quoted(names: list[str]) -> str:
+    return ", ".join(f"'{n}'" for n in names)
 
 
 _EXT = "lower(split_part(split_part(relative_path, '/', -1), '.', -1))"
@@ -91,10 +91,10 @@ def scan_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.add("scan_files")
 def scan_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The table folders as a file tree, read by Spark's own file source."""
-    from siltstone.sources.files import scan_directory
+    """The table folders as a file tree, read by Spark's own file source, by the rules of a scan."""
+    from siltstone.sources.files import scan_tree
 
-    return scan_directory(spark, sf_dir, "*.parquet").select("relative_path", "size", "extension")
+    return scan_tree(spark, sf_dir, extensions=["parquet"]).select("relative_path", "size", "extension")
 
 
 @R.add("chunk_skip_reasons", f"WITH {FILES} SELECT coalesce(CASE WHEN size > 40 * 1024 THEN 'too_large' WHEN trim(regexp_replace(content, '\\s+', ' ', 'g')) = '' THEN 'empty' END, 'ok') reason, count(*) n FROM files GROUP BY 1")
@@ -163,34 +163,41 @@ def chunk_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.chunk_semantic(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-@R.add("embed_hash")
+_WORD = "unnest(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}_]+'), lambda t: t <> ''))"
+
+
+@R.add("embed_hash", f"""WITH w AS (SELECT doc_id, md5({_WORD}) h FROM documents),
+c AS (SELECT doc_id, CAST('0x' || h[1:4] AS INTEGER) % 64 k, CAST(sum(CASE WHEN h[5] < '8' THEN 1 ELSE -1 END) AS BIGINT) v FROM w GROUP BY ALL),
+n AS (SELECT doc_id, sqrt(sum(v * v)) norm FROM c GROUP BY 1), r AS (SELECT doc_id, i FROM documents, range(0, 64) t(i))
+SELECT r.doc_id, string_agg(printf('%.5f', CASE WHEN norm > 0 THEN coalesce(v, 0) / norm ELSE 0.0::DOUBLE END), ' ' ORDER BY i) embedding FROM r LEFT JOIN c ON c.doc_id = r.doc_id AND k = i LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id""")
 def embed_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract.embed_hash(table(spark, sf_dir, "documents"), "doc_id", "text")
+    v = extract.embed_hash(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return v.select("doc_id", F.array_join(F.transform("embedding", lambda x: F.format_string("%.5f", x)), " ").alias("embedding"))
 
 
 def _code(spark: SparkSession, sf_dir: str, head: str, foot: str) -> DataFrame:
-    """Documents dressed as source code: the text becomes a string in a small program."""
-    quoted = F.regexp_replace("text", r"[^A-Za-z0-9 ]", " ")
-    return table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit(head), quoted, F.lit(foot)).alias("code"))
+    """Documents dressed as source code: the whole text, escaped, becomes a string in a small program."""
+    quoted = F.get_json_object(F.to_json(F.struct(F.to_json(F.struct("text")).alias("t"))), "$.t")
+    return table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit(head), F.substring(quoted, 9, 100_000_000), F.lit(foot)).alias("code"))
 
 
 @R.add("extract_js")
 def extract_js(spark: SparkSession, sf_dir: str) -> DataFrame:
-    code = _code(spark, sf_dir, "/** Doc. */\nexport function one(a: number) {\n  const s = '", "';\n  return { s };\n}\nexport const two = (x) => { return x; };\nexport class Three { m() { return 1; } }\nexport interface Four { a: string }\nexport type Five = string;\n")
+    code = _code(spark, sf_dir, "/** Doc. */\nexport function one(a: number) {\n  const s = {t: ", ";\n  return { s };\n}\nexport const two = (x) => { return x; };\nexport class Three { m() { return 1; } }\nexport interface Four { a: string }\nexport type Five = string;\n")
     return extract.extract_js(code, "doc_id", "code")
 
 
 @R.add("extract_python")
 def extract_python(spark: SparkSession, sf_dir: str) -> DataFrame:
-    code = _code(spark, sf_dir, '"""Module."""\n\n\nclass A:\n    """Doc."""\n\n    def f(self):\n        return "', '"\n')
+    code = _code(spark, sf_dir, '"""Module."""\n\n\nclass A:\n    """Doc."""\n\n    def f(self):\n        return {"t": ', "\n")
     return extract.extract_python(code, "doc_id", "code")
 
 
-@R.add("extract_fallback", r"""WITH c AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '/* ' || lang || ' */ x /* ' || source || ' */' ELSE text END code FROM documents), m AS (SELECT *, regexp_extract_all(code, '/\*[\s\S]*?\*/') s FROM c) SELECT doc_id, CASE WHEN len(s) > 0 THEN 'docs' ELSE 'code' END content_type, array_to_string(CASE WHEN len(s) > 0 THEN s ELSE [code] END, '|') segments FROM m WHERE trim(code) <> ''""")
+@R.add("extract_fallback", r"""WITH c AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN text || '/* ' || lang || ' */ x /* ' || source || ' */' ELSE text END code FROM documents), m AS (SELECT *, regexp_extract_all(code, '/\*[\s\S]*?\*/') s FROM c) SELECT doc_id, CASE WHEN len(s) > 0 THEN 'docs' ELSE 'code' END content_type, array_to_string(CASE WHEN len(s) > 0 THEN s ELSE [code] END, '|') segments FROM m WHERE trim(code) <> ''""")
 def extract_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Block comments if there are any, the whole text otherwise."""
     d = table(spark, sf_dir, "documents")
-    code = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("/* "), "lang", F.lit(" */ x /* "), "source", F.lit(" */"))).otherwise(F.col("text"))
+    code = F.when(F.col("doc_id") % 2 == 0, F.concat("text", F.lit("/* "), "lang", F.lit(" */ x /* "), "source", F.lit(" */"))).otherwise(F.col("text"))
     c = d.select("doc_id", code.alias("code")).withColumn("s", F.regexp_extract_all("code", F.lit(r"/\*[\s\S]*?\*/"), F.lit(0)))
     some = F.size("s") > 0
     return c.where(F.trim("code") != "").select("doc_id", F.when(some, "docs").otherwise("code").alias("content_type"), F.array_join(F.when(some, F.col("s")).otherwise(F.array("code")), "|").alias("segments"))
@@ -208,6 +215,41 @@ def extract_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.markdown_segments(table(spark, sf_dir, "documents").select("doc_id", md.alias("md")), "doc_id", "md")
 
 
+_MD = "'# ' || lang || chr(10) || text || chr(10) || '```js' || chr(10) || 'x' || chr(10) || chr(10) || '# y' || chr(10) || '```' || chr(10) || '- item' || chr(10) || 'more' || chr(10) || '- other' || chr(10) || chr(10) || '| a |' || chr(10) || '| b |' || chr(10) || '## ' || source || chr(10) || '---' || chr(10) || '> quote' || chr(10) || '<p>'"
+
+
+@R.add("markdown_blocks", rf"""WITH m AS (SELECT doc_id, {_MD} md FROM documents),
+l AS (SELECT doc_id, CAST(generate_subscripts(string_split(md, chr(10)), 1) - 1 AS INTEGER) line, unnest(string_split(md, chr(10))) content FROM m),
+f AS (SELECT *, sum(CASE WHEN starts_with(content, '```') THEN 1 ELSE 0 END) OVER w % 2 = 1 ins, starts_with(content, '```') fence FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY line)),
+k AS (SELECT *, CASE WHEN ins OR fence THEN 'code' WHEN regexp_matches(content, '^#{{1,6}} ') THEN 'heading' WHEN regexp_matches(content, '^(---+|\*\*\*+)$') THEN 'rule' WHEN trim(content, ' ') = '' THEN 'blank' WHEN regexp_matches(content, '^\s*([-*+]|[0-9]+\.) ') THEN 'list' WHEN starts_with(content, '>') THEN 'blockquote' WHEN starts_with(content, '|') THEN 'table' WHEN starts_with(content, '<') THEN 'html' ELSE 'paragraph' END kind FROM f),
+h AS (SELECT *, last_value(CASE WHEN kind = 'heading' THEN regexp_replace(content, '^#{{1,6}} ', '') END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line) section, lag(kind) OVER (PARTITION BY doc_id ORDER BY line) prior FROM k),
+g AS (SELECT *, sum(CASE WHEN (kind = prior AND kind NOT IN ('heading', 'code')) OR (kind = 'paragraph' AND prior IN ('list', 'blockquote')) OR (kind = 'code' AND NOT (fence AND ins)) THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY line) seg FROM h)
+SELECT doc_id, CAST(min(line) + 1 AS INTEGER) start_line, CAST(max(line) + 1 AS INTEGER) end_line, arg_min(kind, line) kind, CASE WHEN arg_min(kind, line) = 'code' THEN 'code' ELSE 'docs' END content_type, arg_min(section, line) section,
+CASE WHEN arg_min(kind, line) = 'code' THEN string_agg(content, chr(10) ORDER BY line) FILTER (WHERE NOT fence) ELSE trim(string_agg(content, chr(10) ORDER BY line), ' ') END content
+FROM g WHERE kind NOT IN ('blank', 'rule') GROUP BY doc_id, seg""")
+def markdown_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents' texts between a heading and blocks of every kind."""
+    md = F.concat(F.lit("# "), "lang", F.lit("\n"), "text", F.lit("\n```js\nx\n\n# y\n```\n- item\nmore\n- other\n\n| a |\n| b |\n## "), "source", F.lit("\n---\n> quote\n<p>"))
+    return ingest.markdown_blocks(table(spark, sf_dir, "documents").select("doc_id", md.alias("md")), "doc_id", "md")
+
+
+_POLICY = "(CASE file_type " + " ".join(f"WHEN '{k}' THEN {n}" for k, (n, _) in ingest.SIZES.items()) + f" ELSE {ingest.SIZES['docs'][0]} END)"
+_OVERLAP = "(CASE file_type " + " ".join(f"WHEN '{k}' THEN {o}" for k, (_, o) in ingest.SIZES.items()) + f" ELSE {ingest.SIZES['docs'][1]} END)"
+
+
+@R.add("chunk_policy", f"""WITH {_CLASSIFIED}, s AS (SELECT doc_id, file_type, content, 4 * {_POLICY} w, 4 * {_OVERLAP} o FROM k WHERE length(content) >= 10),
+cut AS (SELECT doc_id, file_type, content, w, unnest(CASE WHEN length(content) > w THEN range(0, length(content) - o, w - o) ELSE [0] END) a FROM s)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY a) - 1 AS INTEGER) chunk_index, CAST(count(*) OVER (PARTITION BY doc_id) AS INTEGER) total_chunks, substr(content, CAST(a AS BIGINT) + 1, w) content FROM cut""")
+def chunk_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files cut by the size policy of their type."""
+    return ingest.policy_chunks(classified(spark, sf_dir), "doc_id", "content", "file_type").select("doc_id", "chunk_index", "total_chunks", "content")
+
+
+@R.add("segment_config", f"WITH {_CLASSIFIED} SELECT doc_id, 'config' content_type, 1 start_line, CAST(len(string_split(content, chr(10))) AS INTEGER) end_line, content FROM k WHERE file_type = 'config'")
+def segment_config(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.whole_segments(classified(spark, sf_dir), "content").select("doc_id", "content_type", "start_line", "end_line", "content")
+
+
 @R.add("detect_changes", """WITH o AS (SELECT 'p' || doc_id path, sha256(text) h FROM documents WHERE doc_id % 10 <> 0), n AS (SELECT 'p' || doc_id path, sha256(CASE WHEN doc_id % 7 = 0 THEN text || '!' ELSE text END) h FROM documents WHERE doc_id % 11 <> 0)
 SELECT coalesce(o.path, n.path) path, CASE WHEN o.h IS NULL THEN 'new' WHEN n.h IS NULL THEN 'deleted' WHEN o.h <> n.h THEN 'changed' ELSE 'same' END status FROM o FULL JOIN n ON o.path = n.path""")
 def detect_changes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,15 +9,16 @@ from siltstone.functions import text as T
 from siltstone.operators import context as C
 from siltstone.operators import routing as Q
 from siltstone.operators import search as S
+from siltstone.operators.steps import hinted
 from siltstone.plans.registry import CHUNKS, Registry, chunks, table
 from siltstone.plans.search import _BM25, _bm25, few
 
 R = Registry()
 
-#: Questions made of conversation turns: a third names sources, others hold phrases.
+#: A question ends each conversation turn, whose own text goes before it: a third name sources, others hold phrases.
 _QUESTIONS = ["How does {} work?", "Compare {} and src2 please", "Where is it?", "What is in this repo?", "Explain differences between all", "hello there", "Tell me about plain things"]
 PROJECTS = ["src1", "src2", "src3", "src10"]
-_SQL = f"ask AS (SELECT conv_id, turn, replace(({_QUESTIONS})[(conv_id * 3 + turn) % 7 + 1], '{{}}', 'SRC' || (conv_id % 4 + 1)) q FROM conversations)".replace('"', "'")
+_SQL = f"ask AS (SELECT conv_id, turn, text || ' ' || replace(({_QUESTIONS})[(conv_id * 3 + turn) % 7 + 1], '{{}}', 'SRC' || (conv_id % 4 + 1)) q FROM conversations)".replace('"', "'")
 _HAS = lambda phrases: "list_filter([" + ", ".join(f"'{p}'" for p in phrases) + "], lambda p: contains(lower(q), p))"
 _NAMED = "list_filter([" + ", ".join(f"'{p}'" for p in PROJECTS) + "], lambda p: regexp_matches(lower(q), '\\b' || p || '\\b'))"
 _FEATURES = f"{_SQL}, f AS (SELECT *, {_NAMED} named, {_HAS(Q.SEVERAL)} several, {_HAS(Q.CURRENT)} cur FROM ask)"
@@ -28,7 +29,7 @@ CASE WHEN len(named) >= 2 THEN 0.95::DOUBLE WHEN len(several) > 0 AND len(named)
 def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations")
     q = F.get(F.array(*map(F.lit, _QUESTIONS)), ((F.col("conv_id") * 3 + F.col("turn")) % 7).cast("int"))
-    return c.select("conv_id", "turn", F.replace(q, F.lit("{}"), F.concat(F.lit("SRC"), (F.col("conv_id") % 4 + 1).cast("string"))).alias("q"))
+    return c.select("conv_id", "turn", "text", F.concat("text", F.lit(" "), F.replace(q, F.lit("{}"), F.concat(F.lit("SRC"), (F.col("conv_id") % 4 + 1).cast("string")))).alias("q"))
 
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,16 +58,42 @@ def detect_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features(spark, sf_dir).select("conv_id", "turn", F.explode("named").alias("project"))
 
 
-_ROUTE = f"""{_FEATURES}, {_INTENT}, h AS (SELECT *, CASE WHEN conv_id % 2 = 0 THEN 'src9' END here FROM i),
-r AS (SELECT conv_id, turn, CASE WHEN len(named) > 0 THEN named WHEN intent = 'SINGLE_PROJECT' AND here IS NOT NULL THEN [here] WHEN here IS NOT NULL THEN [here] ELSE ['src1', 'src2', 'src3', 'src10'] END ids,
-CASE WHEN len(named) > 0 THEN 'heuristic' WHEN intent = 'SINGLE_PROJECT' AND here IS NOT NULL THEN 'current' WHEN here IS NOT NULL THEN 'fallback_current' ELSE 'fallback_all' END "method",
-CASE WHEN len(named) > 0 THEN 0.9::DOUBLE WHEN intent = 'SINGLE_PROJECT' AND here IS NOT NULL THEN 0.85 WHEN here IS NOT NULL THEN 0.6 ELSE 0.5 END confidence FROM h)"""
+#: What a model replied about each turn: good and unsure ones, ids that aren't known, braces that don't parse, no braces, no reply.
+_REPLIES = ['Sure: {{"projectIds": ["src2", "nope{0}"], "confidence": 0.8}} ok', '{{"projectIds": ["src1", "src3"], "confidence": 0.{1}}}', '{{"projectIds": ["nope{0}"], "confidence": 0.9}}', '{{broken {0}', 'I would say src{0}', '{{"projectIds": [], "confidence": 0.99}}']
+
+
+def _reply_sql() -> str:
+    made = ", ".join("'" + r.replace("'", "''").replace("{{", "{").replace("}}", "}").replace("{0}", "' || turn || '").replace("{1}", "' || (conv_id % 10) || '") + "'" for r in _REPLIES)
+    return f"CASE WHEN (conv_id + turn) % 7 = 6 THEN NULL ELSE left(text, 20) || ({'[' + made + ']'})[(conv_id + turn) % 7 + 1] END"
+
+
+_SPOKEN = f"""x AS (SELECT conv_id, turn, {_reply_sql()} reply FROM conversations),
+j AS (SELECT *, CASE WHEN json_valid(nullif(regexp_extract(reply, '\\{{[^}}]*\\}}'), '')) THEN regexp_extract(reply, '\\{{[^}}]*\\}}') END j FROM x),
+p AS (SELECT *, list_filter(CAST(json_extract_string(j, '$.projectIds[*]') AS VARCHAR[]), lambda i: i IN ('src1', 'src2', 'src3', 'src10')) rids FROM j),
+said AS (SELECT conv_id, turn, reply, rids, CASE WHEN j IS NULL THEN NULL WHEN len(rids) > 0 THEN CAST(json_extract_string(j, '$.confidence') AS DOUBLE) ELSE 0.0 END sure FROM p)"""
+_ROUTE = f"""{_FEATURES}, {_INTENT}, {_SPOKEN}, h AS (SELECT i.*, rids, sure, CASE WHEN conv_id % 2 = 0 THEN 'src9' END here FROM i JOIN said USING (conv_id, turn)),
+d AS (SELECT *, CASE WHEN intent = 'SINGLE_PROJECT' AND len(named) > 0 THEN named WHEN intent = 'SINGLE_PROJECT' AND here IS NOT NULL THEN [here] WHEN intent = 'MULTI_PROJECT' THEN CASE WHEN len(named) > 0 THEN named ELSE ['src1', 'src2', 'src3', 'src10'] END END ruled FROM h),
+r AS (SELECT conv_id, turn, CASE WHEN ruled IS NOT NULL THEN ruled WHEN sure >= 0.7 AND len(rids) > 0 THEN rids ELSE ['src1', 'src2', 'src3', 'src10'] END ids,
+CASE WHEN ruled IS NOT NULL THEN 'heuristic' WHEN sure >= 0.7 AND len(rids) > 0 THEN 'llm' ELSE 'fallback_all' END "method",
+CASE WHEN ruled IS NOT NULL THEN confidence ELSE coalesce(sure, 0.5::DOUBLE) END confidence FROM d)"""
+
+
+def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conv_id, turn and what a model replied; a turn's text leads the reply."""
+    parts = [[F.lit(x) for x in r.replace("{{", "{").replace("}}", "}").split("{0}")] for r in _REPLIES]
+    digit = (F.col("conv_id") % 10).cast("string")
+    made = [F.replace(F.concat(*[x for k, v in enumerate(p) for x in ((F.col("turn").cast("string"), v) if k else (v,))]), F.lit("{1}"), digit) for p in parts]
+    k = (F.col("conv_id") + F.col("turn")) % 7
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(k < 6, F.concat(F.substring("text", 1, 20), F.get(F.array(*made), k.cast("int")))).alias("reply"))
 
 
 def routed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules, and for general questions the model's replies, which are joined in."""
     here = F.when(F.col("conv_id") % 2 == 0, F.lit("src9"))
-    ids, method, sure = Q.route(F.col("intent"), F.col("named"), here, F.array(*map(F.lit, PROJECTS)))
-    return intents(spark, sf_dir).select("conv_id", "turn", ids.alias("ids"), method.alias("method"), sure.alias("confidence"))
+    every = F.array(*map(F.lit, PROJECTS))
+    ids, method, sure = Q.route(F.col("intent"), F.col("confidence"), F.col("named"), here, every, F.col("answer"))
+    said = replies(spark, sf_dir).select("conv_id", "turn", Q.reply(F.col("reply"), every).alias("answer"))
+    return intents(spark, sf_dir).join(said, ["conv_id", "turn"]).select("conv_id", "turn", ids.alias("ids"), method.alias("method"), sure.alias("confidence"))
 
 
 @R.add("route_projects", f"WITH {_ROUTE} SELECT conv_id, turn, array_to_string(ids, ',') ids, \"method\", confidence FROM r")
@@ -79,20 +106,19 @@ def route_force(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routed(spark, sf_dir).select("conv_id", "turn", F.when(F.col("confidence") - 0.1 < Q.FORCE_BELOW, "all").otherwise("kept").alias("forced"))
 
 
-@R.add("route_validate", "WITH x AS (SELECT conv_id, turn, 'Sure: {\"projectIds\": [\"src1\", \"nope' || turn || '\"], \"confidence\": 0.8} ok' reply FROM conversations), j AS (SELECT *, regexp_extract(reply, '\\{[^}]*\\}') j FROM x), p AS (SELECT *, list_filter(CAST(json_extract_string(j, '$.projectIds[*]') AS VARCHAR[]), lambda i: i IN ('src1', 'src2', 'src3', 'src10')) ids FROM j) SELECT conv_id, turn, array_to_string(ids, ',') ids, CASE WHEN len(ids) > 0 THEN CAST(json_extract_string(j, '$.confidence') AS DOUBLE) ELSE 0.0 END confidence FROM p")
+@R.add("route_validate", f"WITH {_SPOKEN} SELECT conv_id, turn, coalesce(array_to_string(rids, ','), 'failed') ids, coalesce(sure, -1.0) confidence FROM said")
 def route_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A model's reply: the first brace block, known ids only, no confidence without them."""
-    reply = F.concat(F.lit('Sure: {"projectIds": ["src1", "nope'), F.col("turn").cast("string"), F.lit('"], "confidence": 0.8} ok'))
-    j = F.from_json(F.regexp_extract(reply, r"\{[^}]*\}", 0), "projectIds array<string>, confidence double")
-    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", j.alias("j"))
-    ids = F.filter("j.projectIds", lambda i: i.isin(PROJECTS))
-    return c.select("conv_id", "turn", F.array_join(ids, ",").alias("ids"), F.when(F.size(ids) > 0, F.col("j.confidence")).otherwise(0.0).alias("confidence"))
+    """Models' replies: the first brace block, known ids only, no confidence without them, a failure where nothing parses."""
+    x = replies(spark, sf_dir).select("conv_id", "turn", Q.reply(F.col("reply"), F.array(*map(F.lit, PROJECTS))).alias("a"))
+    return x.select("conv_id", "turn", F.coalesce(F.array_join("a.ids", ","), F.lit("failed")).alias("ids"), F.coalesce("a.confidence", F.lit(-1.0)).alias("confidence"))
 
 
 @R.add("resolve_projects", "SELECT n_nationkey, n_name FROM nation JOIN (SELECT unnest(['nation_1', 'NATION_5', 'none', 'nation_7', 'france']) w) ON lower(n_name) = lower(w)")
 def resolve_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wanted = [n.lower() for n in ("nation_1", "NATION_5", "none", "nation_7", "france")]
-    return table(spark, sf_dir, "nation").where(F.lower("n_name").isin(wanted)).select("n_nationkey", "n_name")
+    """Names to ids, whatever their case; names that nothing has are dropped."""
+    wanted = spark.createDataFrame([(n,) for n in ("nation_1", "NATION_5", "none", "nation_7", "france")], "w string").select(F.lower("w").alias("w")).distinct()
+    nation = table(spark, sf_dir, "nation").withColumn("w", F.lower("n_name"))
+    return nation.join(hinted(wanted), "w").select("n_nationkey", "n_name")
 
 
 @R.add("adaptive_class", f"WITH {_SQL}, l AS (SELECT *, trim(lower(q)) t FROM ask) SELECT conv_id, turn, CASE WHEN regexp_matches(t, '^(hi|hello|hey|thanks|thank you|ok|okay|bye)\\b') THEN 'simple' WHEN regexp_matches(t, '\\b(you said|earlier|previous answer|that again|go on)\\b') THEN 'conversational' WHEN len(regexp_split_to_array(t, '\\s+')) > 20 OR regexp_matches(t, '\\b(compare|versus|why|explain|architecture|trade-?offs?)\\b') THEN 'complex' ELSE 'factual' END class FROM l")
@@ -158,19 +184,21 @@ def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-_REF = "'see @src/' || lang || '.ts, (@' || source || ') and a@b.c @src/' || lang || '.ts now'"
+#: Every document's text, with references behind it: few texts hold any.
+_REF = "text || ' see @src/' || lang || '.ts, (@' || source || ') and a@b.c @src/' || lang || '.ts now'"
+_REF_CHARS = """[^\\s@()\\[\\]{},;:!?''"]+"""
 
 
 def _refs() -> object:
-    return F.concat(F.lit("see @src/"), "lang", F.lit(".ts, (@"), "source", F.lit(") and a@b.c @src/"), "lang", F.lit(".ts now"))
+    return F.concat("text", F.lit(" see @src/"), "lang", F.lit(".ts, (@"), "source", F.lit(") and a@b.c @src/"), "lang", F.lit(".ts now"))
 
 
-@R.add("extract_file_refs", f"SELECT doc_id, array_to_string([m[1], m[2]], '|') refs FROM (SELECT doc_id, list_transform(regexp_extract_all(' ' || {_REF}, '[^a-zA-Z0-9]@[^\\s@()\\[\\]{{}},;:!?''\"]+'), lambda x: x[3:]) m FROM documents)")
+@R.add("extract_file_refs", f"SELECT doc_id, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(' ' || {_REF}, '[^a-zA-Z0-9]@{_REF_CHARS}'), lambda x: x[3:]))), '|') refs FROM documents")
 def extract_file_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(T.file_refs(_refs()), "|").alias("refs"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.array_sort(T.file_refs(_refs())), "|").alias("refs"))
 
 
-@R.add("strip_file_refs", "SELECT doc_id, 'see , () and a@b.c now' question FROM documents")
+@R.add("strip_file_refs", f"SELECT doc_id, trim(regexp_replace(regexp_replace(' ' || {_REF}, '([^a-zA-Z0-9])@{_REF_CHARS}', '\\1', 'g'), '\\s+', ' ', 'g')) question FROM documents")
 def strip_file_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.without_file_refs(_refs()).alias("question"))
 
@@ -206,19 +234,28 @@ def relative_age(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", T.relative_age(F.date_trunc("second", F.col("ts").cast("timestamp")), F.lit("2024-02-01").cast("timestamp")).alias("age"))
 
 
-@R.add("citation_refs", "SELECT conv_id, turn, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all('as [1] and [' || turn || '] say, [2] [x]', '\\[(\\d+)\\]', 1), lambda x: CAST(x AS INTEGER)))), ',') refs FROM conversations")
-def citation_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.concat(F.lit("as [1] and ["), F.col("turn").cast("string"), F.lit("] say, [2] [x]"))
+#: An answer for each turn: its own text with citations behind it.
+_CITED = "text || ' as [1] and [' || (turn + 3) || '] say, [2] [x]'"
+_CITES = f"c AS (SELECT conv_id, turn, list_sort(list_distinct(list_transform(regexp_extract_all({_CITED}, '\\[(\\d+)\\]', 1), lambda x: CAST(x AS INTEGER)))) cited, CAST(range(1, 5) AS INTEGER[]) given FROM conversations)"
+
+
+def _cites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.concat("text", F.lit(" as [1] and ["), (F.col("turn") + 3).cast("string"), F.lit("] say, [2] [x]"))
     refs = F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"\[(\d+)\]"), F.lit(1)), lambda x: x.cast("int"))))
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(refs.cast("array<string>"), ",").alias("refs"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", refs.alias("cited"))
 
 
-@R.add("verify_citations", "WITH c AS (SELECT conv_id, turn, [1, 2, CAST(turn AS INTEGER) + 3] cited, CAST(range(1, 5) AS INTEGER[]) given FROM conversations) SELECT conv_id, turn, array_to_string(list_sort(list_filter(cited, lambda x: list_contains(given, x))), ',') cited_ok, array_to_string(list_sort(list_filter(given, lambda x: NOT list_contains(cited, x))), ',') uncited, array_to_string(list_filter(cited, lambda x: NOT list_contains(given, x)), ',') invalid FROM c")
+@R.add("citation_refs", f"WITH {_CITES} SELECT conv_id, turn, array_to_string(cited, ',') refs FROM c")
+def citation_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cites(spark, sf_dir).select("conv_id", "turn", F.array_join(F.col("cited").cast("array<string>"), ",").alias("refs"))
+
+
+@R.add("verify_citations", f"WITH {_CITES} SELECT conv_id, turn, array_to_string(list_filter(cited, lambda x: list_contains(given, x)), ',') cited_ok, array_to_string(list_sort(list_filter(given, lambda x: NOT list_contains(cited, x))), ',') uncited, array_to_string(list_filter(cited, lambda x: NOT list_contains(given, x)), ',') invalid FROM c")
 def verify_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cited = F.array(F.lit(1), F.lit(2), F.col("turn").cast("int") + 3)
-    given = F.array(*[F.lit(k) for k in range(1, 5)])
+    """The citations of each answer against four sources."""
+    cited, given = F.col("cited"), F.array(*[F.lit(k) for k in range(1, 5)])
     told = lambda a: F.array_join(F.array_sort(a).cast("array<string>"), ",")
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", told(F.array_intersect(cited, given)).alias("cited_ok"), told(F.array_except(given, cited)).alias("uncited"), told(F.array_except(cited, given)).alias("invalid"))
+    return _cites(spark, sf_dir).select("conv_id", "turn", told(F.array_intersect(cited, given)).alias("cited_ok"), told(F.array_except(given, cited)).alias("uncited"), told(F.array_except(cited, given)).alias("invalid"))
 
 
 @R.add("array_except_demo", "SELECT c_custkey, array_to_string(list_filter(['tools', 'vision', 'json'], lambda x: x <> (['tools','vision','none'])[c_custkey % 3 + 1]), ',') lost FROM customer")
@@ -232,11 +269,22 @@ def array_except_demo(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PATTERNS = ["12.md", "en/1", "src3", "9", "fr/100.md"]
 
 
-@R.add("resolve_file_refs", f"""WITH {CHUNKS}, p AS (SELECT unnest({_PATTERNS}) pattern), m AS (SELECT pattern, file_path, CASE WHEN split_part(file_path, '/', -1) = pattern THEN 1.0 WHEN starts_with(split_part(file_path, '/', -1), pattern) THEN 0.8 WHEN contains(split_part(file_path, '/', -1), pattern) THEN 0.6 ELSE 0.4 END::DOUBLE score FROM chunks, p WHERE contains(file_path, pattern))
-SELECT pattern, file_path, score, place FROM (SELECT *, row_number() OVER (PARTITION BY pattern ORDER BY score DESC, length(file_path), file_path) place FROM m) WHERE place <= 3""")
+#: The total is scaled down so that the small tables have files beyond it.
+_TOTAL = 9_000
+
+
+@R.add("resolve_file_refs", f"""WITH {CHUNKS}, p AS (SELECT unnest({_PATTERNS}) pattern, generate_subscripts({_PATTERNS}, 1) k), m AS (SELECT k, pattern, file_path, content, CASE WHEN split_part(file_path, '/', -1) = pattern THEN 1.0 WHEN starts_with(split_part(file_path, '/', -1), pattern) THEN 0.8 WHEN contains(split_part(file_path, '/', -1), pattern) THEN 0.6 ELSE 0.4 END::DOUBLE score FROM chunks, p WHERE contains(file_path, pattern)),
+n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pattern ORDER BY score DESC, length(file_path), file_path) place FROM m) WHERE place <= 3),
+b AS (SELECT *, {_TOTAL} - coalesce(sum(length(content)) OVER (ORDER BY k, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) room FROM n),
+c AS (SELECT *, substr(content, 1, CAST(room AS BIGINT)) cut FROM b WHERE room > 0),
+e AS (SELECT *, length(cut) - strpos(reverse(cut), chr(10)) at_ FROM c)
+SELECT pattern, file_path, score, place, CASE WHEN length(content) <= room THEN content ELSE CASE WHEN contains(cut, chr(10)) AND at_ > room * 0.8 THEN substr(cut, 1, at_) ELSE cut END || chr(10) || chr(10) || '[... content truncated ...]' END content FROM e""")
 def resolve_file_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = spark.createDataFrame([(x,) for x in _PATTERNS], "pattern string")
-    return C.match_files(p, chunks(spark, sf_dir).select("file_path").distinct(), "pattern", "file_path").select("pattern", "file_path", "score", "place")
+    """The best files of each reference with their content, within a total for all of them."""
+    p = spark.createDataFrame([(x, k) for k, x in enumerate(_PATTERNS)], "pattern string, k int")
+    c = chunks(spark, sf_dir).select("file_path", "content")
+    found = C.match_files(p, c.select("file_path").distinct(), "pattern", "file_path")
+    return C.with_content(found, c, "k", "file_path", "content", _TOTAL).select("pattern", "file_path", "score", "place", "content")
 
 
 @R.add("complete_path", f"WITH {CHUNKS} SELECT file_path, CASE WHEN file_path LIKE '%/1%' THEN 0 ELSE 1 END kind FROM (SELECT DISTINCT file_path FROM chunks) WHERE lower(file_path) LIKE '%1%' ORDER BY kind, length(file_path), file_path LIMIT 15")

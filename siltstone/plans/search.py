@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions.text import snippet
 from siltstone.operators import search as S
+from siltstone.operators.steps import hinted, materialize
 from siltstone.plans.registry import CHUNKS, Registry, chunks, table
 
 R = Registry()
@@ -26,13 +27,17 @@ _COS = f"round({_DOT.format('q.embedding', 'v.embedding')} / (sqrt({_DOT.format(
 _NEAR = f"near AS (SELECT q.vec_id query_id, v.vec_id, v.label, {_COS} score FROM embeddings v, embeddings q WHERE q.vec_id % 100 = 0)"
 
 
+def _scores(spark: SparkSession, sf_dir: str, by: str | None = None) -> DataFrame:
+    return S.lexical_scores(chunks(spark, sf_dir), table(spark, sf_dir, "benchmark"), "chunk_id", "content", "item_id", "text", by)
+
+
 def _bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.bm25_scores(chunks(spark, sf_dir), table(spark, sf_dir, "benchmark"), "chunk_id", "content", "item_id", "text")
+    return _scores(spark, sf_dir).drop("coverage")
 
 
 def few(spark: SparkSession, sf_dir: str, top: DataFrame, k: int) -> DataFrame:
     """At most k rows for each benchmark query, broadcast if that bound allows it; the rows themselves aren't counted."""
-    return S.hinted(top, most=k * table(spark, sf_dir, "benchmark").count())
+    return hinted(top, most=k * table(spark, sf_dir, "benchmark").count())
 
 
 def _queries(vectors: DataFrame) -> DataFrame:
@@ -101,19 +106,9 @@ b AS (SELECT item_id, chunk_id, round(score, 6) score, row_number() OVER (PARTIT
 lists AS (SELECT 'a' list, 1.0 weight, item_id, chunk_id, rank FROM a WHERE rank <= 20 UNION ALL SELECT 'b', 0.5, item_id, chunk_id, rank FROM b WHERE rank <= 20)"""
 
 
-def _coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = table(spark, sf_dir, "benchmark").select("item_id", F.array_distinct(S.tokens(F.col("text"))).alias("w"))
-    q = q.select("item_id", F.size("w").alias("k"), F.explode("w").alias("term"))
-    terms = F.broadcast(q.select("term").distinct())
-    t = chunks(spark, sf_dir).select("chunk_id", F.explode(F.array_distinct(S.tokens(F.col("content")))).alias("term")).join(terms, "term", "left_semi")
-    return t.join(S.hinted(q), "term").groupBy("item_id", "chunk_id").agg(F.round(F.count(F.lit(1)) / F.max("k"), 6).alias("score"))
-
-
 def _lists(spark: SparkSession, sf_dir: str, k: int = 20) -> DataFrame:
-    order = [F.desc("score"), F.asc("chunk_id")]
-    a = S.topk(_bm25(spark, sf_dir), ["item_id"], order, k).select(F.lit("a").alias("list"), F.lit(1.0).alias("weight"), "item_id", "chunk_id", "rank")
-    b = S.topk(_coverage(spark, sf_dir), ["item_id"], order, k).select(F.lit("b").alias("list"), F.lit(0.5).alias("weight"), "item_id", "chunk_id", "rank")
-    return a.unionByName(b)
+    lists = S.ranked_lists(_scores(spark, sf_dir), "item_id", "chunk_id", {"a": (F.lit(""), "score"), "b": (F.lit(""), "coverage")}, k)
+    return lists.select("list", F.when(F.col("list") == "a", 1.0).otherwise(0.5).alias("weight"), "item_id", "chunk_id", "rank")
 
 
 @R.add("rank_lists", f"WITH {_LISTS} SELECT list, item_id, chunk_id, rank FROM lists")
@@ -141,17 +136,21 @@ def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks(spark, sf_dir).select("chunk_id", "project").join(few(spark, sf_dir, top, 10), "chunk_id").select("item_id", "chunk_id", "score", "rank", "project")
 
 
-_PROJECT = _BM25.replace("tf AS (", "tf AS (").replace("n AS (SELECT count(*) n, avg(len(", "n AS (SELECT project, count(*) n, avg(len(").replace("avgdl FROM chunks)", "avgdl FROM chunks GROUP BY project)").replace("df AS (SELECT term, count(*) df FROM tf GROUP BY term)", "df AS (SELECT project, term, count(*) df FROM tf GROUP BY ALL)").replace("bm AS (SELECT item_id, chunk_id,", "bm AS (SELECT item_id, project, chunk_id,").replace("FROM tf JOIN df USING (term) JOIN q USING (term), n GROUP BY item_id, chunk_id)", "FROM tf JOIN df USING (project, term) JOIN q USING (term) JOIN n USING (project) GROUP BY ALL)")
-
-
-def _per_project(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = S.bm25_scores(chunks(spark, sf_dir), table(spark, sf_dir, "benchmark"), "chunk_id", "content", "item_id", "text", by="project")
-    return S.topk(s, ["item_id", "project"], [F.desc("score"), F.asc("chunk_id")], 20)
+_PROJECT = f"""
+{CHUNKS},
+q AS (SELECT item_id, unnest(list_distinct({TOK.format("text")})) term FROM benchmark),
+t AS (SELECT chunk_id, project, len(w) dl, unnest(w) term FROM (SELECT chunk_id, project, {TOK.format("content")} w FROM chunks)),
+tf AS (SELECT chunk_id, project, dl, term, count(*) tf FROM t WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+n AS (SELECT project, count(*) n, avg(len({TOK.format("content")})) avgdl FROM chunks GROUP BY project),
+df AS (SELECT project, term, count(*) df FROM tf GROUP BY ALL),
+bm AS (SELECT item_id, project, chunk_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) score
+       FROM tf JOIN df USING (project, term) JOIN q USING (term) JOIN n USING (project) GROUP BY ALL)"""
 
 
 @R.add("rrf_multi_project", f"WITH {_PROJECT}, lists AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id, project ORDER BY score DESC, chunk_id) rank FROM bm) WHERE rank <= 20) {_FUSE.format('1.0::DOUBLE')}")
 def rrf_multi_project(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.rrf(_per_project(spark, sf_dir), ["item_id"], "chunk_id")
+    lists = S.ranked_lists(_scores(spark, sf_dir, "project"), "item_id", "chunk_id", {"a": ("project", "score")}, 20)
+    return S.rrf(lists, ["item_id"], "chunk_id")
 
 
 @R.add("hybrid_multi", f"""WITH {_PROJECT}, pl AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id, project ORDER BY score DESC, chunk_id) rank FROM bm) WHERE rank <= 20),
@@ -162,9 +161,10 @@ lists AS (SELECT item_id, chunk_id, rank FROM inner_a UNION ALL SELECT * FROM b
 SELECT item_id, chunk_id, score, rank, source project FROM f JOIN documents ON chunk_id = doc_id WHERE rank <= 10""")
 def hybrid_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fusion across projects first, then across rankings; the hit keeps its project."""
-    a = S.rrf(_per_project(spark, sf_dir), ["item_id"], "chunk_id").select("item_id", "chunk_id", "rank")
-    b = S.topk(_coverage(spark, sf_dir), ["item_id"], [F.desc("score"), F.asc("chunk_id")], 20).select("item_id", "chunk_id", "rank")
-    top = S.rrf(a.unionByName(b), ["item_id"], "chunk_id").where("rank <= 10")
+    lists = S.ranked_lists(_scores(spark, sf_dir, "project"), "item_id", "chunk_id", {"a": ("project", "score"), "b": (F.lit(""), "coverage")}, 20)
+    lists = materialize(lists, "lists")
+    a = S.rrf(lists.where("list = 'a'"), ["item_id"], "chunk_id").select("item_id", "chunk_id", "rank")
+    top = S.rrf(a.unionByName(lists.where("list = 'b'").select("item_id", "chunk_id", "rank")), ["item_id"], "chunk_id").where("rank <= 10")
     return chunks(spark, sf_dir).select("chunk_id", "project").join(few(spark, sf_dir, top, 10), "chunk_id").select("item_id", "chunk_id", "score", "rank", "project")
 
 
@@ -178,16 +178,16 @@ def union_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
 def attribute_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = _lists(spark, sf_dir).where("list = 'a'")
     named = chunks(spark, sf_dir).select("chunk_id", F.substring("project", 4, 10).cast("int").alias("r_regionkey")).join(few(spark, sf_dir, hits, 20), "chunk_id")
-    return named.join(F.broadcast(table(spark, sf_dir, "region")), "r_regionkey", "left").select("item_id", "chunk_id", F.coalesce("r_name", F.lit("")).alias("project_name"))
+    return named.join(hinted(table(spark, sf_dir, "region")), "r_regionkey", "left").select("item_id", "chunk_id", F.coalesce("r_name", F.lit("")).alias("project_name"))
 
 
 @R.add("rerank_lexical", f"WITH {_LISTS}, c AS (SELECT a.item_id, a.chunk_id, a.rank, b.score rerank_score FROM a JOIN b USING (item_id, chunk_id) WHERE a.rank <= 50) SELECT item_id, chunk_id, rerank_score, new_rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY rerank_score DESC, rank) new_rank FROM c) WHERE new_rank <= 10")
 def rerank_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Query-word coverage stands for a cross-encoder, whose weights are not at hand."""
-    top = S.topk(_bm25(spark, sf_dir), ["item_id"], [F.desc("score"), F.asc("chunk_id")], 50)
-    q = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("query"))
-    c = chunks(spark, sf_dir).select("chunk_id", "content").join(few(spark, sf_dir, top, 50), "chunk_id").join(S.hinted(q), "item_id")
-    return S.rerank_lexical(c, "item_id", "query", "content").select("item_id", "chunk_id", "rerank_score", "new_rank")
+    top = S.topk(_scores(spark, sf_dir), ["item_id"], [F.desc("score"), F.asc("chunk_id")], 50)
+    top = materialize(top, "candidates")
+    scores = top.select("item_id", "chunk_id", F.col("coverage").alias("rerank_score"))
+    return S.rerank(top.select("item_id", "chunk_id", "rank"), scores, "item_id", "chunk_id").select("item_id", "chunk_id", "rerank_score", "new_rank")
 
 
 @R.add("minmax_normalize", f"""WITH {_LISTS}, x AS (SELECT item_id, chunk_id, score, rank, count(*) OVER w n, min(score) OVER w lo, max(score) OVER w hi FROM a WHERE rank <= 20 WINDOW w AS (PARTITION BY item_id))
@@ -236,12 +236,12 @@ def page_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks(spark, sf_dir).select("chunk_id", "file_path").orderBy("chunk_id").offset(50).limit(100)
 
 
-@R.add("sample_chunks")
+@R.add("sample_chunks", f"WITH {CHUNKS}, d AS (SELECT * FROM chunks ORDER BY md5('7:' || chunk_id), chunk_id LIMIT 90) SELECT chunk_id, file_path FROM d ORDER BY md5('11:' || chunk_id), chunk_id LIMIT 30")
 def sample_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A random sample of fixed size, three times as many drawn first as are returned."""
+    """A random sample of fixed size, the same one at every run, three times as many drawn first as are returned."""
     c = chunks(spark, sf_dir).select("chunk_id", "file_path")
-    drawn = c.orderBy(F.xxhash64("chunk_id", F.lit(7)), "chunk_id").limit(90)
-    return drawn.orderBy(F.xxhash64("chunk_id", F.lit(11)), "chunk_id").limit(30)
+    drawn = lambda seed: F.md5(F.concat(F.lit(f"{seed}:"), F.col("chunk_id").cast("string")).cast("binary"))
+    return c.orderBy(drawn(7), "chunk_id").limit(90).orderBy(drawn(11), "chunk_id").limit(30)
 
 
 @R.add("validate_embeddings", "SELECT label project, CAST(min(len(embedding)) AS INTEGER) dims, CAST(first_value(min(len(embedding))) OVER (ORDER BY label) AS INTEGER) expected, min(len(embedding)) = first_value(min(len(embedding))) OVER (ORDER BY label) AND min(len(embedding)) = max(len(embedding)) valid FROM embeddings GROUP BY label")

@@ -128,6 +128,17 @@ def trace_session(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream.sessions(table(spark, sf_dir, "events"), "user_id").select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
 
 
+@R.add("trace_sliding", "WITH w AS (SELECT unnest([0, 6, 12, 18]) h), e AS (SELECT time_bucket(INTERVAL 6 HOUR, ts) - to_hours(h) start, event_type, value FROM events, w) SELECT CAST(start AS VARCHAR) start, event_type, count(*) n, round(sum(value), 4) total FROM e GROUP BY ALL")
+def trace_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stream.sliding(table(spark, sf_dir, "events"), ["event_type"], "value").withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))
+
+
+@R.add("trace_percentiles", "SELECT coalesce(event_type, 'all') event_type, coalesce(CAST(\"day\" AS VARCHAR), 'all') AS \"day\", count(*) n, round(quantile_cont(value, 0.5), 4) p50, round(quantile_cont(value, 0.9), 4) p90, round(quantile_cont(value, 0.99), 4) p99 FROM (SELECT *, CAST(ts AS DATE) AS \"day\" FROM events) GROUP BY ROLLUP (event_type, \"day\")")
+def trace_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").withColumn("day", F.to_date("ts").cast("string"))
+    return stream.latency(e, ["event_type", "day"], "value").withColumns({c: F.coalesce(c, F.lit("all")) for c in ("event_type", "day")})
+
+
 @R.add("export_conversation", "SELECT conv_id, '# Conversation ' || conv_id || chr(10) || chr(10) || string_agg('## ' || CASE WHEN role = 'user' THEN 'User' ELSE 'Assistant' END || chr(10) || chr(10) || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY turn) markdown FROM conversations WHERE role <> 'system' GROUP BY conv_id")
 def export_conversation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Markdown of each conversation, system turns left out. A conversation bounds its group."""
@@ -136,7 +147,7 @@ def export_conversation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("conv_id", F.concat(F.lit("# Conversation "), F.col("conv_id").cast("string"), F.lit("\n\n"), F.array_join(F.transform("l", lambda r: r["x"]), "\n\n---\n\n")).alias("markdown"))
 
 
-@R.add("chunk_append")
+@R.add("chunk_append", "SELECT source project, count(*) n FROM documents GROUP BY 1")
 def chunk_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _folder(spark, "chunks")
     c = chunks(spark, sf_dir)
@@ -145,17 +156,20 @@ def chunk_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path).groupBy("project").agg(F.count(F.lit(1)).alias("n"))
 
 
-@R.add("atomic_reindex")
+@R.add("atomic_reindex", """WITH n AS (SELECT * FROM documents WHERE source IN ('src1', 'src2') AND doc_id % 3 = 0), r AS (SELECT source, doc_id, text FROM documents WHERE source NOT IN (SELECT source FROM n) UNION ALL SELECT source, doc_id, text || '!' FROM n)
+SELECT source project, count(*) n, CAST(sum(doc_id) AS BIGINT) ids, CAST(sum(length(text)) AS BIGINT) chars, (SELECT count(*) FROM documents WHERE source IN (SELECT source FROM n)) deleted, (SELECT count(*) FROM n) inserted FROM r GROUP BY 1""")
 def atomic_reindex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two projects indexed anew with a third of their chunks, changed; all others stay as they were."""
     path = _folder(spark, "chunks")
     c = chunks(spark, sf_dir)
     store.append(c, path, "project")
-    deleted, inserted = store.swap_partitions(c.where("project = 'src1' AND chunk_id % 3 = 0"), path, "project")
-    left = spark.read.parquet(path).count()
-    return spark.createDataFrame([(deleted, inserted, left)], "deleted long, inserted long, left_over long")
+    new = c.where("project IN ('src1', 'src2') AND chunk_id % 3 = 0").withColumn("content", F.concat("content", F.lit("!")))
+    deleted, inserted = store.swap_partitions(new, path, "project")
+    left = spark.read.parquet(path).groupBy("project").agg(F.count(F.lit(1)).alias("n"), F.sum("chunk_id").alias("ids"), F.sum(F.length("content")).alias("chars"))
+    return left.withColumns({"deleted": F.lit(deleted).cast("long"), "inserted": F.lit(inserted).cast("long")})
 
 
-@R.add("trace_append")
+@R.add("trace_append", "SELECT event_type, count(*) n FROM events GROUP BY 1")
 def trace_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events as a stream of files, appended to a table batch by batch."""
     path, checkpoint = _folder(spark, "traces"), _folder(spark, "checkpoint")

@@ -2,16 +2,63 @@
 
 from __future__ import annotations
 
+import os
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions.text import extension
+from siltstone.operators.ingest import IGNORED, ignored, is_binary
 
 
 def scan_directory(spark: SparkSession, root: str, glob: str = "*", content: bool = False) -> DataFrame:
     """path, relative_path, size, modified_at, extension of the files below a folder, hidden ones left out; content only if asked for, else it is never read."""
-    f = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
-    base = F.regexp_replace(F.lit(root.rstrip("/")), r"^[a-z]+://[^/]*", "")
+    f = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreMissingFiles", True).option("pathGlobFilter", glob).load(root)
+    base = F.regexp_replace(F.lit(root.rstrip("/")), r"^[a-z]+:(//[^/]*)?", "")
     plain = F.regexp_replace(F.regexp_replace("path", r"^[a-z]+:(//[^/]*)?/*", "/"), r"/+", "/")
     f = f.select("path", F.substring(plain, F.length(base) + 2, F.lit(10_000)).alias("relative_path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified_at"), *(["content"] if content else []))
     return f.where(~F.col("relative_path").rlike(r"(^|/)\.")).withColumn("extension", extension(F.col("relative_path")))
+
+
+def _unlinked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (root, relative_path, ...) of which no part below the root is a symbolic link."""
+    for b in batches:
+        keep = []
+        for root, path in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            keep.append(os.path.realpath(f"{root}/{path}") == f"{os.path.realpath(root)}/{path}")
+        yield b.filter(pa.array(keep, pa.bool_()))
+
+
+def scan_tree(spark: SparkSession, root: str, max_depth: int | None = None, extensions: list[str] | None = None, extra_patterns: list[str] | None = None, follow_links: bool = False) -> DataFrame:
+    """The files that an index takes: root, relative_path, size, modified_at, extension.
+
+    Hidden, ignored (`IGNORED`, the root's own ignore file and `extra_patterns`, the last pattern that matches decides)
+    and binary files are left out, and so are those deeper than `max_depth` folders, of other `extensions`, or, on a
+    local file system, reached through a symbolic link. Files that vanish meanwhile are left out too; a root that
+    can't be read is an error.
+    """
+    f = scan_directory(spark, root)
+    path = F.col("relative_path")
+    f = f.where(~ignored(path, [*IGNORED, *ignore_file(spark, root), *(extra_patterns or [])]) & ~is_binary(path))
+    if max_depth is not None:
+        f = f.where(F.size(F.split(path, "/")) <= max_depth)
+    if extensions is not None:
+        f = f.where(F.col("extension").isin([e.lower().lstrip(".") for e in extensions]))
+    f = f.select(F.lit(root.rstrip("/")).alias("root"), "relative_path", "size", "modified_at", "extension")
+    if follow_links or "://" in root and not root.startswith("file://"):
+        return f
+    local = f.withColumn("root", F.regexp_replace("root", "^file:(//)?", ""))
+    return local.mapInArrow(_unlinked, local.schema).withColumn("root", F.lit(root.rstrip("/")))
+
+
+def ignore_file(spark: SparkSession, root: str, name: str = ".gitignore") -> list[str]:
+    """The patterns of the root's own ignore file; none without one."""
+    from siltstone.operators.ingest import parse_ignore
+    from siltstone.operators.store import exists
+
+    path = f"{root.rstrip('/')}/{name}"
+    if not exists(spark, path):
+        return []
+    return spark.read.text(path, wholetext=True).select(parse_ignore(F.col("value")).alias("p")).first().p

@@ -21,6 +21,19 @@ def tumbling(df: DataFrame, by: list[str], value: str, width: str = "1 day", lat
     return d.groupBy(F.window(column, width), *by).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(value), 4).alias("total")).select(F.col("window.start").alias("start"), *by, "n", "total")
 
 
+def sliding(df: DataFrame, by: list[str], value: str, width: str = "1 day", slide: str = "6 hours", late: str = "1 hour", column: str = "ts") -> DataFrame:
+    """Count and sum by windows that overlap: a trace is in each of `width` / `slide` of them."""
+    d = event_time(df, column)
+    d = d.withWatermark(column, late) if df.isStreaming else d
+    return d.groupBy(F.window(column, width, slide), *by).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(value), 4).alias("total")).select(F.col("window.start").alias("start"), *by, "n", "total")
+
+
+def latency(df: DataFrame, by: list[str], value: str, shares: tuple[float, ...] = (0.5, 0.9, 0.99)) -> DataFrame:
+    """Percentiles of a value for each group, its subtotals and the total (a rollup): the columns `by` (null: all), n, p50, p90 and so on."""
+    told = [F.round(F.percentile(value, F.lit(q)), 4).alias(f"p{q * 100:g}") for q in shares]
+    return df.rollup(*by).agg(F.count(F.lit(1)).alias("n"), *told)
+
+
 def sessions(df: DataFrame, by: str, gap: str = "30 minutes", late: str = "1 hour", column: str = "ts") -> DataFrame:
     d = event_time(df, column)
     d = d.withWatermark(column, late) if df.isStreaming else d
