@@ -1,42 +1,18 @@
-"""Helpers shared by the operators: the shared work folder, size checks, and word and byte arithmetic on Arrow batches."""
+"""Helpers shared by the operators: size checks, and word and byte arithmetic on Arrow batches."""
 
 from __future__ import annotations
 
 import ctypes
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.operators.steps import materialize, work_dir
 
-def work_dir(spark: SparkSession, name: str = "") -> str:
-    """A new folder under spark.checkpoint.dir, deleted when the JVM ends. The setting is made only where it is unset and Spark runs in one process; ValueError on a cluster."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        import tempfile
-
-        base = "file://" + tempfile.mkdtemp(prefix="siltstone-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/{name or 'work'}-{uuid.uuid4().hex}"
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.mkdirs(p)
-    fs.deleteOnExit(p)
-    return path
-
-
-def materialize(df: DataFrame, name: str = "step") -> DataFrame:
-    """`df` written to the shared folder and read again: its lineage ends there, and a lost executor loses nothing."""
-    spark = df.sparkSession
-    path = f"{work_dir(spark, name)}/data"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["materialize", "work_dir"]
 
 
 def input_bytes(df: DataFrame) -> int:

@@ -35,24 +35,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siltstone.llm.shared import BYTE_CODE, LANE, U, blobs, dealt, fresh, grouped, joined, materialize, mix, n_fragments, one_by_one, powers, shuffles, small, texts
 
 LENGTH, GRAM, PIECE = 50, 20, 4 << 20
 HOT_BLOCKS, HOT_GROUP = 32, 4000
-#: Ranges are broadcast to the texts up to this many bytes in all; beyond it both sides are shuffled.
-BROADCAST_BYTES = 48 << 20
-
-
-def _six(x: np.ndarray) -> bytes:
-    """The low six bytes of each number."""
-    return x.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-
-
-def _from_six(raw: np.ndarray) -> np.ndarray:
-    x = np.zeros((len(raw) // 6, 8), np.uint8)
-    x[:, :6] = raw.reshape(-1, 6)
-    return x.reshape(-1).view(np.uint64)
+#: Ranges are broadcast to the texts up to this many bytes in all; beyond it both sides are shuffled, the texts compressed.
+BROADCAST_BYTES = 8 << 20
 
 
 def _eights(x: np.ndarray) -> np.ndarray:
@@ -219,16 +209,16 @@ def _entries(fragments: int, length: int):
                 if known.any():
                     yield of_docs(*_spans(row[known], at[known], at[known] + n[known] + length - 1), ids, tags, SPANS)
                 m, row, at, n = (x[~known] for x in (m, row, at, n))
-                m = m >> U(16)
+                m = _routed(m, fragments)
                 each = np.unique(m)
-                slot = (each & U(len(blocks) - 1)).astype(np.int64)
+                slot = (mix(each) & U(len(blocks) - 1)).astype(np.int64)
                 blocks[slot] += blocks[slot] < 255
                 often = each[blocks[slot] > HOT_BLOCKS]
                 if len(often):
                     fresh_ = often[~np.isin(often, hot)]
                     if len(fresh_):  # the fragment is told, once for each task
                         hot = np.union1d(hot, fresh_)
-                        f = (fresh_ % U(fragments)).astype(np.int64)
+                        f = (fresh_ >> U(32)).astype(np.int64)
                         yield pa.RecordBatch.from_arrays([pa.array(f), pa.array(np.full(len(f), MARKS, np.int32)), pa.array([b""] * len(f), pa.binary()), blobs(fresh_, np.arange(len(f)))], ["fragment", "kind", "ids", "body"])
                     is_hot = np.isin(m, often)
                     pick = np.flatnonzero(is_hot)[np.argsort(row[is_hot], kind="stable")]
@@ -236,7 +226,7 @@ def _entries(fragments: int, length: int):
                     m, row, at, n = (x[~is_hot] for x in (m, row, at, n))
                 if not len(m):
                     continue
-                frag = m % U(fragments)
+                frag = m >> U(32)
                 order = np.argsort(frag, kind="stable")
                 frag = frag[order]
                 start = np.flatnonzero(np.concatenate([[True], frag[1:] != frag[:-1]]))
@@ -244,7 +234,7 @@ def _entries(fragments: int, length: int):
                 for i, j in zip(start, [*start[1:], len(frag)], strict=True):
                     pick = order[i:j]
                     docs, ordinal = np.unique(row[pick], return_inverse=True)
-                    bodies.append(b"".join([_six(m[pick]), ordinal.astype(np.uint16 if len(docs) < 65536 else np.uint32).tobytes(), at[pick].astype(np.uint32).tobytes(), n[pick].astype(np.uint8).tobytes()]))
+                    bodies.append(b"".join([m[pick].astype(np.uint32).tobytes(), ordinal.astype(np.uint16 if len(docs) < 65536 else np.uint32).tobytes(), at[pick].astype(np.uint32).tobytes(), n[pick].astype(np.uint8).tobytes()]))
                     tagged = tags[docs].any()
                     kinds.append(TAGGED if tagged else ENTRY)
                     id_parts.append(ids[docs].astype(np.int64).tobytes() + (tags[docs].astype(np.int64).tobytes() if tagged else b""))
@@ -253,25 +243,31 @@ def _entries(fragments: int, length: int):
     return run
 
 
+def _routed(m: np.ndarray, fragments: int) -> np.ndarray:
+    """The fragment of an anchor's hash, and 32 bits of it that tell anchors of a fragment apart. What agrees by chance is only compared in vain."""
+    m = m >> U(16)
+    return (m % U(fragments)) << U(32) | (m // U(fragments)) & U(0xFFFFFFFF)
+
+
 def _opened(m: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
     x = np.zeros(len(m), OPEN)
     x["m"], x["at"], x["n"] = m, at, n
     return x
 
 
-def _unpack(kind: np.ndarray, ids: pa.ChunkedArray, body: pa.ChunkedArray) -> tuple[np.ndarray, ...]:
-    """Anchor hash, index of the document, first start and number of windows of each entry; ids and tags of the documents."""
+def _unpack(fragment: int, kind: np.ndarray, ids: pa.ChunkedArray, body: pa.ChunkedArray) -> tuple[np.ndarray, ...]:
+    """Routed anchor, index of the document, first start and number of windows of each entry; ids and tags of the documents."""
     parts: list[list[np.ndarray]] = [[], [], [], [], [], []]
     begin = 0
     for tagged, i, x in zip(kind == TAGGED, ids.to_pylist(), body.to_pylist(), strict=True):
         docs = np.frombuffer(i, np.int64)
         docs, tags = np.split(docs, 2) if tagged else (docs, np.zeros(len(docs), np.int64))
         wide = len(docs) >= 65536
-        n, w = len(x) // (15 if wide else 13), 4 if wide else 2
-        parts[0].append(_from_six(np.frombuffer(x, np.uint8, 6 * n)))
-        parts[1].append(np.frombuffer(x, np.uint32 if wide else np.uint16, n, 6 * n).astype(np.int64) + begin)
-        parts[2].append(np.frombuffer(x, np.uint32, n, (6 + w) * n).astype(np.int64))
-        parts[3].append(np.frombuffer(x, np.uint8, n, (10 + w) * n).astype(np.int64))
+        n, w = len(x) // (13 if wide else 11), 4 if wide else 2
+        parts[0].append(U(fragment << 32) | np.frombuffer(x, np.uint32, n).astype(np.uint64))
+        parts[1].append(np.frombuffer(x, np.uint32 if wide else np.uint16, n, 4 * n).astype(np.int64) + begin)
+        parts[2].append(np.frombuffer(x, np.uint32, n, (4 + w) * n).astype(np.int64))
+        parts[3].append(np.frombuffer(x, np.uint8, n, (8 + w) * n).astype(np.int64))
         parts[4].append(docs)
         parts[5].append(tags)
         begin += len(docs)
@@ -282,7 +278,7 @@ def _settle(hot_group: int):
     """In each fragment: rows (doc_id, tag, kind, body) of spans, and of the entries whose anchors occur in several documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, t in one_by_one(batches):
+        for fragment, t in one_by_one(batches):
             kind = t.column("kind").to_numpy()
             passed = t.filter(pa.array((kind == SPANS) | (kind == HOT)))
             if passed.num_rows:
@@ -293,7 +289,7 @@ def _settle(hot_group: int):
             t = t.filter(pa.array(packed))
             if not t.num_rows:
                 continue
-            m, row, at, n, ids, tags = _unpack(kind[packed], t.column("ids"), t.column("body"))
+            m, row, at, n, ids, tags = _unpack(int(fragment), kind[packed], t.column("ids"), t.column("body"))
             order = np.argsort(m, kind="stable")
             m, row, at, n = (x[order] for x in (m, row, at, n))
             doc = ids[row]
@@ -310,19 +306,41 @@ def _settle(hot_group: int):
     return run
 
 
-def _spell(fragments: int, length: int):
+def _raw(text: str | bytes | None) -> bytes | None:
+    """A text's bytes, whether it comes as it is or compressed by `_compressed`."""
+    if text is None or isinstance(text, str):
+        return None if text is None else text.encode()
+    size = int.from_bytes(text[:4], "little")
+    return pa.decompress(text[4:], decompressed_size=size, codec="zstd", asbytes=True) if size else b""
+
+
+def _compressed(docs: DataFrame) -> DataFrame:
+    """`docs` with `text` compressed, for a shuffle."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            raw = (x if x is None or not x else len(x).to_bytes(4, "little") + pa.compress(x, codec="zstd", asbytes=True) for x in b.column(at).cast(pa.binary()).to_pylist())
+            cols = list(b.columns)
+            cols[at] = pa.array([bytes(4) if x == b"" else x for x in raw], pa.binary())
+            yield pa.RecordBatch.from_arrays(cols, b.schema.names)
+
+    return docs.mapInArrow(run, T.StructType([T.StructField(f.name, T.BinaryType()) if f.name == "text" else f for f in docs.schema.fields]))
+
+
+def _spell(length: int):
     """Open entries with their texts to rows (fragment, m, doc_id, tag, at, body): the covered bytes of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, tag, text, packed in zip(*(b.column(c).to_pylist() for c in range(4)), strict=True):
-                x, raw = np.frombuffer(b"".join(packed), OPEN), text.encode()
+                x, raw = np.frombuffer(b"".join(packed), OPEN), _raw(text)
                 for k in range(0, len(x), 1 << 16):
                     y = x[k : k + (1 << 16)]
                     body = [raw[a : a + n + length - 1] for a, n in zip(y["at"].tolist(), y["n"].tolist(), strict=True)]
                     m = y["m"].astype(np.uint64)
                     yield pa.RecordBatch.from_arrays([
-                        pa.array((m % U(fragments)).astype(np.int64)), pa.array(m.astype(np.int64)),
+                        pa.array((m >> U(32)).astype(np.int64)), pa.array(m.astype(np.int64)),
                         pa.array(np.full(len(y), i, np.int64)), pa.array(np.full(len(y), tag, np.int64)), pa.array(y["at"].astype(np.int64)), pa.array(body, pa.binary()),
                     ], ["fragment", "m", "doc_id", "tag", "at", "body"])
 
@@ -364,7 +382,7 @@ def _radix(length: int):
             begin = np.cumsum(size) - size
             digits = _eights(np.frombuffer(b"".join(bodies) + bytes(length + 80), np.uint8))
             # Runs: equal ones have the same anchor and length, and are compared through their whole length.
-            left, group = np.arange(len(m)), (m.astype(np.uint64) << U(16) | size.astype(np.uint64))
+            left, group = np.arange(len(m)), m.astype(np.uint64) * U(256) + size.astype(np.uint64)  # a fragment's anchors differ in the low 32 bits
             covered = np.zeros(len(m), bool)
             for depth in range(0, int(size.max()), 8):
                 digit = digits[begin[left] + depth] & _low_bytes(size[left] - depth)
@@ -433,7 +451,9 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _with_body(docs: DataFrame, spans: DataFrame, how: str, key: tuple[str, ...], size: Column) -> DataFrame:
     """`docs` joined with materialized rows of bytes, `size` of them in each: broadcast behind a check of their size, shuffled beyond it."""
     total = spans.agg(F.coalesce(F.sum(size), F.lit(0)).alias("b"), F.count(F.lit(1)).alias("n")).first()
-    return docs.join(F.broadcast(spans) if total.b + 32 * total.n <= BROADCAST_BYTES else spans, list(key), how)
+    if total.b + 32 * total.n <= BROADCAST_BYTES:
+        return docs.join(F.broadcast(spans), list(key), how)
+    return _compressed(docs).join(spans, list(key), how)
 
 
 def _tagged(docs: DataFrame, twice: DataFrame | None, key: str = "doc_id", name: str = "_tag") -> DataFrame:
@@ -463,7 +483,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, Da
 
     def spelled(kind: int) -> DataFrame:
         found = settled.where(F.col("kind") == kind).groupBy("doc_id", "tag").agg(F.collect_list("body").alias("body"), F.sum(F.octet_length("body")).alias("size"))
-        return _with_body(rest, materialize(found, "open"), "inner", ("doc_id", "tag"), F.col("size")).select("doc_id", "tag", "text", "body").mapInArrow(_spell(fragments, length), SPELLED)
+        return _with_body(rest, materialize(found, "open"), "inner", ("doc_id", "tag"), F.col("size")).select("doc_id", "tag", "text", "body").mapInArrow(_spell(length), SPELLED)
 
     rows = dealt(spelled(OPENED), "fragment", shuffles(docs)).mapInArrow(_radix(length), "doc_id long, tag long, kind int, body binary")
     if settled.where(F.col("kind") == HOT).limit(1).count():
@@ -495,7 +515,7 @@ def repeats_report(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         for b in batches:
             rows = []
             for text, s in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                raw = (text or "").encode()
+                raw = _raw(text) or b""
                 left, gone, runs = _cut(raw, s if len(raw) >= length else None)
                 rows.append((len(raw), gone, runs, hashlib.sha256(left).hexdigest()))
             n, g, r, h = zip(*rows, strict=True) if rows else ((), (), (), ())
@@ -517,7 +537,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         for b in batches:
             out = []
             for text, s in zip(b.column(at).to_pylist(), b.column(b.num_columns - 1).to_pylist(), strict=True):
-                raw = None if text is None else text.encode()
+                raw = _raw(text)
                 out.append(None if raw is None else _cut(raw, s if len(raw) >= length else None)[0].decode("utf8", "ignore"))
             cols = list(b.columns[:-1])
             cols[at] = pa.array(out, pa.string())

@@ -249,7 +249,7 @@ def removed_in_process(rows, length=50, hot_group=4000):
                 opened[r["doc_id"]].append(r["body"])
     text = dict(rows)
     batch = pa.RecordBatch.from_arrays([pa.array(list(opened), pa.int64()), pa.array([0] * len(opened), pa.int64()), pa.array([text[i] for i in opened]), pa.array(list(opened.values()), pa.list_(pa.binary()))], ["doc_id", "tag", "text", "body"])
-    spelled = list(suffixes._spell(3, length)(iter([batch])))
+    spelled = list(suffixes._spell(length)(iter([batch])))
     return positions(settled), positions(suffixes._radix(length)(iter(sorted_by_fragment(spelled))))
 
 
