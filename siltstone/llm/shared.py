@@ -10,9 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.operators.steps import materialize, work_dir
-
-__all__ = ["materialize", "work_dir"]
+from siltstone.operators.steps import materialize, work_dir  # noqa: F401
 
 
 def input_bytes(df: DataFrame) -> int:

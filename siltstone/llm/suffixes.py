@@ -40,7 +40,7 @@ from pyspark.sql import types as T
 from siltstone.llm.shared import BYTE_CODE, LANE, U, blobs, dealt, fresh, grouped, joined, materialize, mix, n_fragments, one_by_one, powers, shuffles, small, texts
 
 LENGTH, GRAM, PIECE = 50, 20, 4 << 20
-HOT_BLOCKS, HOT_GROUP = 32, 4000
+HOT_BLOCKS, HOT_GROUP = 32, 200_000
 #: Ranges are broadcast to the texts up to this many bytes in all; beyond it both sides are shuffled, the texts compressed.
 BROADCAST_BYTES = 8 << 20
 

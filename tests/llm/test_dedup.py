@@ -213,7 +213,7 @@ def brute_repeats(rows, length=50):
     return out
 
 
-@pytest.mark.parametrize("blocks, group, piece", [(32, 4000, 4 << 20), (0, 4000, 4 << 20), (32, 2, 4 << 20), (32, 4000, 300)])
+@pytest.mark.parametrize("blocks, group, piece", [(32, 200_000, 4 << 20), (0, 200_000, 4 << 20), (32, 2, 4 << 20), (32, 200_000, 300)])
 def test_repeats(spark, docs, monkeypatch, blocks, group, piece):
     """Also with all anchors hot, with those of more than two entries hot, and with texts cut into pieces."""
     for name, value in (("HOT_BLOCKS", blocks), ("HOT_GROUP", group), ("PIECE", piece)):
