@@ -179,5 +179,39 @@ def test_sharding_cuts_only_what_must_be(spark):
     assert sum(r.k == 1 for r in got) >= 30
 
 
+def least_cut(groups, room):
+    """The fewest pairs of equal texts in different shards, by trying all ways to cut each group over the shards."""
+    import functools
+
+    def ways(k, rooms):
+        if len(rooms) == 1:
+            return [(k,)] if k <= rooms[0] else []
+        return [(n, *rest) for n in range(min(k, rooms[0]) + 1) for rest in ways(k - n, rooms[1:])]
+
+    @functools.cache
+    def best(i, rooms):
+        if i == len(groups):
+            return 0
+        pairs = lambda n: n * (n - 1) // 2
+        return min((pairs(groups[i]) - sum(map(pairs, w)) + best(i + 1, tuple(sorted(r - n for r, n in zip(rooms, w, strict=True)))) for w in ways(groups[i], rooms)), default=10**9)
+
+    return best(0, tuple(sorted(room)))
+
+
+@pytest.mark.parametrize("groups", [(9, 4, 3, 2, 2), (7, 7, 7, 2, 2), (21, 3, 3), (5, 5, 5, 5), (2,) * 12])
+def test_cut_against_the_least_possible(spark, groups):
+    """Pairs of equal texts that are cut, against the best of all placements: few more, and none more for large groups alone."""
+    total = 30
+    rows = [f"group {g}" for g, k in enumerate(groups) for _ in range(k)]
+    rows += [f"single {i}" for i in range(total - len(rows))]
+    got = sharding.shard_report(edge(spark, list(enumerate(rows))).repartition(2), 3).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.text_crc32, []).append(r.shard)
+    cut = sum(a != b for v in by.values() for i, a in enumerate(v) for b in v[:i])
+    least = least_cut(groups, (10, 10, 10))
+    assert least <= cut <= least + 6, (cut, least)
+
+
 def test_sharding_empty(empty):
     assert sharding.shard_report(empty).count() == 0
