@@ -45,6 +45,8 @@ from siltstone.llm.components import connected
 from siltstone.llm.shared import LANE, LOWER, SPACE, U, blobs, dealt, fresh, joined, materialize, mix, n_fragments, one_by_one, shuffles, small, texts, word_hashes, words_of
 
 WIDTH, PERCENT, HEAD, BLOCK, CUTS, SPAN, FEW, PIECE = 5, 80, 0.4, 256, 4, 8, 16, 8 << 20
+#: A shingle that a task has met in so many blocks is known to be shared, and isn't sent again.
+HOT_BLOCKS = 24
 NO_ID = -(1 << 63)
 
 
@@ -116,9 +118,14 @@ META = np.dtype([("id", "<i8"), ("h", "<i8"), ("cid", "<i8"), ("n", "<i8"), ("ne
 
 
 def _heads(fragments: int, percent: int):
-    """Texts to rows (fragment, kind, ids, body): what each document is (kind 1), and the head of its set (kind 0)."""
+    """Texts to rows (fragment, kind, ids, body): what each document is (kind 1), and the head of its set (kind 0).
+
+    A shingle that is common in a task is sent from its first blocks only, at last with a mark that it is shared; from
+    there on its documents count it themselves. What shares a counter with it by chance is taken for shared too, and compared in vain.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks, hot = np.zeros(1 << 22, np.uint8), np.zeros(0, np.uint64)
         for b in batches:
             ids_all, keys = b.column(0).to_numpy(zero_copy_only=False), b.column(2).to_numpy(zero_copy_only=False)
             for a, z, data, off in texts(b.column(1)):
@@ -137,7 +144,12 @@ def _heads(fragments: int, percent: int):
                 new = np.concatenate([[True], v[1:] != v[:-1]]) if len(v) else np.zeros(0, bool)
                 start = np.flatnonzero(new)
                 times = np.diff([*start, len(v)])
-                both = np.repeat(times > 1, times)
+                each = v[start]
+                slot = (mix(each) & U(len(blocks) - 1)).astype(np.int64)
+                blocks[slot] += blocks[slot] < 255
+                known, often = np.isin(each, hot), blocks[slot] > HOT_BLOCKS
+                hot = np.union1d(hot, each[often & ~known])
+                both = np.repeat((times > 1) | often | known, times)
                 meta["local"] = np.bincount(doc[both], minlength=len(n))
                 order = np.argsort(meta["id"].view(np.uint64) % U(fragments), kind="stable")
                 f = (meta["id"].view(np.uint64) % U(fragments)).astype(np.int64)[order]
@@ -146,7 +158,9 @@ def _heads(fragments: int, percent: int):
                 yield pa.RecordBatch.from_arrays([pa.array(f[at]), pa.array(np.ones(len(at), np.int32)), none, blobs(meta[order], at)], ["fragment", "kind", "ids", "body"])
                 if not len(v):
                     continue
-                v, who, once = v[start], doc[start], times == 1
+                v, who, once = each[~known], doc[start][~known], ((times == 1) & ~often)[~known]
+                if not len(v):
+                    continue
                 f = (v % U(fragments)).astype(np.int64)
                 order = np.argsort(f, kind="stable")
                 f = f[order]

@@ -15,8 +15,8 @@ anchor, about one for 16 positions, stands for the run of windows that it rules.
 
 An anchor that a task meets in more than `HOT_BLOCKS` blocks, or that has more than `HOT_GROUP` entries, is hot: its
 runs and windows are dealt by their own bytes, and smallest documents are found by sums that Spark begins before it
-shuffles, so that no task gets all of a passage that most documents share.
-Later copies of a whole text are found beforehand by SHA-256, and covered as a whole.
+shuffles, so that no task gets all of a passage that most documents share. Texts are read twice and shuffled twice,
+compressed, to meet their open entries and then their spans; both joins are the same at every size.
 
 A byte goes if a window that covers it also starts in a document with a smaller doc_id. Defined results: a null text
 has no bytes; rows with a null doc_id are kept as they are and are no source for others; rows that repeat a doc_id
@@ -33,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,8 +41,6 @@ from siltstone.llm.shared import BYTE_CODE, LANE, U, blobs, dealt, fresh, groupe
 
 LENGTH, GRAM, PIECE = 50, 20, 4 << 20
 HOT_BLOCKS, HOT_GROUP = 32, 200_000
-#: Ranges are broadcast to the texts up to this many bytes in all; beyond it both sides are shuffled, the texts compressed.
-BROADCAST_BYTES = 8 << 20
 
 
 def _eights(x: np.ndarray) -> np.ndarray:
@@ -448,12 +446,9 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _by_row(row, merged, ids, tags)
 
 
-def _with_body(docs: DataFrame, spans: DataFrame, how: str, key: tuple[str, ...], size: Column) -> DataFrame:
-    """`docs` joined with materialized rows of bytes, `size` of them in each: broadcast behind a check of their size, shuffled beyond it."""
-    total = spans.agg(F.coalesce(F.sum(size), F.lit(0)).alias("b"), F.count(F.lit(1)).alias("n")).first()
-    if total.b + 32 * total.n <= BROADCAST_BYTES:
-        return docs.join(F.broadcast(spans), list(key), how)
-    return _compressed(docs).join(spans, list(key), how)
+def _with_body(docs: DataFrame, found: DataFrame, how: str, key: tuple[str, ...]) -> DataFrame:
+    """`docs`, their texts compressed, joined with narrow rows of bytes that fit a task's memory many times."""
+    return _compressed(docs).join(found.hint("shuffle_hash"), list(key), how)
 
 
 def _tagged(docs: DataFrame, twice: DataFrame | None, key: str = "doc_id", name: str = "_tag") -> DataFrame:
@@ -468,28 +463,26 @@ def _tagged(docs: DataFrame, twice: DataFrame | None, key: str = "doc_id", name:
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame | None]:
     """(_id, _tag, body): packed int32 pairs [start, end) of what is to be removed, for the documents where anything is; and the doc_ids that have several texts, if any do. Materialized."""
     slim = docs.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= length)).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    mark = F.sha2(F.col("text").cast("binary"), 256)
-    marks = materialize(slim.select("doc_id", mark.alias("k"), F.octet_length("text").alias("size"), F.xxhash64("text").alias("h")), "marks")
-    twice = materialize(marks.groupBy("doc_id").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("doc_id"), "twice")
+    hashes = slim.select("doc_id", F.xxhash64("text").alias("h")).groupBy("doc_id").agg(F.min("h").alias("a"), F.max("h").alias("b"), F.count(F.lit(1)).alias("n"))
+    again = materialize(hashes.where("n > 1").select("doc_id", F.expr("a <> b").alias("several")), "again")
+    twice = again.where("several").select("doc_id")
     twice = twice if twice.limit(1).count() else None
-    marks = marks.withColumn("tag", F.lit(0).cast("long")) if twice is None else marks.join(small(twice.withColumn("_several", F.lit(True))), "doc_id", "left").withColumn("tag", F.when(F.col("_several"), F.col("h")).otherwise(F.lit(0).cast("long")))
-    firsts = marks.groupBy("k").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-    copies = materialize(marks.join(firsts, "k").where("doc_id > first").select("doc_id", "tag", "size").distinct(), "copies")
-    fragments = max(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_fragments(docs, 6 << 20))
-    # A doc_id may repeat with other texts; only rows of the copied text are left out.
-    rest = _tagged(slim, twice).withColumnRenamed("_tag", "tag").join(small(copies), ["doc_id", "tag"], "left_anti").select("doc_id", "text", "tag")
+    fragments = max(2 * shuffles(docs), n_fragments(docs, 6 << 20))
+    # A doc_id may repeat with other texts; what goes from one of them stays in the others.
+    rest = _tagged(slim, twice).withColumnRenamed("_tag", "tag").select("doc_id", "text", "tag")
+    if again.limit(1).count():  # one of the rows that agree in id and text is enough
+        rest = rest.dropDuplicates(["doc_id", "tag"])
     entries = rest.mapInArrow(_entries(fragments, length), "fragment long, kind int, ids binary, body binary")
     settled = materialize(dealt(entries, "fragment", shuffles(docs)).mapInArrow(_settle(HOT_GROUP), "doc_id long, tag long, kind int, body binary"), "settled")
 
     def spelled(kind: int) -> DataFrame:
-        found = settled.where(F.col("kind") == kind).groupBy("doc_id", "tag").agg(F.collect_list("body").alias("body"), F.sum(F.octet_length("body")).alias("size"))
-        return _with_body(rest, materialize(found, "open"), "inner", ("doc_id", "tag"), F.col("size")).select("doc_id", "tag", "text", "body").mapInArrow(_spell(length), SPELLED)
+        found = settled.where(F.col("kind") == kind).groupBy("doc_id", "tag").agg(F.collect_list("body").alias("body"))
+        return _with_body(rest, found, "inner", ("doc_id", "tag")).select("doc_id", "tag", "text", "body").mapInArrow(_spell(length), SPELLED)
 
     rows = dealt(spelled(OPENED), "fragment", shuffles(docs)).mapInArrow(_radix(length), "doc_id long, tag long, kind int, body binary")
     if settled.where(F.col("kind") == HOT).limit(1).count():
         rows = rows.unionByName(_hot_spans(spelled(HOT), length))
-    whole = copies.select("doc_id", "tag", F.lit(SPANS).alias("kind"), F.unhex(F.concat(F.lit("00000000"), *[F.lpad(F.hex(F.shiftright(F.col("size"), 8 * k).bitwiseAND(F.lit(255))), 2, "0") for k in range(4)])).alias("body"))
-    spans = settled.where(F.col("kind") == SPANS).unionByName(rows).unionByName(whole)
+    spans = settled.where(F.col("kind") == SPANS).unionByName(rows)
     merged = dealt(spans.select("doc_id", "tag", "body"), "doc_id").mapInArrow(_merged, "doc_id long, tag long, body binary")
     return materialize(merged, "spans").select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"), F.col("body")), twice
 
@@ -522,7 +515,7 @@ def repeats_report(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(g, pa.int64()), pa.array(r, pa.int64()), pa.array(h, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    both = _with_body(_tagged(docs.select("doc_id", "text", F.col("doc_id").cast("long").alias("_id")), twice, "_id"), spans, "left", ("_id", "_tag"), F.octet_length("body")).select("doc_id", "text", "body")
+    both = _with_body(_tagged(docs.select("doc_id", "text", F.col("doc_id").cast("long").alias("_id")), twice, "_id"), spans, "left", ("_id", "_tag")).select("doc_id", "text", "body")
     return both.mapInArrow(run, f"doc_id {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
@@ -544,7 +537,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             yield pa.RecordBatch.from_arrays(cols, b.schema.names[:-1])
 
     both = _tagged(docs.withColumn(i, F.col("doc_id").cast("long")), twice, i, tag)
-    both = _with_body(both, spans, "left", (i, tag), F.octet_length(body))
+    both = _with_body(both, spans, "left", (i, tag))
     return both.select(*docs.columns, body).mapInArrow(run, docs.schema)
 
 

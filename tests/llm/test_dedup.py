@@ -50,7 +50,9 @@ def multiset(rows):
     return collections.Counter(tuple(r) for r in rows)
 
 
-def test_jaccard(spark, docs):
+@pytest.mark.parametrize("blocks", [24, 0])
+def test_jaccard(spark, docs, monkeypatch, blocks):
+    monkeypatch.setattr(ngrams, "HOT_BLOCKS", blocks)
     got = ngrams.jaccard_report(docs).select("doc_id", "n_shingles", "component_id").collect()
     assert multiset(got) == multiset(brute_components(texts()))
 
@@ -288,21 +290,13 @@ def test_bytes_decide_whatever_the_hashes_say(monkeypatch, bits):
     assert by_digits > 0.2 * sum(map(len, want.values()))  # the others were compared byte by byte within their blocks of nine
 
 
-def test_repeats_without_broadcast(spark, docs, monkeypatch):
-    monkeypatch.setattr(suffixes, "BROADCAST_BYTES", -1)
-    got = suffixes.repeats_report(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
-    assert multiset(got) == multiset(brute_repeats(texts()))
-
-
-def test_texts_of_a_repeated_id_are_apart(spark, monkeypatch):
+def test_texts_of_a_repeated_id_are_apart(spark):
     rng = random.Random(9)
     a, b, c, d = (words(rng, 60) for _ in range(4))
     edit = a[:150] + "#" + a[151:]
     rows = [(1, a), (5, a), (5, b), (5, b[::-1][: len(a)].ljust(len(a), "z")), (2, c), (7, c + " tail"), (7, d), (7, c[:90] + "!" + c[91:]), (8, edit), (8, "short"), (9, d)]
-    for most in (48 << 20, -1):
-        monkeypatch.setattr(suffixes, "BROADCAST_BYTES", most)
-        got = suffixes.repeats_report(edge(spark, rows).repartition(3)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
-        assert multiset(got) == multiset(brute_repeats(rows))
+    got = suffixes.repeats_report(edge(spark, rows).repartition(3)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+    assert multiset(got) == multiset(brute_repeats(rows))
     assert {b, d} <= {r.text for r in suffixes.remove_repeats(edge(spark, rows)).where("doc_id IN (5, 7)").collect()}
 
 
