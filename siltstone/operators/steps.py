@@ -52,14 +52,27 @@ def spread(df: DataFrame) -> DataFrame:
 
 @contextmanager
 def cancellable(spark: SparkSession, tag: str) -> Iterator[str]:
-    """Jobs that begin inside carry `tag`; `cancel` from another thread ends them, and those that follow in the block fail to begin no more than others."""
-    spark.addTag(tag)
+    """Jobs that this thread begins inside carry `tag`; `cancel`, from any thread, ends those that run."""
+    spark.sparkContext.addJobTag(tag)
     try:
         yield tag
     finally:
-        spark.removeTag(tag)
+        spark.sparkContext.removeJobTag(tag)
 
 
 def cancel(spark: SparkSession, tag: str) -> None:
     """Ends the running jobs that carry `tag`."""
-    spark.interruptTag(tag)
+    spark.sparkContext.cancelJobsWithTag(tag)
+
+
+def read_file(spark: SparkSession, path: str) -> str | None:
+    """A small file's text, from any file system that Spark reads, hidden ones too; None if there is none."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        return None
+    stream = fs.open(p)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()

@@ -1,35 +1,10 @@
-"""Stored relations on Parquet: append, staged swap, upsert, cascade, partial update, validation."""
+"""Stored relations: upsert, cascade, partial update, validation, golden datasets and exports as files."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.operators.steps import hinted
-
-
-def append(df: DataFrame, path: str, partition: str) -> None:
-    df.write.mode("append").partitionBy(partition).parquet(path)
-
-
-def swap_partitions(df: DataFrame, path: str, partition: str) -> tuple[int, int]:
-    """Replaces the partitions that `df` has by a staged copy of it: rows deleted, rows inserted. Nothing happens if `df` is empty."""
-    spark = df.sparkSession
-    staged = f"{path}_staging_{uuid.uuid4().hex}"
-    df.write.partitionBy(partition).parquet(staged)
-    new = spark.read.schema(df.schema).parquet(staged)
-    inserted = new.count()
-    if not inserted:
-        raise ValueError("the staged table is empty")
-    old = spark.read.parquet(path)
-    deleted = old.join(hinted(new.select(partition).distinct()), partition, "left_semi").count()
-    new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
-    p = spark._jvm.org.apache.hadoop.fs.Path(staged)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-    return deleted, inserted
-
 
 def upsert(old: DataFrame, new: DataFrame, key: str, keep: list[str]) -> DataFrame:
     """Rows of `new` over those of `old`; in the columns `keep`, a null leaves the old value."""

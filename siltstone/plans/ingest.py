@@ -176,18 +176,34 @@ def embed_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _code(spark: SparkSession, sf_dir: str, head: str, foot: str) -> DataFrame:
-    """Documents dressed as source code: the whole text, escaped, becomes a string in a small program."""
-    quoted = F.get_json_object(F.to_json(F.struct(F.to_json(F.struct("text")).alias("t"))), "$.t")
-    return table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit(head), F.substring(quoted, 9, 100_000_000), F.lit(foot)).alias("code"))
+    """Documents dressed as source code: the whole text, as JSON writes it, stands in a small program; {"text": is cut off."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit(head), F.substring(F.to_json(F.struct("text")), 9, 1 << 30), F.lit(foot)).alias("code"))
 
 
-@R.add("extract_js")
+def _segments_sql(rows: list[tuple]) -> str:
+    """Rows (first line, last line, content type, kind, name, SQL of the content) for each document."""
+    one = ["SELECT doc_id, {0} start_line, {1} end_line, '{2}' content_type, '{3}' symbol_type, {4} symbol, {5} content FROM documents".format(a, z, t, k, f"'{n}'" if n else "CAST(NULL AS VARCHAR)", c) for a, z, t, k, n, c in rows]
+    return " UNION ALL ".join(one)
+
+
+@R.add("extract_js", _segments_sql([
+    (1, 1, "docs", "doc", None, "'/** Doc. */'"),
+    (2, 5, "code", "function", "one", "'export function one(a: number) {' || chr(10) || '  const s = {t: ' || CAST(to_json(text) AS VARCHAR) || '};' || chr(10) || '  return { s };' || chr(10) || '}'"),
+    (6, 6, "code", "arrow", "two", "'export const two = (x) => { return x; }'"), (7, 7, "code", "class", "Three", "'export class Three { m() { return 1; } }'"),
+    (8, 8, "code", "interface", "Four", "'export interface Four { a: string }'"), (9, 9, "code", "type", "Five", "'export type Five = string;'"),
+]))
 def extract_js(spark: SparkSession, sf_dir: str) -> DataFrame:
     code = _code(spark, sf_dir, "/** Doc. */\nexport function one(a: number) {\n  const s = {t: ", ";\n  return { s };\n}\nexport const two = (x) => { return x; };\nexport class Three { m() { return 1; } }\nexport interface Four { a: string }\nexport type Five = string;\n")
     return extract.extract_js(code, "doc_id", "code")
 
 
-@R.add("extract_python")
+_PY_F = "'def f(self):' || chr(10) || '        return {\"t\": ' || CAST(to_json(text) AS VARCHAR) || '}'"
+
+
+@R.add("extract_python", _segments_sql([
+    (1, 1, "docs", "docstring", None, "'Module.'"), (4, 8, "code", "class", "A", "'class A:' || chr(10) || '    \"\"\"Doc.\"\"\"' || chr(10) || chr(10) || '    ' || " + _PY_F),
+    (5, 5, "docs", "docstring", "A", "'Doc.'"), (7, 8, "code", "function", "f", _PY_F),
+]))
 def extract_python(spark: SparkSession, sf_dir: str) -> DataFrame:
     code = _code(spark, sf_dir, '"""Module."""\n\n\nclass A:\n    """Doc."""\n\n    def f(self):\n        return {"t": ', "\n")
     return extract.extract_python(code, "doc_id", "code")

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.operators import store
+from siltstone.operators import store, tables
 from siltstone.plans.registry import CHUNKS, Registry, chunks, table
 from siltstone.streaming import traces as stream
 
@@ -151,9 +151,9 @@ def export_conversation(spark: SparkSession, sf_dir: str) -> DataFrame:
 def chunk_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _folder(spark, "chunks")
     c = chunks(spark, sf_dir)
-    store.append(c.where("chunk_id % 2 = 0"), path, "project")
-    store.append(c.where("chunk_id % 2 = 1"), path, "project")
-    return spark.read.parquet(path).groupBy("project").agg(F.count(F.lit(1)).alias("n"))
+    tables.append(c.where("chunk_id % 2 = 0"), path, "project")
+    tables.append(c.where("chunk_id % 2 = 1"), path, "project")
+    return tables.read_table(spark, path).groupBy("project").agg(F.count(F.lit(1)).alias("n"))
 
 
 @R.add("atomic_reindex", """WITH n AS (SELECT * FROM documents WHERE source IN ('src1', 'src2') AND doc_id % 3 = 0), r AS (SELECT source, doc_id, text FROM documents WHERE source NOT IN (SELECT source FROM n) UNION ALL SELECT source, doc_id, text || '!' FROM n)
@@ -162,10 +162,10 @@ def atomic_reindex(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two projects indexed anew with a third of their chunks, changed; all others stay as they were."""
     path = _folder(spark, "chunks")
     c = chunks(spark, sf_dir)
-    store.append(c, path, "project")
+    tables.append(c, path, "project")
     new = c.where("project IN ('src1', 'src2') AND chunk_id % 3 = 0").withColumn("content", F.concat("content", F.lit("!")))
-    deleted, inserted = store.swap_partitions(new, path, "project")
-    left = spark.read.parquet(path).groupBy("project").agg(F.count(F.lit(1)).alias("n"), F.sum("chunk_id").alias("ids"), F.sum(F.length("content")).alias("chars"))
+    deleted, inserted = tables.swap_partitions(new, path, "project")
+    left = tables.read_table(spark, path).groupBy("project").agg(F.count(F.lit(1)).alias("n"), F.sum("chunk_id").alias("ids"), F.sum(F.length("content")).alias("chars"))
     return left.withColumns({"deleted": F.lit(deleted).cast("long"), "inserted": F.lit(inserted).cast("long")})
 
 

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions.text import extension
-from siltstone.operators.ingest import IGNORED, ignored, is_binary
+from siltstone.operators.ingest import IGNORED, ignored, is_binary, parse_ignore
+from siltstone.operators.steps import read_file
 
 
 def scan_directory(spark: SparkSession, root: str, glob: str = "*", content: bool = False) -> DataFrame:
@@ -55,10 +56,5 @@ def scan_tree(spark: SparkSession, root: str, max_depth: int | None = None, exte
 
 def ignore_file(spark: SparkSession, root: str, name: str = ".gitignore") -> list[str]:
     """The patterns of the root's own ignore file; none without one."""
-    from siltstone.operators.ingest import parse_ignore
-    from siltstone.operators.store import exists
-
-    path = f"{root.rstrip('/')}/{name}"
-    if not exists(spark, path):
-        return []
-    return spark.read.text(path, wholetext=True).select(parse_ignore(F.col("value")).alias("p")).first().p
+    text = read_file(spark, f"{root.rstrip('/')}/{name}")
+    return [] if text is None else spark.range(1).select(parse_ignore(F.lit(text)).alias("p")).first().p
