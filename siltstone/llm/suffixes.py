@@ -15,8 +15,9 @@ anchor, about one for 16 positions, stands for the run of windows that it rules.
 
 An anchor that a task meets in more than `HOT_BLOCKS` blocks, or that has more than `HOT_GROUP` entries, is hot: its
 runs and windows are dealt by their own bytes, and smallest documents are found by sums that Spark begins before it
-shuffles, so that no task gets all of a passage that most documents share. Texts are read twice and shuffled twice,
-compressed, to meet their open entries and then their spans; both joins are the same at every size.
+shuffles, so that no task gets all of a passage that most documents share. Texts are shuffled twice, compressed, to
+meet their open entries and then their spans; both joins are the same at every size. Later copies of a whole text are
+found beforehand by SHA-256, and covered as a whole.
 
 A byte goes if a window that covers it also starts in a document with a smaller doc_id. Defined results: a null text
 has no bytes; rows with a null doc_id are kept as they are and are no source for others; rows that repeat a doc_id
@@ -368,6 +369,41 @@ def _later(group: np.ndarray, d: np.ndarray) -> np.ndarray:
     return d > np.minimum.reduceat(d, np.flatnonzero(new))[np.cumsum(new) - 1]
 
 
+#: Windows that are sorted at a time.
+WINDOWS = 1 << 19
+
+
+def _unaligned(column: pa.ChunkedArray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Begin and size of each value among the bytes of all, and the eight bytes at each place as a number, without a copy for each."""
+    column = pa.concat_arrays(column.chunks)
+    off = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = np.zeros(off[-1] - off[0] + length + 8, np.uint8)
+    data[: off[-1] - off[0]] = np.frombuffer(column.buffers()[2], np.uint8)[off[0] : off[-1]]
+    return off[:-1] - off[0], np.diff(off), np.ndarray(len(data) - 7, np.dtype("<u8"), data, strides=(1,))
+
+
+def _equal_windows(entries: np.ndarray, group: np.ndarray, begin: np.ndarray, size: np.ndarray, doc: np.ndarray, digits: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(entry, place in it) of the windows that also start in an earlier document, of entries sorted by their anchor's group. Many are taken in parts, by their first digit."""
+    n = size[entries] - length + 1
+    entry, group = np.repeat(entries, n), np.repeat(group, n)
+    inner = np.arange(len(entry)) - np.repeat(np.cumsum(n) - n, n)
+    parts = -(-len(entry) // (2 * WINDOWS))
+    part = mix(digits[begin[entry] + inner]) % U(parts) if parts > 1 else None
+    for k in range(parts):
+        e, i, g = (entry, inner, group) if part is None else (x[part == U(k)] for x in (entry, inner, group))
+        for depth in range(0, length, 8):
+            digit = digits[begin[e] + i + depth]
+            if depth + 8 > length:
+                digit = digit & U((1 << (8 * (length - depth))) - 1)
+            order, g = _groups(g, digit, doc[e])
+            e, i = e[order], i[order]
+            if not len(e):
+                break
+        hit = _later(g, doc[e])
+        if hit.any():
+            yield e[hit], i[hit]
+
+
 def _radix(length: int):
     """In each fragment the radix passes over runs and then over windows; rows (doc_id, tag, kind, body) of spans."""
 
@@ -375,10 +411,7 @@ def _radix(length: int):
         for _, t in one_by_one(batches):
             m, doc, at = (t.column(c).to_numpy() for c in ("m", "doc_id", "at"))
             row, docs, tags = _numbered(doc, t.column("tag").to_numpy())
-            bodies = t.column("body").to_pylist()
-            size = np.array([len(x) for x in bodies])
-            begin = np.cumsum(size) - size
-            digits = _eights(np.frombuffer(b"".join(bodies) + bytes(length + 80), np.uint8))
+            begin, size, digits = _unaligned(t.column("body"), length)
             # Runs: equal ones have the same anchor and length, and are compared through their whole length.
             left, group = np.arange(len(m)), m.astype(np.uint64) * U(256) + size.astype(np.uint64)  # a fragment's anchors differ in the low 32 bits
             covered = np.zeros(len(m), bool)
@@ -390,25 +423,18 @@ def _radix(length: int):
             if covered.any():
                 c = np.flatnonzero(covered)
                 yield _by_row(*_spans(row[c], at[c], at[c] + size[c]), docs, tags, SPANS)
-            # Windows of the other runs.
+            # Windows of the other runs, some anchors at a time.
             left = np.flatnonzero(~covered)
             order, group = _groups(m[left], np.zeros(len(left), np.int64), doc[left])
             left = left[order]
-            n = size[left] - length + 1
-            entry, group = np.repeat(left, n), np.repeat(group, n)
-            inner = np.arange(len(entry)) - np.repeat(np.cumsum(n) - n, n)
-            for depth in range(0, length, 8):
-                digit = digits[begin[entry] + inner + depth]
-                if depth + 8 > length:
-                    digit = digit & U((1 << (8 * (length - depth))) - 1)
-                order, group = _groups(group, digit, doc[entry])
-                entry, inner = entry[order], inner[order]
-                if not len(entry):
-                    break
-            hit = _later(group, doc[entry])
-            if hit.any():
-                a = at[entry[hit]] + inner[hit]
-                yield _by_row(*_spans(row[entry[hit]], a, a + length), docs, tags, SPANS)
+            count = np.cumsum(size[left] - length + 1)
+            ends = np.flatnonzero(np.concatenate([group[1:] != group[:-1], [True]])) + 1 if len(left) else np.zeros(0, np.int64)
+            a = 0
+            while a < len(left):
+                z = ends[max(np.searchsorted(ends, a, side="right"), np.searchsorted(count[ends - 1], (count[a - 1] if a else 0) + WINDOWS, side="right") - 1)]
+                for entry, start in _equal_windows(left[a:z], group[a:z], begin, size, doc, digits, length):
+                    yield _by_row(*_spans(row[entry], at[entry] + start, at[entry] + start + length), docs, tags, SPANS)
+                a = z
 
     return run
 
@@ -463,13 +489,18 @@ def _tagged(docs: DataFrame, twice: DataFrame | None, key: str = "doc_id", name:
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame | None]:
     """(_id, _tag, body): packed int32 pairs [start, end) of what is to be removed, for the documents where anything is; and the doc_ids that have several texts, if any do. Materialized."""
     slim = docs.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= length)).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    hashes = slim.select("doc_id", F.xxhash64("text").alias("h")).groupBy("doc_id").agg(F.min("h").alias("a"), F.max("h").alias("b"), F.count(F.lit(1)).alias("n"))
-    again = materialize(hashes.where("n > 1").select("doc_id", F.expr("a <> b").alias("several")), "again")
+    marks = slim.select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("k"), F.octet_length("text").alias("size"), F.xxhash64("text").alias("h"))
+    marks = materialize(marks, "marks")
+    again = marks.groupBy("doc_id").agg(F.min("h").alias("a"), F.max("h").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    again = materialize(again.select("doc_id", F.expr("a <> b").alias("several")), "again")
     twice = again.where("several").select("doc_id")
     twice = twice if twice.limit(1).count() else None
+    marks = marks.withColumn("tag", F.lit(0).cast("long")) if twice is None else marks.join(small(twice.withColumn("_several", F.lit(True))), "doc_id", "left").withColumn("tag", F.when(F.col("_several"), F.col("h")).otherwise(F.lit(0).cast("long")))
+    firsts = marks.groupBy("k").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+    copies = materialize(marks.join(firsts, "k").where("doc_id > first").select("doc_id", "tag", "size").distinct(), "copies")
     fragments = max(2 * shuffles(docs), n_fragments(docs, 6 << 20))
     # A doc_id may repeat with other texts; what goes from one of them stays in the others.
-    rest = _tagged(slim, twice).withColumnRenamed("_tag", "tag").select("doc_id", "text", "tag")
+    rest = _tagged(slim, twice).withColumnRenamed("_tag", "tag").join(small(copies), ["doc_id", "tag"], "left_anti").select("doc_id", "text", "tag")
     if again.limit(1).count():  # one of the rows that agree in id and text is enough
         rest = rest.dropDuplicates(["doc_id", "tag"])
     entries = rest.mapInArrow(_entries(fragments, length), "fragment long, kind int, ids binary, body binary")
@@ -482,7 +513,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, Da
     rows = dealt(spelled(OPENED), "fragment", shuffles(docs)).mapInArrow(_radix(length), "doc_id long, tag long, kind int, body binary")
     if settled.where(F.col("kind") == HOT).limit(1).count():
         rows = rows.unionByName(_hot_spans(spelled(HOT), length))
-    spans = settled.where(F.col("kind") == SPANS).unionByName(rows)
+    whole = copies.select("doc_id", "tag", F.lit(SPANS).alias("kind"), F.unhex(F.concat(F.lit("00000000"), *[F.lpad(F.hex(F.shiftright(F.col("size"), 8 * k).bitwiseAND(F.lit(255))), 2, "0") for k in range(4)])).alias("body"))
+    spans = settled.where(F.col("kind") == SPANS).unionByName(rows).unionByName(whole)
     merged = dealt(spans.select("doc_id", "tag", "body"), "doc_id").mapInArrow(_merged, "doc_id long, tag long, body binary")
     return materialize(merged, "spans").select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"), F.col("body")), twice
 

@@ -269,11 +269,12 @@ def brute_positions(rows, length=50):
     return out
 
 
-@pytest.mark.parametrize("bits", [64, 20, 0])
-def test_bytes_decide_whatever_the_hashes_say(monkeypatch, bits):
-    """Hashes that collide route more together and settle nothing: of anchors only `bits` bits are left, of runs none."""
+@pytest.mark.parametrize("bits, windows", [(64, 1 << 19), (64, 40), (20, 1 << 19), (0, 1 << 19), (0, 500)])
+def test_bytes_decide_whatever_the_hashes_say(monkeypatch, bits, windows):
+    """Hashes that collide route more together and settle nothing: of anchors only `bits` bits are left, of runs none. So it is with windows taken a few at a time."""
     import numpy as np
 
+    monkeypatch.setattr(suffixes, "WINDOWS", windows)
     plain = suffixes.anchors
 
     def blunt(data, off, length=50):
