@@ -6,6 +6,7 @@ import ast
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import Protocol
 
 import numpy as np
@@ -116,26 +117,36 @@ def recursive_chunks(text: str, size: int, overlap: int, separators: tuple[str,
     return out + [held] if held.strip() else out
 
 
-def hashed_vector(text: str, dims: int = 64) -> np.ndarray:
-    """A unit vector of hashed word counts, as `embed_hash` makes them."""
-    h = [hashlib.md5(w.encode()).digest() for w in re.findall(r"\w+", text.lower())]
-    v = np.zeros(dims)
-    np.add.at(v, [(x[0] << 8 | x[1]) % dims for x in h], [1.0 if x[2] < 128 else -1.0 for x in h])
-    norm = np.sqrt(v @ v)
-    return v / norm if norm else v
+@lru_cache(maxsize=1 << 16)
+def _place(word: str) -> tuple[int, float]:
+    """A word's place, as the first 16 bits of its MD5, and its sign, the bit behind them."""
+    h = hashlib.md5(word.encode()).digest()
+    return h[0] << 8 | h[1], 1.0 if h[2] < 128 else -1.0
+
+
+def hashed_vectors(texts: list[str], dims: int = 64) -> np.ndarray:
+    """Unit vectors of hashed word counts as rows, as `embed_hash` makes them; zeros for a text without words."""
+    at = [(i, *_place(w)) for i, t in enumerate(texts) for w in re.findall(r"\w+", t.lower())]
+    row, place, sign = map(np.array, zip(*at, strict=True)) if at else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+    v = np.bincount(row * dims + place % dims, weights=sign, minlength=len(texts) * dims).reshape(len(texts), dims)
+    norm = np.linalg.norm(v, axis=1, keepdims=True)
+    return v / np.where(norm > 0, norm, 1)
 
 
 def semantic_chunks(text: str, threshold: float = 0.5, least: int = 100) -> list[str]:
     """Sentences gathered until the next one's hashed vector is less similar than `threshold` and the chunk has `least` tokens."""
     sentences = [s for s in re.split(r"(?<=[.!?])\s+", text) if s.strip()]
-    out, held, last = [], "", None
-    for s in sentences:
-        v = hashed_vector(s)
-        if held and last is not None and len(held) >= 4 * least and last @ v < threshold:
+    if not sentences:
+        return []
+    v = hashed_vectors(sentences)
+    out, held = [], sentences[0]
+    for s, like in zip(sentences[1:], (v[1:] * v[:-1]).sum(1).tolist(), strict=True):
+        if len(held) >= 4 * least and like < threshold:
             out.append(held)
-            held = ""
-        held, last = f"{held} {s}" if held else s, v
-    return out + [held] if held else out
+            held = s
+        else:
+            held = f"{held} {s}"
+    return [*out, held]
 
 
 def _mapped(docs: DataFrame, id_col: str, text_col: str, fn, fields: str) -> DataFrame:
