@@ -57,14 +57,9 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(31))
 
 
-def byte_table(low: bytes = b"") -> np.ndarray:
-    """Identity table of bytes with A-Z lower-cased."""
-    t = np.arange(256, dtype=np.uint8)
-    t[65:91] += 32
-    return t
-
-
-LOWER = byte_table()
+#: Bytes with A-Z lower-cased.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltstone.llm.shared import BYTE_CODE, LANE, U, blobs, dealt, fresh, grouped, joined, materialize, mix, n_fragments, one_by_one, powers, shuffles, small, texts
+from siltstone.llm.shared import BYTE_CODE, U, blobs, dealt, fresh, grouped, joined, materialize, mix, n_fragments, one_by_one, powers, shuffles, small, texts
 
 LENGTH, GRAM, PIECE = 50, 20, 4 << 20
 HOT_BLOCKS, HOT_GROUP = 32, 200_000
@@ -71,12 +71,11 @@ def anchors(data: np.ndarray, off: np.ndarray, length: int = LENGTH) -> tuple[np
     empty = tuple(np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64, np.int64))
     if len(data) < length:
         return empty
-    e = _eights(data)
-    second, third = np.zeros(len(e), np.uint64), np.zeros(len(e), np.uint64)
-    second[:-8] = e[8:]
-    third[:-16] = e[16:] & U((1 << (8 * (GRAM - 16))) - 1)
+    pw, inv = powers(len(data) + 1)
+    h, p = np.zeros(len(data), np.uint64), np.zeros(len(data) + 1, np.uint64)
     with np.errstate(over="ignore"):
-        h = mix(e * LANE[0] ^ mix(second * LANE[1]) ^ mix(third * LANE[2] + U(1))) | U(1)
+        np.cumsum(BYTE_CODE[data] * pw[: len(data)], out=p[1:])
+        h[: len(data) - GRAM + 1] = mix((p[GRAM:] - p[:-GRAM]) * inv[: len(data) - GRAM + 1]) | U(1)
     valid = np.zeros(len(data), bool)
     row = np.repeat(np.arange(len(off) - 1), np.diff(off))
     valid[: len(data) - length + 1] = row[: len(data) - length + 1] == row[length - 1 :]
@@ -99,10 +98,7 @@ def anchors(data: np.ndarray, off: np.ndarray, length: int = LENGTH) -> tuple[np
     first = np.flatnonzero(new)
     n = np.diff([*first, len(k)])
     q, a = at[k[first]], starts[first]
-    pw, inv = powers(len(data) + 1)
     with np.errstate(over="ignore"):
-        p = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(BYTE_CODE[data] * pw[: len(data)], out=p[1:])
         u = mix((p[a + n + length - 1] - p[a]) * inv[a] + mix((q - a).astype(np.uint64) * U(64) + n.astype(np.uint64)))
     return h[q], u, row[a], a - off[row[a]], n
 

@@ -358,7 +358,10 @@ def leaky():
     return [*texts(), (200, f"start, {run}; end"), (201, f"w2 {run[6:]} tail"), (202, run.upper() + " " + run), (203, " ".join(f"w{i}" for i in range(9))), (204, "é日本語,です")]
 
 
-def test_decontamination(spark):
+@pytest.mark.parametrize("most", [500_000, 0])
+def test_decontamination(spark, monkeypatch, most):
+    """Also with more windows than are broadcast."""
+    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", most)
     bench = spark.createDataFrame(BENCH, "item_id long, text string")
     d = edge(spark, leaky()).repartition(3)
     got = decontaminate.digest(decontaminate.hits(d, bench)).collect()
