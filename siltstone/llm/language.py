@@ -14,7 +14,7 @@ for each n-gram of the largest language. Every row is predicted from its whole t
 Defined results: a null text, or one without a letter, is `und` with score 0, and so is every text if nothing was
 learned; equal scores go to the language that sorts first; equal texts have equal results; repeated rows are judged
 one by one; rows with a null lang or id teach nothing; an empty table gives no rows; a very long text is counted in
-stretches, at some 20 bytes of memory for each of its bytes; other columns, whatever their names, are ignored.
+stretches, at some 11 bytes of memory for each of its bytes; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

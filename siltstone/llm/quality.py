@@ -9,7 +9,7 @@ Training takes at most `SAMPLE` labelled rows, those with the lowest hash of the
 row is scored. Defined results: a null text is an empty text and has a score; equal texts have equal scores;
 repeated rows are scored one by one; null labels and labels without a document are left out; of a document with
 several labels the mean decides (0.5 counts as 1); without any label every score is 0.5; an empty table gives no
-rows; a text of any length is measured whole, at some 20 bytes of memory for each of its bytes; other columns are kept
+rows; a text of any length is measured whole, at some 40 bytes of memory for each of its bytes; other columns are kept
 by `score_quality` under their own names, which the score's must not be among (ValueError).
 """
 

@@ -12,7 +12,7 @@ many words each) are toxic by themselves, as a model trained on the other folds
 text the evidence lies is not among the inputs of either model.
 
 Training takes at most `SAMPLE` labelled rows, those with the lowest hash of their id; every row is scored over its
-whole text, however long, at some 30 bytes of memory for each of its bytes. Defined results: a null text is an empty
+whole text, however long, at some 20 bytes of memory for each of its bytes. Defined results: a null text is an empty
 text; equal texts have equal scores; repeated rows are scored one by one; null labels and labels without a document
 are left out; of several labels of a document the largest counts; without labels, or with labels of one value, every
 probability is 0; an empty table gives no rows; other columns, whatever their names, are ignored.
