@@ -16,17 +16,18 @@ CURRENT = ["this project", "this codebase", "this repo", "this repository", "cur
 FORCE_BELOW = 0.5
 
 
-def contained(text: Column, phrases: list[str], whole_words: bool = False) -> Column:
-    """The phrases that a text contains, in the order of the list. As parts of words too, unless whole words are asked for."""
-    low = F.lower(text)
+def contained(text: Column, phrases: list[str], whole_words: bool = False, lowered: bool = False) -> Column:
+    """The phrases that a text contains, in the order of the list. As parts of words too, unless whole words are asked for. A column of long texts is better lowered once, beforehand."""
+    low = text if lowered else F.lower(text)
     test = (lambda p: low.rlike(rf"\b{re.escape(p)}\b")) if whole_words else (lambda p: low.contains(p))
     return F.array_compact(F.array(*[F.when(test(p), F.lit(p)) for p in phrases]))
 
 
-def mentions(text: Column, names: Column) -> Column:
+def mentions(text: Column, names: Column, lowered: bool = False) -> Column:
     """Those of an array of project names that occur as whole words, whatever their case."""
+    low = text if lowered else F.lower(text)
     escaped = lambda n: F.regexp_replace(F.lower(n), r"([\\.*+?^${}()|\[\]])", r"\\$1")
-    return F.filter(names, lambda n: F.regexp_like(F.lower(text), F.concat(F.lit(r"\b"), escaped(n), F.lit(r"\b"))))
+    return F.filter(names, lambda n: F.regexp_like(low, F.concat(F.lit(r"\b"), escaped(n), F.lit(r"\b"))))
 
 
 def intent(named: Column, several: Column, current: Column) -> tuple[Column, Column]:

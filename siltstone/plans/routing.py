@@ -33,9 +33,10 @@ def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = F.col("q")
+    low = F.col("_low")
     names = F.array(*map(F.lit, PROJECTS))
-    return asked(spark, sf_dir).withColumns({"named": Q.mentions(q, names), "several": Q.contained(q, Q.SEVERAL), "cur": Q.contained(q, Q.CURRENT)})
+    x = asked(spark, sf_dir).withColumn("_low", F.lower("q"))
+    return x.withColumns({"named": Q.mentions(low, names, lowered=True), "several": Q.contained(low, Q.SEVERAL, lowered=True), "cur": Q.contained(low, Q.CURRENT, lowered=True)}).drop("_low")
 
 
 def intents(spark: SparkSession, sf_dir: str) -> DataFrame:
