@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import collocations, decontaminate, language, media, ngrams, quality, segment, sharding, suffixes, toxicity, warc
+from siltstone.llm import collocations, decontaminate, language, lexical, licenses, media, ngrams, quality, segment, sharding, suffixes, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,9 +67,17 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(_table(spark, sf_dir, "documents"))
 
 
+def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(spark, lexical.build_index(_table(spark, sf_dir, "documents")), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_report(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality, op2_language, op3_media, op4_sentencepiece, op5_sharding, op6_jaccard_join, op6_jaccard_links, op7_decontamination, op8_warc, op9_suffix_dedup, op10_toxicity, op11_collocations)}
+    return {f.__name__: f for f in (op1_quality, op2_language, op3_media, op4_sentencepiece, op5_sharding, op6_jaccard_join, op6_jaccard_links, op7_decontamination, op8_warc, op9_suffix_dedup, op10_toxicity, op11_collocations, op12_lexical, op13_licenses)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_jaccard_join": ngrams.ORACLE, "op6_jaccard_links": ngrams.LINKS_ORACLE, "op7_decontamination": decontaminate.ORACLE, "op8_warc": warc.ORACLE, "op9_suffix_dedup": suffixes.ORACLE, "op11_collocations": collocations.ORACLE}
+    return {"op6_jaccard_join": ngrams.ORACLE, "op6_jaccard_links": ngrams.LINKS_ORACLE, "op7_decontamination": decontaminate.ORACLE, "op8_warc": warc.ORACLE, "op9_suffix_dedup": suffixes.ORACLE, "op11_collocations": collocations.ORACLE, "op12_lexical": lexical.ORACLE, "op13_licenses": licenses.ORACLE}
