@@ -36,7 +36,7 @@ from siltstone.llm.shared import LANE, U, dealt, materialize, mix, n_fragments,
 WIDEST, LEAST, FIRST, COVERED = 4, 30, 2000, 80
 SCALE = 2_000_000
 #: Pieces held in a task before they go on, and bytes of pieces whose phrases are summed at a time.
-HELD_BYTES, CHUNK_BYTES = 24 << 20, 12 << 20
+HELD_BYTES, CHUNK_BYTES = 16 << 20, 6 << 20
 #: Bits of the filter for each entry, and at most (32 MB).
 BITS_EACH, MOST_BITS = 16, 1 << 28
 #: Memory of duckdb in a bucket; beyond it, it spills to its temporary folder.
