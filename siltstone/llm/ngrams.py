@@ -9,12 +9,17 @@ last the partial overlaps of each pair.
 2. A link needs most of any part of a set to be shared. Of each set the head of the hash order goes to its fragments,
    which tell what also occurs elsewhere; sets that share too little of their head can't link and are done with.
    Within a block of documents a shingle is sent once, however many of them hold it.
-3. For what is left, the fragments count in how many sets a shingle occurs. In rare-first order two linked sets share
-   one of their first shingles (prefix filter); sets connected by such shingles form a cluster.
+3. For what is left, the fragments count in how many sets a shingle occurs. In rare-first order the first shingle that two
+   linked sets share stands in the first fifth of the larger one and, since as much must follow it, in the first ninth
+   of the smaller one (a prefix filter with positions: the set holds it strongly there). Shingles that some set holds
+   strongly connect the sets that have them among their first ones to a cluster. So pages that share a template link
+   to nobody by it, as long as what is their own fills the first ninth.
 4. Sets are dealt to cells of about `BLOCK` sets: small clusters share a cell, larger ones have several. In a cluster
    of more than `SPAN` cells, the cells hold sets with the same leading shingle (that with the smallest hash among
-   the first shingles), and two cells with different ones meet only if a set of one shares a first shingle with a set
-   of the other. So the work is in proportion to what shares first shingles, not to the square of a cluster.
+   those held strongly, else among the first ones), and two cells with different ones meet only if one of them holds
+   strongly what is a first shingle of the other. Sets that hold nothing strongly don't meet one another. Inside a cell
+   and between cells with the same leading shingle all pairs of sets are compared: the links of n near copies of one
+   text are n**2 / 2, and `jaccard_links`, which counts them, takes that long.
 5. Pairs of cells go to tasks fragment by fragment; a task counts the partial overlaps of all pairs of its two cells
    as one packed matrix. Matrices are summed for each pair of cells. `jaccard_links` compares all these pairs and adds
    up, for each set, the documents that it links with. Where only components are asked for, links that join something
@@ -114,6 +119,11 @@ def missing(n: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     return n - (percent * n + 99) // 100
 
 
+def missing_strongly(n: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """How many shingles of a set of n a linked set that isn't smaller may lack."""
+    return n - (2 * percent * n + 99 + percent) // (100 + percent)
+
+
 META = np.dtype([("id", "<i8"), ("h", "<i8"), ("cid", "<i8"), ("n", "<i8"), ("need", "<i8"), ("local", "<i8")])
 
 
@@ -273,8 +283,9 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _prefixes(fragments: int, percent: int):
     """Blocks with the frequencies of their shingles to rows (fragment, body).
 
-    The sets of a block that share a token of their prefixes have one label. Packed are (token, label) for each
-    fragment; under fragment -1 (cid, label, leading token) of all sets; under -2 the tokens of each set's prefix.
+    The sets of a block that share a token of their prefixes, which one of them holds strongly, have one label. Packed are
+    (token, label, strong) for each fragment; under fragment -1 (cid, label, leading token, strong) of all sets; under -2
+    the tokens of each set's prefix, those held strongly first.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,25 +303,30 @@ def _prefixes(fragments: int, percent: int):
                 d = df[inverse]
                 order = np.lexsort((h, d, row))
                 place = np.arange(len(h)) - np.repeat(np.cumsum(lens) - lens, lens)
-                lead = order[place < np.repeat(missing(lens, percent) + 1, lens)]
-                lead = lead[d[lead] > 1]
+                first = place < np.repeat(missing(lens, percent) + 1, lens)
+                lead, strong = order[first], (place < np.repeat(missing_strongly(lens, percent) + 1, lens))[first]
+                strong, lead = strong[d[lead] > 1], lead[d[lead] > 1]
                 token, who = inverse[lead], row[lead]
-                label = _connect(len(cid), who, token)
+                joins = np.zeros(len(v), bool)
+                joins[token[strong]] = True
+                label = _connect(len(cid), who[joins[token]], token[joins[token]])
                 name = np.full(len(cid), np.iinfo(np.int64).max)
                 np.minimum.at(name, label, cid)
                 mine = name[label]
-                pair = np.unique(np.column_stack([token, label[who]]), axis=0) if len(token) else np.zeros((0, 2), np.int64)
+                pair = np.unique(np.column_stack([token, label[who], strong]), axis=0) if len(token) else np.zeros((0, 3), np.int64)
                 ff = f[pair[:, 0]]
                 order = np.argsort(ff, kind="stable")
-                ff, tv, tl = ff[order], v[pair[order, 0]], name[pair[order, 1]]
+                ff, tv, tl, ts = ff[order], v[pair[order, 0]], name[pair[order, 1]], pair[order, 2].astype(np.uint8)
                 at = np.flatnonzero(np.concatenate([[True], ff[1:] != ff[:-1]])) if len(ff) else np.zeros(0, np.int64)
-                out = [tv[s:t].tobytes() + tl[s:t].tobytes() for s, t in zip(at, [*at[1:], len(ff)], strict=True)]
-                times = np.bincount(who, minlength=len(cid))
+                out = [tv[s:t].tobytes() + tl[s:t].tobytes() + ts[s:t].tobytes() for s, t in zip(at, [*at[1:], len(ff)], strict=True)]
+                times, strongly = np.bincount(who, minlength=len(cid)), np.bincount(who[strong], minlength=len(cid))
                 leading = np.zeros(len(cid), np.uint64)
                 if len(who):  # they are in order of their sets
-                    leading[times > 0] = np.minimum.reduceat(v[token], (np.cumsum(times) - times)[times > 0])
-                of_sets = np.int64(len(cid)).tobytes() + np.column_stack([cid, times]).tobytes() + v[token].tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([ff[at], [-1, -2]])), pa.array([*out, np.column_stack([cid, mine, leading.view(np.int64)]).tobytes(), of_sets], pa.binary())], ["fragment", "body"])
+                    among = strong | (strongly[who] == 0)
+                    many = np.bincount(who[among], minlength=len(cid))
+                    leading[many > 0] = np.minimum.reduceat(v[token[among]], (np.cumsum(many) - many)[many > 0])
+                of_sets = np.int64(len(cid)).tobytes() + np.column_stack([cid, times, strongly]).tobytes() + v[token].tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([ff[at], [-1, -2]])), pa.array([*out, np.column_stack([cid, mine, leading.view(np.int64), strongly > 0]).tobytes(), of_sets], pa.binary())], ["fragment", "body"])
 
     return run
 
@@ -334,32 +350,35 @@ def _connect(n: int, a: np.ndarray, token: np.ndarray) -> np.ndarray:
 
 
 def _token_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """In each fragment: edges from each label that holds a token to the token's smallest label."""
+    """In each fragment: edges from each label that holds a token to the token's smallest label, if one of them holds it strongly."""
     for _, t in one_by_one(batches):
         bodies = t.column("body").to_pylist()
-        v = np.concatenate([np.frombuffer(x, np.uint64, len(x) // 16) for x in bodies])
-        label = np.concatenate([np.frombuffer(x, np.int64, len(x) // 16, len(x) // 2) for x in bodies])
+        sizes = [len(x) // 17 for x in bodies]
+        v = np.concatenate([np.frombuffer(x, np.uint64, n) for x, n in zip(bodies, sizes, strict=True)])
+        label = np.concatenate([np.frombuffer(x, np.int64, n, 8 * n) for x, n in zip(bodies, sizes, strict=True)])
+        strong = np.concatenate([np.frombuffer(x, np.uint8, n, 16 * n) for x, n in zip(bodies, sizes, strict=True)])
         order = np.lexsort((label, v))
-        v, label = v[order], label[order]
+        v, label, strong = v[order], label[order], strong[order]
         new = np.concatenate([[True], v[1:] != v[:-1]])
-        low = label[np.flatnonzero(new)][np.cumsum(new) - 1]
-        e = np.unique(np.column_stack([label, low])[label != low], axis=0)
+        start, group = np.flatnonzero(new), np.cumsum(new) - 1
+        low, joins = label[start][group], (np.maximum.reduceat(strong, start) > 0)[group]
+        e = np.unique(np.column_stack([label, low])[(label != low) & joins], axis=0)
         yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(e[:, 0])), pa.array(np.ascontiguousarray(e[:, 1]))], ["a", "b"])
 
 
 def _labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        x = joined(b.column(0), np.int64).reshape(-1, 3)
-        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x[:, k])) for k in range(3)], ["cid", "label", "lead"])
+        x = joined(b.column(0), np.int64).reshape(-1, 4)
+        yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(x[:, k])) for k in range(3)), pa.array(x[:, 3] > 0)], ["cid", "label", "lead", "strong"])
 
 
 def _set_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for body in b.column(0).to_pylist():
             x = np.frombuffer(body, np.int64)
-            sets, tokens = x[1 : 1 + 2 * x[0]].reshape(-1, 2), x[1 + 2 * x[0] :]
+            sets, tokens = x[1 : 1 + 3 * x[0]].reshape(-1, 3), x[1 + 3 * x[0] :]
             at = np.concatenate([[0], np.cumsum(sets[:, 1])]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(sets[:, 0])), pa.ListArray.from_arrays(pa.array(at), pa.array(tokens))], ["cid", "tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(sets[:, 0])), pa.array(np.ascontiguousarray(sets[:, 2])), pa.ListArray.from_arrays(pa.array(at), pa.array(tokens))], ["cid", "strongly", "tokens"])
 
 
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -462,13 +481,14 @@ def _cell(i: Column) -> Column:
 class Candidates:
     meta: DataFrame  # _id, h (hash of the text), n, cid of each row of the table
     sets: DataFrame  # cid, n, body
-    placed: DataFrame  # cid, k (documents of the class), cluster, wide, grp, cells (of the group), i and cell for the sets of each cluster
-    tokens: DataFrame  # cid, tokens of the prefix
+    placed: DataFrame  # cid, k (documents of the class), cluster, wide, strong, grp, cells (of the group), i and cell for the sets of each cluster
+    tokens: DataFrame  # cid, tokens of the prefix, of which the first `strongly`
     any_wide: bool
 
     def held(self) -> DataFrame:
-        """(grp, cell, cid, token) of the sets of wide clusters."""
-        return self.placed.where("wide").join(self.tokens, "cid").select("grp", "cell", "cid", F.explode("tokens").alias("token"))
+        """(grp, cell, cid, token, strong) of the sets of wide clusters."""
+        rows = self.placed.where("wide").join(self.tokens, "cid").select("grp", "cell", "cid", "strongly", F.posexplode("tokens").alias("at", "token"))
+        return rows.select("grp", "cell", "cid", "token", (F.col("at") < F.col("strongly")).alias("strong"))
 
 
 def candidates(docs: DataFrame, percent: int = PERCENT) -> Candidates:
@@ -490,8 +510,8 @@ def candidates(docs: DataFrame, percent: int = PERCENT) -> Candidates:
     prefixes = materialize(prefixes, "prefixes")
     edges = dealt(prefixes.where("fragment >= 0"), "fragment").mapInArrow(_token_edges, "a long, b long")
     roots = connected(edges)
-    labels = prefixes.where("fragment = -1").select("body").mapInArrow(_labels, "cid long, label long, lead long")
-    clusters = labels.join(roots, labels.label == roots.node, "left").select("cid", "lead", F.coalesce("root", "label").alias("cluster"))
+    labels = prefixes.where("fragment = -1").select("body").mapInArrow(_labels, "cid long, label long, lead long, strong boolean")
+    clusters = labels.join(roots, labels.label == roots.node, "left").select("cid", "lead", "strong", F.coalesce("root", "label").alias("cluster"))
     clusters = materialize(clusters, "clusters")
     sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     told = clusters.join(sizes, "cluster").join(alive.select("cid", "k"), "cid")
@@ -500,7 +520,7 @@ def candidates(docs: DataFrame, percent: int = PERCENT) -> Candidates:
     # Small clusters share cells; they have no token in common, so that comparing them costs little and finds nothing.
     bundle = F.xxhash64(F.lit("few"), F.pmod(F.xxhash64("cluster"), F.lit(max(1, seen.few // (2 * FEW)))))
     wide = F.col("size") > max(SPAN * BLOCK, FEW)
-    told = told.withColumn("wide", wide).withColumn("grp", F.when(F.col("size") <= FEW, bundle).when(wide, F.xxhash64("cluster", "lead")).otherwise(F.col("cluster")))
+    told = told.withColumn("wide", wide).withColumn("grp", F.when(F.col("size") <= FEW, bundle).when(wide, F.xxhash64("cluster", "lead", "strong")).otherwise(F.col("cluster")))
     if any_wide:
         told = materialize(told, "groups")
         told = told.join(told.where("wide").groupBy("grp").agg(F.count(F.lit(1)).alias("members")), "grp", "left")
@@ -508,17 +528,17 @@ def candidates(docs: DataFrame, percent: int = PERCENT) -> Candidates:
         told = told.withColumn("members", F.lit(None).cast("long"))
     cells = F.when(F.col("size") <= FEW, F.lit(1)).otherwise(F.ceil(F.coalesce("members", "size") / BLOCK)).cast("int")
     placed = told.withColumn("cells", cells).withColumn("i", F.pmod(F.xxhash64("cid"), F.col("cells")).cast("int")).withColumn("cell", _cell(F.col("i")))
-    placed = materialize(placed.select("cid", "k", "cluster", "wide", "grp", "cells", "i", "cell"), "placed")
-    return Candidates(meta, sets, placed, prefixes.where("fragment = -2").select("body").mapInArrow(_set_tokens, "cid long, tokens array<long>"), any_wide)
+    placed = materialize(placed.select("cid", "k", "cluster", "wide", "strong", "grp", "cells", "i", "cell"), "placed")
+    return Candidates(meta, sets, placed, prefixes.where("fragment = -2").select("body").mapInArrow(_set_tokens, "cid long, strongly long, tokens array<long>"), any_wide)
 
 
 def _within(found: Candidates, every: bool) -> DataFrame:
-    """Rows for `_compare`: each cell with each of its group, or, in wide clusters without `every`, with itself and the next one."""
+    """Rows for `_compare`: each cell with each of its group, or, in wide clusters without `every`, with itself and the next one; sets of wide clusters that hold nothing strongly don't meet."""
     i, cells = F.col("i"), F.col("cells")
     pair = lambda j, side: F.struct(_cell(F.least(i, j)).alias("left"), _cell(F.greatest(i, j)).alias("right"), side.cast("int").alias("side"))
     near = F.sequence(F.greatest(i - 1, F.lit(0)), F.least(i + 1, cells - 1))
     others = F.sequence(F.lit(0), cells - 1) if every else F.when(F.col("wide"), near).otherwise(F.sequence(F.lit(0), cells - 1))
-    rows = found.placed.withColumn("at", F.explode(F.transform(others, lambda j: pair(j, i > j)))).join(found.sets, "cid").withColumn("comp", F.col("cid"))
+    rows = found.placed.where("strong or not wide").withColumn("at", F.explode(F.transform(others, lambda j: pair(j, i > j)))).join(found.sets, "cid").withColumn("comp", F.col("cid"))
     return rows.select("at.left", "at.right", "at.side", "cid", "comp", "n", "k", "body")
 
 
@@ -528,14 +548,20 @@ def _facing(pairs: DataFrame, left: DataFrame, right: DataFrame, sets: DataFrame
     return sides[0].unionByName(sides[1]).join(sets, "cid").select(*ROW)
 
 
+def _meeting(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Pairs (token, left, lg, right, rg) of cells, with their groups, that share a token which one of them holds strongly."""
+    side = lambda x, cell, g: x.groupBy("token", F.col("cell").alias(cell), F.col("grp").alias(g)).agg(F.max("strong").alias(f"{g}_strong"))
+    a, b = side(left, "left", "lg"), side(right, "right", "rg")
+    return a.where("lg_strong").join(b, "token").unionByName(a.where("not lg_strong").join(b.where("rg_strong"), "token"))
+
+
 def set_links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(_id, h, n, cid) for each row of `docs`; (cid, root), and (cid, links) with the documents of other classes that link, for the sets that link with others. Every pair of cells that can hold a link is compared."""
     found = candidates(docs, percent)
     links = _compare(_within(found, every=True), percent, count=True)
     if found.any_wide:
-        cells = materialize(found.held().select("token", "cell", "grp").distinct(), "cells")
-        pairs = cells.select("token", F.col("cell").alias("left"), F.col("grp").alias("_g")).join(cells.select("token", F.col("cell").alias("right"), "grp"), "token")
-        pairs = pairs.where("left < right and grp <> _g").select("left", "right").distinct()
+        cells = materialize(found.held(), "cells")
+        pairs = _meeting(cells, cells).where("left < right and lg <> rg").select("left", "right").distinct()
         side = found.placed.where("wide").select("cell", "cid", F.col("cid").alias("comp"), "k")
         links = links.unionByName(_compare(_facing(materialize(pairs, "pairs"), side, side, found.sets), percent, count=True))
     links = materialize(links, "links")
@@ -555,9 +581,9 @@ def set_components(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame,
         per = comp.groupBy("cluster", "comp").agg(F.count(F.lit(1)).alias("size"))
         largest = per.groupBy("cluster").agg(F.max_by("comp", F.struct("size", "comp")).alias("giant"))
         asking = materialize(comp.join(largest, "cluster").where("comp <> giant").select("cell", "cid", "comp", "k"), "asking")
-        cells = materialize(found.held().select("token", "cell", "cid"), "cells")
-        asks = cells.join(asking.select("cid"), "cid", "left_semi").select("token", F.col("cell").alias("left")).distinct()
-        pairs = asks.join(cells.select("token", F.col("cell").alias("right")).distinct(), "token").where("left <> right").select("left", "right").distinct()
+        cells = materialize(found.held(), "cells")
+        asks = cells.join(asking.select("cid"), "cid", "left_semi")
+        pairs = _meeting(asks, cells).where("left <> right").select("left", "right").distinct()
         more = _compare(_facing(materialize(pairs, "pairs"), asking, comp.select("cell", "cid", "comp", "k"), found.sets), percent)
         links = links.unionByName(more)
     return found.meta, connected(links).select(F.col("node").alias("cid"), "root")

@@ -394,3 +394,36 @@ def test_what_a_link_may_lack(n):
     import numpy as np
 
     assert ngrams.missing(np.array([n]))[0] == n - -(-80 * n // 100)
+
+
+def template_pages(rng, n, share=0.85, size=200):
+    """Pages of which a template is the given share, and all else their own."""
+    common = words(rng, int(size * share)).split(" ")
+    return [(i, " ".join([*common, *words(rng, size - len(common)).split(" ")])) for i in range(n)]
+
+
+def test_template_pages_do_not_meet(spark, monkeypatch):
+    """A template that isn't enough for a link brings no pages together: there are no clusters to compare."""
+    monkeypatch.setattr(ngrams, "BLOCK", 4)
+    monkeypatch.setattr(ngrams, "SPAN", 1)
+    rows = template_pages(random.Random(6), 60)
+    rows += [(100 + i, t + " end") for i, t in rows[:5]]  # and some that link
+    d = edge(spark, rows).repartition(3)
+    assert ngrams.candidates(d).placed.count() == 10
+    assert multiset(ngrams.jaccard_report(d).collect()) == multiset(brute_components(rows))
+
+
+@pytest.mark.parametrize("share", [0.8, 0.88, 0.9])
+def test_template_pages_of_many_sizes(spark, monkeypatch, share):
+    """Around the share from which pages link: sizes differ, some hold the template strongly and some don't."""
+    monkeypatch.setattr(ngrams, "BLOCK", 4)
+    monkeypatch.setattr(ngrams, "SPAN", 1)
+    monkeypatch.setattr(ngrams, "FEW", 3)
+    rng = random.Random(7)
+    common = words(rng, 90).split(" ")
+    rows = [(i, " ".join([*common[rng.randint(0, 4) :], *words(rng, rng.randint(1, int(2 * 90 * (1 - share) / share))).split(" ")])) for i in range(90)]
+    d = edge(spark, rows).repartition(3)
+    want = brute_components(rows)
+    assert multiset(ngrams.jaccard_report(d).collect()) == multiset(want)
+    got = ngrams.jaccard_links(d).select("doc_id", "n_shingles", "component_id", "n_links").collect()
+    assert multiset(got) == multiset([(*c, n) for c, n in zip(want, brute_links(rows), strict=True)])
