@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,8 +14,31 @@ from pyspark.sql import functions as F
 BROADCAST_QUERIES = 200_000
 
 
+#: Folders made inside the innermost `scope`.
+_MADE: ContextVar[list[str] | None] = ContextVar("made", default=None)
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """The folders of intermediate steps that are made inside are deleted at its end; what is still wanted must be written elsewhere by then."""
+    made: list[str] = []
+    token = _MADE.set(made)
+    try:
+        yield
+    finally:
+        _MADE.reset(token)
+        for path in made:
+            delete_folder(spark, path)
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Deletes a folder and all in it, if it is there."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def work_dir(spark: SparkSession, name: str = "work") -> str:
-    """A new folder under spark.checkpoint.dir, deleted when the JVM ends. The setting is made only where it is unset and Spark runs in one process; ValueError on a cluster."""
+    """A new folder under spark.checkpoint.dir, deleted at the end of the `scope` around it, or else when the JVM ends. The setting is made only where it is unset and Spark runs in one process; ValueError on a cluster."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         if not spark.sparkContext.master.startswith("local"):
@@ -28,6 +52,9 @@ def work_dir(spark: SparkSession, name: str = "work") -> str:
     fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
     fs.mkdirs(p)
     fs.deleteOnExit(p)
+    made = _MADE.get()
+    if made is not None:
+        made.append(path)
     return path
 
 
@@ -45,9 +72,12 @@ def hinted(df: DataFrame, rows: int = BROADCAST_QUERIES, most: int | None = None
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """`df` dealt over all cores if it would be read by fewer tasks, as a small table in one row group is; large tables stay as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """`df` dealt over all cores if its files are too small to give each of them a task, as a table in one row group is; large tables stay as they are. Nothing runs for it."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    each = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return df.repartition(cores) if int(str(size)) < cores * each else df
 
 
 @contextmanager

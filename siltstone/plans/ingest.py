@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions.text import estimate_tokens
 from siltstone.operators import extract, ingest
+from siltstone.operators.steps import delete_folder, materialize, work_dir
 from siltstone.plans.registry import FILES, Registry, files, table
+from siltstone.sources.files import scan_tree
 
 R = Registry()
 
@@ -89,12 +95,30 @@ def scan_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return k.select(F.when(F.col("gl") == 0, "language").when(F.col("gt") == 0, "type").otherwise("total").alias("kind"), F.coalesce("language", "file_type", F.lit("")).alias("name"), "n", "size")
 
 
-@R.add("scan_files")
-def scan_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The table folders as a file tree, read by Spark's own file source, by the rules of a scan."""
-    from siltstone.sources.files import scan_tree
+#: What a scan keeps of the tree, written out: folders, and endings.
+_SCANNED = "split_part(relative_path, '/', 1) IN ('src', 'lib', 'docs', 'test') AND regexp_matches(relative_path, '\\.(ts|py|md|json|css|sql|go|RS|txt|java|yml|lock|tsx|Dockerfile)$')"
+
+
+def _written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(path, content) to files."""
+    for b in batches:
+        for path, content in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True):
+            fs, name = FileSystem.from_uri(path)
+            fs.create_dir(name.rsplit("/", 1)[0], recursive=True)
+            with fs.open_output_stream(name) as out:
+                out.write(content or b"")
+        yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["n"])
 
-    return scan_tree(spark, sf_dir, extensions=["parquet"]).select("relative_path", "size", "extension")
+
+@R.add("scan_files", f"WITH {FILES} SELECT root || '/' || relative_path relative_path, size, lower(split_part(relative_path, '.', -1)) extension FROM files WHERE {_SCANNED}")
+def scan_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents written as a file tree into the shared folder and scanned by the rules of an index."""
+    root = work_dir(spark, "tree")
+    f = files(spark, sf_dir).select(F.concat(F.lit(f"{root}/"), "root", F.lit("/"), "relative_path").alias("path"), "content")
+    f.mapInArrow(_written, "n long").agg(F.sum("n")).collect()
+    out = materialize(scan_tree(spark, root).select("relative_path", "size", "extension"), "scanned")
+    delete_folder(spark, root)
+    return out
 
 
 @R.add("chunk_skip_reasons", f"WITH {FILES} SELECT coalesce(CASE WHEN size > 40 * 1024 THEN 'too_large' WHEN trim(regexp_replace(content, '\\s+', ' ', 'g')) = '' THEN 'empty' END, 'ok') reason, count(*) n FROM files GROUP BY 1")

@@ -7,7 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.operators import store, tables
+from siltstone.operators import incremental, store, tables
+from siltstone.operators.steps import materialize
 from siltstone.plans.registry import CHUNKS, Registry, chunks, table
 from siltstone.streaming import traces as stream
 
@@ -153,7 +154,9 @@ def chunk_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = chunks(spark, sf_dir)
     tables.append(c.where("chunk_id % 2 = 0"), path, "project")
     tables.append(c.where("chunk_id % 2 = 1"), path, "project")
-    return tables.read_table(spark, path).groupBy("project").agg(F.count(F.lit(1)).alias("n"))
+    out = materialize(tables.read_table(spark, path).groupBy("project").agg(F.count(F.lit(1)).alias("n")), "appended")
+    tables.delete_table(spark, path)
+    return out
 
 
 @R.add("atomic_reindex", """WITH n AS (SELECT * FROM documents WHERE source IN ('src1', 'src2') AND doc_id % 3 = 0), r AS (SELECT source, doc_id, text FROM documents WHERE source NOT IN (SELECT source FROM n) UNION ALL SELECT source, doc_id, text || '!' FROM n)
@@ -166,7 +169,32 @@ def atomic_reindex(spark: SparkSession, sf_dir: str) -> DataFrame:
     new = c.where("project IN ('src1', 'src2') AND chunk_id % 3 = 0").withColumn("content", F.concat("content", F.lit("!")))
     deleted, inserted = tables.swap_partitions(new, path, "project")
     left = tables.read_table(spark, path).groupBy("project").agg(F.count(F.lit(1)).alias("n"), F.sum("chunk_id").alias("ids"), F.sum(F.length("content")).alias("chars"))
-    return left.withColumns({"deleted": F.lit(deleted).cast("long"), "inserted": F.lit(inserted).cast("long")})
+    out = materialize(left.withColumns({"deleted": F.lit(deleted).cast("long"), "inserted": F.lit(inserted).cast("long")}), "reindexed")
+    tables.delete_table(spark, path)
+    return out
+
+
+@R.add("incremental_reindex", """WITH o AS (SELECT 'd' || doc_id file, text FROM documents WHERE doc_id % 10 <> 0), n AS (SELECT 'd' || doc_id file, CASE WHEN doc_id % 7 = 0 THEN text || chr(10) || 'more' ELSE text END text FROM documents WHERE doc_id % 11 <> 0),
+s AS (SELECT coalesce(o.file, n.file) file, CASE WHEN o.file IS NULL THEN 'new' WHEN n.file IS NULL THEN 'deleted' WHEN o.text <> n.text THEN 'changed' ELSE 'same' END status FROM o FULL JOIN n ON o.file = n.file),
+l AS (SELECT file, unnest(string_split(text, chr(10))) line FROM n), c AS (SELECT file, count(*) chunks, CAST(sum(length(line)) AS BIGINT) chars, md5(string_agg(md5(line), ',' ORDER BY md5(line))) digest FROM l WHERE length(trim(line, ' ')) > 0 GROUP BY 1)
+SELECT n.file, s.status, coalesce(chunks, 0) chunks, coalesce(chars, 0) chars, coalesce(digest, '') digest, (SELECT count(*) FROM s WHERE status IN ('new', 'changed')) chunked_again, (SELECT count(*) FROM s WHERE status = 'deleted') deleted FROM n JOIN s USING (file) LEFT JOIN c USING (file)""")
+def incremental_reindex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents indexed by line, then a later snapshot of which only what changed is cut into chunks anew."""
+    path = _folder(spark, "index")
+    d = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("file"), F.col("text").alias("content"))
+    incremental.reindex(d.where("doc_id % 10 <> 0").select("file", "content"), path, _lines)
+    edited = F.when(F.col("doc_id") % 7 == 0, F.concat("content", F.lit("\nmore"))).otherwise(F.col("content"))
+    done = incremental.reindex(d.where("doc_id % 11 <> 0").select("file", edited.alias("content")), path, _lines)
+    files = incremental.indexed_chunks(spark, path, with_files=True).groupBy("file").agg(F.count("content").alias("chunks"), F.coalesce(F.sum(F.length("content")), F.lit(0)).cast("long").alias("chars"), F.when(F.count("content") > 0, F.md5(F.array_join(F.array_sort(F.collect_list(F.md5("content"))), ",").cast("binary"))).otherwise("").alias("digest"))
+    out = files.join(done.status.where("status <> 'deleted'"), "file").withColumns({"chunked_again": F.lit(done.new + done.changed).cast("long"), "deleted": F.lit(done.deleted).cast("long")})
+    out = materialize(out.select("file", "status", "chunks", "chars", "digest", "chunked_again", "deleted"), "incremental")
+    tables.delete_table(spark, path)
+    return out
+
+
+def _lines(files: DataFrame) -> DataFrame:
+    """(file, chunk_no, content): each line that isn't blank."""
+    return files.select("file", F.posexplode(F.split("content", "\n")).alias("chunk_no", "content")).where(F.length(F.trim("content")) > 0)
 
 
 @R.add("trace_append", "SELECT event_type, count(*) n FROM events GROUP BY 1")
