@@ -21,8 +21,8 @@ from siltstone.llm.shared import materialize, small
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-#: Windows are broadcast up to this many rows (about 100 bytes each); beyond it the join is shuffled.
-BROADCAST_WINDOWS = 500_000
+#: Windows are broadcast up to this many rows and bytes (a word may be of any length); beyond it the join is shuffled.
+BROADCAST_WINDOWS, BROADCAST_BYTES = 500_000, 64 << 20
 
 
 def words(text: Column) -> Column:
@@ -68,7 +68,7 @@ def hits(docs: DataFrame, bench: DataFrame, width: int = 10, keep: tuple[str, ..
     if any(c.lower() in told for c in keep):
         raise ValueError(f"a result column can't be kept: {', '.join(told)}")
     windows = materialize(benchmark_windows(bench, width), "windows")
-    size = windows.agg(F.count(F.lit(1)), F.min("size"), F.collect_set("size")).first()  # the set has at most `width` values
+    size = windows.agg(F.count(F.lit(1)), F.min("size"), F.collect_set("size"), F.coalesce(F.sum(F.octet_length("window")), F.lit(0))).first()  # the set has at most `width` values
     n_windows, least, sizes = size[0], size[1] or 1, sorted(size[2] or [])
     first = min(3, least)
     bits = min(1 << 26, max(1 << 16, 1 << (16 * n_windows + 1).bit_length()))
@@ -96,7 +96,7 @@ def hits(docs: DataFrame, bench: DataFrame, width: int = 10, keep: tuple[str, ..
         .select(*keep, "_rid", "n_words", F.col("_c.i").alias("_i"), F.col("_c.z").alias("_z"), F.col("_c.window").alias("_window"))
     )
     known = windows.select(F.col("window").alias("_window"), F.col("items").alias("_items"))
-    if n_windows <= BROADCAST_WINDOWS:
+    if n_windows <= BROADCAST_WINDOWS and size[3] <= BROADCAST_BYTES:
         known = F.broadcast(known)
     else:  # documents without a candidate must not meet under one key; no window holds a zero byte
         tried = tried.withColumn("_window", F.coalesce("_window", F.concat(F.lit("\0"), F.col("_rid").cast("string"))))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.llm.shared import LOWER, STRETCH, U, materialize, mix, texts
+from siltstone.llm.shared import LOWER, STRETCH, U, materialize, mix, one_text, small, texts
 
 SAMPLE, LEAST, SHARE, ROWS, SLOTS, PROBES = 3000, 0.002, 0.3, 1 << 18, 16, 2
 
@@ -122,8 +122,8 @@ def train_language(docs: DataFrame, sample: int = SAMPLE) -> LanguageFilter:
     known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & in_training(F.col("doc_id"))).select("doc_id", "lang")
     count = known.groupBy("lang").agg(F.count(F.lit(1)).alias("_of"))  # a row for each language
     low = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)).cast("double") * F.col("_of") < F.lit(float(sample << 40))
-    ids = materialize(known.join(F.broadcast(count), "lang").where(low).select("doc_id", "lang").distinct(), "language-ids")
-    rows = docs.select("doc_id", "lang", "text").join(F.broadcast(ids), ["doc_id", "lang"]).select("lang", "text")
+    ids = materialize(known.join(count, "lang").where(low).select("doc_id", "lang").distinct(), "language-ids")
+    rows = one_text(docs.select("doc_id", "lang", "text").join(small(ids), ["doc_id", "lang"]), ["doc_id", "lang"]).select("lang", "text")
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -138,7 +138,7 @@ def train_language(docs: DataFrame, sample: int = SAMPLE) -> LanguageFilter:
     totals = {r.lang: r.n for r in ids.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     counted = rows.mapInArrow(seen, "lang string, g long, c long").groupBy("lang", "g").agg(F.sum("c").alias("c"))
     size = ids.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    rated = counted.join(F.broadcast(size), "lang").withColumn("rate", F.col("c") / F.col("n"))
+    rated = counted.join(size, "lang").withColumn("rate", F.col("c") / F.col("n"))
     rated = rated.withColumn("top", F.max("rate").over(Window.partitionBy("g")))
     kept = rated.where((F.col("rate") >= LEAST) & (F.col("c") >= 2) & (F.col("rate") >= SHARE * F.col("top")))
     got = kept.select("lang", "g").toArrow()  # the sampled texts bound it

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltstone.llm.shared import LOWER, STRETCH, lowest, materialize, texts, word_hashes, words_of
+from siltstone.llm.shared import LOWER, STRETCH, lowest, materialize, one_text, small, texts, word_hashes, words_of
 
 #: Bounds and parameters of training.
 SAMPLE, FEATURES, RIDGE, SEED, THRESHOLD = 40_000, 384, 1e-3, 7, 0.7
@@ -141,7 +141,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Q
     known = known.groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("_y"))
     known = materialize(lowest(materialize(known, "quality-known"), "doc_id", sample), "quality-labels")
     held_back = F.crc32(F.concat(F.lit("calibrate"), F.col("doc_id").cast("string")).cast("binary")) % 5 == 0
-    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "_y", held_back.alias("_cal"))
+    rows = one_text(docs.select("doc_id", "text").join(small(known), "doc_id"), ["doc_id"]).select("text", "_y", held_back.alias("_cal"))
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, x in _each(batches):

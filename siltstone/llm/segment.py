@@ -483,9 +483,9 @@ def sample_report(docs: DataFrame, model: str, k: int = SAMPLES, seed: int = SEE
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, sample int, n_pieces long, ids_sha256 string, decoded_sha256 string, round_trip boolean, log_prob double, perturbed double, inclusion double")
 
 
-def encoded(docs: DataFrame, model: str, seed: int = SEED, ids: str = "piece_ids") -> DataFrame:
-    """`docs` with one sampled segmentation of each text in the column `ids`, decoded and compared before it is returned; a null text has null."""
-    docs = docs.drop(ids)
+def encoded(docs: DataFrame, model: str, seed: int = SEED, ids: str = "piece_ids", samples: str = "piece_samples", k: int = 2) -> DataFrame:
+    """`docs` with `k` distinct sampled segmentations of each text (fewer if it has fewer) in the column `samples`, as structs of ids and inclusion score, and the ids of the first in the column `ids`; each is decoded and compared before it is returned, and a null text has null in both."""
+    docs = docs.drop(ids, samples)
     at, key = docs.columns.index("text"), docs.columns.index("doc_id")
     held = docs.sparkSession.sparkContext.broadcast(model_bytes(model))
 
@@ -494,16 +494,26 @@ def encoded(docs: DataFrame, model: str, seed: int = SEED, ids: str = "piece_ids
         for b in batches:
             for a, z, data, off in texts(b.column(at), BLOCK_BYTES):
                 part = b.slice(a, z - a)
-                found = sample_block(voc, row_keys(part.column(key).to_pylist(), seed), data, off, 1)
-                out = []
-                for d, samples in enumerate(found):
-                    x = samples[0][0]
-                    if decoded(voc, x) != data[off[d] : off[d + 1]].tobytes():
+                found = sample_block(voc, row_keys(part.column(key).to_pylist(), seed), data, off, k)
+                raw = [data[off[d] : off[d + 1]].tobytes() for d in range(z - a)]
+                for d, drawn in enumerate(found):
+                    if any(decoded(voc, x[0]) != raw[d] for x in drawn):
                         raise ValueError("decoding doesn't give the text back")
-                    out.append(x if part.column(at)[d].is_valid else None)
-                size = np.cumsum([0, *(0 if x is None else len(x) for x in out)])
-                flat = np.concatenate([x for x in out if x is not None] or [np.zeros(0, np.int32)])
-                packed = pa.ListArray.from_arrays(pa.array(size, pa.int32()), pa.array(flat, pa.int32()), mask=pa.array([x is None for x in out]))
-                yield pa.RecordBatch.from_arrays([*part.columns, packed], [*b.schema.names, ids])
-
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))]))
+                null = np.array([not v.is_valid for v in part.column(at)])
+                every = [[] if null[d] else drawn for d, drawn in enumerate(found)]
+                first = _lists([[] if null[d] else drawn[0][0] for d, drawn in enumerate(found)], null)
+                flat = [x for drawn in every for x in drawn]
+                each = pa.StructArray.from_arrays([_lists([x[0] for x in flat], np.zeros(len(flat), bool)), pa.array([x[3] for x in flat], pa.float64())], ["ids", "inclusion"])
+                at_doc = pa.array(np.cumsum([0, *map(len, every)]), pa.int32())
+                yield pa.RecordBatch.from_arrays([*part.columns, first, pa.ListArray.from_arrays(at_doc, each, mask=pa.array(null))], [*b.schema.names, ids, samples])
+
+    one = T.ArrayType(T.IntegerType())
+    of = T.ArrayType(T.StructType([T.StructField("ids", one), T.StructField("inclusion", T.DoubleType())]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(ids, one), T.StructField(samples, of)]))
+
+
+def _lists(values: list, null: np.ndarray) -> pa.ListArray:
+    """Arrays of ids as a list column."""
+    size = np.cumsum([0, *map(len, values)])
+    flat = np.concatenate(values or [np.zeros(0, np.int32)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(size, pa.int32()), pa.array(flat, pa.int32()), mask=pa.array(null))

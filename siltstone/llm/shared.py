@@ -42,6 +42,12 @@ def lowest(df: DataFrame, key: str, n: int) -> DataFrame:
     return df.orderBy(h, key).limit(n)
 
 
+def one_text(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Of rows (by, text, ...) that agree in `by`, the one whose text has the lowest hash: as many rows as `by` has values, whatever they repeat."""
+    rest = [c for c in rows.columns if c not in by]
+    return rows.groupBy(*by).agg(F.min_by(F.struct(*rest), F.xxhash64("text")).alias("_x")).select(*by, *[F.col(f"_x.{c}") for c in rest])
+
+
 U = np.uint64
 #: Fixed random constants of the hashes; results don't depend on their values.
 _RNG = np.random.default_rng(20240229)

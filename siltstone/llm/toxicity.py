@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.shared import LOWER, U, lowest, materialize, texts, word_hashes, words_of
+from siltstone.llm.shared import LOWER, U, lowest, materialize, one_text, small, texts, word_hashes, words_of
 
 SAMPLE, FEATURES, FOLDS, PARTS, SEVERE, RIDGE = 20_000, 256, 3, 4, 2, 0.1
 
@@ -123,7 +123,8 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("_y"))
     known = materialize(lowest(materialize(known, "toxicity-known"), "doc_id", sample), "toxicity-labels")
     fold = (F.crc32(F.concat(F.lit("fold"), F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)).cast("binary")) % FOLDS).cast("int")  # equal texts share a fold
-    rows = materialize(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "_y", fold.alias("_fold")), "toxicity-texts")
+    rows = one_text(docs.select("doc_id", "text").join(small(known), "doc_id"), ["doc_id"])
+    rows = materialize(rows.select("text", "_y", fold.alias("_fold")), "toxicity-texts")
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -147,6 +148,8 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     counted = rows.mapInArrow(seen, "h long, pos long, neg long").groupBy("h").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     odds = F.log((F.col("pos") + 0.5) / (totals.pos + 1)) - F.log((F.col("neg") + 0.5) / (totals.n - totals.pos + 1))
     strongest = counted.where("pos >= 3").withColumn("z", odds * F.sqrt("pos")).where("z > 0").orderBy(F.desc("z"), "h").limit(FEATURES).collect()
+    if not strongest:
+        return Chain(names=("toxic", "severe"))
     chain = Chain(np.sort(np.array([r.h for r in strongest], np.int64).view(np.uint64)))
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

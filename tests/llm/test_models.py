@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from siltstone.llm import language, quality, toxicity
+from siltstone.llm import language, quality, shared, toxicity
 from tests.oracle import DATA
 
 
@@ -283,3 +283,19 @@ def test_chain_uses_out_of_fold_predictions():
     p = chain.predict(bits)
     assert len(chain.weights[1]) == len(chain.weights[0]) + 1
     assert ((p[:, 0] > 0.5) == a).all() and ((p[:, 1] > 0.5) == b).mean() > 0.97
+
+
+def test_a_labelled_id_in_many_rows(spark, monkeypatch):
+    """A training set has one row for each sampled id, however many rows repeat it."""
+    rows = [(i, f"good words number {i} stand here") for i in range(40)] + [(7, f"bad text {k}") for k in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("lang", F.lit("en"))
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(40)], "doc_id long, quality int, toxic int")
+    one = shared.one_text(docs.join(labels, "doc_id"), ["doc_id"])
+    assert one.count() == 40 and set(one.columns) == {"doc_id", "text", "lang", "quality", "toxic"}
+    seen = []
+    real = toxicity.fit_chain
+    monkeypatch.setattr(toxicity, "fit_chain", lambda hashes, bits, *a: seen.append(len(bits)) or real(hashes, bits, *a))
+    toxicity.train_toxicity(docs, labels, sample=10)
+    assert seen in ([], [10])
+    quality.train_quality(docs, labels, sample=10)
+    language.train_language(docs, sample=10)

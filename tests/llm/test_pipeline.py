@@ -57,7 +57,7 @@ def test_each_stage_on_odd_rows(spark):
     stages = dict(corpus_pipeline.STAGES)
     out = {name: stage(spark, docs, SF) for name, stage in stages.items()}
     for name, x in out.items():
-        want = docs.columns if name != "SentencePiece encoding" else [*[k for k in docs.columns if k != "piece_ids"], "piece_ids"]
+        want = docs.columns if name != "SentencePiece encoding" else [*[k for k in docs.columns if k != "piece_ids"], "piece_ids", "piece_samples"]
         assert x.columns == want, name
         assert {(r._id, r._row, r._body, r._score) for r in x.collect()} <= {(1, 2, "y", 0.1)}, name
     rows = lambda x: collections.Counter((r.doc_id, r.text) for r in x.collect())
@@ -71,11 +71,14 @@ def test_each_stage_on_odd_rows(spark):
     assert rows(out["benchmark decontamination"]) == every
     voc = segment.vocabulary(segment.model_bytes(PIECES))
     for r in out["SentencePiece encoding"].collect():
-        assert (r.piece_ids is None) == (r.text is None) and (r.text is None or segment.decoded(voc, np.array(r.piece_ids, np.int64)).decode() == r.text)
+        assert (r.piece_ids is None) == (r.piece_samples is None) == (r.text is None) and (r.text is None or segment.decoded(voc, np.array(r.piece_ids, np.int64)).decode() == r.text)
+        drawn = [tuple(s.ids) for s in r.piece_samples or []]
+        assert len(set(drawn)) == len(drawn) <= 2 and (r.text is None or (drawn[0] == tuple(r.piece_ids) and all(0 <= s.inclusion <= 1 for s in r.piece_samples)))
+        assert all(segment.decoded(voc, np.array(ids, np.int64)).decode() == r.text for ids in drawn) and (len(r.text or "") < 40 or len(drawn) == 2)
     for name, stage in stages.items():
         assert stage(spark, docs.limit(0), SF).count() == 0, name
 
 
 def test_run(spark):
     out = corpus_pipeline.run(spark, SF)
-    assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "piece_ids"] and out.count() > 0
+    assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "piece_ids", "piece_samples"] and out.count() > 0
