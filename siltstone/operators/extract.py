@@ -177,20 +177,21 @@ def chunk_semantic(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return _mapped(docs, id_col, text_col, lambda t: list(enumerate(semantic_chunks(t))), "chunk_index int, content string")
 
 
-def embed_hash(docs: DataFrame, id_col: str, text_col: str, dims: int = 64) -> DataFrame:
-    """id, embedding: unit vectors of hashed word counts, by functions only; of a text without words all zeros.
+def embed_hash(docs: DataFrame, id_col: str, text_col: str, dims: int = 64, keep: tuple[str, ...] = ()) -> DataFrame:
+    """id, the columns `keep`, embedding: unit vectors of hashed word counts, by functions only; of a text without words all zeros.
 
     The first 16 bits of a word's MD5 choose the place, the bit behind them the sign. Counts of one document are added up
     before anything is shuffled, at most `dims` rows for each.
     """
     words = F.coalesce(tokens(F.col(text_col)), F.array().cast("array<string>"))
-    h = spread(docs.select(id_col, text_col)).select(id_col, F.explode_outer(words).alias("w")).select(id_col, F.md5(F.col("w").cast("binary")).alias("h"))
+    own = [id_col, *keep]
+    h = spread(docs.select(*own, text_col)).select(*own, F.explode_outer(words).alias("w")).select(*own, F.md5(F.col("w").cast("binary")).alias("h"))
     place = F.pmod(F.conv(F.substring("h", 1, 4), 16, 10).cast("int"), F.lit(dims))
     sign = F.when(F.substring("h", 5, 1) < "8", 1).otherwise(-1)
-    sums = h.groupBy(id_col, F.coalesce(place, F.lit(0)).alias("k")).agg(F.sum(F.when(F.col("h").isNotNull(), sign).otherwise(0)).alias("v"))
-    of = sums.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("m"), F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
+    sums = h.groupBy(*own, F.coalesce(place, F.lit(0)).alias("k")).agg(F.sum(F.when(F.col("h").isNotNull(), sign).otherwise(0)).alias("v"))
+    of = sums.groupBy(*own).agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("m"), F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
     at = lambda i: F.coalesce(F.try_element_at("m", i.cast("int")) / F.col("norm"), F.lit(0.0))
-    return of.select(id_col, F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.when(F.col("norm") > 0, at(i)).otherwise(0.0)).alias("embedding"))
+    return of.select(*own, F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.when(F.col("norm") > 0, at(i)).otherwise(0.0)).alias("embedding"))
 
 
 class Embedder(Protocol):

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions.text import snippet
+from siltstone.operators import extract, lexicon
 from siltstone.operators import search as S
-from siltstone.operators.steps import hinted, materialize
+from siltstone.operators import vectors as V
+from siltstone.operators.steps import delete_folder, hinted, materialize, work_dir
 from siltstone.plans.registry import CHUNKS, Registry, chunks, table
 
 R = Registry()
@@ -69,6 +71,36 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.topk(_bm25(spark, sf_dir), ["item_id"], [F.desc("score"), F.asc("chunk_id")], 10)
 
 
+@R.add("bm25_stored", f"WITH {_BM25} SELECT item_id, chunk_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, chunk_id) rank FROM bm) WHERE rank <= 10")
+def bm25_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from a stored index with score bounds, which is built, opened and searched."""
+    path = work_dir(spark, "lexicon")
+    lexicon.build(chunks(spark, sf_dir), f"{path}/index", "chunk_id", "content")
+    found = lexicon.search(spark, lexicon.open_lexicon(spark, f"{path}/index"), table(spark, sf_dir, "benchmark"), "item_id", "text")
+    out = materialize(found.top.withColumnRenamed("id", "chunk_id"), "found")
+    delete_folder(spark, path)
+    return out
+
+
+@R.add("bm25_postfilter", f"WITH {_BM25} SELECT item_id, chunk_id, score, rank FROM (SELECT item_id, bm.chunk_id, score, \"language\", row_number() OVER (PARTITION BY item_id ORDER BY score DESC, bm.chunk_id) rank FROM bm JOIN chunks USING (chunk_id)) WHERE rank <= 10 AND \"language\" = 'en'")
+def bm25_postfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first ten of each query, of which a filter then leaves what it leaves: fewer than ten, or none; ranks stay."""
+    top = S.topk(_bm25(spark, sf_dir), ["item_id"], [F.desc("score"), F.asc("chunk_id")], 10)
+    known = chunks(spark, sf_dir).select("chunk_id", "language")
+    return S.filtered(top, known, "chunk_id", F.col("language") == "en").select("item_id", "chunk_id", "score", "rank")
+
+
+@R.add("dense_cells")
+def dense_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbours from an index on disk that is built, opened and probed."""
+    path, v = work_dir(spark, "vectors"), table(spark, sf_dir, "embeddings")
+    V.build(v, f"{path}/index", "vec_id", "embedding")
+    found, _ = V.search(spark, V.open_index(spark, f"{path}/index"), _queries(v), "vec_id", "embedding", "query_id", "query_vector")
+    out = materialize(found, "found")
+    delete_folder(spark, path)
+    return out
+
+
 @R.add("dense_topk", f"WITH {_NEAR} SELECT query_id, vec_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) rank FROM near) WHERE rank <= 10")
 def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = table(spark, sf_dir, "embeddings")
@@ -129,11 +161,48 @@ def rrf_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.rrf(_lists(spark, sf_dir), ["item_id"], "chunk_id", weight="weight")
 
 
-@R.add("hybrid_search", f"WITH {_LISTS}, f AS ({_FUSE.format('1.0::DOUBLE')}) SELECT item_id, chunk_id, score, rank, source project FROM f JOIN documents ON chunk_id = doc_id WHERE rank <= 10")
+#: Vectors of hashed words, as `embed_hash` makes them, of chunks and queries; pairs that share no bucket score 0.
+_HASHED = f"""hw AS (SELECT 'd' side, chunk_id id, md5(unnest({TOK.format("content")})) h FROM chunks UNION ALL SELECT 'q', item_id, md5(unnest({TOK.format("text")})) FROM benchmark),
+hc AS (SELECT side, id, CAST('0x' || h[1:4] AS INTEGER) % 64 k, CAST(sum(CASE WHEN h[5] < '8' THEN 1 ELSE -1 END) AS BIGINT) v FROM hw GROUP BY ALL),
+hn AS (SELECT side, id, sqrt(sum(v * v)) norm FROM hc GROUP BY ALL),
+hall AS (SELECT b.item_id, d.chunk_id, d.project FROM (SELECT item_id FROM benchmark) b, chunks d),
+hdot AS (SELECT a.id item_id, b.id chunk_id, sum(a.v * b.v) dot FROM hc a JOIN hc b USING (k) WHERE a.side = 'q' AND b.side = 'd' GROUP BY ALL),
+dense AS (SELECT hall.item_id, hall.chunk_id, hall.project, CASE WHEN a.norm > 0 AND b.norm > 0 THEN round(coalesce(dot, 0) / (a.norm * b.norm), 6) ELSE 0.0::DOUBLE END score FROM hall LEFT JOIN hdot USING (item_id, chunk_id) LEFT JOIN hn a ON a.side = 'q' AND a.id = hall.item_id LEFT JOIN hn b ON b.side = 'd' AND b.id = hall.chunk_id)"""
+#: Least cosine of the dense list, least fused score, least score of the reranker.
+_LEAST_DENSE, _LEAST_FUSED, _LEAST_RERANKED = 0.2, 0.0125, 0.2
+
+
+def _dense_list(spark: SparkSession, sf_dir: str, k: int, by: str | None = None) -> DataFrame:
+    """(item_id, chunk_id, project, score, rank): each query's first k chunks by cosine of hashed words, or those of each project."""
+    c, q = chunks(spark, sf_dir), table(spark, sf_dir, "benchmark")
+    v = extract.embed_hash(c, "chunk_id", "content", keep=("project",))
+    q = materialize(extract.embed_hash(q, "item_id", "text").withColumnRenamed("embedding", "query_vector"), "queries")
+    return V.nearest(v, q, "chunk_id", "embedding", "item_id", "query_vector", k, _LEAST_DENSE, by=by)
+
+
+_RERANK = f"""g AS (SELECT item_id, chunk_id, score, rank FROM f WHERE rank <= 50 AND score >= {_LEAST_FUSED}),
+r AS (SELECT g.*, coalesce(cov.score, 0) rerank_score FROM g LEFT JOIN cov USING (item_id, chunk_id)),
+o AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY rerank_score DESC, rank) new_rank FROM r)
+SELECT item_id, chunk_id, score, rank, rerank_score, new_rank, source project FROM o JOIN documents ON chunk_id = doc_id WHERE new_rank <= 10 AND rerank_score >= {_LEAST_RERANKED}"""
+
+
+def _reranked(spark: SparkSession, sf_dir: str, fused: DataFrame, scores: DataFrame) -> DataFrame:
+    """Fused hits from a least score on, in the order of the share of query words that they hold; the first ten, from a least share on."""
+    hits = fused.where((F.col("rank") <= 50) & (F.col("score") >= _LEAST_FUSED)).join(scores.select("item_id", "chunk_id", F.col("coverage").alias("rerank_score")), ["item_id", "chunk_id"], "left")
+    top = S.topk(hits.withColumn("rerank_score", F.coalesce("rerank_score", F.lit(0.0))), ["item_id"], [F.desc("rerank_score"), F.asc("rank")], 10, "new_rank").where(F.col("rerank_score") >= _LEAST_RERANKED)
+    return chunks(spark, sf_dir).select("chunk_id", "project").join(few(spark, sf_dir, top, 10), "chunk_id").select("item_id", "chunk_id", "score", "rank", "rerank_score", "new_rank", "project")
+
+
+@R.add("hybrid_search", f"""WITH {_BM25}, {_HASHED},
+cov AS (SELECT q.item_id, tf.chunk_id, round(count(*) / CAST(max(k) AS DOUBLE), 6) score FROM q JOIN tf USING (term) JOIN (SELECT item_id, count(*) k FROM q GROUP BY 1) USING (item_id) GROUP BY ALL),
+lists AS (SELECT item_id, chunk_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, chunk_id) rank FROM bm QUALIFY rank <= 20 UNION ALL SELECT item_id, chunk_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, chunk_id) rank FROM dense WHERE score >= {_LEAST_DENSE} QUALIFY rank <= 20),
+f AS ({_FUSE.format('1.0::DOUBLE')}), {_RERANK}""")
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two lexical rankings stand for the lexical and the dense one, since no text model is at hand."""
-    top = S.rrf(_lists(spark, sf_dir), ["item_id"], "chunk_id").where("rank <= 10")
-    return chunks(spark, sf_dir).select("chunk_id", "project").join(few(spark, sf_dir, top, 10), "chunk_id").select("item_id", "chunk_id", "score", "rank", "project")
+    """A lexical and a dense list, fused, and reranked by coverage; three thresholds."""
+    scores = materialize(_scores(spark, sf_dir), "scores")
+    lexical = S.topk(scores, ["item_id"], [F.desc("score"), F.asc("chunk_id")], 20).select("item_id", "chunk_id", "rank")
+    fused = S.rrf(lexical.unionByName(_dense_list(spark, sf_dir, 20).select("item_id", "chunk_id", "rank")), ["item_id"], "chunk_id")
+    return _reranked(spark, sf_dir, fused, scores)
 
 
 _PROJECT = f"""
@@ -153,19 +222,19 @@ def rrf_multi_project(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.rrf(lists, ["item_id"], "chunk_id")
 
 
-@R.add("hybrid_multi", f"""WITH {_PROJECT}, pl AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id, project ORDER BY score DESC, chunk_id) rank FROM bm) WHERE rank <= 20),
-inner_a AS (SELECT item_id, chunk_id, row_number() OVER (PARTITION BY item_id ORDER BY s DESC, chunk_id) rank FROM (SELECT item_id, chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) s FROM pl GROUP BY ALL)),
+@R.add("hybrid_multi", f"""WITH {_PROJECT}, {_HASHED}, pl AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id, project ORDER BY score DESC, chunk_id) rank FROM bm) WHERE rank <= 20),
+dl AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id, project ORDER BY score DESC, chunk_id) rank FROM dense WHERE score >= {_LEAST_DENSE}) WHERE rank <= 20),
 cov AS (SELECT q.item_id, tf.chunk_id, round(count(*) / CAST(max(k) AS DOUBLE), 6) score FROM q JOIN tf USING (term) JOIN (SELECT item_id, count(*) k FROM q GROUP BY 1) USING (item_id) GROUP BY ALL),
-b AS (SELECT item_id, chunk_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, chunk_id) rank FROM cov),
-lists AS (SELECT item_id, chunk_id, rank FROM inner_a UNION ALL SELECT * FROM b WHERE rank <= 20), f AS ({_FUSE.format('1.0::DOUBLE')})
-SELECT item_id, chunk_id, score, rank, source project FROM f JOIN documents ON chunk_id = doc_id WHERE rank <= 10""")
+lists AS (SELECT item_id, chunk_id, row_number() OVER (PARTITION BY item_id ORDER BY s DESC, chunk_id) rank FROM (SELECT item_id, chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) s FROM pl GROUP BY ALL)
+          UNION ALL SELECT item_id, chunk_id, row_number() OVER (PARTITION BY item_id ORDER BY s DESC, chunk_id) rank FROM (SELECT item_id, chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) s FROM dl GROUP BY ALL)),
+f AS ({_FUSE.format('1.0::DOUBLE')}), {_RERANK}""")
 def hybrid_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fusion across projects first, then across rankings; the hit keeps its project."""
-    lists = S.ranked_lists(_scores(spark, sf_dir, "project"), "item_id", "chunk_id", {"a": ("project", "score"), "b": (F.lit(""), "coverage")}, 20)
-    lists = materialize(lists, "lists")
-    a = S.rrf(lists.where("list = 'a'"), ["item_id"], "chunk_id").select("item_id", "chunk_id", "rank")
-    top = S.rrf(a.unionByName(lists.where("list = 'b'").select("item_id", "chunk_id", "rank")), ["item_id"], "chunk_id").where("rank <= 10")
-    return chunks(spark, sf_dir).select("chunk_id", "project").join(few(spark, sf_dir, top, 10), "chunk_id").select("item_id", "chunk_id", "score", "rank", "project")
+    """Lists of each project fused across projects first, lexical and dense apart, then with one another; the hit keeps its project."""
+    scores = materialize(_scores(spark, sf_dir, "project"), "scores")
+    lexical = S.topk(scores, ["item_id", "project"], [F.desc("score"), F.asc("chunk_id")], 20).select("item_id", "chunk_id", "rank")
+    across = lambda x: S.rrf(x, ["item_id"], "chunk_id").select("item_id", "chunk_id", "rank")
+    fused = S.rrf(across(lexical).unionByName(across(_dense_list(spark, sf_dir, 20, "project").select("item_id", "chunk_id", "rank"))), ["item_id"], "chunk_id")
+    return _reranked(spark, sf_dir, fused, scores)
 
 
 @R.add("union_first_wins", f"WITH {_LISTS} SELECT item_id, chunk_id, list, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id, chunk_id ORDER BY list) o FROM lists) WHERE o = 1")
