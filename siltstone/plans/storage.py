@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from siltstone.operators import incremental, store, tables
 from siltstone.operators.steps import materialize
 from siltstone.plans.registry import CHUNKS, Registry, chunks, table
+from siltstone.streaming import sketches
 from siltstone.streaming import traces as stream
 
 R = Registry()
@@ -140,6 +141,19 @@ def trace_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream.latency(e, ["event_type", "day"], "value").withColumns({c: F.coalesce(c, F.lit("all")) for c in ("event_type", "day")})
 
 
+@R.add("trace_sketches", "SELECT event_type, count(*) n, TRUE p50_close, TRUE p90_close, TRUE users_close FROM events GROUP BY event_type UNION ALL SELECT 'all', count(*), TRUE, TRUE, TRUE FROM events")
+def trace_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentiles and distinct users of each event type and of all, merged from stored sketches of the days, against exact ranks and counts: within 3 percent."""
+    e = table(spark, sf_dir, "events")
+    days = materialize(sketches.day_sketches(e, ["event_type"], "value", "user_id"), "days")
+    found = sketches.merged(days, ["event_type"]).unionByName(sketches.merged(days, []).withColumn("event_type", F.lit("all")))
+    both = e.select("event_type", "value", "user_id").unionByName(e.select(F.lit("all").alias("event_type"), "value", "user_id"))
+    below = lambda c: F.avg((F.col("value") <= F.col(c)).cast("double"))
+    told = both.join(F.broadcast(found), "event_type").groupBy("event_type", "n", "users").agg(below("p50").alias("r50"), below("p90").alias("r90"), F.countDistinct("user_id").alias("exact"))  # a row for each event type
+    close = lambda got, want: F.abs(got - want) <= 0.03
+    return told.select("event_type", "n", close(F.col("r50"), 0.5).alias("p50_close"), close(F.col("r90"), 0.9).alias("p90_close"), close(F.col("users") / F.col("exact"), 1.0).alias("users_close"))
+
+
 @R.add("export_conversation", "SELECT conv_id, '# Conversation ' || conv_id || chr(10) || chr(10) || string_agg('## ' || CASE WHEN role = 'user' THEN 'User' ELSE 'Assistant' END || chr(10) || chr(10) || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY turn) markdown FROM conversations WHERE role <> 'system' GROUP BY conv_id")
 def export_conversation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Markdown of each conversation, system turns left out. A conversation bounds its group."""

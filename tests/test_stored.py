@@ -129,3 +129,18 @@ def test_reindex_touches_only_what_changed(spark, tmp_path):
     assert incremental.reindex(snapshot({}), path, chunker).deleted == 42 and incremental.indexed_chunks(spark, path).count() == 0
     with pytest.raises(ValueError, match="f1 2 times"):
         incremental.reindex(snapshot({"f1": "x"}).union(snapshot({"f1": "y"})), path, chunker)
+
+
+def test_merged_sketches(spark):
+    from siltstone.streaming import sketches
+
+    rows = [(f"2024-01-{1 + k % 5:02d} 00:00:00", "ab"[k % 2], float((k * 7919) % 20_000), k % 300) for k in range(20_000)] + [("2024-01-09 00:00:00", "a", None, None)]
+    d = spark.createDataFrame(rows, "ts string, kind string, v double, u long").withColumn("ts", F.col("ts").cast("timestamp"))
+    days = sketches.day_sketches(d, ["kind"], "v", "u").cache()
+    assert days.count() == 11 and days.agg(F.max(F.length("values"))).first()[0] < 10_000  # bounded, whatever the day holds
+    (total,) = sketches.merged(days, []).collect()
+    assert total.n == 20_001 and abs(total.users / 300 - 1) < 0.03
+    for got, share in ((total["p50"], 0.5), (total["p90"], 0.9), (total["p99"], 0.99)):
+        assert abs(got / 20_000 - share) < 0.03
+    per = {r.kind: r.n for r in sketches.merged(days, ["kind"]).collect()}
+    assert per == {"a": 10_001, "b": 10_000}
