@@ -120,7 +120,7 @@ def in_training(doc_id: Column) -> Column:
 def train_language(docs: DataFrame, sample: int = SAMPLE) -> LanguageFilter:
     """The filter learned from about `sample` texts a language."""
     known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & in_training(F.col("doc_id"))).select("doc_id", "lang")
-    count = known.groupBy("lang").agg(F.count(F.lit(1)).alias("_of"))  # a row for each language
+    count = small(materialize(known.groupBy("lang").agg(F.count(F.lit(1)).alias("_of")), "languages"))  # a row for each language
     low = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)).cast("double") * F.col("_of") < F.lit(float(sample << 40))
     ids = materialize(known.join(count, "lang").where(low).select("doc_id", "lang").distinct(), "language-ids")
     rows = one_text(docs.select("doc_id", "lang", "text").join(small(ids), ["doc_id", "lang"]), ["doc_id", "lang"]).select("lang", "text")
@@ -137,7 +137,7 @@ def train_language(docs: DataFrame, sample: int = SAMPLE) -> LanguageFilter:
 
     totals = {r.lang: r.n for r in ids.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     counted = rows.mapInArrow(seen, "lang string, g long, c long").groupBy("lang", "g").agg(F.sum("c").alias("c"))
-    size = ids.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    size = small(materialize(ids.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "language-sizes"))
     rated = counted.join(size, "lang").withColumn("rate", F.col("c") / F.col("n"))
     rated = rated.withColumn("top", F.max("rate").over(Window.partitionBy("g")))
     kept = rated.where((F.col("rate") >= LEAST) & (F.col("c") >= 2) & (F.col("rate") >= SHARE * F.col("top")))
