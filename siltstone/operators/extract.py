@@ -1,4 +1,4 @@
-"""Segments of source code and semantic chunks, by Arrow-batched Python where SQL functions can't parse."""
+"""Segments of source code by Arrow-batched Python, where SQL functions can't parse, and embeddings."""
 
 from __future__ import annotations
 
@@ -90,33 +90,6 @@ def python_segments(text: str) -> list[tuple]:
     return sorted(out, key=lambda r: (r[0], r[1], r[2]))
 
 
-def recursive_chunks(text: str, size: int, overlap: int, separators: tuple[str, ...] = ("\n\n", "\n", ". ", " ", "")) -> list[str]:
-    """Pieces of at most `size` estimated tokens, cut at the coarsest separator that will do, with up to `overlap` tokens repeated."""
-    most = 4 * size
-    if len(text) <= most:
-        return [text] if text.strip() else []
-    sep = next(s for s in separators if s == "" or s in text)
-    if sep == "":
-        step = 4 * (size - overlap)
-        return [text[i : i + most] for i in range(0, len(text) - 4 * overlap, step)]
-    out, held = [], ""
-    for part in text.split(sep):
-        joined = held + sep + part if held else part
-        if len(joined) <= most:
-            held = joined
-            continue
-        if held:
-            out.append(held)
-            tail = held[-4 * overlap :] if overlap else ""
-            held = tail + sep + part if tail and len(tail) + len(sep) + len(part) <= most else part
-        else:
-            held = part
-        if len(held) > most:
-            out += recursive_chunks(held, size, overlap, separators[separators.index(sep) + 1 :])
-            held = ""
-    return out + [held] if held.strip() else out
-
-
 @lru_cache(maxsize=1 << 16)
 def _place(word: str) -> tuple[int, float]:
     """A word's place, as the first 16 bits of its MD5, and its sign, the bit behind them."""
@@ -133,22 +106,6 @@ def hashed_vectors(texts: list[str], dims: int = 64) -> np.ndarray:
     return v / np.where(norm > 0, norm, 1)
 
 
-def semantic_chunks(text: str, threshold: float = 0.5, least: int = 100) -> list[str]:
-    """Sentences gathered until the next one's hashed vector is less similar than `threshold` and the chunk has `least` tokens."""
-    sentences = [s for s in re.split(r"(?<=[.!?])\s+", text) if s.strip()]
-    if not sentences:
-        return []
-    v = hashed_vectors(sentences)
-    out, held = [], sentences[0]
-    for s, like in zip(sentences[1:], (v[1:] * v[:-1]).sum(1).tolist(), strict=True):
-        if len(held) >= 4 * least and like < threshold:
-            out.append(held)
-            held = s
-        else:
-            held = f"{held} {s}"
-    return [*out, held]
-
-
 def _mapped(docs: DataFrame, id_col: str, text_col: str, fn, fields: str) -> DataFrame:
     names = [f.split(" ")[0] for f in fields.split(", ")]
     id_type = docs.schema[id_col].dataType.simpleString()
@@ -169,14 +126,6 @@ def extract_python(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return _mapped(docs, id_col, text_col, python_segments, SEGMENTS)
 
 
-def chunk_recursive(docs: DataFrame, id_col: str, text_col: str, size: int = 1024, overlap: int = 100) -> DataFrame:
-    return _mapped(docs, id_col, text_col, lambda t: list(enumerate(recursive_chunks(t, size, overlap))), "chunk_index int, content string")
-
-
-def chunk_semantic(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return _mapped(docs, id_col, text_col, lambda t: list(enumerate(semantic_chunks(t))), "chunk_index int, content string")
-
-
 def embed_hash(docs: DataFrame, id_col: str, text_col: str, dims: int = 64, keep: tuple[str, ...] = ()) -> DataFrame:
     """id, the columns `keep`, embedding: unit vectors of hashed word counts, by functions only; of a text without words all zeros.
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions.text import estimate_tokens
-from siltstone.operators import extract, ingest
+from siltstone.operators import chunking, extract, ingest
 from siltstone.operators.steps import delete_folder, materialize, work_dir
 from siltstone.plans.registry import FILES, Registry, files, table
 from siltstone.sources.files import scan_tree
@@ -177,14 +177,40 @@ def chunk_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _fixed(spark, sf_dir).select("doc_id", "chunk_index", "start_line", "end_line")
 
 
-@R.add("chunk_recursive")
+def _recursive_sql(most: int, back: int) -> str:
+    """Ranges (a, z) of each text, cut level by level at the separators."""
+    whole, ranges = "substr(text, CAST(r.a + 1 AS BIGINT), CAST(r.z - r.a AS BIGINT))", "[{'a': 0::BIGINT, 'z': length(text)}]"
+    none = "CAST([] AS STRUCT(a BIGINT, z BIGINT)[])"
+    for sep, wide in (("chr(10) || chr(10)", 2), ("chr(10)", 1), ("'. '", 2), ("' '", 1)):
+        start, end = "CASE WHEN c.z > c.a THEN c.a ELSE c.at_ END", "c.at_ + n"
+        after = f"CASE WHEN c.z > c.a AND least({back}, c.z - c.a) + {wide} + n <= {most} THEN c.z - least({back}, c.z - c.a) ELSE c.at_ END"
+        held = f"CASE WHEN c.z > c.a THEN [{{'a': c.a, 'z': c.z}}] ELSE {none} END"
+        step = f"""{{'at_': c.at_ + n + {wide}, 'a': CASE WHEN {end} - {start} <= {most} THEN {start} WHEN {end} - ({after}) > {most} THEN {end} ELSE {after} END, 'z': {end},
+'o': CASE WHEN {end} - {start} <= {most} THEN c.o ELSE list_concat(list_concat(c.o, {held}), CASE WHEN {end} - ({after}) > {most} THEN [{{'a': {after}, 'z': {end}}}] ELSE {none} END) END}}"""
+        lengths = f"list_transform(string_split({whole}, {sep}), lambda t: length(t))"
+        fold = f"list_transform([list_reduce({lengths}, lambda c, n: {step}, {{'at_': r.a, 'a': 0::BIGINT, 'z': 0::BIGINT, 'o': {none}}})], lambda e: CASE WHEN e.z > e.a AND regexp_matches(substr(text, CAST(e.a + 1 AS BIGINT), CAST(e.z - e.a AS BIGINT)), '\\S') THEN list_append(e.o, {{'a': e.a, 'z': e.z}}) ELSE e.o END)[1]"
+        ranges = f"flatten(list_transform({ranges}, lambda r: CASE WHEN r.z - r.a <= {most} OR NOT contains({whole}, {sep}) THEN [{{'a': r.a, 'z': r.z}}] ELSE {fold} END))"
+    ranges = f"flatten(list_transform({ranges}, lambda r: CASE WHEN r.z - r.a <= {most} THEN [{{'a': r.a, 'z': r.z}}] ELSE list_transform(range(r.a, r.z - {back}, {most - back}), lambda i: {{'a': i, 'z': least(i + {most}, r.z)}}) END))"
+    return f"WITH q AS (SELECT doc_id, text, {ranges} rs FROM documents WHERE regexp_matches(text, '\\S')), x AS (SELECT doc_id, text, unnest(rs) r, generate_subscripts(rs, 1) i FROM q) SELECT doc_id, CAST(i - 1 AS INTEGER) chunk_index, {whole} content FROM x"
+
+
+@R.add("chunk_recursive", _recursive_sql(4096, 400))
 def chunk_recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract.chunk_recursive(table(spark, sf_dir, "documents"), "doc_id", "text")
-
-
-@R.add("chunk_semantic")
+    return chunking.chunk_recursive(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@R.add("chunk_semantic", """WITH s AS (SELECT doc_id, list_filter(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda t: regexp_matches(t, '\\S')) al FROM documents),
+x AS (SELECT doc_id, unnest(al) t, generate_subscripts(al, 1) i FROM s),
+w AS (SELECT doc_id, i, md5(unnest(list_filter(regexp_split_to_array(lower(t), '[^\\p{L}\\p{N}_]+'), lambda t: t <> ''))) h FROM x),
+c AS (SELECT doc_id, i, CAST('0x' || h[1:4] AS INTEGER) % 64 k, CAST(sum(CASE WHEN h[5] < '8' THEN 1 ELSE -1 END) AS BIGINT) v FROM w GROUP BY ALL),
+n AS (SELECT doc_id, i, CAST(sum(v * v) AS DOUBLE) n FROM c GROUP BY ALL),
+d AS (SELECT b.doc_id, b.i, sum(a.v * b.v) dot FROM c a JOIN c b ON a.doc_id = b.doc_id AND a.k = b.k AND b.i = a.i + 1 GROUP BY ALL),
+e AS (SELECT x.doc_id, x.i, length(t) l, coalesce(dot >= 0.5::DOUBLE * sqrt(n.n * p.n) AND n.n * p.n > 0, FALSE) near FROM x LEFT JOIN d USING (doc_id, i) LEFT JOIN n USING (doc_id, i) LEFT JOIN n p ON p.doc_id = x.doc_id AND p.i = x.i - 1),
+f AS (SELECT doc_id, list_reduce(list({'i': i, 'l': l, 'near': near} ORDER BY i), lambda c, y: CASE WHEN c.n < 0 OR (c.n >= 400 AND NOT y.near) THEN {'n': y.l, 'o': list_append(c.o, y.i)} ELSE {'n': c.n + 1 + y.l, 'o': c.o} END, {'n': -1::BIGINT, 'o': CAST([] AS BIGINT[])}).o o FROM e GROUP BY doc_id),
+g AS (SELECT doc_id, o, unnest(o) a, generate_subscripts(o, 1) k FROM f)
+SELECT doc_id, CAST(k - 1 AS INTEGER) chunk_index, array_to_string(al[a:coalesce(o[k + 1] - 1, len(al))], ' ') content FROM g JOIN s USING (doc_id)""")
 def chunk_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract.chunk_semantic(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return chunking.chunk_semantic(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
 _WORD = "unnest(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}_]+'), lambda t: t <> ''))"

@@ -140,9 +140,6 @@ def test_extraction():
     py = extract.python_segments('"""M."""\nclass A:\n    """D."""\n    def f(self):\n        pass\n')
     assert [(r[2], r[3], r[4]) for r in py] == [("docs", "docstring", None), ("code", "class", "A"), ("docs", "docstring", "A"), ("code", "function", "f")]
     assert extract.python_segments("def (") == [(1, 1, "code", "module", None, "def (")] and extract.js_segments("") == []
-    pieces = extract.recursive_chunks("word " * 1000, 50, 5)
-    assert all(len(p) <= 200 for p in pieces) and len(pieces) > 20
-    assert extract.recursive_chunks("", 50, 5) == [] and extract.recursive_chunks("short", 50, 5) == ["short"]
 
 
 def test_tables(spark, tmp_path):
