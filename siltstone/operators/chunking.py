@@ -106,30 +106,33 @@ def chunk_semantic(docs: DataFrame, id_col: str, text_col: str, threshold: float
     A null, empty or blank text has no chunks; other columns are left out.
     """
     d = spread(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))).where(F.rlike("_text", F.lit(r"\S")))
-    # Copies in different partitions have different keys, so that no task gets all copies of a hot row.
+    # Copies in different partitions have different keys, so that no task gets all copies of a hot row. The keys are used in this one branch only.
     name = F.concat(F.spark_partition_id().cast("string"), F.coalesce(F.concat(F.lit("="), F.col("_id").cast("string")), F.lit("-")), F.lit("\n"), F.col("_text"))
     texts = d.withColumn("_key", F.md5(name)).groupBy("_key").agg(F.first("_id").alias("_id"), F.first("_text").alias("_text"), F.count(F.lit(1)).alias("_copies"))
-    texts = texts.select("_key", "_id", "_copies", sentences(F.col("_text")).alias("_all"))
+    own = ["_key", "_id", "_copies"]
 
-    words = texts.select("_key", F.posexplode("_all").alias("_i", "_s")).select("_key", "_i", F.explode_outer(tokens(F.col("_s"))).alias("_w"))
-    h = words.select("_key", "_i", F.md5(F.col("_w").cast("binary")).alias("_h"))
+    # A sentence's text goes with its first word.
+    said = texts.select(*own, F.posexplode(sentences(F.col("_text"))).alias("_i", "_s"))
+    words = said.select(*own, "_i", "_s", F.posexplode_outer(tokens(F.col("_s"))).alias("_at", "_w"))
+    h = words.select(*own, "_i", F.when(F.coalesce("_at", F.lit(0)) == 0, F.col("_s")).alias("_s"), F.md5(F.col("_w").cast("binary")).alias("_h"))
     place, sign = F.pmod(F.conv(F.substring("_h", 1, 4), 16, 10).cast("int"), F.lit(dims)), F.when(F.substring("_h", 5, 1) < "8", 1).otherwise(-1)
-    v = h.groupBy("_key", "_i", place.alias("_k")).agg(F.sum(F.when(F.col("_h").isNotNull(), sign).otherwise(0)).alias("_v"))
-    beside = Window.partitionBy("_key", "_k").orderBy("_i")
+    v = h.select(*own, place.alias("_k"), "_i", "_s", F.when(F.col("_h").isNotNull(), sign).otherwise(0).alias("_v"))
+    v = v.groupBy(*own, "_k", "_i").agg(F.sum("_v").alias("_v"), F.max("_s").alias("_s"))
+    beside = Window.partitionBy(*own, "_k").orderBy("_i")
     v = v.withColumn("_u", F.when(F.lag("_i").over(beside) == F.col("_i") - 1, F.lag("_v").over(beside)).otherwise(0))
-    sums = v.groupBy("_key", "_i").agg(F.sum(F.col("_v") * F.col("_u")).alias("_dot"), F.sum(F.col("_v") * F.col("_v")).alias("_norm"))
-    norms = F.col("_norm") * F.lag("_norm").over(Window.partitionBy("_key").orderBy("_i"))
+    sums = v.groupBy(*own, "_i").agg(F.sum(F.col("_v") * F.col("_u")).alias("_dot"), F.sum(F.col("_v") * F.col("_v")).alias("_norm"), F.max("_s").alias("_s"))
+    norms = F.col("_norm") * F.lag("_norm").over(Window.partitionBy(*own).orderBy("_i"))
     like = F.when(norms > 0, F.col("_dot") >= threshold * F.sqrt(norms)).otherwise(F.lit(threshold <= 0))
-    near = sums.select("_key", "_i", like.alias("_like")).groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("_i", "_like"))).alias("_near"))
+    lines = sums.select(*own, "_i", "_s", like.alias("_like")).groupBy(*own).agg(F.array_sort(F.collect_list(F.struct("_i", "_s", "_like"))).alias("_all"))
 
     def step(acc: Column, x: Column) -> Column:
-        n = F.length(F.get("_all", x["_i"]))
+        n = F.length(x["_s"])
         begins = (acc["n"] < 0) | ((acc["n"] >= 4 * least) & ~x["_like"])
         return F.struct(F.when(begins, n).otherwise(acc["n"] + 1 + n).alias("n"), F.when(begins, F.concat(acc["starts"], F.array(x["_i"]))).otherwise(acc["starts"]).alias("starts"))
 
     zero = F.struct(F.lit(-1).alias("n"), F.array().cast("array<int>").alias("starts"))
-    x = texts.join(near, "_key").select("_id", "_copies", "_all", F.aggregate("_near", zero, step, lambda acc: acc["starts"]).alias("_starts"))
+    x = lines.select("_id", "_copies", F.col("_all._s").alias("_all"), F.aggregate("_all", zero, step, lambda acc: acc["starts"]).alias("_starts"))
     upto = lambda k: F.coalesce(F.get("_starts", k + 1), F.size("_all"))
     told = F.transform("_starts", lambda a, k: F.array_join(F.slice("_all", a + 1, upto(k) - a), " "))
-    x = x.select("_id", F.explode(F.array_repeat(F.lit(0), F.col("_copies").cast("int"))).alias("_c"), told.alias("_told"))
+    x = x.select("_copies", "_id", told.alias("_told")).select("_id", "_told", F.explode(F.sequence(F.lit(1).cast("long"), "_copies")).alias("_c"))
     return x.select(F.col("_id").alias(id_col), F.posexplode("_told").alias("chunk_index", "content"))
