@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions.text import estimate_tokens, line_range, tokens, xml_escape
-from siltstone.operators.steps import hinted
+from siltstone.operators.lookup import containing, postings
 
 
 def dedupe(results: DataFrame, by: str, text: str, threshold: float = 0.8) -> DataFrame:
@@ -67,11 +67,11 @@ def citations(results: DataFrame, by: str, style: str = "compact", limit: int =
 
 
 def match_files(patterns: DataFrame, paths: DataFrame, pattern: str, path: str, most: int = 3, least: float = 0.3) -> DataFrame:
-    """The best files for each pattern: exact name 1.0, its beginning 0.8, a part of the name 0.6, a part of the path 0.4; then shorter paths."""
+    """The best files for each pattern: exact name 1.0, its beginning 0.8, a part of the name 0.6, a part of the path 0.4; then shorter paths. Candidates come from `lookup`; an empty pattern finds nothing."""
     p, f = F.lower(pattern), F.lower(path)
     name = F.element_at(F.split(f, "/"), -1)
     score = F.when(name == p, 1.0).when(F.startswith(name, p), 0.8).when(F.contains(name, p), 0.6).otherwise(0.4)
-    found = paths.join(hinted(patterns), F.contains(f, p)).withColumn("score", score).where(F.col("score") >= least)
+    found = containing(patterns, postings(paths, path), pattern, path).withColumn("score", score).where(F.col("score") >= least)
     w = Window.partitionBy(pattern).orderBy(F.desc("score"), F.length(path), F.asc(path))
     return found.withColumn("place", F.row_number().over(w).cast("long")).where(F.col("place") <= most)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import text as T
 from siltstone.operators import context as C
+from siltstone.operators import lookup as L
 from siltstone.operators import routing as Q
 from siltstone.operators import search as S
 from siltstone.operators.steps import hinted
@@ -54,9 +55,11 @@ def route_intent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intents(spark, sf_dir).select("conv_id", "turn", "intent", "confidence")
 
 
-@R.add("detect_projects", f"WITH {_FEATURES} SELECT conv_id, turn, unnest(named) project FROM f")
+@R.add("detect_projects", f"WITH {_SQL}, names AS (SELECT DISTINCT source project FROM documents) SELECT conv_id, turn, project FROM ask JOIN names ON regexp_matches(lower(q), '\\b' || lower(project) || '\\b')")
 def detect_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features(spark, sf_dir).select("conv_id", "turn", F.explode("named").alias("project"))
+    """The projects of the table that each question names."""
+    names = chunks(spark, sf_dir).select("project").where("project IS NOT NULL").distinct()
+    return L.mentioned(asked(spark, sf_dir).select("conv_id", "turn", "q"), names, "q", "project").select("conv_id", "turn", "project")
 
 
 #: What a model replied about each turn: good and unsure ones, ids that aren't known, braces that don't parse, no braces, no reply.
