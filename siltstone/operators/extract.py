@@ -5,13 +5,14 @@ from __future__ import annotations
 import ast
 import hashlib
 import re
+import threading
 from collections.abc import Iterator
 from functools import lru_cache
 from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from siltstone.functions.text import tokens
@@ -161,30 +162,101 @@ class Segmenter(Protocol):
     def __call__(self, text: str) -> list[tuple]: ...
 
 
-def embed(docs: DataFrame, id_col: str, text_col: str, embedder: Embedder, batch: int = 32) -> DataFrame:
-    """id, embedding, error: vectors of an embedder in batches of `batch`; a batch that fails is tried one by one, and what fails then has a null vector and an error. Null texts have neither."""
-    id_type = docs.schema[id_col].dataType.simpleString()
+def _in_time(embedder: Embedder, texts: list[str], deadline: float | None) -> list[list[float]]:
+    """What an embedder gives within `deadline` seconds. One that hangs is left behind in a thread that doesn't keep the worker alive."""
+    if deadline is None:
+        return embedder(texts)
+    got: list = []
 
-    def one(text: str) -> tuple[list[float] | None, str | None]:
+    def call() -> None:
+        try:
+            got.append((embedder(texts), None))
+        except Exception as e:  # raised again below, in the thread that waits
+            got.append((None, e))
+
+    t = threading.Thread(target=call, daemon=True)
+    t.start()
+    t.join(deadline)
+    if not got:
+        raise TimeoutError(f"no vectors within {deadline:g} seconds")
+    vectors, error = got[0]
+    if error is not None:
+        raise error
+    return vectors
+
+
+def _vectors(embedder: Embedder, texts: list[str], deadline: float | None, dims: int | None) -> list[list[float]]:
+    """Vectors that are as many as the texts, not empty and of `dims` places, if that is given; ValueError otherwise."""
+    out = [[float(x) for x in v] for v in _in_time(embedder, texts, deadline)]
+    if len(out) != len(texts):
+        raise ValueError(f"{len(out)} vectors for {len(texts)} texts")
+    for v in out:
+        if not v or (dims is not None and len(v) != dims):
+            raise ValueError(f"a vector has {len(v)} places" + (f" instead of {dims}" if dims is not None else ""))
+    return out
+
+
+def _embedded(texts: list[str], embedders: list[Embedder], deadline: float | None, dims: int | None) -> list[tuple[list[float] | None, str | None, int | None]]:
+    """(vector, error, number of the embedder) of each text; the error is the last one."""
+    out: list[tuple[list[float] | None, str | None, int | None]] = [(None, None, None)] * len(texts)
+    left = list(range(len(texts)))
+    for number, embedder in enumerate(embedders):
+        if not left:
+            break
         try:
-            return [float(x) for x in embedder([text])[0]], None
-        except Exception as e:  # one bad text must not cost the batch
-            return None, f"{type(e).__name__}: {e}"
+            for i, v in zip(left, _vectors(embedder, [texts[i] for i in left], deadline, dims), strict=True):
+                out[i] = (v, None, number)
+            left = []
+            continue
+        except TimeoutError as e:
+            if number + 1 < len(embedders):
+                for i in left:
+                    out[i] = (None, f"{type(e).__name__}: {e}", None)
+                continue
+        except Exception:  # whichever text is at fault is found below
+            pass
+        failed = []
+        for i in left:
+            try:
+                out[i] = (_vectors(embedder, [texts[i]], deadline, dims)[0], None, number)
+            except Exception as e:  # one bad text must not cost the batch
+                out[i] = (None, f"{type(e).__name__}: {e}", None)
+                failed.append(i)
+        left = failed
+    return out
+
+
+def embed(docs: DataFrame, id_col: str, text_col: str, embedder: Embedder, batch: int = 32, deadline: float | None = None, dims: int | None = None, fallback: Embedder | None = None) -> DataFrame:
+    """id, embedding, error, provider: vectors of an embedder in batches of `batch`.
+
+    A batch that fails is tried one by one; what fails then goes to `fallback`, in the same way, and keeps a null vector
+    and the last error if that fails too. A call may take `deadline` seconds; a batch that takes longer goes to `fallback`
+    at once, where there is one. Vectors of another width than `dims` are errors, so both embedders' vectors can be
+    compared: ValueError if `fallback` comes without `dims`. `provider` is 0 for the embedder and 1 for `fallback`. Null
+    texts have neither vector nor error. `embed_counts` tells how many there were of each.
+    """
+    if fallback is not None and dims is None:
+        raise ValueError("a fallback needs dims, the width that its vectors and the first embedder's must have")
+    id_type = docs.schema[id_col].dataType.simpleString()
+    embedders = [embedder] if fallback is None else [embedder, fallback]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out: list[tuple[list[float] | None, str | None]] = []
+            out: list[tuple[list[float] | None, str | None, int | None]] = []
             for k in range(0, len(b), batch):
                 part = b[text_col].iloc[k : k + batch].tolist()
-                given = [t for t in part if t is not None]
-                try:
-                    got = iter([([float(x) for x in v], None) for v in embedder(given)]) if given else iter(())
-                except Exception:
-                    got = map(one, given)
-                out += [(None, None) if t is None else next(got) for t in part]
-            yield pd.DataFrame({id_col: b[id_col], "embedding": [v for v, _ in out], "error": [e for _, e in out]})
-
-    return docs.select(id_col, text_col).mapInPandas(run, f"{id_col} {id_type}, embedding array<double>, error string")
+                got = iter(_embedded([t for t in part if t is not None], embedders, deadline, dims))
+                out += [(None, None, None) if t is None else next(got) for t in part]
+            yield pd.DataFrame({id_col: b[id_col], "embedding": [v for v, _, _ in out], "error": [e for _, e, _ in out], "provider": pd.array([n for _, _, n in out], "Int32")})
+
+    return docs.select(id_col, text_col).mapInPandas(run, f"{id_col} {id_type}, embedding array<double>, error string, provider int")
+
+
+def embed_counts(embedded: DataFrame, observation: Observation) -> DataFrame:
+    """The same rows; `observation` has the numbers `embedded`, `fell_back`, `failed` and `without_text` once they were written."""
+    n = lambda test, name: F.coalesce(F.sum(F.when(test, 1).otherwise(0)), F.lit(0)).alias(name)
+    vector, error = F.col("embedding").isNotNull(), F.col("error").isNotNull()
+    return embedded.observe(observation, n(vector, "embedded"), n(F.coalesce(F.col("provider") == 1, F.lit(False)), "fell_back"), n(error, "failed"), n(~vector & ~error, "without_text"))
 
 
 def scored_by(candidates: DataFrame, query_id: str, id_col: str, query: str, text: str, reranker: Reranker) -> DataFrame:
