@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.operators import incremental, store, tables
-from siltstone.operators.steps import materialize
+from siltstone.operators.steps import delete_folder, materialize
 from siltstone.plans.registry import CHUNKS, Registry, chunks, table
-from siltstone.streaming import sketches
+from siltstone.streaming import progress, sketches
 from siltstone.streaming import traces as stream
 
 R = Registry()
@@ -215,9 +215,51 @@ def _lines(files: DataFrame) -> DataFrame:
 def trace_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events as a stream of files, appended to a table batch by batch."""
     path, checkpoint = _folder(spark, "traces"), _folder(spark, "checkpoint")
-    schema = table(spark, sf_dir, "events").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parque[t]")
-    stream.ingest(events, path, checkpoint, "event_type").awaitTermination()
-    return spark.read.parquet(path).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    stream.ingest(_stream(spark, sf_dir), path, checkpoint, "event_type").awaitTermination()
+    out = materialize(spark.read.parquet(path).groupBy("event_type").agg(F.count(F.lit(1)).alias("n")), "traces")
+    for folder in (path, checkpoint):
+        delete_folder(spark, folder)
+    return out
+
+
+
+def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events as a stream of files."""
+    return spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parque[t]")
 
 
+@R.add("trace_fates", "SELECT event_type, fate, count(*) n FROM (SELECT event_type, 'new' fate FROM events UNION ALL SELECT event_type, 'repeat' FROM events WHERE event_id % 7 = 0) GROUP BY ALL")
+def trace_fates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events as a stream in which every seventh trace comes twice: what became of each."""
+    path, checkpoint = _folder(spark, "fates"), _folder(spark, "checkpoint")
+    e = _stream(spark, sf_dir)
+    twice = e.union(_stream(spark, sf_dir).where("event_id % 7 = 0"))
+    progress.started(stream.appender(progress.fates(twice, "event_id"), path, checkpoint, "fate"), spark).awaitTermination()
+    out = materialize(spark.read.parquet(path).groupBy("event_type", "fate").agg(F.count(F.lit(1)).alias("n")), "fates")
+    for folder in (path, checkpoint):
+        delete_folder(spark, folder)
+    return out
+
+
+_HOUR = 3_600_000
+
+
+@R.add("trace_progress", f"""WITH e AS (SELECT user_id, ts, epoch_ms(ts) // {6 * _HOUR} * {6 * _HOUR} + {6 * _HOUR} at_ms FROM events WHERE user_id IS NOT NULL), w AS (SELECT max(epoch_ms(ts)) - {_HOUR} mark FROM e),
+t AS (SELECT user_id, at_ms, count(*) n FROM e WHERE at_ms <= (SELECT mark FROM w) GROUP BY ALL),
+p AS (SELECT *, lag(at_ms) OVER (PARTITION BY user_id ORDER BY at_ms) prior FROM t),
+q AS (SELECT *, sum(CASE WHEN at_ms - {6 * _HOUR} - prior <= {24 * _HOUR} THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY at_ms) run FROM p),
+g AS (SELECT q.*, 20 + CAST(floor(abs(c_acctbal) / 100) AS BIGINT) goal, sum(n) OVER (PARTITION BY user_id, run ORDER BY at_ms) processed, row_number() OVER (PARTITION BY user_id, run ORDER BY at_ms) k, row_number() OVER (PARTITION BY user_id, run ORDER BY at_ms DESC) b,
+ list(CASE WHEN at_ms - {6 * _HOUR} - prior <= {24 * _HOUR} THEN n * 1000.0::DOUBLE / (at_ms - prior) END) OVER (PARTITION BY user_id, run ORDER BY at_ms ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) l FROM q LEFT JOIN customer ON c_custkey = user_id),
+r AS (SELECT *, CASE WHEN k > 1 THEN list_reduce(list_filter(l, lambda x: x IS NOT NULL), lambda s, v: 0.3::DOUBLE * v + 0.7::DOUBLE * s) ELSE 0.0::DOUBLE END rate FROM g)
+SELECT user_id, at_ms, CASE WHEN goal IS NULL OR processed < goal THEN 'running' ELSE 'done' END status, CAST(processed AS BIGINT) processed, round(rate, 9) rate, CASE WHEN goal > processed AND rate > 0 THEN CAST(ceil((goal - processed) / rate) AS BIGINT) END eta FROM r
+UNION ALL SELECT user_id, at_ms + {24 * _HOUR}, 'stalled', CAST(processed AS BIGINT), 0.0, NULL FROM r WHERE b = 1 AND at_ms + {30 * _HOUR} <= (SELECT mark FROM w) """)
+def trace_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events as a stream: each user's progress by six hours towards a goal that comes from customer, and where it stalls for a day."""
+    path, checkpoint = _folder(spark, "progress"), _folder(spark, "checkpoint")
+    goals = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), (20 + F.floor(F.abs("c_acctbal") / 100)).alias("goal"))
+    found = progress.progress(_stream(spark, sf_dir), "user_id", goals, tick="6 hours", idle="1 day", late="1 hour")
+    progress.started(found.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True), spark).awaitTermination()
+    out = materialize(spark.read.parquet(path).withColumn("rate", F.round("rate", 9)), "progress")
+    for folder in (path, checkpoint):
+        delete_folder(spark, folder)
+    return out

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 
 def event_time(df: DataFrame, column: str = "ts") -> DataFrame:
@@ -40,11 +40,16 @@ def sessions(df: DataFrame, by: str, gap: str = "30 minutes", late: str = "1 hou
     return d.groupBy(F.session_window(column, gap), by).agg(F.count(F.lit(1)).alias("n")).select(by, F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
 
 
-def ingest(stream: DataFrame, path: str, checkpoint: str, partition: str, prepare: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
-    """Appends each micro-batch to a partitioned table; a batch that is repeated replaces its own rows, by batch id."""
+def appender(stream: DataFrame, path: str, checkpoint: str, partition: str, prepare: Callable[[DataFrame], DataFrame] | None = None) -> DataStreamWriter:
+    """A writer, to be started, that appends each micro-batch to a partitioned table; a batch that is repeated replaces its own rows, by batch id."""
 
     def put(batch: DataFrame, batch_id: int) -> None:
         rows = (prepare(batch) if prepare else batch).withColumn("batch_id", F.lit(batch_id))
         rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id", partition).parquet(path)
 
-    return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+
+
+def ingest(stream: DataFrame, path: str, checkpoint: str, partition: str, prepare: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
+    """Starts `appender`."""
+    return appender(stream, path, checkpoint, partition, prepare).start()
