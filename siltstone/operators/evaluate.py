@@ -75,6 +75,13 @@ def run_notes(passed: Column, asked: Column, skipped: Column, filtered: Column)
     return F.concat_ws(" | ", F.lit("status:completed"), F.concat(told(passed, "/"), told(asked, " passed")), some(skipped, " skipped (no expectedFilePaths)"), some(filtered, " filtered by tags"))
 
 
+def with_entries(results: DataFrame, entries: DataFrame, query: str, order: str) -> DataFrame:
+    """Each result with the columns of the first golden entry, by `order`, whose query is the same text; null where there is none. Texts are compared as they are; a null query has no entry."""
+    rest = [c for c in entries.columns if c not in (query, order)]
+    first = entries.where(F.col(query).isNotNull()).groupBy(query).agg(F.min_by(F.struct(*rest), order).alias("_entry"))
+    return results.join(first, query, "left").select(*results.columns, *[F.col(f"_entry.{c}").alias(c) for c in rest])
+
+
 def ragas(rows: DataFrame) -> DataFrame:
     """question, answer (empty), contexts, ground_truths (the answer, then the paths) of rows (query, answer, expected, retrieved); rows without a query are left out."""
     answer = F.when(F.col("answer") != "", F.array("answer")).otherwise(F.array().cast("array<string>"))

@@ -93,9 +93,9 @@ def ignored(path: Column, patterns: list[str]) -> Column:
     return out
 
 
-def skip_reason(size: Column, content: Column) -> Column:
-    """Why a file gives no chunks: too_large, empty, or null."""
-    return F.when(size > MOST_BYTES, F.lit("too_large")).when(F.length(F.trim(F.regexp_replace(content, r"\s+", " "))) == 0, F.lit("empty"))
+def skip_reason(size: Column, content: Column, most: int = MOST_BYTES) -> Column:
+    """Why a file gives no chunks: too_large (more than `most` bytes), empty, or null."""
+    return F.when(size > most, F.lit("too_large")).when(F.length(F.trim(F.regexp_replace(content, r"\s+", " "))) == 0, F.lit("empty"))
 
 
 def detect_changes(old: DataFrame, new: DataFrame) -> DataFrame:

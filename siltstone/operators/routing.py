@@ -1,10 +1,10 @@
-"""Query routing by rules: which projects a question is about."""
+"""Query routing by rules: which projects a question is about, what is retrieved for it, what a fallback lacks."""
 
 from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Fixed phrases: about several projects, about the project at hand.
@@ -78,6 +78,33 @@ def route(kind: Column, sure: Column, named: Column, current: Column, every: Col
     return ids.otherwise(F.coalesce(here, every)), method.otherwise("fallback_all"), confidence.otherwise(F.when(here.isNotNull(), 0.6).otherwise(0.5))
 
 
+def forced(ids: Column, method: Column, sure: Column, every: Column, below: float = FORCE_BELOW) -> tuple[Column, Column]:
+    """Project ids and method where a search is forced: a route less sure than `below` is taken all the same, as force-rag, and leads to all projects if it has no ids. The confidence stays."""
+    unsure = F.coalesce(sure, F.lit(0.0)) < below
+    return F.when(unsure & (F.coalesce(F.size(ids), F.lit(0)) <= 0), every).otherwise(ids), F.when(unsure, "force-rag").otherwise(method)
+
+
+def retrieval_plan(kind: Column, top_k: int) -> Column:
+    """What an `adaptive_class` asks for, as struct (skipped, reason, top_k, rerank, with_history): simple questions skip retrieval, complex ones take twice as many and rerank them, conversational ones look at the turns before. An unknown or null class is treated as factual."""
+    is_ = lambda k: F.coalesce(kind == k, F.lit(False))
+    return F.struct(
+        is_("simple").alias("skipped"),
+        F.when(is_("simple"), "no retrieval for a simple question").alias("reason"),
+        F.when(is_("simple"), 0).when(is_("complex"), 2 * top_k).otherwise(top_k).alias("top_k"),
+        is_("complex").alias("rerank"),
+        is_("conversational").alias("with_history"),
+    )
+
+
+def lost_capabilities(abilities: DataFrame, pairs: DataFrame) -> DataFrame:
+    """provider, fallback, lost (sorted, comma-joined) and n_lost: what a provider can (provider, ability) and its fallback can't, for each of `pairs` (provider, fallback). Repeated rows count once."""
+    of_fallback = abilities.select(F.col("provider").alias("fallback"), "ability")
+    gone = abilities.join(pairs, "provider").join(of_fallback, ["fallback", "ability"], "left_anti")
+    told = gone.groupBy("provider", "fallback").agg(F.array_sort(F.collect_set("ability")).alias("l"))
+    out = pairs.distinct().join(told, ["provider", "fallback"], "left").withColumn("l", F.coalesce("l", F.array().cast("array<string>")))
+    return out.select("provider", "fallback", F.array_join("l", ",").alias("lost"), F.size("l").cast("long").alias("n_lost"))
+
+
 def adaptive_class(text: Column) -> Column:
     """simple, conversational, complex or factual, by our own rules on length and leading words; simple ones skip retrieval."""
     low = F.trim(F.lower(text))

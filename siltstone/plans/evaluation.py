@@ -33,11 +33,15 @@ def top_ten(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.topk(_bm25(spark, sf_dir), ["item_id"], [F.desc("score"), F.asc("chunk_id")], 10).select("item_id", "chunk_id", "rank")
 
 
+def listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """item_id and the paths of the ten best documents by BM25, best first."""
+    paths = chunks(spark, sf_dir).select("chunk_id", "file_path").join(few(spark, sf_dir, top_ten(spark, sf_dir), 10), "chunk_id")
+    return paths.groupBy("item_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "file_path"))), lambda r: r["file_path"]).alias("retrieved"))
+
+
 def retrieved(spark: SparkSession, sf_dir: str) -> DataFrame:
     """item_id, expected, and the paths of the ten best documents by BM25."""
-    paths = chunks(spark, sf_dir).select("chunk_id", "file_path").join(few(spark, sf_dir, top_ten(spark, sf_dir), 10), "chunk_id")
-    got = paths.groupBy("item_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "file_path"))), lambda r: r["file_path"]).alias("retrieved"))
-    return golden(spark, sf_dir).join(got, "item_id", "left").select("item_id", "text", "expected", F.coalesce("retrieved", F.array().cast("array<string>")).alias("retrieved"))
+    return golden(spark, sf_dir).join(listed(spark, sf_dir), "item_id", "left").select("item_id", "text", "expected", F.coalesce("retrieved", F.array().cast("array<string>")).alias("retrieved"))
 
 
 def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -179,21 +183,24 @@ _ANSWER = "CASE WHEN item_id % 3 = 0 THEN 'Answer ' || item_id ELSE '' END"
 
 
 def _exported(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:
-    """The export of retrieved golden data, written as JSON below folders that don't exist yet and read back."""
-    rows = retrieved(spark, sf_dir).select(F.col("text").alias("query"), F.when(F.col("item_id") % 3 == 0, F.concat(F.lit("Answer "), F.col("item_id").cast("string"))).otherwise("").alias("answer"), "expected", "retrieved")
+    """The export of results, each with the first golden entry of the same query, written as JSON below folders that don't exist yet and read back."""
+    answer = F.when(F.col("item_id") % 3 == 0, F.concat(F.lit("Answer "), F.col("item_id").cast("string"))).otherwise("").alias("answer")
+    entries = golden(spark, sf_dir).select("item_id", F.col("text").alias("query"), answer, "expected")
+    results = table(spark, sf_dir, "benchmark").join(listed(spark, sf_dir), "item_id", "left").select(F.col("text").alias("query"), F.coalesce("retrieved", F.array().cast("array<string>")).alias("retrieved"))
+    rows = E.with_entries(results, entries, "query", "item_id")
     path = f"{work_dir(spark, name)}/exports/{name}"
     out = make(rows)
     write_json(out, path)
     return spark.read.schema(out.schema).json(path)
 
 
-@R.add("export_ragas", f"WITH {_LISTED} SELECT text question, '' answer, array_to_string(coalesce(files, []), ',') contexts, array_to_string(list_concat(CASE WHEN item_id % 3 = 0 THEN [{_ANSWER}] ELSE [] END, coalesce(paths, [])), ',') ground_truths FROM benchmark LEFT JOIN got USING (item_id) LEFT JOIN exp USING (item_id) WHERE text <> ''")
+@R.add("export_ragas", f"WITH {_LISTED} SELECT text question, '' answer, array_to_string(coalesce(files, []), ',') contexts, array_to_string(list_concat(CASE WHEN first % 3 = 0 THEN [{_ANSWER.replace('item_id', 'first')}] ELSE [] END, coalesce(paths, [])), ',') ground_truths FROM benchmark b JOIN (SELECT text, min(item_id) first FROM benchmark GROUP BY 1) f USING (text) LEFT JOIN got USING (item_id) LEFT JOIN exp ON exp.item_id = first WHERE text <> ''")
 def export_ragas(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = _exported(spark, sf_dir, "ragas", E.ragas)
     return x.select("question", "answer", F.array_join("contexts", ",").alias("contexts"), F.array_join("ground_truths", ",").alias("ground_truths"))
 
 
-@R.add("export_deepeval", f"WITH {_LISTED} SELECT text AS input, '' actual_output, array_to_string(coalesce(files, []), ',') retrieval_context, CASE WHEN item_id % 3 = 0 THEN {_ANSWER} ELSE coalesce(array_to_string(paths, ', '), '') END expected_output FROM benchmark LEFT JOIN got USING (item_id) LEFT JOIN exp USING (item_id) WHERE text <> ''")
+@R.add("export_deepeval", f"WITH {_LISTED} SELECT text AS input, '' actual_output, array_to_string(coalesce(files, []), ',') retrieval_context, CASE WHEN first % 3 = 0 THEN {_ANSWER.replace('item_id', 'first')} ELSE coalesce(array_to_string(paths, ', '), '') END expected_output FROM benchmark b JOIN (SELECT text, min(item_id) first FROM benchmark GROUP BY 1) f USING (text) LEFT JOIN got USING (item_id) LEFT JOIN exp ON exp.item_id = first WHERE text <> ''")
 def export_deepeval(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = _exported(spark, sf_dir, "deepeval", E.deepeval)
     return x.select("input", "actual_output", F.array_join("retrieval_context", ",").alias("retrieval_context"), "expected_output")

@@ -105,9 +105,14 @@ def route_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routed(spark, sf_dir).withColumn("ids", F.array_join("ids", ","))
 
 
-@R.add("route_force", f"WITH {_ROUTE} SELECT conv_id, turn, CASE WHEN confidence - 0.1 < 0.5 THEN 'all' ELSE 'kept' END forced FROM r")
+@R.add("route_force", f"""WITH {_ROUTE}, u AS (SELECT conv_id, turn, CASE WHEN turn % 5 = 4 THEN [] ELSE ids END ids, "method", CASE WHEN "method" = 'fallback_all' THEN round(confidence * (conv_id % 10) / 10, 2) ELSE confidence END confidence FROM r)
+SELECT conv_id, turn, array_to_string(CASE WHEN confidence < 0.5 AND len(ids) = 0 THEN ['src1', 'src2', 'src3', 'src10'] ELSE ids END, ',') ids, CASE WHEN confidence < 0.5 THEN 'force-rag' ELSE "method" END "method", confidence FROM u""")
 def route_force(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return routed(spark, sf_dir).select("conv_id", "turn", F.when(F.col("confidence") - 0.1 < Q.FORCE_BELOW, "all").otherwise("kept").alias("forced"))
+    """Routes of which some are unsure and some have no ids: unsure ones are searched all the same, in all projects where they have none."""
+    sure = F.when(F.col("method") == "fallback_all", F.round(F.col("confidence") * (F.col("conv_id") % 10) / 10, 2)).otherwise(F.col("confidence"))
+    r = routed(spark, sf_dir).withColumns({"ids": F.when(F.col("turn") % 5 == 4, F.array().cast("array<string>")).otherwise(F.col("ids")), "confidence": sure})
+    ids, method = Q.forced(F.col("ids"), F.col("method"), F.col("confidence"), F.array(*map(F.lit, PROJECTS)))
+    return r.select("conv_id", "turn", F.array_join(ids, ",").alias("ids"), method.alias("method"), "confidence")
 
 
 @R.add("route_validate", f"WITH {_SPOKEN} SELECT conv_id, turn, coalesce(array_to_string(rids, ','), 'failed') ids, coalesce(sure, -1.0) confidence FROM said")
@@ -125,11 +130,22 @@ def resolve_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nation.join(hinted(wanted), "w").select("n_nationkey", "n_name")
 
 
-@R.add("adaptive_class", f"WITH {_SQL}, l AS (SELECT *, trim(lower(q)) t FROM ask) SELECT conv_id, turn, CASE WHEN regexp_matches(t, '^(hi|hello|hey|thanks|thank you|ok|okay|bye)\\b') THEN 'simple' WHEN regexp_matches(t, '\\b(you said|earlier|previous answer|that again|go on)\\b') THEN 'conversational' WHEN len(regexp_split_to_array(t, '\\s+')) > 20 OR regexp_matches(t, '\\b(compare|versus|why|explain|architecture|trade-?offs?)\\b') THEN 'complex' ELSE 'factual' END class FROM l")
+_CLASS = "CASE WHEN regexp_matches(t, '^(hi|hello|hey|thanks|thank you|ok|okay|bye)\\b') THEN 'simple' WHEN regexp_matches(t, '\\b(you said|earlier|previous answer|that again|go on)\\b') THEN 'conversational' WHEN len(regexp_split_to_array(t, '\\s+')) > 20 OR regexp_matches(t, '\\b(compare|versus|why|explain|architecture|trade-?offs?)\\b') THEN 'complex' ELSE 'factual' END"
+
+
+@R.add("adaptive_class", f"WITH {_SQL}, l AS (SELECT *, trim(lower(q)) t FROM ask) SELECT conv_id, turn, {_CLASS} class FROM l")
 def adaptive_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asked(spark, sf_dir).select("conv_id", "turn", Q.adaptive_class(F.col("q")).alias("class"))
 
 
+@R.add("adaptive_plan", f"""WITH l AS (SELECT *, trim(lower(text)) t FROM conversations), c AS (SELECT conv_id, turn, {_CLASS} class FROM l)
+SELECT conv_id, turn, class, class = 'simple' skipped, CASE WHEN class = 'simple' THEN 'no retrieval for a simple question' END reason, CASE class WHEN 'simple' THEN 0 WHEN 'complex' THEN 10 ELSE 5 END::INTEGER top_k, class = 'complex' rerank, class = 'conversational' with_history FROM c""")
+def adaptive_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is retrieved for each turn as it stands."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", Q.adaptive_class(F.col("text")).alias("class"))
+    return c.select("*", Q.retrieval_plan(F.col("class"), 5).alias("p")).select("conv_id", "turn", "class", "p.*")
+
+
 _TOP = f"{_BM25}, top AS (SELECT item_id, chunk_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, chunk_id) rank FROM bm) WHERE rank <= 8), res AS (SELECT item_id, rank, score, project, file_path, language, content, chunk_id % 5 start_line, chunk_id % 5 + chunk_id % 3 end_line FROM top JOIN chunks USING (chunk_id, project) )".replace("USING (chunk_id, project) ", "USING (chunk_id)")
 
 
@@ -270,6 +286,19 @@ def array_except_demo(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", F.array_join(F.array_except(had, has), ",").alias("lost"))
 
 
+_ABILITIES = "ability AS (SELECT DISTINCT source provider, lang ability FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL)"
+
+
+@R.add("lost_capabilities", f"""WITH {_ABILITIES}, pair AS (SELECT a.provider, b.provider fallback FROM (SELECT provider, row_number() OVER (ORDER BY provider) k FROM (SELECT DISTINCT provider FROM ability)) a JOIN (SELECT provider, row_number() OVER (ORDER BY provider) k FROM (SELECT DISTINCT provider FROM ability)) b ON b.k = a.k + 1)
+SELECT p.provider, p.fallback, coalesce(string_agg(x.ability, ',' ORDER BY x.ability), '') lost, count(x.ability) n_lost FROM pair p LEFT JOIN (SELECT a.provider, a.ability, p.fallback FROM ability a JOIN pair p USING (provider) WHERE NOT EXISTS (SELECT 1 FROM ability o WHERE o.provider = p.fallback AND o.ability = a.ability)) x ON x.provider = p.provider GROUP BY ALL""")
+def lost_capabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources as providers, their languages as what they can do: what the next provider by name, as its fallback, can't."""
+    ability = table(spark, sf_dir, "documents").selectExpr("source AS provider", "lang AS ability").dropna().distinct()
+    names = ability.groupBy().agg(F.array_sort(F.collect_set("provider")).alias("l"))  # a name for each source
+    pair = names.select(F.explode(F.arrays_zip(F.slice("l", 1, F.size("l") - 1).alias("provider"), F.slice("l", 2, F.size("l")).alias("fallback"))).alias("p")).select("p.*")
+    return Q.lost_capabilities(ability, pair)
+
+
 _PATTERNS = ["12.md", "en/1", "src3", "9", "fr/100.md"]
 
 

@@ -87,6 +87,16 @@ def delete_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.without(table(spark, sf_dir, "lineitem"), gone, "l_orderkey", "o_orderkey").select("l_orderkey", "l_linenumber")
 
 
+@R.add("delete_counts", """WITH g AS (SELECT c_custkey id FROM customer WHERE c_mktsegment = 'BUILDING'), o AS (SELECT o_custkey, o_orderkey FROM orders)
+SELECT 'orders' relation, id, count(o_orderkey) n FROM g LEFT JOIN o ON o_custkey = id GROUP BY 2 UNION ALL SELECT 'events', id, count(event_id) FROM g LEFT JOIN events ON user_id = id GROUP BY 2 UNION ALL SELECT 'left', 0, count(*) FROM customer WHERE c_mktsegment <> 'BUILDING' OR c_mktsegment IS NULL""")
+def delete_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What goes with the customers of a segment, counted before, and how many customers are left."""
+    c = table(spark, sf_dir, "customer")
+    children = {"orders": (table(spark, sf_dir, "orders"), "o_custkey"), "events": (table(spark, sf_dir, "events"), "user_id")}
+    left, _, counts = store.delete_parents(c, "c_custkey", c.where("c_mktsegment = 'BUILDING'").select("c_custkey"), children)
+    return counts.unionByName(left.agg(F.count(F.lit(1)).alias("n")).select(F.lit("left").alias("relation"), F.lit(0).cast("long").alias("id"), "n"))
+
+
 @R.add("partial_update", "SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 'X' || c_custkey ELSE c_name END c_name, CASE WHEN c_custkey % 10 = 0 THEN 0.0::DOUBLE ELSE c_acctbal END c_acctbal FROM customer")
 def partial_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal")
@@ -211,6 +221,24 @@ def _lines(files: DataFrame) -> DataFrame:
     return files.select("file", F.posexplode(F.split("content", "\n")).alias("chunk_no", "content")).where(F.length(F.trim("content")) > 0)
 
 
+@R.add("run_append", """WITH e AS (SELECT event_type, user_id % 10 project, CAST(ts AS DATE) d, value FROM events WHERE user_id IS NOT NULL AND value BETWEEN 0 AND 100)
+SELECT CAST(project AS VARCHAR) project, count(DISTINCT d) runs, count(DISTINCT (d, event_type)) results, (SELECT count(*) FROM events WHERE user_id IS NULL OR value IS NULL OR NOT value BETWEEN 0 AND 100) refused FROM e GROUP BY 1""")
+def run_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days of traces as evaluation runs, and what each measured as its results: stored in two tables, rows that break a rule refused."""
+    rules = {"user_id": F.col("user_id").isNotNull(), "value": F.col("value").between(0, 100)}
+    e = store.validated(table(spark, sf_dir, "events"), rules)
+    good = e.where("broken_rule IS NULL").select((F.col("user_id") % 10).cast("string").alias("project"), F.to_date("ts").alias("day"), "event_type", (F.col("value") / 100).alias("score"))
+    runs, results = _folder(spark, "runs"), _folder(spark, "results")
+    store.append_valid(good.groupBy("project", "day").agg(F.avg("score").alias("score")), runs, "project", {"score": F.col("score").between(0, 1)})
+    store.append_valid(good.groupBy("project", "day", F.col("event_type").alias("metric")).agg(F.avg("score").alias("value")), results, "project", {"metric": F.col("metric").isNotNull(), "value": F.col("value").between(0, 1)})
+    n = lambda path, name: tables.read_table(spark, path).groupBy("project").agg(F.count(F.lit(1)).alias(name))
+    told = n(runs, "runs").join(n(results, "results"), "project").withColumn("refused", e.agg(F.count_if(F.col("broken_rule").isNotNull())).scalar())
+    out = materialize(told, "runs")
+    for path in (runs, results):
+        tables.delete_table(spark, path)
+    return out
+
+
 @R.add("trace_append", "SELECT event_type, count(*) n FROM events GROUP BY 1")
 def trace_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events as a stream of files, appended to a table batch by batch."""
