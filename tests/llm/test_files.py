@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import base64
+import gzip
 import hashlib
 import zlib
 
@@ -143,6 +145,65 @@ def test_warc_predicates_are_pushed(spark, monkeypatch):
     assert warc.read_warc(spark, folder, payload=False).where(F.col("payload").isNotNull()).count() == 0
 
 
+def _foreign(kind, block, digest=None, content="application/http; msgtype=response", **more):
+    head = ["WARC/1.0", f"WARC-Type:{kind}", f"WARC-Record-ID: <urn:uuid:{kind}-{len(block)}>", "WARC-Target-URI: http://x/", f"Content-Type: {content}", f"Content-Length: {len(block)}"]
+    head += [f"WARC-Payload-Digest: {digest}"] if digest else []
+    head += [f"{k.replace('_', '-')}: {v}" for k, v in more.items()]
+    return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def _foreign_records():
+    b32 = lambda x: "sha1:" + base64.b32encode(hashlib.sha1(x).digest()).decode()
+    plain, packed = b"<p>one</p>" * 90_000, gzip.compress(b"two" * 500)
+    chunked = b"".join(b"%x;ext=1\r\n%s\r\n" % (len(packed[i : i + 7]), packed[i : i + 7]) for i in range(0, len(packed), 7)) + b"0\r\n\r\n"
+    raw = zlib.compressobj(wbits=-15)
+    squeezed = raw.compress(b"three") + raw.flush()
+    http = lambda body, *head: b"HTTP/1.1 200 OK\r\n" + b"".join(h + b"\r\n" for h in head) + b"\r\n" + body
+    return [
+        _foreign("warcinfo", b"software: x\r\n\r\nWARC/1.0\r\n", content="application/warc-fields"),
+        _foreign("request", b"GET / HTTP/1.1\r\n\r\n", content="application/http; msgtype=request"),
+        _foreign("response", http(plain, b"Content-Type: text/html"), b32(plain)),
+        _foreign("response", http(chunked, b"transfer-encoding: chunked", b"Content-Encoding: gzip"), b32(packed)),
+        _foreign("response", http(chunked, b"Transfer-Encoding: chunked", b"Content-Encoding: gzip"), b32(chunked)),
+        _foreign("response", http(squeezed, b"Content-Encoding: deflate"), "sha256:" + hashlib.sha256(b"three").hexdigest()),
+        _foreign("response", http(b"four", b"Transfer-Encoding: chunked", b"Content-Encoding: br"), "blake3:abc"),
+        _foreign("resource", b"\r\n\r\nfive", content="text/plain"),
+        _foreign("revisit", http(b""), b32(plain), WARC_Refers_To="<urn:uuid:first>"),
+    ]
+
+
+@pytest.mark.parametrize("ending", ["warc", "warc.gz", "warc.gz in one member"])
+def test_archives_of_other_writers(spark, ending):
+    folder = work_dir(spark, "w")
+    whole = _foreign_records()
+    data = b"".join(gzip.compress(r) for r in whole) if ending == "warc.gz" else b"".join(whole)
+    name = "a." + ending.split(" ")[0]
+    with files.written(folder, name) as f:
+        f.write(gzip.compress(data) if "member" in ending else data)
+    d = warc.read_warc(spark, folder)
+    got = {(r.record_type, r.payload, r.payload_bytes) for r in d.collect()}
+    two = b"two" * 500
+    assert got == {("warcinfo", None, None), ("request", None, None), ("response", b"<p>one</p>" * 90_000, 900_000), ("response", two, 1500), ("response", b"three", 5), ("response", b"four", 4), ("resource", b"\r\n\r\nfive", 8), ("revisit", None, None)}
+    assert d.count() == 9 and d.where("page_id IS NOT NULL OR refers_to IS NOT NULL").count() == 0
+    (r,) = d.where("record_type = 'revisit'").collect()
+    assert r.refers_to_id == "urn:uuid:first" and r.payload_digest == hashlib.sha1(b"<p>one</p>" * 90_000).hexdigest()
+    assert d.where("payload_bytes > 1000").count() == 3 and d.where("payload_bytes > 1000 AND record_type = 'resource'").count() == 0
+    assert d.where(F.col("payload_digest") == "sha256:" + hashlib.sha256(b"three").hexdigest()).count() == 1
+    skipped = warc.read_warc(spark, folder, payload=False)
+    assert skipped.where("record_type = 'response'").count() == 5 and skipped.where("payload_bytes > 0").count() == 0
+
+
+def test_broken_archives_say_so(spark):
+    good = _foreign("response", b"HTTP/1.1 200 OK\r\n\r\nx", "sha1:" + "0" * 40)
+    whole = _foreign("response", b"HTTP/1.1 200 OK\r\n\r\nx")
+    for data, name, why in ((good, "a.warc", "digest"), (b"nothing\r\n\r\n", "a.warc", "no record"), (b"WARC/1.0\r\n", "a.warc", "no end"), (whole[:-6], "a.warc", "no end"), (gzip.compress(whole)[:-9], "a.warc.gz", "no end")):
+        folder = work_dir(spark, "w")
+        with files.written(folder, name) as f:
+            f.write(data)
+        with pytest.raises(Exception, match=why):
+            warc.read_warc(spark, folder).collect()
+
+
 @pytest.mark.parametrize("shards", [3, 40])
 def test_sharding(spark, docs, shards):
     got = sharding.shard_report(docs, shards).collect()
