@@ -6,6 +6,7 @@ import ast
 import hashlib
 import re
 import threading
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 from typing import Protocol
@@ -30,40 +31,84 @@ _JS = re.compile(
 SEGMENTS = "start_line int, end_line int, content_type string, symbol_type string, symbol string, content string"
 
 
-def _closing(text: str, at: int) -> int:
-    """End of the block or statement that begins at `at`; strings and comments are passed over."""
-    depth, i, opened = 0, at, False
-    while i < len(text):
-        c = text[i]
-        if c in "\"'`":
-            j = i + 1
-            while j < len(text) and text[j] != c:
-                j += 2 if text[j] == "\\" else 1
-            i = j
-        elif text.startswith("//", i):
-            i = text.find("\n", i) if "\n" in text[i:] else len(text)
-            continue
-        elif text.startswith("/*", i):
-            i = text.find("*/", i) + 1 if "*/" in text[i:] else len(text)
-        elif c in "{([":
-            depth, opened = depth + 1, opened or c == "{"
-        elif c in "})]":
-            depth -= 1
-            if depth == 0 and opened and c == "}":
-                return i + 1
-        elif c == ";" and depth == 0:
-            return i + 1
-        i += 1
-    return len(text)
+_TOKEN = re.compile(r"""(?P<quiet>//[^\n]*|/\*[\s\S]*?(?:\*/|\Z)|\s+)|(?P<string>'(?:\\[\s\S]|[^'\\\n])*'?|"(?:\\[\s\S]|[^"\\\n])*"?)|(?P<word>[\w$]+)|(?P<one>[\s\S])""")
+_REGEX = re.compile(r"/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\[\n])+/[\w$]*")
+_TEMPLATE = re.compile(r"(?:\\[\s\S]|\$(?!\{)|[^`\\$])*(?P<end>`|\$\{|\Z)")
+#: Words after which a slash begins a regular expression.
+_BEFORE_REGEX = frozenset("return typeof instanceof in of new delete void throw case do else yield await".split())
+_PAIRS = {"}": "{", ")": "(", "]": "["}
+
+
+def _structure(text: str) -> tuple[list[int], dict[int, int], list[tuple[int, int]]]:
+    """One pass over a program: places of brackets and semicolons, each opening bracket's closing one, and the spans of strings, templates' texts, comments and regular expressions."""
+    places, closing, quoted, open_at, at, value = [], {}, [], [], 0, False
+
+    def template(at: int) -> int:
+        m = _TEMPLATE.match(text, at)
+        quoted.append((at - 1, m.end()))
+        if m["end"] == "${":
+            open_at.append((m.end() - 1, "${"))
+        return m.end()
+
+    while at < len(text):
+        m = _TOKEN.match(text, at)
+        if m["quiet"] or m["string"]:
+            if not m[0].isspace():
+                quoted.append(m.span())
+            value, at = value or bool(m["string"]), m.end()
+        elif m["word"]:
+            value, at = m[0] not in _BEFORE_REGEX, m.end()
+        elif m[0] == "`":
+            at, value = template(at + 1), text[at] == "`"
+        elif m[0] == "/" and not value and (r := _REGEX.match(text, at)):
+            quoted.append(r.span())
+            value, at = True, r.end()
+        elif m[0] == "}" and open_at and open_at[-1][1] == "${":
+            open_at.pop()
+            at, value = template(at + 1), True
+        else:
+            if m[0] in "{([":
+                open_at.append((at, m[0]))
+            elif m[0] in _PAIRS and open_at and open_at[-1][1] == _PAIRS[m[0]]:
+                closing[open_at.pop()[0]] = at
+            if m[0] in "{([;":
+                places.append(at)
+            value, at = m[0] in ")]", at + 1
+    return places, closing, quoted
+
+
+def _closing(places: list[int], closing: dict[int, int], text: str, at: int, stop: int) -> int:
+    """End of the block or statement that begins at `at`: behind its first block, its semicolon, or at `stop`, where the next one begins."""
+    i = bisect_left(places, at)
+    while i < len(places) and places[i] < stop:
+        p = places[i]
+        if text[p] == ";":
+            return p + 1
+        end = closing.get(p, len(text) - 1)
+        if text[p] == "{":
+            return end + 1
+        i = bisect_right(places, end)
+    return min(stop, len(text))
 
 
 def js_segments(text: str) -> list[tuple]:
-    """Doc comments, functions, arrow functions, classes, interfaces and type aliases; what repeats (lines, kind) counts once."""
+    """Doc comments, functions, arrow functions, classes, interfaces and type aliases; what repeats (lines, kind) counts once. What only stands in a string, a template, a comment or a regular expression is none."""
     found, seen = [], set()
-    for m in _JS.finditer(text):
-        kind = next(k for k in ("doc", "function", "class", "interface", "type", "arrow") if m[k])
-        end = m.end() if kind == "doc" else _closing(text, m.start())
-        a, z = text.count("\n", 0, m.start()) + 1, text.count("\n", 0, end) + 1
+    places, closing, quoted = _structure(text)
+    starts, lines = [q[0] for q in quoted], [m.start() for m in re.finditer("\n", text)]
+
+    def inside(at: int) -> bool:
+        i = bisect_right(starts, at) - 1
+        return i >= 0 and quoted[i][0] < at < quoted[i][1]
+
+    code = lambda m: m.start() + len(m[0]) - len(m[0].lstrip())
+    matches = [m for m in _JS.finditer(text) if not inside(code(m))]
+    for k, m in enumerate(matches):
+        after = matches[k + 1] if k + 1 < len(matches) else None
+        kind = next(g for g in ("doc", "function", "class", "interface", "type", "arrow") if m[g])
+        stop = after.start() if after and kind in ("arrow", "type") else len(text)
+        end = m.end() if kind == "doc" else m.start() + len(text[m.start() : _closing(places, closing, text, m.start(), stop)].rstrip("\n"))
+        a, z = bisect_left(lines, m.start()) + 1, bisect_left(lines, end) + 1
         name = next((m[g] for g in "fcita" if m[g]), None)
         row = (a, z, "docs" if kind == "doc" else "code", kind, name, text[m.start() : end].strip("\n"))
         if row[:3] not in seen:

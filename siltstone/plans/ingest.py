@@ -246,9 +246,11 @@ def _segments_sql(rows: list[tuple]) -> str:
     (2, 5, "code", "function", "one", "'export function one(a: number) {' || chr(10) || '  const s = {t: ' || CAST(to_json(text) AS VARCHAR) || '};' || chr(10) || '  return { s };' || chr(10) || '}'"),
     (6, 6, "code", "arrow", "two", "'export const two = (x) => { return x; }'"), (7, 7, "code", "class", "Three", "'export class Three { m() { return 1; } }'"),
     (8, 8, "code", "interface", "Four", "'export interface Four { a: string }'"), (9, 9, "code", "type", "Five", "'export type Five = string;'"),
+    (10, 12, "code", "function", "six", "'function six(x) {' || chr(10) || '  return x.replace(/''/g, `a${`}`} {`) / 2 / 3;' || chr(10) || '}'"),
+    (13, 13, "code", "arrow", "seven", "'const seven = (x) => x + 1'"), (14, 14, "code", "class", "Eight", "'class Eight {}'"),
 ]))
 def extract_js(spark: SparkSession, sf_dir: str) -> DataFrame:
-    code = _code(spark, sf_dir, "/** Doc. */\nexport function one(a: number) {\n  const s = {t: ", ";\n  return { s };\n}\nexport const two = (x) => { return x; };\nexport class Three { m() { return 1; } }\nexport interface Four { a: string }\nexport type Five = string;\n")
+    code = _code(spark, sf_dir, "/** Doc. */\nexport function one(a: number) {\n  const s = {t: ", ";\n  return { s };\n}\nexport const two = (x) => { return x; };\nexport class Three { m() { return 1; } }\nexport interface Four { a: string }\nexport type Five = string;\nfunction six(x) {\n  return x.replace(/'/g, `a${`}`} {`) / 2 / 3;\n}\nconst seven = (x) => x + 1\nclass Eight {}\n")
     return extract.extract_js(code, "doc_id", "code")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from siltstone.operators import evaluate, routing, store, tables
+from siltstone.operators import evaluate, extract, routing, store, tables
 
 
 def test_golden_entries_come_and_go(spark, tmp_path):
@@ -67,3 +67,33 @@ def test_first_entry_of_the_same_query(spark):
     results = spark.createDataFrame([("q", 1), ("q", 2), ("none", 3), (None, 4)], "query string, n int")
     entries = spark.createDataFrame([(7, "q", "second"), (3, "q", "first"), (1, None, "null"), (2, "Q", "other")], "k int, query string, answer string")
     assert sorted((r.n, r.answer) for r in evaluate.with_entries(results, entries, "query", "k").collect()) == [(1, "first"), (2, "first"), (3, None), (4, None)]
+
+
+def test_programs_with_quotes_in_odd_places():
+    program = """/** Doc. */
+export function one(a) {
+  x.replace(/'/g, '');
+  return a / 2 / 3;
+}
+function two() { return `a ${b ? `}` : '{'} c
+function no() {}
+`; }
+// function three() {
+/*
+function four() {}
+*/
+export const five = (x) => x + 1
+const six = (x) => { return x; };
+type Seven = { a: string }
+interface Eight { a: /* } */ string }
+export default class Nine { m() { if (/[/}]\\/{/.test(s)) return 1; } }
+type Ten = string
+function eleven({ a }, b = "}") { return a; }
+"""
+    got = [(r[0], r[1], r[3], r[4]) for r in extract.js_segments(program)]
+    assert got == [
+        (1, 1, "doc", None), (2, 5, "function", "one"), (6, 8, "function", "two"), (13, 13, "arrow", "five"), (14, 14, "arrow", "six"), (15, 15, "type", "Seven"),
+        (16, 16, "interface", "Eight"), (17, 17, "class", "Nine"), (18, 18, "type", "Ten"), (19, 19, "function", "eleven"),
+    ]
+    for broken in ("", "`", "`${", "}", "function f(", "'", "/", "/*", "type A", "`${`${", "// x\n" * 40_000):
+        extract.js_segments(broken)
