@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions.text import snippet
@@ -315,9 +315,9 @@ def sample_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.add("validate_embeddings", "SELECT label project, CAST(min(len(embedding)) AS INTEGER) dims, CAST(first_value(min(len(embedding))) OVER (ORDER BY label) AS INTEGER) expected, min(len(embedding)) = first_value(min(len(embedding))) OVER (ORDER BY label) AND min(len(embedding)) = max(len(embedding)) valid FROM embeddings GROUP BY label")
 def validate_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Widths by project against the first one's; one row for each project enters the window."""
+    """Widths by project against those of the first project by name."""
     v = table(spark, sf_dir, "embeddings").groupBy(F.col("label").alias("project")).agg(F.min(F.size("embedding")).alias("dims"), F.max(F.size("embedding")).alias("most"))
-    first = F.first_value("dims").over(Window.orderBy("project"))
+    first = v.agg(F.min_by("dims", "project")).scalar()
     return v.select("project", "dims", first.alias("expected"), ((F.col("dims") == first) & (F.col("dims") == F.col("most"))).alias("valid"))
 
 
