@@ -36,10 +36,8 @@ MOST_BYTES, LEAST_CHARS = 500 * 1024, 10
 
 
 def _case(col: Column, groups: dict[str, list[str]], default: str) -> Column:
-    out = F.lit(default)
-    for value, names in groups.items():
-        out = F.when(col.isin(names), F.lit(value)).otherwise(out)
-    return out
+    of = F.create_map(*[F.lit(x) for value, names in groups.items() for name in names for x in (name, value)])
+    return F.coalesce(F.try_element_at(of, col), F.lit(default))
 
 
 def language(path: Column) -> Column:
@@ -172,9 +170,8 @@ def markdown_blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def size_policy(kind: Column) -> tuple[Column, Column]:
     """Chunk size and overlap of a file type; an unknown one has those of documents."""
-    size, overlap = F.lit(SIZES["docs"][0]), F.lit(SIZES["docs"][1])
-    for name, (n, o) in SIZES.items():
-        size, overlap = F.when(kind == name, n).otherwise(size), F.when(kind == name, o).otherwise(overlap)
+    of = lambda j: F.create_map(*[F.lit(x) for name, sizes in SIZES.items() for x in (name, sizes[j])])
+    size, overlap = (F.coalesce(F.try_element_at(of(j), kind), F.lit(SIZES["docs"][j])) for j in (0, 1))
     return size, overlap
 
 
@@ -190,13 +187,18 @@ def policy_chunks(segments: DataFrame, id_col: str, text_col: str, kind_col: str
 
 
 def fixed_chunks(docs: DataFrame, id_col: str, text_col: str, size: int | Column, overlap: int | Column) -> DataFrame:
-    """Chunks of `size` estimated tokens with `overlap`: index, number of chunks, first and last line, content. Both may differ from row to row."""
+    """Chunks of `size` estimated tokens with `overlap`: index, number of chunks, first and last line, content. Both may differ from row to row.
+
+    They stand in the plan once, as variables of a function over one struct: Spark puts an expression in the place of each
+    column that refers to it, and a size that depends on a path's ending would be repeated beyond what the driver can hold.
+    """
     size, overlap = (F.lit(x) if isinstance(x, int) else x for x in (size, overlap))
-    x = docs.withColumns({"_width": 4 * size, "_over": 4 * overlap})
-    width, n = F.col("_width"), F.length(text_col)
-    starts = F.when(n > width, F.sequence(F.lit(0), n - F.col("_over") - 1, width - F.col("_over"))).when(n > 0, F.array(F.lit(0))).otherwise(F.array().cast("array<int>"))
-    x = x.withColumn("_starts", starts)
-    x = x.select(id_col, text_col, "_width", F.size("_starts").alias("total_chunks"), F.posexplode("_starts").alias("chunk_index", "_at"))
+    n = F.length(text_col)
+    begins = lambda w, o: F.when(n > w, F.sequence(F.lit(0), n - o - 1, w - o)).when(n > 0, F.array(F.lit(0))).otherwise(F.array().cast("array<int>"))
+    cut = lambda s: F.transform(begins(s["w"], s["o"]), lambda at: F.struct(at.alias("at"), s["w"].alias("w")))
+    x = docs.select(id_col, text_col, F.get(F.transform(F.array(F.struct((4 * size).alias("w"), (4 * overlap).alias("o"))), cut), 0).alias("_starts"))
+    x = x.select(id_col, text_col, F.size("_starts").alias("total_chunks"), F.posexplode("_starts").alias("chunk_index", "_start"))
+    x = x.select(id_col, text_col, "total_chunks", "chunk_index", F.col("_start.at").alias("_at"), F.col("_start.w").alias("_width"))
     newlines = lambda c: F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
     body = F.substring(F.col(text_col), F.col("_at") + 1, F.col("_width"))
     first = newlines(F.substring(F.col(text_col), F.lit(1), F.col("_at"))) + 1
