@@ -251,7 +251,7 @@ def human_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT event_id, CASE WHEN s < 60 THEN 'Just now' WHEN s < 3600 THEN CAST(floor(s / 60) AS BIGINT) || ' minute' || CASE WHEN floor(s / 60) = 1 THEN '' ELSE 's' END || ' ago' WHEN s < 86400 THEN CAST(floor(s / 3600) AS BIGINT) || ' hour' || CASE WHEN floor(s / 3600) = 1 THEN '' ELSE 's' END || ' ago'
 WHEN s < 604800 THEN CAST(floor(s / 86400) AS BIGINT) || ' day' || CASE WHEN floor(s / 86400) = 1 THEN '' ELSE 's' END || ' ago' WHEN s < 2592000 THEN CAST(floor(floor(s / 86400) / 7) AS BIGINT) || ' week' || CASE WHEN floor(floor(s / 86400) / 7) = 1 THEN '' ELSE 's' END || ' ago' ELSE strftime(ts, '%Y-%m-%d') END age FROM x""")
 def relative_age(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select("event_id", T.relative_age(F.date_trunc("second", F.col("ts").cast("timestamp")), F.lit("2024-02-01").cast("timestamp")).alias("age"))
+    return table(spark, sf_dir, "events").select("event_id", T.relative_age(F.col("ts").cast("timestamp"), F.lit("2024-02-01").cast("timestamp")).alias("age"))
 
 
 #: An answer for each turn: its own text with citations behind it.

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import functions as F
 
-from siltstone.operators import ingest
+from siltstone.functions import text
+from siltstone.operators import context, ingest
 
 
 def test_policy_plan_stays_small(spark):
@@ -16,3 +19,27 @@ def test_policy_plan_stays_small(spark):
     assert plan.count("split(") <= 32
     got = [(r.id, r.chunk_index, r.total_chunks, len(r.content)) for r in out.orderBy("id", "chunk_index").collect()]
     assert got == [(1, 0, 3, 2048), (1, 1, 3, 2048), (1, 2, 3, 5000 - 2 * 1848), (2, 0, 3, 1024), (2, 1, 3, 1024), (2, 2, 3, 2000 - 2 * 924), (3, 0, 1, 20)]
+
+
+def test_relative_age_counts_parts_of_a_second(spark):
+    at = ["2024-01-31 23:00:00", "2024-01-31 23:00:00.4", "2024-01-31 23:59:00.9", "2024-01-28 23:59:59.5", "2024-01-29 00:00:00.000001"]
+    d = spark.createDataFrame(list(enumerate(at)), "id int, t string")
+    got = [r.age for r in d.select("id", text.relative_age(F.col("t").cast("timestamp"), F.lit("2024-02-01").cast("timestamp")).alias("age")).orderBy("id").collect()]
+    assert got == ["1 hour ago", "59 minutes ago", "Just now", "3 days ago", "2 days ago"]
+
+
+def test_fixed_rounds_as_printf(spark):
+    rng = random.Random(3)
+    some = [0.0, 0.015625, 0.078125, 0.140625, -0.015625, 2.0005, 12.3455, 12.345, 1.005, 2.675, 0.125, 0.375, 0.5, 1.5, 99.995, 0.999999, -0.0000001, 1e-9, 123456.7895, 2e9 + 0.125, 1e8 + 0.015625]
+    some += [rng.randrange(1, 10**8) / 10**rng.randrange(3, 8) for _ in range(3000)] + [k / 2**7 for k in range(300)] + [(k + 0.5) / 1000 for k in range(300)]
+    d = spark.createDataFrame([(x,) for x in some], "x double")
+    for digits in (2, 3, 5):
+        for r in d.select("x", text.fixed(F.col("x"), digits).alias("told")).collect():
+            assert r.told == f"{r.x:.{digits}f}", r
+
+
+def test_scores_in_texts_round_as_printf(spark):
+    one = [(1, 1, "p", "a.md", 3, 3, 2.0005, "en", "docs", "t")]
+    d = spark.createDataFrame(one, "q int, rank int, project string, file_path string, start_line int, end_line int, score double, language string, file_type string, content string")
+    assert f'score="{2.0005:.3f}"' in context.xml(d, "q").first().context
+    assert context.citations(d.withColumn("score", F.lit(0.125)), "q").first().citations.endswith("(0.12)")
