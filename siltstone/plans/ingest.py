@@ -9,7 +9,7 @@ from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siltstone.functions.text import estimate_tokens
+from siltstone.functions.text import estimate_tokens, fixed
 from siltstone.operators import chunking, extract, ingest
 from siltstone.operators.steps import delete_folder, materialize, work_dir
 from siltstone.plans.registry import FILES, Registry, files, table
@@ -227,7 +227,7 @@ n AS (SELECT doc_id, sqrt(sum(v * v)) norm FROM c GROUP BY 1), r AS (SELECT doc_
 SELECT r.doc_id, string_agg(printf('%.5f', CASE WHEN norm > 0 THEN coalesce(v, 0) / norm ELSE 0.0::DOUBLE END), ' ' ORDER BY i) embedding FROM r LEFT JOIN c ON c.doc_id = r.doc_id AND k = i LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id""")
 def embed_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = extract.embed_hash(table(spark, sf_dir, "documents"), "doc_id", "text")
-    return v.select("doc_id", F.array_join(F.transform("embedding", lambda x: F.format_string("%.5f", x)), " ").alias("embedding"))
+    return v.select("doc_id", F.array_join(F.transform("embedding", lambda x: fixed(x, 5)), " ").alias("embedding"))
 
 
 def _code(spark: SparkSession, sf_dir: str, head: str, foot: str) -> DataFrame:
