@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.functions.text import estimate_tokens, line_range, tokens, xml_escape
+from siltstone.functions.text import estimate_tokens, fixed, line_range, tokens, xml_escape
 from siltstone.operators.lookup import containing, postings
 
 
@@ -37,7 +37,7 @@ def xml(results: DataFrame, by: str) -> DataFrame:
     lines = F.when(F.col("start_line") == F.col("end_line"), F.col("start_line").cast("string")).otherwise(F.concat_ws("-", "start_line", "end_line"))
     one = F.concat(
         F.lit('  <source id="'), F.col("rank").cast("string"), F.lit('" project="'), F.col("project"), F.lit('" file="'), F.col("file_path"), F.lit('" lines="'), lines,
-        F.lit('" score="'), F.format_string("%.3f", F.col("score")), F.lit('">\n'), xml_escape(F.col("content")), F.lit("\n  </source>"),
+        F.lit('" score="'), fixed(F.col("score"), 3), F.lit('">\n'), xml_escape(F.col("content")), F.lit("\n  </source>"),
     )
     all_rows = F.array_sort(F.collect_list(F.struct("rank", one.alias("x"))))
     return results.groupBy(by).agg(F.concat(F.lit("<sources>\n"), F.array_join(F.transform(all_rows, lambda r: r["x"]), "\n"), F.lit("\n</sources>")).alias("context"))
@@ -49,10 +49,10 @@ def citation(index: Column, path: Column, start: Column, end: Column, score: Col
     if style == "minimal":
         return head
     if style == "compact":
-        return F.concat(head, F.lit(" ("), F.format_string("%.2f", score), F.lit(")"))
+        return F.concat(head, F.lit(" ("), fixed(score, 2), F.lit(")"))
     known = F.when(language.isNotNull(), F.concat(F.upper(F.substring(language, 1, 1)), F.substring(language, 2, 1000)))
     named = F.coalesce(known, F.when(kind == "code", "Code").when(kind == "docs", "Documentation").when(kind == "config", "Config").otherwise("Unknown"))
-    return F.concat(head, F.lit("\n    "), named, F.lit(" | score: "), F.format_string("%.2f", score))
+    return F.concat(head, F.lit("\n    "), named, F.lit(" | score: "), fixed(score, 2))
 
 
 def citations(results: DataFrame, by: str, style: str = "compact", limit: int = 0) -> DataFrame:
