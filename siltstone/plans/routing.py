@@ -12,7 +12,7 @@ from siltstone.operators import routing as Q
 from siltstone.operators import search as S
 from siltstone.operators.steps import hinted
 from siltstone.plans.registry import CHUNKS, Registry, chunks, table
-from siltstone.plans.search import _BM25, _bm25, few
+from siltstone.plans.search import _BM25, bm25_top, few
 
 R = Registry()
 
@@ -151,7 +151,7 @@ _TOP = f"{_BM25}, top AS (SELECT item_id, chunk_id, score, rank FROM (SELECT *,
 
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The eight best chunks of each benchmark query with display columns."""
-    top = S.topk(_bm25(spark, sf_dir), ["item_id"], [F.desc("score"), F.asc("chunk_id")], 8)
+    top = bm25_top(spark, sf_dir, 8)
     x = chunks(spark, sf_dir).join(few(spark, sf_dir, top, 8), "chunk_id")
     return x.select("item_id", "rank", "score", "project", "file_path", "language", F.lit("docs").alias("file_type"), "content", (F.col("chunk_id") % 5).alias("start_line"), (F.col("chunk_id") % 5 + F.col("chunk_id") % 3).alias("end_line"))
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from siltstone.functions import text
-from siltstone.operators import context, ingest
+from siltstone.operators import context, ingest, search
 
 
 def test_policy_plan_stays_small(spark):
@@ -43,3 +44,42 @@ def test_scores_in_texts_round_as_printf(spark):
     d = spark.createDataFrame(one, "q int, rank int, project string, file_path string, start_line int, end_line int, score double, language string, file_type string, content string")
     assert f'score="{2.0005:.3f}"' in context.xml(d, "q").first().context
     assert context.citations(d.withColumn("score", F.lit(0.125)), "q").first().citations.endswith("(0.12)")
+
+
+def corpus(spark, n=300):
+    rng = random.Random(1)
+    words = ["the", "of", "and", *(f"w{k}" for k in range(40))]
+    rows = [(k, f"p{k % 3}" if k % 50 else None, " ".join(rng.choices(words[:3], k=rng.randint(1, 30)) + rng.choices(words, k=5))) for k in range(n)]
+    docs = spark.createDataFrame([*rows, (n, "p1", None), (n + 1, "p1", ""), *((n + 2 + k, "p2", "the w1 w2") for k in range(40))], "id long, p string, t string").repartition(5)
+    return docs, spark.createDataFrame([(1, "the w7"), (2, "of and the w3 w4 to"), (3, "in"), (4, "absent"), (5, "absent w9 W9 W1 w2")], "q long, x string")
+
+
+@pytest.mark.parametrize("by", [None, "p"])
+@pytest.mark.parametrize("small", [False, True])
+def test_best_of_batches_are_the_best_of_all(spark, monkeypatch, by, small):
+    if small:
+        monkeypatch.setattr(search, "QUERY_WORDS", 4)
+        monkeypatch.setattr(search, "QUERIES_AT_A_TIME", 2)
+        monkeypatch.setattr(search, "PAIRS_AT_A_TIME", 5)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    try:
+        docs, q = corpus(spark)
+        every = search.lexical_scores(docs, q, "id", "t", "q", "x", by)
+        best = search.lexical_best(docs, q, "id", "t", "q", "x", 3, ("score", "coverage"), by)
+        group = ["q", *([by] if by else [])]
+        for c in ("score", "coverage"):
+            want, got = (sorted(tuple(r) for r in search.topk(x, group, [F.desc(c), F.asc("id")], 3).select(*group, "id", "score", "coverage", "rank").collect()) for x in (every, best))
+            assert got == want and len(got) >= 3
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_scores_are_not_shuffled(spark):
+    """What a query's ranking shuffles grows with the batches, not with the pairs that share a word."""
+    docs, q = corpus(spark, 3000)
+    best = search.lexical_best(docs, q, "id", "t", "q", "x", 3)
+    assert "Exchange" not in best._jdf.queryExecution().executedPlan().toString() and best.count() <= 5 * 3 * len(best._jdf.inputFiles())
+    assert search.lexical_scores(docs, q, "id", "t", "q", "x").count() > 20 * best.count()
+    with pytest.raises(ValueError, match="no words"):
+        search.lexical_best(docs, spark.createDataFrame([(1, "?!")], "q long, x string"), "id", "t", "q", "x", 3)
+    assert search.lexical_best(docs, q.limit(0), "id", "t", "q", "x", 3).count() == 0
