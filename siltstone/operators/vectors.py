@@ -21,12 +21,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siltstone.operators.search import topk
-from siltstone.operators.steps import read_file
+from siltstone.operators.steps import read_file, spread
 
 #: Vectors that centres are fitted on, cells at most, rounds of fitting, and sampled queries that the number of probes is measured with.
 SAMPLE, MOST_CELLS, ROUNDS, MEASURED = 20_000, 4096, 8, 256
 #: Queries that are compared with a block of vectors at a time, and bytes of queries that go to all tasks together.
-AT_A_TIME, QUERY_BYTES = 1024, 64 << 20
+AT_A_TIME, QUERY_BYTES = 256, 64 << 20
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -53,7 +53,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, id_col: str, vector: str, qu
     groups = max(1, -(-q.count() * width * 8 // QUERY_BYTES))
     kinds = vectors.schema[id_col].dataType, queries.schema[query_id].dataType
     out = T.StructType([T.StructField(query_id, kinds[1]), T.StructField(id_col, kinds[0]), T.StructField("score", T.DoubleType()), *([vectors.schema[by]] if by else [])])
-    rows = vectors.where(F.size(vector) == width).select(F.col(id_col), F.col(vector), *([cell] if allowed is not None else []), *([by] if by else []))
+    rows = spread(vectors.where(F.size(vector) == width).select(F.col(id_col), F.col(vector), *([cell] if allowed is not None else []), *([by] if by else [])))
     found = spark.createDataFrame([], out)
     for g in range(groups):
         mine = q.where(F.pmod(F.xxhash64("q"), F.lit(groups)) == g).toArrow()
@@ -90,11 +90,13 @@ def _compared(told, k: int, min_score: float | None, by_cell: bool, grouped: boo
             for rows, wanted in parts:
                 for a in range(0, len(wanted), AT_A_TIME):
                     qs = wanted[a : a + AT_A_TIME]
-                    s = np.round(matrix[qs] @ x[rows].T, 6)
-                    best = np.argsort(-s, axis=1, kind="stable")[:, :k] if s.shape[1] > k else np.broadcast_to(np.arange(s.shape[1]), s.shape)
-                    score = np.take_along_axis(s, best, 1).ravel()
-                    keep = np.ones(len(score), bool) if min_score is None else score >= min_score
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.repeat(qs, best.shape[1])[keep])), b.column(0).take(at := pa.array(rows[best.ravel()][keep])), pa.array(score[keep] + 0.0), *([b.columns[-1].take(at)] if grouped else [])], names)
+                    s = np.rint(matrix[qs] @ x[rows].T * 1e6).astype(np.int64)
+                    own = s * len(rows) + np.arange(len(rows))[::-1]  # score, then the place by id: no two are equal
+                    best = own >= np.partition(own, len(rows) - k, axis=1)[:, [-k]] if len(rows) > k else np.ones(s.shape, bool)
+                    if min_score is not None:
+                        best &= s / 1e6 >= min_score
+                    qi, di = np.nonzero(best)
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(qs[qi])), b.column(0).take(at := pa.array(rows[di])), pa.array(s[qi, di] / 1e6), *([b.columns[-1].take(at)] if grouped else [])], names)
 
     return run
 
