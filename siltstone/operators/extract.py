@@ -13,8 +13,11 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siltstone.functions.text import tokens
 from siltstone.operators.steps import spread
@@ -173,20 +176,30 @@ def extract_python(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def embed_hash(docs: DataFrame, id_col: str, text_col: str, dims: int = 64, keep: tuple[str, ...] = ()) -> DataFrame:
-    """id, the columns `keep`, embedding: unit vectors of hashed word counts, by functions only; of a text without words all zeros.
+    """id, the columns `keep`, embedding: unit vectors of hashed word counts; of a text without words all zeros. A row for each row.
 
-    The first 16 bits of a word's MD5 choose the place, the bit behind them the sign. Counts of one document are added up
-    before anything is shuffled, at most `dims` rows for each.
+    The first 16 bits of a word's MD5 choose the place, the bit behind them the sign. A batch hashes each distinct word
+    once and adds up whole numbers; nothing is shuffled but to spread small tables.
     """
     words = F.coalesce(tokens(F.col(text_col)), F.array().cast("array<string>"))
     own = [id_col, *keep]
-    h = spread(docs.select(*own, text_col)).select(*own, F.explode_outer(words).alias("w")).select(*own, F.md5(F.col("w").cast("binary")).alias("h"))
-    place = F.pmod(F.conv(F.substring("h", 1, 4), 16, 10).cast("int"), F.lit(dims))
-    sign = F.when(F.substring("h", 5, 1) < "8", 1).otherwise(-1)
-    sums = h.groupBy(*own, F.coalesce(place, F.lit(0)).alias("k")).agg(F.sum(F.when(F.col("h").isNotNull(), sign).otherwise(0)).alias("v"))
-    of = sums.groupBy(*own).agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("m"), F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
-    at = lambda i: F.coalesce(F.try_element_at("m", i.cast("int")) / F.col("norm"), F.lit(0.0))
-    return of.select(*own, F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.when(F.col("norm") > 0, at(i)).otherwise(0.0)).alias("embedding"))
+    schema = T.StructType([*(docs.schema[c] for c in own), T.StructField("embedding", T.ArrayType(T.DoubleType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            lists = b.columns[-1]
+            cut = lists.flatten().dictionary_encode()
+            at = [_place(w) for w in cut.dictionary.to_pylist()]
+            place, sign = np.array([k % dims for k, _ in at], np.int64), np.array([s for _, s in at])
+            row, word = np.repeat(np.arange(b.num_rows), pc.list_value_length(lists).to_numpy(zero_copy_only=False)), cut.indices.to_numpy(zero_copy_only=False)
+            v = np.bincount(row * dims + place[word], weights=sign[word], minlength=b.num_rows * dims).reshape(b.num_rows, dims)
+            norm = np.sqrt((v * v).sum(1, keepdims=True))
+            x = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * dims), pa.array((v / np.where(norm > 0, norm, 1)).ravel()))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], x], schema.names)
+
+    return spread(docs.select(*own, text_col)).select(*own, words.alias("_words")).mapInArrow(run, schema)
 
 
 class Embedder(Protocol):

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siltstone.functions import text
-from siltstone.operators import context, ingest, search
+from siltstone.operators import context, extract, ingest, search
 
 
 def test_policy_plan_stays_small(spark):
@@ -83,3 +83,11 @@ def test_scores_are_not_shuffled(spark):
     with pytest.raises(ValueError, match="no words"):
         search.lexical_best(docs, spark.createDataFrame([(1, "?!")], "q long, x string"), "id", "t", "q", "x", 3)
     assert search.lexical_best(docs, q.limit(0), "id", "t", "q", "x", 3).count() == 0
+
+
+def test_hashed_vectors_are_not_shuffled(spark):
+    d = spark.createDataFrame([(1, "Some words, some words ñ"), (2, ""), (3, None), (4, "?")], "id long, t string")
+    x = extract.embed_hash(d, "id", "t")
+    assert "HashAggregate" not in x._jdf.queryExecution().executedPlan().toString()
+    got = {r.id: r.embedding for r in x.collect()}
+    assert got[1] == extract.hashed_vectors(["Some words, some words ñ"])[0].tolist() and got[2] == got[3] == got[4] == [0.0] * 64
