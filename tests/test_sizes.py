@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import text
 from siltstone.operators import context, extract, ingest, search
+from siltstone.plans import catalog
 
 
 def test_policy_plan_stays_small(spark):
@@ -91,3 +92,24 @@ def test_hashed_vectors_are_not_shuffled(spark):
     assert "HashAggregate" not in x._jdf.queryExecution().executedPlan().toString()
     got = {r.id: r.embedding for r in x.collect()}
     assert got[1] == extract.hashed_vectors(["Some words, some words ñ"])[0].tolist() and got[2] == got[3] == got[4] == [0.0] * 64
+
+
+@pytest.mark.parametrize("name", ["bm25_topk"])
+def test_rankings_pass_on_the_first_of_each_batch(spark, monkeypatch, name):
+    """A query over rankings makes no relation of all pairs that share a word, and its result is the one from that relation."""
+    best, every, passed = search.lexical_best, search.lexical_scores, []
+
+    def told(docs, queries, *rest):
+        out = best(docs, queries, *rest)
+        passed.append((out.count(), queries.count() * rest[4] * len(out.inputFiles())))
+        return out
+
+    def pairs(*_):
+        raise AssertionError("all pairs are made")
+
+    monkeypatch.setattr(search, "lexical_scores", pairs)
+    monkeypatch.setattr(search, "lexical_best", told)
+    got = catalog.queries()[name](spark, "/root/testdata/sf0.001").collect()
+    assert len(passed) == 1 and passed[0][0] <= passed[0][1]
+    monkeypatch.setattr(search, "lexical_best", lambda docs, queries, *rest: every(docs, queries, *rest[:4]))
+    assert got and sorted(map(str, got)) == sorted(map(str, catalog.queries()[name](spark, "/root/testdata/sf0.001").collect()))
