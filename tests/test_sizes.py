@@ -94,7 +94,7 @@ def test_hashed_vectors_are_not_shuffled(spark):
     assert got[1] == extract.hashed_vectors(["Some words, some words ñ"])[0].tolist() and got[2] == got[3] == got[4] == [0.0] * 64
 
 
-@pytest.mark.parametrize("name", ["bm25_topk", "metric_mrr", "context_dedupe", "context_order", "bm25_postfilter", "eval_per_query", "export_deepeval"])
+@pytest.mark.parametrize("name", ["bm25_topk", "metric_mrr", "context_dedupe", "context_order", "bm25_postfilter", "eval_per_query", "export_deepeval", "metric_precision"])
 def test_rankings_pass_on_the_first_of_each_batch(spark, monkeypatch, name):
     """A query over rankings makes no relation of all pairs that share a word, and its result is the one from that relation."""
     best, every, passed = search.lexical_best, search.lexical_scores, []
