@@ -50,12 +50,13 @@ CELL = 6
 
 
 def _first_words(words: list[Column], bits: int) -> Column:
+    """Place in the mask of a window's first words."""
     return F.pmod(F.xxhash64(*words), F.lit(bits))
 
 
 def _mask(windows: DataFrame, first: int, bits: int) -> Column:
     """A binary literal with a bit for the hash of each window's first words: a task holds it once. It has at most 2**26 bits."""
-    k = _first_words([F.xxhash64(F.element_at(F.split("window", " "), j + 1)) for j in range(first)], bits)
+    k = _first_words([F.element_at(F.split("window", " "), j + 1) for j in range(first)], bits)
     held = windows.select(k.alias("k")).groupBy(F.floor(F.col("k") / CELL).alias("id")).agg(F.bit_or(F.expr(f"shiftleft(1, cast(k % {CELL} as int))")).alias("v"))
     cells = windows.sparkSession.range(-(-bits // CELL)).join(held, "id", "left")
     letters = F.transform(F.array_sort(F.collect_list(F.struct("id", F.coalesce("v", F.lit(0)).alias("v")))), lambda c: F.char(c["v"] + 64))
@@ -75,24 +76,16 @@ def hits(docs: DataFrame, bench: DataFrame, width: int = 10, keep: tuple[str, ..
     names, keep = keep, tuple(f"_keep{k}" for k in range(len(keep)))  # names of its own can't clash
     slim = docs.select(*[F.col(c).alias(k) for c, k in zip(names, keep, strict=True)], F.col("text").alias("_text"), F.monotonically_increasing_id().alias("_rid"))
     slim = slim.select(*keep, "_rid", words(F.col("_text")).alias("_w"))
-    slim = slim.select(*keep, "_rid", "_w", F.transform("_w", lambda x: F.xxhash64(x)).alias("_h"))
     mask = _mask(windows, first, bits)
-
-    def may_start(i: Column) -> Column:
-        k = _first_words([F.get("_h", i + j) for j in range(first)], bits)
-        cell = F.ascii(F.substring(mask, F.floor(k / CELL).cast("int") + 1, F.lit(1)).cast("string"))
-        return F.getbit(cell, (k % CELL).cast("int")) == 1
-
-    starts = F.when(F.size("_w") > 0, F.filter(F.sequence(F.lit(0), F.size("_w") - 1), may_start)).otherwise(F.array().cast("array<int>"))
-
-    def of_size(z: int) -> Column:
-        fits = F.filter("_s", lambda i: i + z <= F.size("_w"))
-        return F.transform(fits, lambda i: F.struct(i.alias("i"), F.lit(z).alias("z"), F.array_join(F.slice("_w", i + 1, z), " ").alias("window")))
-
-    spans = F.flatten(F.array(*[of_size(z) for z in sizes])) if sizes else F.array().cast("array<struct<i:int,z:int,window:string>>")
+    # A row for each word and, in front of them, one for the document, which stays. Most words go in the same generated loop.
+    k = _first_words([F.get("_w", F.col("_at") + j - 1) for j in range(first)], bits)
+    cell = F.ascii(F.substring(mask, F.floor(k / CELL).cast("int") + 1, F.lit(1)).cast("string"))
+    starts = slim.select(*keep, "_rid", "_w", F.posexplode(F.concat(F.array(F.lit("")), "_w")).alias("_at", "_word")).where((F.col("_at") == 0) | (F.getbit(cell, (k % CELL).cast("int")) == 1))
+    starts = starts.select(*keep, "_rid", F.size("_w").alias("n_words"), (F.col("_at") - 1).alias("_at"), F.slice("_w", F.greatest("_at", F.lit(1)), max(sizes, default=1)).alias("_next"))
+    lengths = F.filter(F.array(*map(F.lit, sizes)).cast("array<int>"), lambda z: (F.col("_at") >= 0) & (z <= F.size("_next")))
+    spans = F.transform(lengths, lambda z: F.struct(F.col("_at").alias("i"), z.alias("z"), F.array_join(F.slice("_next", 1, z), " ").alias("window")))
     tried = (
-        slim.withColumn("_s", starts)
-        .select(*keep, "_rid", F.size("_w").alias("n_words"), F.explode_outer(spans).alias("_c"))
+        starts.select(*keep, "_rid", "n_words", F.explode_outer(spans).alias("_c"))
         .select(*keep, "_rid", "n_words", F.col("_c.i").alias("_i"), F.col("_c.z").alias("_z"), F.col("_c.window").alias("_window"))
     )
     known = windows.select(F.col("window").alias("_window"), F.col("items").alias("_items"))

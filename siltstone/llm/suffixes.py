@@ -41,6 +41,8 @@ from pyspark.sql import types as T
 from siltstone.llm.shared import BYTE_CODE, U, blobs, dealt, fresh, grouped, joined, materialize, mix, n_fragments, one_by_one, powers, shuffles, small, texts
 
 LENGTH, GRAM, PIECE = 50, 20, 4 << 20
+#: Bytes of texts whose anchors are found at a time: their numbers stay in a core's cache.
+PART = 1 << 17
 HOT_BLOCKS, HOT_GROUP = 32, 200_000
 
 
@@ -103,6 +105,16 @@ def anchors(data: np.ndarray, off: np.ndarray, length: int = LENGTH) -> tuple[np
     return h[q], u, row[a], a - off[row[a]], n
 
 
+def _anchors_by_parts(data: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """`anchors` of a block, some texts at a time."""
+    cuts = [0]
+    while cuts[-1] < len(off) - 1:
+        cuts.append(max(cuts[-1] + 1, int(np.searchsorted(off, off[cuts[-1]] + PART, side="right")) - 1))
+    found = [anchors(data[off[a] : off[z]], off[a : z + 1] - off[a], length) for a, z in zip(cuts[:-1], cuts[1:], strict=True)]
+    m, u, row, at, n = (np.concatenate(x) for x in zip(*found, strict=True))
+    return m, u, row + np.repeat(cuts[:-1], [len(x[0]) for x in found]), at, n
+
+
 def _spans(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Overlapping or touching [start, end) of each document merged: documents, rows of (start, end); sorted by both."""
     order = np.lexsort((start, doc))
@@ -186,7 +198,7 @@ def _entries(fragments: int, length: int):
             ids_all, tags_all = (b.column(k).to_numpy(zero_copy_only=False) for k in (0, 2))
             for a, z, data, off, begin in _blocks(b.column(1), length, PIECE):
                 ids, tags = ids_all[a:z], tags_all[a:z]
-                m, u, row, at, n = anchors(data, off, length)
+                m, u, row, at, n = _anchors_by_parts(data, off, length)
                 if not len(m):
                     continue
                 order = np.lexsort((ids[row], u, m))
@@ -324,20 +336,22 @@ def _compressed(docs: DataFrame) -> DataFrame:
 
 
 def _spell(length: int):
-    """Open entries with their texts to rows (fragment, m, doc_id, tag, at, body): the covered bytes of each."""
+    """Open entries with their texts to rows (fragment, m, doc_id, tag, at, body): the covered bytes of each. A fifth column has entries of hot anchors, whose fragment is -1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, tag, text, packed in zip(*(b.column(c).to_pylist() for c in range(4)), strict=True):
-                x, raw = np.frombuffer(b"".join(packed), OPEN), _raw(text)
-                for k in range(0, len(x), 1 << 16):
-                    y = x[k : k + (1 << 16)]
-                    body = [raw[a : a + n + length - 1] for a, n in zip(y["at"].tolist(), y["n"].tolist(), strict=True)]
-                    m = y["m"].astype(np.uint64)
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array((m >> U(32)).astype(np.int64)), pa.array(m.astype(np.int64)),
-                        pa.array(np.full(len(y), i, np.int64)), pa.array(np.full(len(y), tag, np.int64)), pa.array(y["at"].astype(np.int64)), pa.array(body, pa.binary()),
-                    ], ["fragment", "m", "doc_id", "tag", "at", "body"])
+            for i, tag, text, *each in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                raw = _raw(text)
+                for hot, packed in enumerate(each):
+                    x = np.frombuffer(b"".join(packed), OPEN)
+                    for k in range(0, len(x), 1 << 16):
+                        y = x[k : k + (1 << 16)]
+                        body = [raw[a : a + n + length - 1] for a, n in zip(y["at"].tolist(), y["n"].tolist(), strict=True)]
+                        m = y["m"].astype(np.uint64)
+                        yield pa.RecordBatch.from_arrays([
+                            pa.array(np.full(len(y), -1) if hot else (m >> U(32)).astype(np.int64)), pa.array(m.astype(np.int64)),
+                            pa.array(np.full(len(y), i, np.int64)), pa.array(np.full(len(y), tag, np.int64)), pa.array(y["at"].astype(np.int64)), pa.array(body, pa.binary()),
+                        ], ["fragment", "m", "doc_id", "tag", "at", "body"])
 
     return run
 
@@ -502,13 +516,16 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, Da
     entries = rest.mapInArrow(_entries(fragments, length), "fragment long, kind int, ids binary, body binary")
     settled = materialize(dealt(entries, "fragment", shuffles(docs)).mapInArrow(_settle(HOT_GROUP), "doc_id long, tag long, kind int, body binary"), "settled")
 
-    def spelled(kind: int) -> DataFrame:
-        found = settled.where(F.col("kind") == kind).groupBy("doc_id", "tag").agg(F.collect_list("body").alias("body"))
-        return _with_body(rest, found, "inner", ("doc_id", "tag")).select("doc_id", "tag", "text", "body").mapInArrow(_spell(length), SPELLED)
-
-    rows = dealt(spelled(OPENED), "fragment", shuffles(docs)).mapInArrow(_radix(length), "doc_id long, tag long, kind int, body binary")
-    if settled.where(F.col("kind") == HOT).limit(1).count():
-        rows = rows.unionByName(_hot_spans(spelled(HOT), length))
+    # Texts meet their open entries once, those of hot anchors with the others.
+    of_kind = lambda kind: F.collect_list(F.when(F.col("kind") == kind, F.col("body")))
+    found = settled.where(F.col("kind").isin(OPENED, HOT)).groupBy("doc_id", "tag").agg(of_kind(OPENED).alias("body"), of_kind(HOT).alias("hot"))
+    spelled = _with_body(rest, found, "inner", ("doc_id", "tag")).select("doc_id", "tag", "text", "body", "hot").mapInArrow(_spell(length), SPELLED)
+    hot = settled.where(F.col("kind") == HOT).limit(1).count() > 0
+    if hot:
+        spelled = materialize(spelled, "spelled")
+    rows = dealt(spelled.where("fragment >= 0"), "fragment", shuffles(docs)).mapInArrow(_radix(length), "doc_id long, tag long, kind int, body binary")
+    if hot:
+        rows = rows.unionByName(_hot_spans(spelled.where("fragment < 0"), length))
     whole = copies.select("doc_id", "tag", F.lit(SPANS).alias("kind"), F.unhex(F.concat(F.lit("00000000"), *[F.lpad(F.hex(F.shiftright(F.col("size"), 8 * k).bitwiseAND(F.lit(255))), 2, "0") for k in range(4)])).alias("body"))
     spans = settled.where(F.col("kind") == SPANS).unionByName(rows).unionByName(whole)
     merged = dealt(spans.select("doc_id", "tag", "body"), "doc_id").mapInArrow(_merged, "doc_id long, tag long, body binary")

@@ -427,3 +427,36 @@ def test_template_pages_of_many_sizes(spark, monkeypatch, share):
     assert multiset(ngrams.jaccard_report(d).collect()) == multiset(want)
     got = ngrams.jaccard_links(d).select("doc_id", "n_shingles", "component_id", "n_links").collect()
     assert multiset(got) == multiset([(*c, n) for c, n in zip(want, brute_links(rows), strict=True)])
+
+
+def test_anchors_of_parts_are_those_of_the_block(monkeypatch):
+    """The anchors of a block are found some texts at a time, and are the same."""
+    import numpy as np
+
+    raw = [t.encode() for i, t in texts() if t is not None]
+    data, off = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+    whole = suffixes.anchors(data, off)
+    for part in (1, 500, 1 << 30):
+        monkeypatch.setattr(suffixes, "PART", part)
+        assert all((a == b).all() for a, b in zip(suffixes._anchors_by_parts(data, off, 50), whole, strict=True))
+
+
+def test_texts_meet_their_open_entries_once(spark, monkeypatch):
+    """With hot anchors too, texts are compressed and shuffled twice: to be spelled out and to be cut."""
+    sent = []
+    plain = suffixes._compressed
+    monkeypatch.setattr(suffixes, "_compressed", lambda docs: sent.append(1) or plain(docs))
+    monkeypatch.setattr(suffixes, "HOT_GROUP", 3)
+    monkeypatch.setattr(suffixes, "_settle", lambda hot_group, settle=suffixes._settle: settle(3))
+    rng = random.Random(12)
+    shared = words(rng, 40)
+    rows = [(i, words(rng, 20) + shared + words(rng, 20)) for i in range(12)] + [(100 + i, t[3:]) for i, t in enumerate([words(rng, 50)] * 2)]
+    got = suffixes.repeats_report(edge(spark, rows).repartition(3)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+    assert multiset(got) == multiset(brute_repeats(rows)) and len(sent) == 2
+
+
+def test_words_are_tried_one_by_one_in_generated_code(spark, docs):
+    """Words that start no window go where they are generated, not in a lambda over all of a document's places."""
+    bench = spark.createDataFrame(BENCH, "item_id long, text string")
+    plan = decontaminate.hits(docs, bench)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate posexplode" in plan and "sequence(0, (size(_w" not in plan
