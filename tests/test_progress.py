@@ -108,3 +108,31 @@ def test_empty_streams_clashing_names_and_durations(spark, tmp_path):
     assert (P.millis("90 seconds"), P.millis("1 hour"), P.millis("2 days")) == (90_000, 3_600_000, 172_800_000)
     with pytest.raises(ValueError):
         P.millis("soon")
+
+
+def test_ids_share_their_state(spark, tmp_path, monkeypatch):
+    """Fates by ids that share one bucket: Python asks the state store for each bucket of a batch, not for each id. What is forgotten is forgotten one by one."""
+    for buckets in (1, 3):
+        monkeypatch.setattr(P, "BUCKETS", buckets)
+        folder, out, check = (str(tmp_path / f"{buckets}-{x}") for x in ("in", "out", "check"))
+        at = lambda h: T0 + dt.timedelta(hours=h)
+        batches = [
+            [*[(k, 1, at(k % 5), "a") for k in range(40)], (7, 1, at(2), "b"), (None, 1, at(3), "c"), (None, 2, None, "d")],
+            [(k, 1, at(20), "e") for k in range(20, 50)],
+            [(60, 1, at(30), "f"), *[(k, 1, at(28.5), "g") for k in (0, 1, 2, 3, 4, 45)]],
+            [(k, 1, at(29.5), "h") for k in (0, 1, 3, 4, 45)],
+        ]
+        for k, rows in enumerate(batches):
+            _put(spark, folder, f"f{k}", rows)
+            stream = P.fates(_read(spark, folder), "event_id", late="1 hour", keep="1 day")
+            P.started(traces.appender(stream, out, check, "fate"), spark).awaitTermination()
+        states = spark.read.format("statestore").option("stateVarName", "firsts").load(check).collect()
+        rows = spark.read.parquet(out).collect()
+        assert len(states) <= buckets and sum(len(s["value"]["ids"]) for s in states) <= 51
+        assert sorted(r.fate for r in rows if r.event_id == 7 and r.note in "ab") == ["new", "repeat"]
+        assert {(r.event_id, r.note): r.fate for r in rows if (r.event_id, r.note) not in ((7, "a"), (7, "b"))} == {
+            **{(k, "a"): "new" for k in range(40) if k != 7}, (None, "c"): "unnamed", (None, "d"): "undated",
+            **{(k, "e"): "repeat" if k < 40 else "new" for k in range(20, 50)},
+            (60, "f"): "new", **{(k, "g"): "repeat" for k in (0, 1, 2, 3, 4, 45)},
+            **{(k, "h"): "new" for k in (0, 1, 3, 4)}, (45, "h"): "repeat",  # by the watermark, 29 hours, what came first at 0 to 4 hours is forgotten
+        }
