@@ -86,3 +86,24 @@ def test_nearest_by_group_and_threshold(spark):
     assert got == [(1, 1.0, "a", 1), (4, 0.0, None, 1), (7, 0.707107, "b", 1)]
     assert [r.id for r in vectors.nearest(v, q, "id", "v", "q", "qv", 9, min_score=0.5).orderBy("rank").collect()] == [1, 2, 7]
     assert vectors.nearest(v.limit(0), q, "id", "v", "q", "qv").count() == 0 and vectors.nearest(v, q.limit(0), "id", "v", "q", "qv").count() == 0
+
+
+def test_postings_are_stored_where_they_are_made(spark, tmp_path, monkeypatch):
+    """Postings are not shuffled to be stored, and those of blocks that are read again are shuffled once, as they are stored; scores are cut in the tasks that make them."""
+    docs = corpus(spark, 400)
+    queries = spark.createDataFrame([(1, "the w7"), (2, "of and the w3 w4 to"), (3, "in")], "q long, text string")
+    index = lexicon.build(docs, f"file://{tmp_path}/x", "id", "t", per_block=8)
+    rows = index.rows(spark)
+    assert rows.columns[:4] == ["term", "block", "n", "top"] and rows.where("n <> size(ids) OR n <> size(tf) OR n <> size(dl)").count() == 0
+    tf = rows.select("term", F.explode(F.arrays_zip("ids", "tf", "dl")).alias("p")).select("term", "p.ids", "p.tf", "p.dl").collect()
+    want = search.postings(docs, "id", "t").select("term", "id", "tf", "dl").collect()
+    assert sorted(map(tuple, tf)) == sorted(map(tuple, want)) and rows.where("n > 8").count() == 0
+    found = lexicon.search(spark, index, queries, "q", "text", k=3, first_blocks=1)
+    last = found.top._jdf.queryExecution().executedPlan().toString()
+    exchanged = [line for line in last.split("\n") if "Exchange hashpartitioning" in line]
+    assert not any("id#" in line for line in exchanged)  # no shuffle by document
+    want = search.topk(search.bm25_scores(docs, queries, "id", "t", "q", "text"), ["q"], [F.desc("score"), F.asc("id")], 3)
+    assert sorted(map(tuple, found.top.select(*TOP, "rank").collect())) == sorted(map(tuple, want.select(*TOP, "rank").collect()))
+    monkeypatch.setattr(lexicon, "BROADCAST_QUERIES", 0)  # the first blocks by a shuffle too
+    found = lexicon.search(spark, index, queries, "q", "text", k=3, first_blocks=1)
+    assert sorted(map(tuple, found.top.select(*TOP, "rank").collect())) == sorted(map(tuple, want.select(*TOP, "rank").collect()))
